@@ -1,0 +1 @@
+"""Operators of the spend and contract engine."""

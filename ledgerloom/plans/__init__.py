@@ -1,0 +1 @@
+"""Plans of the spend and contract engine."""

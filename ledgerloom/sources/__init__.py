@@ -1,0 +1 @@
+"""Sources of the spend and contract engine."""

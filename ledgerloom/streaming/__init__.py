@@ -1,0 +1 @@
+"""Streaming of the spend and contract engine."""
