@@ -19,6 +19,8 @@ SLICE = 1 << 20
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Everything in ASCII but letters and digits.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -60,16 +62,17 @@ def _cuts(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def words(column: pa.Array, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hash of each word of each text, A-Z in lower case, and n + 1 offsets of the documents' words.
 
-    A word is a longest run without ASCII white space. Nulls and texts without words have no words.
+    A word is a longest run without bytes of ``gaps``, by default ASCII white space, which gaps must include. Nulls and
+    texts without words have no words.
     """
     data, ends = large(column)
     hashes, begins = [], []
     for a, b in _cuts(data, ends):
         part = data[a:b]
-        gap = SPACE[part]
+        gap = gaps[part]
         first = ~gap
         first[1:] &= gap[:-1]
         inner = ends[np.searchsorted(ends, a, "left") : np.searchsorted(ends, b, "left")] - a

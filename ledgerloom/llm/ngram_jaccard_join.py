@@ -327,7 +327,8 @@ def annotate(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, scratch:
     blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = scratch.cut(dealt.select("doc_id", "cluster", "blocks", "block"), "dealt")
-    rows = dealt.join(docs, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # texts are always shuffled to the shards' rows: a plan that is alike at every size
+    rows = docs.join(dealt.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "text")
     rows = rows.repartition(width, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
     found = scratch.cut(rows.mapInArrow(_join(k, num, den), "src long, dst long"), "links")
