@@ -62,14 +62,17 @@ def _cuts(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def words(column: pa.Array, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+def words(column: pa.Array, gaps: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """The 64-bit hash of each word of each text, A-Z in lower case, and n + 1 offsets of the documents' words.
 
+    With prefixes, also a row of hashes for each of these numbers of bytes: of the words' first bytes, 0 for words that
+    aren't longer.
+
     A word is a longest run without bytes of ``gaps``, by default ASCII white space, which gaps must include. Nulls and
     texts without words have no words.
     """
     data, ends = large(column)
-    hashes, begins = [], []
+    hashes, begins, heads = [], [], []
     for a, b in _cuts(data, ends):
         part = data[a:b]
         gap = gaps[part]
@@ -87,10 +90,17 @@ def words(column: pa.Array, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.nd
         value *= _POWERS[within & 4095]
         hashes.append(mix(np.add.reduceat(value, start - start[0])))
         begins.append(start + a)
+        if prefixes:
+            size = np.add.reduceat((value != 0).astype(np.int64), start - start[0])
+            heads.append(np.zeros((len(prefixes), len(start)), np.uint64))
+            for row, most in zip(heads[-1], sorted(prefixes, reverse=True), strict=True):
+                value[within >= most] = 0
+                row[:] = np.where(size > most, mix(np.add.reduceat(value, start - start[0]) + np.uint64(most)), 0)
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
-    begin = np.concatenate(begins)
-    return np.concatenate(hashes), np.searchsorted(begin, ends, "left")
+        none = np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+        return (*none, np.zeros((len(prefixes), 0), np.uint64)) if prefixes else none
+    out = np.concatenate(hashes), np.searchsorted(np.concatenate(begins), ends, "left")
+    return (*out, np.concatenate(heads, 1)) if prefixes else out
 
 
 def distinct(x: np.ndarray) -> np.ndarray:

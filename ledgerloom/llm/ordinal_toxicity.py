@@ -2,8 +2,9 @@
 
 Grades 0 to K are ordered. The model has one weight per feature, shared by all K thresholds: P(grade >= k) =
 sigmoid(w x - theta_k) with theta_1 <= ... <= theta_K. The expected severity is the sum of P(grade >= k) over k. Features are
-log(1 + count) of hashed words (runs of letters and digits, A-Z in lower case), kept sparse: only those whose share of
-documents differs most between grade 0 and the rest, by a two-proportion z value, enter the model.
+log(1 + rate) of hashed words (runs of letters and digits, A-Z in lower case) and of their first ``PREFIXES`` bytes, which
+stand for stems, kept sparse: only those whose share of documents differs most between grade 0 and the rest, by a
+two-proportion z value, enter the model.
 
 Fitting uses at most ``most_labels`` labelled rows (those with the smallest hashes of doc_id), without copies; everything else covers all rows.
 Where labels only say toxic or not, ``grades`` makes grades of them: toxic rows are graded 1, 2 or 3 by the share of their
@@ -32,6 +33,9 @@ FEATURES = 96
 #: Least z value of a feature.
 LEAST_Z = 8.0
 GRADES = 3
+PREFIXES = (4, 5, 6, 7, 8)
+#: Features count per so many words.
+RATE = 200.0
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,10 +43,11 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     copies and most near copies share."""
     for whole in batches:
         for batch in slices(whole):
-            hashed, at = words(batch.column(2), PUNCTUATION)
+            hashed, at, heads = words(batch.column(2), PUNCTUATION, PREFIXES)
             feature, count = [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                f, c = np.unique(hashed[a:b].view(np.int64), return_counts=True)
+                every = np.r_[hashed[a:b], heads[:, a:b].ravel()]
+                f, c = np.unique(every[every > 0].view(np.int64), return_counts=True)
                 feature.append(f)
                 count.append(c.astype(np.int32))
             sign = [int(x[0].astype(np.int64)) if len(x) else 0 for x in shingle_sets(batch.column(2), 5)]
@@ -91,12 +96,17 @@ class CumulativeLink:
         return sigmoid(z[:, None] - self.thetas)
 
 
-def _dense(feature: list, count: list, chosen: np.ndarray) -> np.ndarray:
+def level(count: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The value of a feature that occurs count times among n words."""
+    return np.log1p(RATE * count / (n + RATE / 10))
+
+
+def _dense(feature: list, count: list, words: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     x = np.zeros((len(feature), len(chosen)))
-    for row, f, c in zip(x, feature, count, strict=True):
+    for row, f, c, n in zip(x, feature, count, words, strict=True):
         at = np.searchsorted(chosen, f).clip(max=max(0, len(chosen) - 1))
         hit = chosen[at] == f if len(chosen) else np.zeros(len(f), bool)
-        row[at[hit]] = np.log1p(np.asarray(c)[hit])
+        row[at[hit]] = level(np.asarray(c)[hit], n)
     return x
 
 
@@ -107,19 +117,26 @@ def grades(toxic: np.ndarray, rate: np.ndarray, k: int = GRADES) -> np.ndarray:
 
 
 def _score(chosen: np.ndarray, model: CumulativeLink | None, cut: float):
+    low = np.zeros(1 << 16, bool)  # the low bits of features
+    low[chosen & 0xFFFF] = True
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 n = batch.num_rows
                 z = np.zeros(n)
                 if model is not None and len(chosen):
-                    hashed, at = words(batch.column(1), PUNCTUATION)
-                    hashed = hashed.view(np.int64)
-                    place = np.searchsorted(chosen, hashed).clip(max=len(chosen) - 1)
-                    hit = np.flatnonzero(chosen[place] == hashed)
-                    doc = np.searchsorted(at, hit, "right") - 1
-                    cell, count = np.unique(doc * len(chosen) + place[hit], return_counts=True)
-                    np.add.at(z, cell // len(chosen), np.log1p(count) * model.weights[cell % len(chosen)])
+                    hashed, at, heads = words(batch.column(1), PUNCTUATION, PREFIXES)
+                    cells = []
+                    for row in (hashed, *heads):
+                        row = row.view(np.int64)
+                        likely = np.flatnonzero(low[row & 0xFFFF])
+                        place = np.searchsorted(chosen, row[likely]).clip(max=len(chosen) - 1)
+                        same = chosen[place] == row[likely]
+                        doc = np.searchsorted(at, likely[same], "right") - 1
+                        cells.append(doc * len(chosen) + place[same])
+                    cell, count = np.unique(np.concatenate(cells), return_counts=True)
+                    np.add.at(z, cell // len(chosen), level(count, np.diff(at)[cell // len(chosen)]) * model.weights[cell % len(chosen)])
                 up = model.probabilities(z) if model is not None else np.zeros((n, GRADES))
                 expected = up.sum(1)
                 yield pa.record_batch(
@@ -154,10 +171,10 @@ def severity(docs: DataFrame, labels: DataFrame, most_labels: int = 12_000, scra
         chosen = np.array(sorted(z_of), np.int64)
         picked = F.filter(F.arrays_zip("feature", "count"), lambda x: x["feature"].isin([int(f) for f in chosen])) if len(chosen) else F.array().cast("array<struct<feature:bigint,count:int>>")
         few = sample.select("toxic", "n", picked.alias("x")).select("toxic", "n", "x.feature", "x.count").collect()
-        x = _dense([r[2] for r in few], [r[3] for r in few], chosen)
-        toxic = np.array([r[0] for r in few])
+        toxic, size = np.array([r[0] for r in few]), np.array([r[1] for r in few])
+        x = _dense([r[2] for r in few], [r[3] for r in few], size, chosen)
         typical = np.array([z_of[f] > 0 for f in chosen.tolist()], bool)
-        rate = np.expm1(x[:, typical]).sum(1) / np.maximum(1, [r[1] for r in few])
+        rate = np.expm1(x[:, typical]).sum(1)
         model = CumulativeLink.fit(x, grades(toxic, rate), GRADES)
         expected = model.probabilities(x @ model.weights).sum(1)
         order = np.argsort(-expected, kind="stable")

@@ -107,6 +107,10 @@ def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(spans: Column, rank: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
+
+
 def report(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_<kind> of base rules, base_sha256, spans) per row of docs (doc_id, text)."""
     scratch = scratch or Scratch(docs.sparkSession)
@@ -119,7 +123,7 @@ def report(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     of_base = F.filter(spans, lambda s: s["rank"].isin(base))
     return out.select(
         "doc_id",
-        *(F.size(F.filter(spans, lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{rules[i].kind}") for i in base),
+        *(_count(spans, i).alias(f"n_{rules[i].kind}") for i in base),
         F.sha2(_joined(of_base, rules), 256).alias("base_sha256"),
         _joined(spans, rules).alias("spans"),
     )
