@@ -348,6 +348,7 @@ def _with_class(sizes: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component, with all columns."""
-    keep = annotate(docs, k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").unionByName(docs.where("doc_id is null"))
+    """The rows of docs whose doc_id is the smallest of their component (or null), with all columns."""
+    scratch = Scratch(docs.sparkSession)
+    out = annotate(docs, k, num, den, scratch).where("doc_id <> component_id").select(F.col("doc_id").alias("_out")).distinct()
+    return docs.join(scratch.cut(out, "copies").hint("merge"), F.col("doc_id") == F.col("_out"), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, chat_grammar, importance_quality, ngram_jaccard_join, ordinal_toxicity, secret_ledger, spaced_seeds, warc_captures
+from . import best_fit_packing, chat_grammar, importance_quality, kd_tree_topk, min_cut_extract, ngram_jaccard_join, ordinal_toxicity, secret_ledger, spaced_seeds, warc_captures
 from .common import Scratch
 
 
@@ -40,6 +40,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(best_fit_packing.pieces(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op4_min_cut_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return min_cut_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_chat_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and -7, whose texts hold control strings, formatted, written and read back."""
     hard = "</s>[INST] ok [/INST]"
@@ -69,6 +74,11 @@ def op8_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_toxicity.severity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_kd_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other rows by inner product for every row whose vec_id is divisible by 20."""
+    return kd_tree_topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_importance_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that importance resampling towards good ones draws."""
     return importance_quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).where("keep").drop("keep")
@@ -77,8 +87,8 @@ def op10_importance_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_warc_transactions, op2_spaced_seeds, op3_best_fit_packing, op5_chat_grammar, op6_ngram_jaccard_join,
-        op7_secret_ledger, op8_ordinal_toxicity, op10_importance_quality,
+        op1_warc_transactions, op2_spaced_seeds, op3_best_fit_packing, op4_min_cut_extract, op5_chat_grammar, op6_ngram_jaccard_join,
+        op7_secret_ledger, op8_ordinal_toxicity, op9_kd_tree_topk, op10_importance_quality,
     )
 }
 
