@@ -34,6 +34,8 @@ from .common import PUNCTUATION, Scratch, mix, parallelism, slices, words
 #: The masks: 1 marks a word that is hashed, 0 one that is ignored.
 MASKS = ("11101011", "1101100101", "1100101011", "101100010011")
 SPAN = max(map(len, MASKS))
+#: Bits that a hash sets, and that all must be set for it to pass.
+PROBES = 4
 _ODD = np.cumprod(np.full(64, 0xD1342543DE82EF95, np.uint64), dtype=np.uint64)
 _HITS = pa.schema(
     [("row", pa.int64()), ("doc_id", pa.int64()), ("words", pa.binary()), ("hash", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32()))]
@@ -79,23 +81,33 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(blobs, pa.binary())], names=["item_id", "item"])
 
 
-def _tables(shift: int):
-    """Rows (chunk, bits): 2**16 bits of the table each."""
+def places(found: np.ndarray, probe: int, size: int) -> np.ndarray:
+    """The bit of each hash for one of PROBES probes, in a table of 2**size bits."""
+    return ((found * _ODD[probe]) >> np.uint64(64 - size)).astype(np.int64)
+
 
+def _bits(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: dict[int, np.ndarray] = {}
         for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64) >> np.uint64(shift)
-            for chunk in np.unique(at >> np.uint64(16)).tolist():
-                bits = chunks.setdefault(chunk, np.zeros(1 << 16, bool))
-                bits[(at[at >> np.uint64(16) == chunk] & np.uint64(0xFFFF)).astype(np.int64)] = True
-        for chunk, bits in chunks.items():
-            yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["chunk", "bits"])
+            found = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.record_batch([pa.array(np.unique(np.concatenate([places(found, p, size) for p in range(PROBES)])))], names=["bit"])
 
     return run
 
 
-def _search(table, shift: int, masks: list[str]):
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, bits): 2**16 bits of the table each."""
+    chunks: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at = batch.column(0).to_numpy(zero_copy_only=False)
+        for chunk in np.unique(at >> 16).tolist():
+            bits = chunks.setdefault(chunk, np.zeros(1 << 16, bool))
+            bits[at[at >> 16 == chunk] & 0xFFFF] = True
+    for chunk, bits in chunks.items():
+        yield pa.record_batch([pa.array([chunk], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["chunk", "bits"])
+
+
+def _search(table, size: int, masks: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, n = table.value, 0
         first = TaskContext.get().partitionId() << 36
@@ -105,8 +117,10 @@ def _search(table, shift: int, masks: list[str]):
                 where, what = [], []
                 for mask in masks:
                     found = seeds(hashed, mask)
-                    place = (found >> np.uint64(shift)).astype(np.int64)
-                    hit = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                    hit = np.arange(len(found))
+                    for probe in range(PROBES):
+                        place = places(found[hit], probe, size)
+                        hit = hit[(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
                     doc = np.searchsorted(at, hit, "right") - 1
                     inside = hit + len(mask) <= at[doc + 1]
                     where.append(hit[inside])
@@ -169,17 +183,17 @@ def contamination(
     bench = benchmark.select(F.col("item_id").cast("long"), "text")
     seed = scratch.cut(bench.mapInArrow(_seed_rows(least), "hash long, item_id long, at int"), "seeds")
     items = bench.where("item_id is not null").mapInArrow(_item_words, "item_id long, item binary")
-    size = min(27, max(16, (32 * seed.count()).bit_length()))
+    size = min(27, max(16, (128 * seed.count()).bit_length()))
     table = np.zeros(1 << size >> 3, np.uint8)
-    chunk = F.shiftrightunsigned("hash", 80 - size).cast("int")
-    chunks = seed.select("hash").repartitionById(parallelism(spark), chunk).mapInArrow(_tables(64 - size), "chunk int, bits binary")
-    for at, bits in chunks.collect():  # of fixed total size
-        table[at << 13 : (at + 1) << 13] |= np.frombuffer(bits, np.uint8)
+    bits = seed.select("hash").mapInArrow(_bits(size), "bit long")
+    chunks = bits.repartitionById(parallelism(spark), F.shiftright("bit", 16).cast("int")).mapInArrow(_tables, "chunk int, bits binary")
+    for at, part in chunks.collect():  # of fixed total size
+        table[at << 13 : (at + 1) << 13] |= np.frombuffer(part, np.uint8)
     short = [r[0] for r in bench.mapInArrow(_item_words, "item_id long, item binary").select((F.octet_length("item") / 8).cast("int").alias("n")).where(f"n >= {least} and n < {SPAN}").distinct().collect()]
     masks = [*MASKS, *("1" * n for n in sorted(short))]
     shared = spark.sparkContext.broadcast(table)
     hits = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _search(shared, 64 - size, masks), "row long, doc_id long, words binary, hash array<long>, pos array<int>"
+        _search(shared, size, masks), "row long, doc_id long, words binary, hash array<long>, pos array<int>"
     )
     hits = scratch.cut(hits, "hits")
     each = hits.select("row", F.explode(F.arrays_zip("hash", "pos")).alias("x")).select("row", "x.hash", "x.pos")
