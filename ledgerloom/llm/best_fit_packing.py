@@ -10,8 +10,8 @@ Pieces are then matched with the combinations by their rank among pieces of thei
 (bucket, length) and positions inside these groups, with buckets a hash of doc_id, so that a length that a third of all pieces
 have is ranked in as many tasks as any.
 
-Tokenizing goes word by word through a bounded cache: the tokenizer drops white space and never joins across it, so a text's
-ids are its words' ids. Texts with control characters on whose status as white space Python and the tokenizer differ are
+Tokenizing goes word by word through bounded dictionaries: the tokenizer drops white space and never joins across it, so a
+text's ids are its words' ids. Texts with control characters on whose status as white space Python and the tokenizer differ are
 tokenized whole.
 
 Defined cases: a null or empty text is the end token alone; pieces of equal length are ranked by (bucket, doc_id, piece, start,
@@ -21,8 +21,10 @@ columns are ignored; no rows give no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -34,43 +36,70 @@ from .common import Scratch, parallelism, slices
 
 ROOM = 2048
 END = np.zeros(1, "<u4").tobytes()
-#: Words in a task's cache.
-CACHE = 400_000
+#: Entries of a worker's dictionaries; a fuller one is emptied.
+CACHE = 500_000
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _WITH_IDS = _PIECES.append(pa.field("ids", pa.binary()))
 
 
 class WordCache:
-    """Little-endian 32-bit ids of texts."""
+    """Little-endian 32-bit ids of texts, from two dictionaries: of words as written, and of the pieces that the tokenizer's own
+    pattern parts them into. Words with characters beyond Latin, special tokens or unusual forms go through the tokenizer whole."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        form = json.loads(self.tokenizer.to_str())
+        self.parts = regex.compile(form["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a piece
+        self.last[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(form["model"]["end_of_word_suffix"])]] = True
+        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if max(w) < "\u0250" and "<|" not in w and is_normalized("NFC", w)]
+        parted = [self.parts(w.lower()) for w in plain]
+        pieces = self.pieces
+        if new := list({p for x in parted for p in x}.difference(pieces)):
+            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(new):
+                data = ids.tobytes()
+                pieces.update(zip(new, [data[4 * i : 4 * j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
+            else:
+                pieces.update(zip(new, self._whole(new), strict=True))
+        self.known.update(zip(plain, [b"".join(map(pieces.__getitem__, x)) for x in parted], strict=True))
+        rest = list(set(words).difference(plain))
+        self.known.update(zip(rest, self._whole(rest), strict=True))
+
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         known = self.known
         if len(known) > CACHE:
             known.clear()
-        for text in texts:
-            if not text:
-                yield b""
-            elif any(c in text for c in _ODD_SPACE):
-                yield self._ids([text])[0]
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        split = [t.split() if t and not any(c in t for c in _ODD_SPACE) else None for t in texts]
+        if new := list({w for x in split if x for w in x}.difference(known)):
+            self._learn(new)
+        for text, words in zip(texts, split, strict=True):
+            if words is not None:
+                yield b"".join(map(known.__getitem__, words))
             else:
-                parts = text.split()
-                if new := list(set(parts).difference(known)):
-                    known.update(zip(new, self._ids(new), strict=True))
-                yield b"".join(map(known.__getitem__, parts))
+                yield self._whole([text])[0] if text else b""
+
+
+_CACHES: dict[str, WordCache] = {}
 
 
 def _tokenize(path: str, room: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(path)
+        cache = _CACHES.get(path) or _CACHES.setdefault(path, WordCache(path))  # kept while the worker lives
         for whole in batches:
             for batch in slices(whole):
                 rows = []
