@@ -10,9 +10,8 @@ Pieces are then matched with the combinations by their rank among pieces of thei
 (bucket, length) and positions inside these groups, with buckets a hash of doc_id, so that a length that a third of all pieces
 have is ranked in as many tasks as any.
 
-Tokenizing goes word by word through bounded dictionaries: the tokenizer drops white space and never joins across it, so a
-text's ids are its words' ids. Texts with control characters on whose status as white space Python and the tokenizer differ are
-tokenized whole.
+Tokenizing goes through a bounded cache of units, words or parts of words between which the tokenizer never joins: a text's ids
+are its units' ids, which are looked up by hash in arrays. Texts with special tokens are tokenized whole.
 
 Defined cases: a null or empty text is the end token alone; pieces of equal length are ranked by (bucket, doc_id, piece, start,
 crc), so repeated rows of a doc_id are packed separately and interchangeably; a null doc_id is packed as any other; other
@@ -21,10 +20,8 @@ columns are ignored; no rows give no rows.
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -32,78 +29,130 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, parallelism, slices
+from .common import _POWERS, LOWER, PUNCTUATION, SPACE, Scratch, large, mix, parallelism, slices
 
 ROOM = 2048
 END = np.zeros(1, "<u4").tobytes()
-#: Entries of a worker's dictionaries; a fuller one is emptied.
-CACHE = 500_000
-_ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Units that a worker keeps; a fuller cache is emptied.
+CACHE = 1_500_000
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _WITH_IDS = _PIECES.append(pa.field("ids", pa.binary()))
 
 
-class WordCache:
-    """Little-endian 32-bit ids of texts, from two dictionaries: of words as written, and of the pieces that the tokenizer's own
-    pattern parts them into. Words with characters beyond Latin, special tokens or unusual forms go through the tokenizer whole."""
+def _set(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
+
+#: ASCII marks that part units; apostrophes don't, as they begin endings such as 's.
+_MARK = PUNCTUATION & ~SPACE & ~_set(b"'")
+#: First bytes of Latin letters beyond ASCII, and the bytes that go on.
+_LATIN = _set(bytes(range(0xC3, 0xCA))) | _set(bytes(range(0x80, 0xC0)))
+_OTHER = (np.arange(256) >= 128) & ~_LATIN
+
+
+def units(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, hash) of the units of data, which documents part at edges.
+
+    A unit is a word or, where its characters are ASCII or Latin letters, a run of marks or of others in it. The tokenizer
+    never joins over such a border, nor over white space, so a unit's ids don't depend on what stands around it. The hash takes
+    A-Z as lower case, as the tokenizer does.
+    """
+    space = SPACE[data]
+    n = len(data)
+    begin = ~space
+    begin[1:] &= space[:-1]
+    inner = edges[(edges > 0) & (edges < n)]
+    begin[inner] = ~space[inner]
+    begin[:1] = ~space[:1]
+    odd = _OTHER[data] | (data == 39)
+    odd[1:] |= ((data[1:] == 0x97) | (data[1:] == 0xB7)) & (data[:-1] == 0xC3)  # multiplication and division signs
+    odd[1:] |= (data[1:] == 0xB0) & (data[:-1] == 0xC4)  # I with a dot, which gets two characters in lower case
+    word = np.flatnonzero(begin)
+    if not len(word):
+        return word, word, np.zeros(0, np.uint64)
+    whole = np.repeat(np.add.reduceat(odd[word[0] :].astype(np.int32), word - word[0]) > 0, np.diff(word, append=n))
+    mark = _MARK[data]
+    turn = np.zeros(n, bool)
+    turn[1:] = (mark[1:] != mark[:-1]) & ~space[1:] & ~space[:-1]
+    turn[word[0] :] &= ~whole
+    begin |= turn
+    start = np.flatnonzero(begin)
+    long = np.diff(start, append=n)
+    within = np.arange(start[0], n) - np.repeat(start, long)
+    value = LOWER[data[start[0] :]].astype(np.uint64) + np.uint64(1)
+    value[space[start[0] :]] = 0
+    size = np.add.reduceat((value != 0).astype(np.int64), start - start[0])
+    value *= _POWERS[within & 4095]
+    return start, start + size, mix(np.add.reduceat(value, start - start[0]))
+
+
+class UnitCache:
+    """Ids of units by their 64-bit hash, in a few arrays: sorted hashes, and where their ids are in one pool."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        form = json.loads(self.tokenizer.to_str())
-        self.parts = regex.compile(form["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a piece
-        self.last[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(form["model"]["end_of_word_suffix"])]] = True
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if max(w) < "\u0250" and "<|" not in w and is_normalized("NFC", w)]
-        parted = [self.parts(w.lower()) for w in plain]
-        pieces = self.pieces
-        if new := list({p for x in parted for p in x}.difference(pieces)):
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(new):
-                data = ids.tobytes()
-                pieces.update(zip(new, [data[4 * i : 4 * j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
-            else:
-                pieces.update(zip(new, self._whole(new), strict=True))
-        self.known.update(zip(plain, [b"".join(map(pieces.__getitem__, x)) for x in parted], strict=True))
-        rest = list(set(words).difference(plain))
-        self.known.update(zip(rest, self._whole(rest), strict=True))
-
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        split = [t.split() if t and not any(c in t for c in _ODD_SPACE) else None for t in texts]
-        if new := list({w for x in split if x for w in x}.difference(known)):
-            self._learn(new)
-        for text, words in zip(texts, split, strict=True):
-            if words is not None:
-                yield b"".join(map(known.__getitem__, words))
+        self.special = [x.encode() for x in (t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        ids = self._encode([t.decode("utf-8", "replace") for t in texts])
+        size = np.array([len(x) for x in ids], np.int64)
+        at = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], "<u4")])
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[place.clip(max=len(self.keys) - 1)] == keys, place, -1) if len(self.keys) else np.full(len(keys), -1)
+
+    def ids(self, column: pa.Array) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text, a null being empty."""
+        data, ends = large(column)
+        data, edges = data[ends[0] : ends[-1]], ends - ends[0]
+        start, end, keys = units(data, edges)
+        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE:
+            self.clear()
+        place = self._find(unique)
+        if (new := np.flatnonzero(place < 0)).size:
+            text = data.tobytes()
+            self._learn(unique[new], [text[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+            place = self._find(unique)
+        at, size = self.at[place][back], self.size[place][back]
+        stop = np.cumsum(size)
+        whole = self.pool[np.repeat(at - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)].tobytes()
+        bound = np.concatenate([[0], stop])[np.searchsorted(start, edges, "left")] * 4
+        raw = data.tobytes() if self.special else b""
+        marked = any(x in raw for x in self.special)
+        for a, b, i, j in zip(bound[:-1].tolist(), bound[1:].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if marked and any(x in raw[i:j] for x in self.special):
+                yield np.array(self._encode([raw[i:j].decode("utf-8", "replace")])[0], "<u4").tobytes()
             else:
-                yield self._whole([text])[0] if text else b""
+                yield whole[a:b]
 
 
-_CACHES: dict[str, WordCache] = {}
+_CACHES: dict[str, UnitCache] = {}
 
 
 def _tokenize(path: str, room: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _CACHES.get(path) or _CACHES.setdefault(path, WordCache(path))  # kept while the worker lives
+        cache = _CACHES.get(path) or _CACHES.setdefault(path, UnitCache(path))  # kept while the worker lives
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, size=1 << 20):
                 rows = []
-                for doc, ids in zip(batch.column(0).to_pylist(), cache.ids(batch.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(batch.column(0).to_pylist(), cache.ids(batch.column(1)), strict=True):
                     ids += END
                     for piece, a in enumerate(range(0, len(ids), 4 * room)):
                         part = ids[a : a + 4 * room]
