@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import best_fit_packing, chat_grammar, importance_quality, kd_tree_topk, min_cut_extract, ngram_jaccard_join, ordinal_toxicity, secret_ledger, spaced_seeds, warc_captures
 from .common import Scratch
+from .oracle import ORACLE  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,4 +93,3 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {}
