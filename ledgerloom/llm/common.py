@@ -129,7 +129,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``size`` bytes of text; a longer text is alone."""
     _, ends = large(batch.column(batch.schema.get_field_index(column)))
     at = 0

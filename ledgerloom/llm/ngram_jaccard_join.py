@@ -40,7 +40,7 @@ BAND = 1.5
 #: Sets of a shard in one block.
 BLOCK = 512
 LEAF, FAN = 16, 8
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 MASK = (1 << 64) - 1
 _PROFILE = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary())]
