@@ -62,6 +62,7 @@ def historical(rows: DataFrame, contracts: DataFrame, key: str, lookback_months:
     Each distinct (vendor, item, day) is decided once. Status: NOT_FOUND, NOT_ACTIVE_IN_LOOKBACK or NOT_ACTIVE, PRICE_MISSING,
     AMBIGUOUS_MULTIPLE_CONTRACTS, AMBIGUOUS_MULTIPLE_PRICES or MATCHED; among active contracts those with the latest start count.
     """
+    rows = rows.select(key, "vendor", "item_id", "day")
     asked = rows.select("vendor", "item_id", "day").distinct()
     both = asked.join(contracts.select("vendor", "item_id", "contract_number", "uom", "price", "each_price", "starts", "ends"), ["vendor", "item_id"], "left")
     started = F.col("starts") <= F.col("day")
