@@ -83,4 +83,5 @@ def test_combinations_use_every_piece():
             used[k] += n * times
         bins += times
     assert (used == counts).all()
-    assert bins <= -(-int((counts * np.arange(2049)).sum()) // 2048) + 2
+    # as many lengths above half a bin as below: within a few hundredths of the bound
+    assert bins <= 1.03 * -(-int((counts * np.arange(2049)).sum()) // 2048)
