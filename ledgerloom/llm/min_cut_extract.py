@@ -44,6 +44,7 @@ BOILERPLATE_WORDS = frozenset(
     "pagination pager footer foot header masthead topbar toolbar comment comments commentlist disqus discussion replies reply respond feedback social share sharing "
     "related recommended recommendations trending popular login search contentinfo complementary dialog form paywall teaser skip legal copyright disclaimer tags".split()
 )
+NEVER_WRAPPERS = frozenset("comment comments commentlist disqus discussion replies reply respond feedback related recommended recommendations trending popular".split())
 HEADER_WORDS = frozenset("header banner".split())
 CONTENT_WORDS = frozenset("article content post entry story main body articlebody".split())
 # Weights of the evidence.
@@ -157,7 +158,7 @@ def blocks(html: str) -> list[Block]:
             continue
         at = Element(tag, at, m[4])
         links += tag == "a"
-        if tag in CONTENT_TAGS and at.sign > 0:
+        if at.sign > 0:
             above = at.parent
             while above and not above.holds:
                 above.holds = True
@@ -194,7 +195,7 @@ def _standing(at: Element | None, total: int) -> int:
     above the block, but for wrappers with most of the page's text around its article."""
     found = 0
     while at:
-        if at.sign < 0 and not (at.holds and 2 * at.chars >= total):
+        if at.sign < 0 and not (at.holds and 2 * at.chars >= total and not at.words & NEVER_WRAPPERS):
             return -1
         found = found or max(0, at.sign)
         at = at.parent
