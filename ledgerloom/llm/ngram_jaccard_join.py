@@ -8,8 +8,9 @@ The result is exact over all documents (up to collisions of 64-bit shingle hashe
 2. Routing. Sets of sizes in one band are split by hash into m segments. Linked sets differ in at most
    H = a (1 - t) / t shingles, a the smaller size, so with m = H + 1 + S segments at least S + 1 are equal. Each set sends a
    hash per segment, without those of under ``LEAST`` shingles unless it has more than S such; then all. So linked sets
-   always share a hash. The hashes travel packed, a few bytes each, and come together per bucket; sets with an equal hash
-   become neighbours of the least of them, and the components of that graph are the shards of the join.
+   always share a hash. The hashes travel packed, a few bytes each, and come together per bucket. Sets with an equal hash are
+   tested by size and token bitmap: a few in pairs, many through a signature tree. What the bitmaps don't rule out is an edge;
+   components of these edges are the shards of the join.
 3. Signature trees. In a shard, split into blocks of bounded size, sets are leaves' entries; a node holds the OR of the
    token bitmaps below it and their range of sizes. A dual traversal of two trees (or of one with itself) leaves out a pair
    of nodes if the sizes can't fit or if the bitmaps' overlap, the most that two sets can have in common, is too small.
@@ -40,10 +41,12 @@ BAND = 1.5
 #: Sets of a shard in one block.
 BLOCK = 512
 LEAF, FAN = 16, 8
+#: A hash's sets are taken in all pairs up to this number, beyond it through a signature tree.
+FEW = 6
 FLUSH = 1 << 20
 MASK = (1 << 64) - 1
 _PROFILE = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary())]
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary())]  # packed: of a set its bitmap, of a bucket its hashes
 )
 _LINKS = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 _SALT = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
@@ -128,7 +131,7 @@ def _profile(k: int, num: int, den: int, buckets: int):
                     n = len(found)
                     k1 = int(mix(found ^ _SALT[1]).sum(dtype=np.uint64).astype(np.int64))
                     k2 = int(mix(found ^ _SALT[2]).sum(dtype=np.uint64).astype(np.int64))
-                    rows.append((one, n, k1, k2))
+                    rows.append((one, n, k1, k2, bitmap(found, own_bits(n)) if n >= bands.first else None))
                     if n < bands.first or one is None or (k1, k2) in sent:
                         continue
                     if len(sent) < 1 << 17:
@@ -137,8 +140,9 @@ def _profile(k: int, num: int, den: int, buckets: int):
                         ids.append(one)
                         parts.append(keys)
                         held += len(keys)
-                columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-                yield pa.record_batch([*columns, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], schema=_PROFILE)
+                *columns, maps = zip(*rows, strict=True)
+                columns = [pa.array(x, pa.int64()) for x in columns]
+                yield pa.record_batch([*columns, pa.nulls(len(rows), pa.int32()), pa.array(maps, pa.binary())], schema=_PROFILE)
                 if held >= FLUSH:
                     yield flush()
         if parts:
@@ -148,7 +152,7 @@ def _profile(k: int, num: int, den: int, buckets: int):
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each hash with two sets or more: (smallest doc_id, other doc_id)."""
+    """Of each hash with two sets or more: all pairs (src, dst) of up to FEW sets, else rows (hash, doc_id) with many = true."""
     keys, ids = [], []
     for batch in batches:
         for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -158,23 +162,117 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(own[np.frombuffer(blob, f"u{width}", n, 24 + 8 * docs + 4 * n)])
     if not keys:
         return
-    key = np.concatenate(keys)
+    key, doc = np.concatenate(keys), np.concatenate(ids)
     keys.clear()
+    ids.clear()
     order = np.argsort(key, kind="stable")
-    key = key[order]
-    same = key[1:] == key[:-1]
-    keep = np.zeros(len(key), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    key, doc = key[keep], np.concatenate(ids)[order[keep]]
-    if not len(key):
-        return
+    key, doc = key[order], doc[order]
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    least = np.repeat(np.minimum.reduceat(doc, start), np.diff(start, append=len(key)))
-    pair = np.unique(np.stack([least, doc], 1)[least != doc], axis=0)
-    for a in range(0, len(pair), 1 << 16):
-        part = pair[a : a + (1 << 16)]
-        yield pa.record_batch([pa.array(part[:, 0]), pa.array(part[:, 1])], schema=_LINKS)
+    count = np.diff(start, append=len(key))
+    place = np.arange(len(key)) - np.repeat(start, count)
+    group = np.repeat(count, count)
+    pairs = []
+    for apart in range(1, FEW):  # set i of a group with set i + apart
+        i = np.flatnonzero((group <= FEW) & (place + apart < group))
+        a, b = doc[i], doc[i + apart]
+        pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
+    pair = np.unique(np.concatenate(pairs), axis=0)
+    large = group > FEW
+    many = np.unique(np.stack([key[large].view(np.int64), doc[large]], 1), axis=0)
+    for rows, flag in ((pair, False), (many, True)):
+        for a in range(0, len(rows), 1 << 16):
+            part = rows[a : a + (1 << 16)]
+            yield pa.record_batch([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(np.full(len(part), flag))], names=["src", "dst", "many"])
+
+
+def _bounded_pairs(num: int, den: int):
+    """Pairs (src, dst, n1, map1, n2, map2) that sizes and bitmaps don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = batch.to_pydict()
+            keep = []
+            for n1, x, n2, y in zip(d["n1"], d["map1"], d["n2"], d["map2"], strict=True):
+                if den * min(n1, n2) < num * max(n1, n2):
+                    keep.append(False)
+                    continue
+                p, q = folded([x, y]) if len(x) != len(y) else (np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+                most = int(np.bitwise_count(p & q).sum(dtype=np.int64)) + min(n1 - int(np.bitwise_count(p).sum(dtype=np.int64)), n2 - int(np.bitwise_count(q).sum(dtype=np.int64)))
+                keep.append(min(most, n1, n2) * (num + den) >= num * (n1 + n2))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=_LINKS)
+
+    return run
+
+
+def _bounded_groups(num: int, den: int):
+    """Of rows (hash, doc_id, n, map), those of a hash together: pairs that connect what bitmaps don't rule out."""
+
+    def one(ids: list[int], sizes: list[int], maps: list[bytes]) -> list[tuple[int, int]]:
+        bits, size = folded(maps), np.array(sizes, np.int64)
+        order = np.lexsort((size, bits[:, 0]))
+        tree = SignatureTree(bits[order], size[order])
+        doc = np.array(ids, np.int64)[order]
+        out, root = [], np.arange(len(doc))
+        # those that may link with the first set are one shard already
+        most = np.minimum(np.bitwise_count(tree.maps & tree.maps[0]).sum(1, dtype=np.int64) + np.minimum(tree.extra, tree.extra[0]), np.minimum(tree.size, tree.size[0]))
+        with_first = most * (num + den) >= num * (tree.size + tree.size[0])
+        with_first[0] = True
+        root[with_first] = 0
+        out += [(int(doc[0]), int(x)) for x in doc[with_first][1:]]
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        if not with_first.all():
+            for p, q in dual(tree, tree, num, den, with_first):
+                for i, j in zip(p.tolist(), q.tolist(), strict=True):
+                    if (r := find(i)) != (t := find(j)):
+                        root[max(r, t)] = min(r, t)
+                        out.append((int(doc[i]), int(doc[j])))
+        return [(min(x), max(x)) for x in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], [], [])
+        for batch in batches:
+            out = []
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if key != at:
+                    out += one(*held) if held[0] else []
+                    at, held = key, ([], [], [])
+                for x, v in zip(held, row, strict=True):
+                    x.append(v)
+            if out:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=_LINKS)
+        if held[0] and (out := one(*held)):
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=_LINKS)
+
+    return run
+
+
+def bitmap(found: np.ndarray, bits: int) -> bytes:
+    """The set's token bitmap of a power of two of bits; half as many bits are the OR of neighbours."""
+    at = np.zeros(bits, bool)
+    at[(mix(found ^ _SALT[3]) >> np.uint64(65 - bits.bit_length())).astype(np.int64)] = True
+    return np.packbits(at).tobytes()
+
+
+def own_bits(n: int) -> int:
+    """Bits of a set's own bitmap: at least two for each shingle."""
+    return 1 << max(6, (2 * n - 1).bit_length())
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps of different lengths at the length of the shortest."""
+    least = min(map(len, maps)) * 8
+    out = []
+    for x in maps:
+        at = np.unpackbits(np.frombuffer(x, np.uint8))
+        out.append(np.packbits(at.reshape(least, -1).any(1)) if len(at) > least else np.frombuffer(x, np.uint8))
+    return np.stack(out).view(np.uint64)
 
 
 class SignatureTree:
@@ -182,16 +280,8 @@ class SignatureTree:
     shingles of a set that share a bit with another (``extra``): two sets have at most
     |bits in common| + min(extra) shingles in common."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        self.sets, n = sets, len(sets)
-        shift = np.uint64(64 - bits.bit_length() + 1)
-        maps = np.zeros((n, bits // 8), np.uint8)
-        for row, x in zip(maps, sets, strict=True):
-            at = np.zeros(bits, bool)
-            at[(mix(x ^ _SALT[3]) >> shift).astype(np.int64)] = True
-            row[:] = np.packbits(at)
-        self.maps = maps.view(np.uint64)
-        self.size = np.array([len(x) for x in sets], np.int64)
+    def __init__(self, maps: np.ndarray, size: np.ndarray):
+        self.maps, self.size = maps, size
         self.extra = self.size - np.bitwise_count(self.maps).sum(1, dtype=np.int64)
         self.levels = [(self.maps, self.size, self.size, self.extra)]
         for width in [LEAF] + [FAN] * 64:
@@ -201,6 +291,11 @@ class SignatureTree:
             at = np.arange(0, len(maps), width)
             self.levels.append((np.bitwise_or.reduceat(maps, at, 0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at)))
 
+    @classmethod
+    def of(cls, sets: list[np.ndarray], bits: int) -> SignatureTree:
+        maps = np.stack([np.frombuffer(bitmap(x, bits), np.uint64) for x in sets])
+        return cls(maps, np.array([len(x) for x in sets], np.int64))
+
     @property
     def top(self) -> int:
         return len(self.levels) - 1
@@ -210,9 +305,13 @@ class SignatureTree:
         return np.arange(node * width, min((node + 1) * width, len(self.levels[level - 1][0])))
 
 
-def dual(a: SignatureTree, b: SignatureTree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sets (positions in a and b) that no pair of nodes above them rules out."""
+def dual(a: SignatureTree, b: SignatureTree, num: int, den: int, joined: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets (positions in a and b) that no pair of nodes above them rules out; no pairs among joined sets of a tree
+    with itself."""
     stack = [(a.top, 0, b.top, 0)]
+    whole = [joined] if joined is not None else []
+    for level in range(1, a.top + 1 if whole else 0):
+        whole.append(np.logical_and.reduceat(whole[-1], np.arange(0, len(whole[-1]), LEAF if level == 1 else FAN)))
     while stack:
         i, x, j, y = stack.pop()
         if a is b and i == j and x > y:
@@ -226,6 +325,8 @@ def dual(a: SignatureTree, b: SignatureTree, num: int, den: int) -> Iterator[tup
         low = la[xs][:, None] + lb[ys][None, :]
         # overlap o and sizes p, q link if den o >= num (p + q - o)
         good = (most * (num + den) >= num * low) & (den * ha[xs][:, None] >= num * lb[ys][None, :]) & (den * hb[ys][None, :] >= num * la[xs][:, None])
+        if whole:
+            good &= ~(whole[i2][xs][:, None] & whole[j2][ys][None, :])
         p, q = np.nonzero(good)
         p, q = xs[p], ys[q]
         if i2 == 0 and j2 == 0:
@@ -266,8 +367,8 @@ def links(a: list[np.ndarray], b: list[np.ndarray] | None, num: int, den: int, r
                 verify(i, j)
         return out, root
     bits = 1 << max(9, min(15, (8 * max(map(len, every))).bit_length()))
-    tree = SignatureTree(a, bits)
-    other = SignatureTree(b, bits) if b else tree
+    tree = SignatureTree.of(a, bits)
+    other = SignatureTree.of(b, bits) if b else tree
     for p, q in dual(tree, other, num, den):
         for i, j in zip(p.tolist(), q.tolist(), strict=True):
             verify(i, j + (len(a) if b else 0))
@@ -320,8 +421,16 @@ def annotate(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, scratch:
         sizes.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes"
     )
     packed = profile.where("bucket is not null").select("bucket", "packed")
-    near = packed.repartitionById(width, F.col("bucket")).mapInArrow(_neighbours, "src long, dst long")
+    near = packed.repartitionById(width, F.col("bucket")).mapInArrow(_neighbours, "src long, dst long, many boolean")
     near = scratch.cut(near.distinct(), "near")
+    maps = profile.where("bucket is null and packed is not null and doc_id is not null").groupBy("doc_id", "n").agg(F.min("packed").alias("map"))
+    maps = scratch.cut(maps, "maps")
+    side = lambda i, c: maps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{i}"), F.col("map").alias(f"map{i}"))
+    pairs = near.where("not many").join(side(1, "src").hint("merge"), "src").join(side(2, "dst").hint("merge"), "dst")
+    pairs = pairs.select("src", "dst", "n1", "map1", "n2", "map2").mapInArrow(_bounded_pairs(num, den), "src long, dst long")
+    groups = near.where("many").select(F.col("src").alias("hash"), F.col("dst").alias("doc_id")).join(maps.hint("merge"), "doc_id")
+    groups = groups.select("hash", "doc_id", "n", "map").repartition(width, "hash").sortWithinPartitions("hash", "doc_id")
+    near = scratch.cut(pairs.unionAll(groups.mapInArrow(_bounded_groups(num, den), "src long, dst long")).distinct(), "near")
     shards = components(scratch, near)
     members = scratch.cut(shards.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster")), "members")
     blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
