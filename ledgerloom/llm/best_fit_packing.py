@@ -34,7 +34,9 @@ from .common import _POWERS, LOWER, PUNCTUATION, SPACE, Scratch, large, mix, par
 ROOM = 2048
 END = np.zeros(1, "<u4").tobytes()
 #: Units that a worker keeps; a fuller cache is emptied.
-CACHE = 1_500_000
+CACHE = 600_000
+#: Texts given to the tokenizer at once.
+BATCH = 256
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _WITH_IDS = _PIECES.append(pa.field("ids", pa.binary()))
 
@@ -102,7 +104,8 @@ class UnitCache:
         self.keys, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """In small batches, as the tokenizer's results are many times larger than the ids."""
+        return [e.ids for a in range(0, len(texts), BATCH) for e in self.tokenizer.encode_batch_fast(texts[a : a + BATCH], add_special_tokens=False)]
 
     def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
         ids = self._encode([t.decode("utf-8", "replace") for t in texts])
