@@ -3,15 +3,17 @@
 Grades 0 to K are ordered. The model has one weight per feature, shared by all K thresholds: P(grade >= k) =
 sigmoid(w x - theta_k) with theta_1 <= ... <= theta_K. The expected severity is the sum of P(grade >= k) over k. Features are
 log(1 + rate) of hashed words (runs of letters and digits, A-Z in lower case) and of their first ``PREFIXES`` bytes, which
-stand for stems, kept sparse: only those whose share of documents differs most between grade 0 and the rest, by a
-two-proportion z value, enter the model.
+stand for stems, kept sparse. A feature enters the model if at least ``LEAST`` sampled documents have it and its smoothed
+log-odds between grade 0 and the rest are at least ``LEAST_ODDS``, a rule that asks the same of small and large samples; the L2
+penalty bounds the weights of rare ones. Of more than ``WORDS`` such words, or prefixes of one length, those that differ most
+by a two-proportion z value count.
 
 Fitting uses at most ``most_labels`` labelled rows (those with the smallest hashes of doc_id), without copies; everything else covers all rows.
 Where labels only say toxic or not, ``grades`` makes grades of them: toxic rows are graded 1, 2 or 3 by the share of their
 words that are typical of toxic rows, cut at its terciles.
 
 Scale: the sample's sparse rows are written once; its document frequencies are summed with partial aggregation and the best
-``FEATURES`` reach the driver; the fit sees a sparse sample of bounded size; scoring is one pass over all texts.
+``WORDS`` of each kind reach the driver; the fit sees a sparse sample of bounded size; scoring is one pass over all texts.
 
 Defined cases: null and empty texts have no features, so their severity is the model's at zero; each row of repeated doc_ids
 is scored; null doc_ids are scored and never in the sample; equal features all count; without labels of both kinds every
@@ -24,30 +26,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import PUNCTUATION, Scratch, shingle_sets, slices, words
 
-FEATURES = 96
-#: Least z value of a feature.
-LEAST_Z = 8.0
+#: Most words in the model, and as many prefixes of each length.
+WORDS = 2048
+#: Least documents and least log-odds of a feature; SMOOTH is added to each count.
+LEAST, LEAST_ODDS, SMOOTH = 3, 1.5, 0.5
 GRADES = 3
 PREFIXES = (4, 5, 6, 7, 8)
 #: Features count per so many words.
 RATE = 200.0
 
 
+def _tagged(hashed: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Features, a row for whole words and one for each length of prefix, with the row's number in the low three bits; 0 for none."""
+    every = np.concatenate([hashed[None, :], heads])
+    kind = np.arange(len(every), dtype=np.uint64)[:, None]
+    return np.where(every > 0, every & ~np.uint64(7) | kind, 0).view(np.int64)
+
+
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, toxic, n, feature[], count[], sign) of (doc_id, toxic, text); sign: the least hash of a 5-word shingle, which
     copies and most near copies share."""
     for whole in batches:
         for batch in slices(whole):
             hashed, at, heads = words(batch.column(2), PUNCTUATION, PREFIXES)
+            tagged = _tagged(hashed, heads)
             feature, count = [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                every = np.r_[hashed[a:b], heads[:, a:b].ravel()]
-                f, c = np.unique(every[every > 0].view(np.int64), return_counts=True)
+                every = tagged[:, a:b].ravel()
+                f, c = np.unique(every[every != 0], return_counts=True)
                 feature.append(f)
                 count.append(c.astype(np.int32))
             sign = [int(x[0].astype(np.int64)) if len(x) else 0 for x in shingle_sets(batch.column(2), 5)]
@@ -61,6 +73,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+class Sparse:
+    """A matrix of the given cells, which can be multiplied by a vector from the right."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.row, self.column, self.value, self.shape = row, column, value, shape
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * v[self.column], self.shape[0])
+
+    @property
+    def T(self) -> Sparse:
+        return Sparse(self.column, self.row, self.value, self.shape[::-1])
+
+
 class CumulativeLink:
     """P(grade >= k | x) = sigmoid(w x - theta_k), fitted by maximum likelihood with an L2 penalty on w."""
 
@@ -68,7 +94,7 @@ class CumulativeLink:
         self.weights, self.thetas = weights, thetas
 
     @classmethod
-    def fit(cls, x: np.ndarray, grade: np.ndarray, k: int, penalty: float = 0.1, steps: int = 1500) -> CumulativeLink:
+    def fit(cls, x: np.ndarray | Sparse, grade: np.ndarray, k: int, penalty: float = 0.1, steps: int = 1500) -> CumulativeLink:
         n, m = x.shape
         rate = np.array([np.clip((grade >= j).mean(), 1e-4, 1 - 1e-4) for j in range(1, k + 1)])
         theta0 = -np.log(rate / (1 - rate))
@@ -101,13 +127,21 @@ def level(count: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.log1p(RATE * count / (n + RATE / 10))
 
 
-def _dense(feature: list, count: list, words: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(feature), len(chosen)))
-    for row, f, c, n in zip(x, feature, count, words, strict=True):
-        at = np.searchsorted(chosen, f).clip(max=max(0, len(chosen) - 1))
-        hit = chosen[at] == f if len(chosen) else np.zeros(len(f), bool)
-        row[at[hit]] = level(np.asarray(c)[hit], n)
-    return x
+def _picked(chosen: np.ndarray):
+    """Of sparse rows only the chosen features: (toxic, n, feature[] as positions in chosen, count[])."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, count = [], []
+            for f, c in zip(batch.column(2), batch.column(3), strict=True):
+                f, c = f.values.to_numpy(), c.values.to_numpy()
+                at = np.searchsorted(chosen, f).clip(max=max(0, len(chosen) - 1))
+                hit = chosen[at] == f if len(chosen) else np.zeros(len(f), bool)
+                place.append(at[hit].astype(np.int32))
+                count.append(c[hit])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(place, pa.list_(pa.int32())), pa.array(count, pa.list_(pa.int32()))], names=["toxic", "n", "place", "count"])
+
+    return run
 
 
 def grades(toxic: np.ndarray, rate: np.ndarray, k: int = GRADES) -> np.ndarray:
@@ -117,8 +151,8 @@ def grades(toxic: np.ndarray, rate: np.ndarray, k: int = GRADES) -> np.ndarray:
 
 
 def _score(chosen: np.ndarray, model: CumulativeLink | None, cut: float):
-    low = np.zeros(1 << 16, bool)  # the low bits of features
-    low[chosen & 0xFFFF] = True
+    low = np.zeros(1 << 18, bool)  # the low bits of features
+    low[chosen & 0x3FFFF] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -128,9 +162,8 @@ def _score(chosen: np.ndarray, model: CumulativeLink | None, cut: float):
                 if model is not None and len(chosen):
                     hashed, at, heads = words(batch.column(1), PUNCTUATION, PREFIXES)
                     cells = []
-                    for row in (hashed, *heads):
-                        row = row.view(np.int64)
-                        likely = np.flatnonzero(low[row & 0xFFFF])
+                    for row in _tagged(hashed, heads):
+                        likely = np.flatnonzero(low[row & 0x3FFFF])
                         place = np.searchsorted(chosen, row[likely]).clip(max=len(chosen) - 1)
                         same = chosen[place] == row[likely]
                         doc = np.searchsorted(at, likely[same], "right") - 1
@@ -165,16 +198,20 @@ def severity(docs: DataFrame, labels: DataFrame, most_labels: int = 12_000, scra
         n0, n1 = kinds[0], kinds[1]
         df = sample.select("toxic", F.explode("feature").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
         share = (F.col("a") + F.col("b")) / (n0 + n1)
-        z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
-        best = df.where("a + b >= 3").select("feature", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES).collect()
-        z_of = {f: v for f, v in best}
-        chosen = np.array(sorted(z_of), np.int64)
-        picked = F.filter(F.arrays_zip("feature", "count"), lambda x: x["feature"].isin([int(f) for f in chosen])) if len(chosen) else F.array().cast("array<struct<feature:bigint,count:int>>")
-        few = sample.select("toxic", "n", picked.alias("x")).select("toxic", "n", "x.feature", "x.count").collect()
-        toxic, size = np.array([r[0] for r in few]), np.array([r[1] for r in few])
-        x = _dense([r[2] for r in few], [r[3] for r in few], size, chosen)
-        typical = np.array([z_of[f] > 0 for f in chosen.tolist()], bool)
-        rate = np.expm1(x[:, typical]).sum(1)
+        z = F.abs(F.col("a") / n1 - F.col("b") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
+        odds = F.log((F.col("a") + SMOOTH) / (n1 - F.col("a") + SMOOTH)) - F.log((F.col("b") + SMOOTH) / (n0 - F.col("b") + SMOOTH))
+        able = df.where(F.col("a") + F.col("b") >= LEAST).select("feature", odds.alias("odds"), z.alias("z")).where(F.abs("odds") >= LEAST_ODDS)
+        able = scratch.cut(able, "able")
+        odds_of = {f: v for kind in range(1 + len(PREFIXES)) for f, v in able.where(F.col("feature").bitwiseAND(7) == kind).orderBy(F.desc("z"), "feature").limit(WORDS).select("feature", "odds").collect()}
+        chosen = np.array(sorted(odds_of), np.int64)
+        few = sample.select("toxic", "n", "feature", "count").mapInArrow(_picked(chosen), "toxic int, n long, place array<int>, count array<int>").toArrow()
+        toxic, size = few["toxic"].to_numpy(), few["n"].to_numpy()
+        row = np.repeat(np.arange(len(toxic)), pc.list_value_length(few["place"]).to_numpy())
+        column = pc.list_flatten(few["place"]).to_numpy().astype(np.int64)
+        count = pc.list_flatten(few["count"]).to_numpy()
+        x = Sparse(row, column, level(count, size[row]), (len(toxic), len(chosen)))
+        typical = np.array([odds_of[f] > 0 and f & 7 == 0 for f in chosen.tolist()], bool)[column]
+        rate = np.bincount(row[typical], np.expm1(x.value[typical]), len(toxic))
         model = CumulativeLink.fit(x, grades(toxic, rate), GRADES)
         expected = model.probabilities(x @ model.weights).sum(1)
         order = np.argsort(-expected, kind="stable")

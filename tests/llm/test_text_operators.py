@@ -190,6 +190,26 @@ def test_toxicity_held_out(spark):
     assert got[got.y == 1].expected_severity.mean() > 3 * got[got.y == 0].expected_severity.mean()
 
 
+def test_toxicity_of_few_labels_and_rare_words(spark):
+    rng = random.Random(4)
+    text = lambda *more: " ".join([*(f"w{rng.randrange(200)}" for _ in range(30)), *more])
+    rows = [(i, text(["scum", "moron"][i % 4 // 2]) if i % 2 else text(), i % 2) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (100, text("scum"), 9), (101, text(), 9)], "doc_id long, text string, label int")
+    got = {r.doc_id: r.toxic for r in T.severity(docs, docs.where("label < 9").selectExpr("doc_id", "label as toxic")).collect()}
+    assert got[100] and not got[101]
+    # three of 300 toxic rows have the rare word alone, in a sample where the common one is worth far more
+    rows = [(i, text("clown" if i % 200 == 1 else "scum") if i % 2 else text(), i % 2) for i in range(600)]
+    docs = spark.createDataFrame([*rows, (1000, text("clown"), 9), (1001, text(), 9)], "doc_id long, text string, label int")
+    got = {r.doc_id: r for r in T.severity(docs, docs.where("label < 9").selectExpr("doc_id", "label as toxic")).collect()}
+    assert got[1000].toxic and not got[1001].toxic and got[1000].expected_severity > 5 * got[1001].expected_severity
+
+
+def test_toxicity_on_the_smallest_table(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = T.severity(docs, labels).join(labels.where("toxic = 1"), "doc_id").select("doc_id", "expected_severity").toPandas()
+    assert (got.expected_severity > 0.5).mean() > 0.5
+
+
 def test_toxicity_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, 2), (None, "", 2), (3, "word", 2)], "doc_id long, text string, grade int")
     none = spark.createDataFrame([], "doc_id long, toxic int")
