@@ -22,6 +22,7 @@ rows without doc_id are searched and reported with a null doc_id; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -148,15 +149,19 @@ def overlap(doc: np.ndarray, item: np.ndarray, off: int, identity: float, stretc
     if a >= b:
         return None
     same = doc[a + off : b + off] == item[a:b]
+    part = Fraction(identity).limit_denominator(10_000)
+    num, den = part.numerator, part.denominator
     every = int(same.sum())
-    if every >= identity * len(item):
+    if den * every >= num * len(item):
         return every, off + a + int(same.argmax())
-    score = np.cumsum(np.where(same, 1 - identity, -identity))
-    low = np.minimum.accumulate(np.r_[0.0, score[:-1]])
-    end = int((score - low).argmax())
-    begin = int(np.r_[0.0, score[: end + 1]][: end + 1].argmin())
-    count = int(same[begin : end + 1].sum())
-    return (count, off + a + begin) if count >= stretch else None
+    # of all stretches whose score isn't negative that with the most agreeing words: for each end the first begin of no higher score
+    score = np.r_[0, np.cumsum(np.where(same, den - num, -num))]
+    agree = np.r_[0, np.cumsum(same)]
+    begin = np.searchsorted(-np.minimum.accumulate(score), -score)
+    end = int((agree - agree[begin]).argmax())
+    begin = int(begin[end])
+    count = int(agree[end] - agree[begin])
+    return (count, off + a + begin + int(same[begin:end].argmax())) if count >= stretch else None
 
 
 def _verify(identity: float, stretch: int):

@@ -194,3 +194,32 @@ def test_masks_tolerate_substitutions():
         b[[j for j, x in enumerate(mask) if x == "0"]] += np.uint64(99)
         assert S.seeds(a, mask)[0] == S.seeds(b, mask)[0]
         assert mask.count("1") == 6
+
+
+def most_agreeing(same, num, den, least):
+    """Plain rule: the most agreeing words of any stretch with that identity, if they are enough."""
+    n = len(same)
+    best = max((sum(same[i:j]) for i in range(n) for j in range(i + 1, n + 1) if den * sum(same[i:j]) >= num * (j - i)), default=0)
+    return best if best >= least else None
+
+
+def test_longest_stretch_of_the_identity():
+    cases = [[1] * 12 + [0] * 4 + [1] * 12 + [0] * 30, ([1] * 4 + [0]) * 8 + [0] * 40]
+    rng = random.Random(9)
+    cases += [[0] * rng.randrange(30) + [int(rng.random() > rng.choice([0.1, 0.2, 0.3])) for _ in range(rng.randrange(5, 45))] + [0] * 30 for _ in range(300)]
+    for same in cases:
+        item = np.arange(1, len(same) + 1, dtype=np.uint64)
+        doc = np.where(np.array(same, bool), item, item + np.uint64(1000))
+        want = sum(same) if 5 * sum(same) >= 4 * len(same) else most_agreeing(same, 4, 5, 13)
+        got = S.overlap(doc, item, 0, 0.8, 13)
+        assert (got and got[0]) == want, same
+        assert got is None or same[got[1]]
+
+
+def test_partly_copied_and_edited_passage_is_found(spark):
+    item = [f"i{j}" for j in range(60)]
+    copy = item[:28]
+    copy[12:16] = ["x1", "x2", "x3", "x4"]
+    docs = frame(spark, [(1, "lead " + " ".join(copy) + " tail")])
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [tuple(r) for r in S.contamination(docs, bench).collect()] == [(1, 7, 24, 60, 1)]
