@@ -13,8 +13,8 @@ bits however large the benchmark is; what passes (contaminated documents and few
 hashes exactly. A fuller table only lets more candidates through.
 
 Defined cases: null and empty texts hold nothing and null or empty items are never held; items of under ``least`` words
-can't be told from chance and aren't searched, items shorter than a mask are searched by all their words in a row; equal
-items are all reported; each row of repeated doc_ids is searched, and its findings are reported once per (doc_id, item_id);
+can't be told from chance and aren't searched (with a lower ``least`` those of under 5 words are, by exact match at an identity
+of 0.8); items of up to ``SURE`` words are searched by further masks, so that none is missed at that length; equal items are all reported; each row of repeated doc_ids is searched, and its findings are reported once per (doc_id, item_id);
 rows without doc_id are searched and reported with a null doc_id; other columns are ignored by ``contamination`` and kept by
 ``clean``; empty tables give no findings.
 """
@@ -23,6 +23,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ from .common import PUNCTUATION, Scratch, mix, parallelism, slices, words
 
 #: The masks: 1 marks a word that is hashed, 0 one that is ignored.
 MASKS = ("11101011", "1101100101", "1100101011", "101100010011")
-SPAN = max(map(len, MASKS))
+#: Items of up to so many words are found whichever words are substituted, as far as identity allows; MASKS suffice above.
+SURE = 16
 #: Bits that a hash sets, and that all must be set for it to pass.
 PROBES = 4
 _ODD = np.cumprod(np.full(64, 0xD1342543DE82EF95, np.uint64), dtype=np.uint64)
@@ -53,18 +56,39 @@ def seeds(hashed: np.ndarray, mask: str) -> np.ndarray:
     return mix(out ^ np.uint64(int("1" + mask, 2) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
-def masks_for(n: int) -> list[str]:
-    """Those that an item of n words is searched by."""
-    return [m for m in MASKS if len(m) <= n] if n >= SPAN else ["1" * n]
-
-
-def _seed_rows(least: int):
+@cache
+def masks_for(n: int, identity: float = 0.8) -> tuple[str, ...]:
+    """Those that an item of n words is searched by: all MASKS that fit, and up to SURE words as many lighter ones as it takes
+    that no choice of the substituted words that identity allows hits every place of every mask."""
+    masks = [m for m in MASKS if len(m) <= n]
+    if n > SURE:
+        return tuple(masks)
+    share = Fraction(identity).limit_denominator(10_000)
+    wrong = n - -(-share.numerator * n // share.denominator)
+    if not wrong:
+        return ("1" * n,)
+    at = lambda m: [sum(1 << k + i for i, x in enumerate(m) if x == "1") for k in range(n - len(m) + 1)]
+    left = [sum(1 << i for i in x) for x in combinations(range(n), wrong)]
+    left = [x for x in left if all(x & p for m in masks for p in at(m))]
+    for weight in range(min(n - wrong, 4 if n < 8 else 5), 0, -1):
+        able = ["".join("01"[i in {0, span - 1, *x}] for i in range(span)) for span in range(weight, n + 1) for x in combinations(range(1, span - 1), max(0, weight - 2))]
+        while left:
+            kept = {m: [x for x in left if all(x & p for p in at(m))] for m in able}
+            best = min(able, key=lambda m: (len(kept[m]), len(m), m))
+            if len(kept[best]) == len(left):
+                break
+            masks.append(best)
+            left = kept[best]
+    return tuple(masks)
+
+
+def _seed_rows(least: int, identity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashed, at = words(batch.column(1), PUNCTUATION)
             out: list[list] = [[], [], []]
             for item, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                for mask in masks_for(b - a) if b - a >= least else ():
+                for mask in masks_for(b - a, identity) if b - a >= least else ():
                     found = seeds(hashed[a:b], mask)
                     out[0].append(found.astype(np.int64))
                     out[1].append(np.full(len(found), item if item is not None else -(1 << 63), np.int64))
@@ -186,7 +210,7 @@ def contamination(
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     bench = benchmark.select(F.col("item_id").cast("long"), "text")
-    seed = scratch.cut(bench.mapInArrow(_seed_rows(least), "hash long, item_id long, at int"), "seeds")
+    seed = scratch.cut(bench.mapInArrow(_seed_rows(least, identity), "hash long, item_id long, at int"), "seeds")
     items = bench.where("item_id is not null").mapInArrow(_item_words, "item_id long, item binary")
     size = min(27, max(16, (128 * seed.count()).bit_length()))
     table = np.zeros(1 << size >> 3, np.uint8)
@@ -194,8 +218,8 @@ def contamination(
     chunks = bits.repartitionById(parallelism(spark), F.shiftright("bit", 16).cast("int")).mapInArrow(_tables, "chunk int, bits binary")
     for at, part in chunks.collect():  # of fixed total size
         table[at << 13 : (at + 1) << 13] |= np.frombuffer(part, np.uint8)
-    short = [r[0] for r in bench.mapInArrow(_item_words, "item_id long, item binary").select((F.octet_length("item") / 8).cast("int").alias("n")).where(f"n >= {least} and n < {SPAN}").distinct().collect()]
-    masks = [*MASKS, *("1" * n for n in sorted(short))]
+    short = [r[0] for r in bench.mapInArrow(_item_words, "item_id long, item binary").select((F.octet_length("item") / 8).cast("int").alias("n")).where(f"n >= {max(1, least)} and n <= {SURE}").distinct().collect()]
+    masks = list(dict.fromkeys([*MASKS, *(m for n in sorted(short) for m in masks_for(n, identity))]))
     shared = spark.sparkContext.broadcast(table)
     hits = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         _search(shared, size, masks), "row long, doc_id long, words binary, hash array<long>, pos array<int>"

@@ -223,3 +223,19 @@ def test_partly_copied_and_edited_passage_is_found(spark):
     docs = frame(spark, [(1, "lead " + " ".join(copy) + " tail")])
     bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     assert [tuple(r) for r in S.contamination(docs, bench).collect()] == [(1, 7, 24, 60, 1)]
+
+
+def test_short_items_with_substituted_words(spark):
+    items, docs, want = [], [], set()
+    for n in range(2, 17):
+        item = [f"n{n}w{j}" for j in range(n)]
+        items.append((n, " ".join(item)))
+        wrong = n - -(-4 * n // 5)
+        for at in [[], *([j] for j in range(n if wrong else 0)), *([j, j + 1] for j in range(n - 1 if wrong > 1 else 0)), *([j, n - 1 - j] for j in range(n // 2 if wrong > 1 else 0))]:
+            words_ = ["other" if j in at else x for j, x in enumerate(item)]
+            docs.append((len(docs), "some lead " + " ".join(words_) + " and tail"))
+            want.add((len(docs) - 1, n))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in S.contamination(frame(spark, docs), bench).collect()}
+    assert got == {x for x in want if x[1] >= 5}
+    assert {(r.doc_id, r.item_id) for r in S.contamination(frame(spark, docs), bench, least=1).collect()} == want
