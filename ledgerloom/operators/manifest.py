@@ -25,13 +25,20 @@ def file_states(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def catalog(deliveries: DataFrame, merged: DataFrame | None = None) -> DataFrame:
     """deliveries (entity, name, arrived) with version and status: the last of an entity is ACTIVE, others SUPERSEDED, and all of
-    merged (entity) MERGED_CONSOLIDATED."""
-    w = W.partitionBy("entity").orderBy("arrived", "name")
-    out = deliveries.withColumn("version", F.row_number().over(w)).withColumn("last", F.count("*").over(W.partitionBy("entity")))
-    status = F.when(F.col("version") == F.col("last"), "ACTIVE").otherwise("SUPERSEDED")
+    merged (entity) MERGED_CONSOLIDATED. Versions are places in range partitions plus the entity's rows in those before, so an
+    entity of many deliveries is split."""
+    parts = int(deliveries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: partition ids must agree below
+    ranged = deliveries.repartitionByRange(parts, "entity", "arrived", "name").withColumn("_part", F.spark_partition_id())
+    placed = ranged.withColumn("_place", F.row_number().over(W.partitionBy("_part", "entity").orderBy("arrived", "name")))
+    sizes = placed.groupBy("_part", "entity").agg(F.max("_place").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("entity").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("_part").alias("_p"), F.col("entity").alias("_e"), before.alias("_before"), F.sum("_n").over(W.partitionBy("entity")).alias("_last"))
+    status = F.when(F.col("version") == F.col("_last"), "ACTIVE").otherwise("SUPERSEDED")
     if merged is not None:
-        out = out.join(merged.select("entity", F.lit(True).alias("merged")).distinct(), "entity", "left")
-        status = F.when(F.col("merged"), "MERGED_CONSOLIDATED").otherwise(status)
+        sizes = sizes.join(merged.select(F.col("entity").alias("_e"), F.lit(True).alias("_merged")).distinct(), "_e", "left")
+        status = F.when(F.col("_merged"), "MERGED_CONSOLIDATED").otherwise(status)
+    out = placed.join(sizes, (F.col("_part") == F.col("_p")) & F.col("entity").eqNullSafe(F.col("_e")))
+    out = out.withColumn("version", (F.col("_before") + F.col("_place")).cast("int"))
     return out.withColumn("status", status).select("entity", "name", "arrived", "version", "status")
 
 

@@ -161,6 +161,26 @@ query("API-10", f"with x as ({_DELIVERIES}) select entity, count(*) as versions
 )
 
 
+_ALL = _DELIVERIES[: _DELIVERIES.index(" where")]
+
+
+def deliveries(d):
+    return d.logs.select(F.col("action").alias("entity"), F.col("event_id").cast("string").alias("name"), F.col("ts").alias("arrived"))
+
+
+@query("INC-11-ALL", f"with x as ({_ALL}) select entity, name, cast(row_number() over (partition by entity order by arrived, name) as int) as version, case when entity = 'error' then 'MERGED_CONSOLIDATED' when row_number() over (partition by entity order by arrived desc, name desc) = 1 then 'ACTIVE' else 'SUPERSEDED' end as status from x")
+def catalogued_all(d):
+    """INC-11 over every delivery."""
+    x = deliveries(d)
+    return N.catalog(x, x.where("entity = 'error'").select("entity")).drop("arrived")
+
+
+@query("API-10-ALL", f"with x as ({_ALL}) select entity, count(*) as versions from x group by 1")
+def versions_all(d):
+    """API-10 over every delivery."""
+    return N.catalog(deliveries(d)).groupBy("entity").agg(F.count("*").alias("versions"))
+
+
 @query("GRD-13", "select * from (values ('consumption'), ('contracts'), ('purchase_orders')) t(kind)")
 def kinds(d):
     got = [readers.kind(c) for c in (["LOG_ID", "total_quantity", "x"], ["contract_number", "contract_price", "item_id"], ["po_number", "po_line_no"])]

@@ -166,3 +166,15 @@ def test_streams(spark, tmp_path):
 
 def test_schema_drift(spark):
     assert I.schema_drift({"id": "bigint", "x": "int"}, spark.range(1).withColumn("y", F.lit(1))) == [("x", "MISSING", "HIGH"), ("y", "NEW", "LOW")]
+
+
+def test_catalog_splits_a_hot_entity(spark):
+    from ledgerloom.operators import manifest
+
+    rows = [("hot", f"{i:05d}", i // 3) for i in range(4000)] + [("cold", "a", 1), (None, "b", 2), (None, "c", 1)]
+    df = manifest.catalog(spark.createDataFrame(rows, "entity string, name string, arrived int").repartition(5))
+    got = {(r.entity, r.name): (r.version, r.status) for r in df.collect()}
+    want = {("hot", f"{i:05d}"): (i + 1, "ACTIVE" if i == 3999 else "SUPERSEDED") for i in range(4000)}
+    assert got == want | {("cold", "a"): (1, "ACTIVE"), (None, "b"): (2, "ACTIVE"), (None, "c"): (1, "SUPERSEDED")}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(entity" in plan and "row_number() windowspecdefinition(entity" not in plan
