@@ -129,7 +129,8 @@ def report(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     )
 
 
-#: What a redaction replaces, one after the other: of an assignment its value, of other kinds the match.
+#: What a redaction replaces besides the findings, one after the other: of an assignment its value, of other kinds the match. An
+#: assignment whose value is too short can hide a longer one inside it from the scan, but not from these.
 REDACTIONS = (
     (r"""(?i)((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9+/_.=-]{6,}""", "$1"),
     ("AKIA[A-Z0-9]{16,}", ""),
@@ -137,15 +138,49 @@ REDACTIONS = (
 )
 
 
-def redact(docs: DataFrame, mark: str = "*REDACTED*") -> DataFrame:
+def _ranges(text: Column, spans: Column, rules: tuple[Rule, ...]) -> Column:
+    """What to redact of spans, as an array of structs (start, end) in order: of an assignment its value."""
+
+    def one(s: Column) -> Column:
+        start = s["start"]
+        for i, r in enumerate(rules):
+            if r.group:
+                value = F.regexp_extract(text.substr(s["start"] + 1, s["end"] - s["start"]), r.pattern, r.group)
+                start = F.when(s["rank"] == i, s["end"] - F.length(value)).otherwise(start)
+        return F.struct(start.cast("int").alias("start"), s["end"].alias("end"))
+
+    return F.array_sort(F.transform(spans, one))
+
+
+def _without(text: Column, ranges: Column, mark: str) -> Column:
+    """text with mark for each range; overlapping ones are one."""
+    none = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(s: Column, r: Column) -> Column:
+        apart = F.when((r["start"] >= s["at"]), F.concat(s["out"], text.substr(s["at"] + 1, r["start"] - s["at"]), F.lit(mark))).otherwise(s["out"])
+        return F.struct(apart.alias("out"), F.greatest(s["at"], r["end"]).alias("at"))
+
+    return F.aggregate(ranges, none, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
+
+
+def redact(docs: DataFrame, mark: str = "*REDACTED*", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, scratch: Scratch | None = None) -> DataFrame:
     """docs with every secret in text replaced by mark, and n_chars, where it is there, counted anew for changed texts.
 
-    A null text stays null.
+    What goes are the findings of the blobs, of a ledger of earlier runs and of a scan of what it lacks, joined back to all
+    rows of a blob, and then what REDACTIONS still match. A null text stays null.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
+    new = scratch.cut(scan(docs, ledger, rules).where("found" if ledger is None else "true"), "ledger")
+    per_blob = scratch.cut(findings(new if ledger is None else new.unionByName(ledger), rules), "findings").withColumnsRenamed({"blob": "_blob", "spans": "_spans"})
+    # a row's text is null or has its blob's spans
+    rows = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(per_blob, "_blob", "left")
     text = F.col("text")
+    text = F.when(F.col("_spans").isNotNull(), _without(text, _ranges(text, F.col("_spans"), rules), mark)).otherwise(text)
+    rows = rows.withColumn("_redacted", text)
+    text = F.col("_redacted")
     for pattern, keep in REDACTIONS:
         text = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, keep + mark)).otherwise(text)
-    out = docs.withColumn("_redacted", text)
+    out = rows.withColumn("_redacted", text)
     if "n_chars" in docs.columns:
         long = F.length("_redacted").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("_redacted") != F.col("text"), long).otherwise(F.col("n_chars")))
