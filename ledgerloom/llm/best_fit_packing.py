@@ -20,7 +20,9 @@ columns are ignored; no rows give no rows.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import _POWERS, LOWER, PUNCTUATION, SPACE, Scratch, large, mix, parallelism, slices
+from .common import PUNCTUATION, SPACE, Scratch, digests, large, mix, parallelism, placed, slices
 
 ROOM = 2048
 END = np.zeros(1, "<u4").tobytes()
 #: Units that a worker keeps; a fuller cache is emptied.
 CACHE = 600_000
-#: Texts given to the tokenizer at once.
-BATCH = 256
+#: Texts given to the tokenizer at once, and bytes of text that go through the cache at once.
+BATCH, SLICE = 256, 1 << 19
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _WITH_IDS = _PIECES.append(pa.field("ids", pa.binary()))
 
@@ -81,19 +83,17 @@ def units(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     turn[word[0] :] &= ~whole
     begin |= turn
     start = np.flatnonzero(begin)
-    long = np.diff(start, append=n)
-    within = np.arange(start[0], n) - np.repeat(start, long)
-    value = LOWER[data[start[0] :]].astype(np.uint64) + np.uint64(1)
-    value[space[start[0] :]] = 0
-    size = np.add.reduceat((value != 0).astype(np.int64), start - start[0])
-    value *= _POWERS[within & 4095]
-    return start, start + size, mix(np.add.reduceat(value, start - start[0]))
+    end = start + np.add.reduceat((~space[start[0] :]).astype(np.int64), start - start[0])
+    hashes = mix(np.add.reduceat(placed(data, start, space)[0], start - start[0]))
+    digests(data, start, hashes, end)
+    return start, end, hashes
 
 
 class UnitCache:
     """Ids of units by their 64-bit hash, in a few arrays: sorted hashes, and where their ids are in one pool."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; a thread's memory stays with it
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -101,20 +101,24 @@ class UnitCache:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.keys, self.at, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u4")
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+    def _encode(self, texts: list[str]) -> Iterator[list[int]]:
         """In small batches, as the tokenizer's results are many times larger than the ids."""
-        return [e.ids for a in range(0, len(texts), BATCH) for e in self.tokenizer.encode_batch_fast(texts[a : a + BATCH], add_special_tokens=False)]
+        for a in range(0, len(texts), BATCH):
+            yield from (e.ids for e in self.tokenizer.encode_batch_fast(texts[a : a + BATCH], add_special_tokens=False))
 
     def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
-        ids = self._encode([t.decode("utf-8", "replace") for t in texts])
-        size = np.array([len(x) for x in ids], np.int64)
-        at = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, np.array([i for x in ids for i in x], "<u4")])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        """keys: in order, none known yet."""
+        ids, size = array("I"), array("i")
+        for x in self._encode([t.decode("utf-8", "replace") for t in texts]):
+            ids.extend(x)
+            size.append(len(x))
+        size = np.array(size)
+        at = (len(self.pool) + np.cumsum(size) - size).astype(np.int32)
+        self.pool = np.concatenate([self.pool, np.array(ids, "<u4")])
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         place = np.searchsorted(self.keys, keys)
@@ -141,7 +145,7 @@ class UnitCache:
         marked = any(x in raw for x in self.special)
         for a, b, i, j in zip(bound[:-1].tolist(), bound[1:].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if marked and any(x in raw[i:j] for x in self.special):
-                yield np.array(self._encode([raw[i:j].decode("utf-8", "replace")])[0], "<u4").tobytes()
+                yield np.array(next(self._encode([raw[i:j].decode("utf-8", "replace")])), "<u4").tobytes()
             else:
                 yield whole[a:b]
 
@@ -153,7 +157,7 @@ def _tokenize(path: str, room: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _CACHES.get(path) or _CACHES.setdefault(path, UnitCache(path))  # kept while the worker lives
         for whole in batches:
-            for batch in slices(whole, size=1 << 20):
+            for batch in slices(whole, size=SLICE):
                 rows = []
                 for doc, ids in zip(batch.column(0).to_pylist(), cache.ids(batch.column(1)), strict=True):
                     ids += END

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE = 1 << 20
+ARROW = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -25,7 +28,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
-_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+_POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+#: Words of up to so many bytes are hashed by table, longer ones by a cryptographic hash.
+LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,6 +42,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S33)
 
 
+#: A pseudo-random number for each byte at each of the first LONG places of a word.
+_PLACED = mix(mix(np.arange(1, (LONG << 8) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def placed(data: np.ndarray, start: np.ndarray, gap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, places) of the bytes from the first word's on, A-Z as lower case: the sum of a word's numbers stands for it.
+
+    start: where words begin; a word ends before the next one, and bytes in gaps count nothing. Bytes beyond LONG places say
+    nothing about the word: ``digests`` has its hash.
+    """
+    part = LOWER[data[start[0] :]]
+    within = np.arange(start[0], len(data), dtype=np.int32) - np.repeat(start.astype(np.int32), np.diff(start, append=len(data)))
+    value = _PLACED[(np.minimum(within, LONG - 1) << 8) | part]
+    if gap is not None:
+        value[gap[start[0] :]] = 0
+    return value, within
+
+
+def digests(data: np.ndarray, start: np.ndarray, hashes: np.ndarray, end: np.ndarray) -> None:
+    """Replace the hashes of words (from start to end) that have over LONG bytes."""
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        word = data[start[i] : end[i]].tobytes().lower()
+        hashes[i] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+
+
 def large(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the n + 1 offsets of a string column; a null counts as the empty text."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -83,12 +113,10 @@ def words(column: pa.Array, gaps: np.ndarray = SPACE, prefixes: tuple[int, ...]
         start = np.flatnonzero(first)
         if not start.size:
             continue
-        long = np.diff(start, append=b - a)
-        within = np.arange(start[0], b - a) - np.repeat(start, long)
-        value = LOWER[part[start[0] :]].astype(np.uint64) + np.uint64(1)
-        value[gap[start[0] :]] = 0
-        value *= _POWERS[within & 4095]
+        value, within = placed(part, start, gap)
         hashes.append(mix(np.add.reduceat(value, start - start[0])))
+        if (np.diff(start, append=b - a) > LONG).any():
+            digests(part, start, hashes[-1], start + np.add.reduceat((~gap[start[0] :]).astype(np.int64), start - start[0]))
         begins.append(start + a)
         if prefixes:
             size = np.add.reduceat((value != 0).astype(np.int64), start - start[0])
@@ -143,9 +171,14 @@ class Scratch:
     """Tables written to the folder that all executors share, so that a lost executor costs no recomputation.
 
     The folder is spark.checkpoint.dir; where that is unset (as in tests), a folder in the warehouse directory.
+
+    Where the session sets no limit on the bytes of an Arrow batch, it gets that of ``ARROW``: by default a batch may have 64 MB
+    of texts, which the executor and its Python worker both hold.
     """
 
     def __init__(self, spark: SparkSession):
+        if _LIMIT not in spark.conf.getAll:
+            spark.conf.set(_LIMIT, ARROW)
         top = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
         self.spark, self.path, self.n = spark, f"{top.rstrip('/')}/{uuid.uuid4().hex}", 0
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, PUNCTUATION, Scratch, _cuts, _POWERS, large, mix, slices
+from .common import PUNCTUATION, SPACE, Scratch, _cuts, _POWERS, large, mix, placed, slices
 
 BUCKETS = 1 << 15
 PRIOR = 8.0
@@ -64,9 +64,7 @@ def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         inner = ends[np.searchsorted(ends, a, "left") : np.searchsorted(ends, b, "left")] - a
         first[inner] = True
         start = np.flatnonzero(first)
-        within = np.arange(len(part)) - np.repeat(start, np.diff(start, append=len(part)))
-        value = (LOWER[part].astype(np.uint64) + np.uint64(1)) * _POWERS[within & 4095]
-        hashed = mix(np.add.reduceat(value, start))
+        hashed = mix(np.add.reduceat(placed(part, start)[0], start))
         sort = kind[start]
         upper, down, digit, high = (np.add.reduceat(x[part].astype(np.int32), start) for x in (_UPPER, _DOWN, _DIGIT, _HIGH))
         title = _UPPER[part[start]]
