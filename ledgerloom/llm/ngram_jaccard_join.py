@@ -14,13 +14,17 @@ The result is exact over all documents (up to collisions of 64-bit shingle hashe
 3. Signature trees. In a shard, split into blocks of bounded size, sets are leaves' entries; a node holds the OR of the
    token bitmaps below it and their range of sizes. A dual traversal of two trees (or of one with itself) leaves out a pair
    of nodes if the sizes can't fit or if the bitmaps' overlap, the most that two sets can have in common, is too small.
-   Pairs of sets that pass, and aren't connected yet, are counted exactly.
-4. Components of the links, then of the classes, then of the documents.
+   Pairs of sets that pass are counted exactly; every set's links are counted, and links that connect sets are kept.
+4. Components of these links give the documents' groups.
+
+Skew: copies of a text are one set. A hash that very many sets of a task send leaves it as rows besides the packed hashes, so no
+bucket holds a hot hash whole; its sets are tested in blocks of ``GROUP``, as a shard's are joined in blocks of ``BLOCK``.
 
 Defined cases: null, empty and white-space texts have the empty set and link with nothing, not even each other; texts with
 fewer than k words have one shingle, the whole sequence; rows are expected once per doc_id, of repeated doc_ids each row
-comes back; null doc_ids count as documents that link with nothing; other columns of the input are ignored (``annotate``) or
-kept (``representatives``); no rows give no rows.
+comes back and counts as a copy, and ``representatives`` keeps all rows of a doc_id or none; null doc_ids count as documents
+that link with nothing; other columns of the input, whatever their names, are ignored (``annotate``) or kept
+(``representatives``); no rows give no rows.
 """
 
 from __future__ import annotations
@@ -32,23 +36,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, distinct, mix, parallelism, shingle_sets, slices
+from .common import Scratch, components, distinct, fresh, mix, parallelism, shingle_sets, slices
 
 #: Segments with fewer shingles are sent only by sets with many of them.
 LEAST = 2
 #: Ratio of the sizes that a band spans.
 BAND = 1.5
-#: Sets of a shard in one block.
-BLOCK = 512
+#: Sets of a shard in one block, and sets with one hash in one block.
+BLOCK, GROUP = 512, 2048
 LEAF, FAN = 16, 8
 #: A hash's sets are taken in all pairs up to this number, beyond it through a signature tree.
 FEW = 6
+#: A hash that more sets of a task send at once leaves it as rows.
+HOT = 64
 FLUSH = 1 << 20
+#: Documents whose hashes make a bucket, about; rounds of splitting a set whose segments are mostly empty; bytes of exact bitmaps.
+BUCKET, ROUNDS, EXACT = 1 << 14, 16, 1 << 25
 MASK = (1 << 64) - 1
 _PROFILE = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary())]  # packed: of a set its bitmap, of a bucket its hashes
 )
 _LINKS = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+_COUNTED = _LINKS.append(pa.field("n", pa.int64()))  # n: 0 for a link, or links of src
 _SALT = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 
 
@@ -76,23 +85,25 @@ class Bands:
         if n < self.first:
             return found[:0]
         own, out = self.of(n), []
-        mixed = mix(found ^ _SALT[0])
         for band in (own, own - 1):
             if band < 0 or band < own and -(-self.num * n // self.den) >= self.ends[band]:
                 continue
             m, slack = self.segments(band)
-            at = ((found >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            count = np.diff(start, append=n)
-            few = count < LEAST
-            empty = m - len(start)
-            salt = np.uint64(band * int(_SALT[2]) & MASK)
-            key = mix(np.add.reduceat(mixed, start) + at[start] * _SALT[1] + salt + count.astype(np.uint64) * _SALT[3])
-            if int(few.sum()) + empty <= slack:
-                key = key[~few]
-            elif empty > slack:  # equal empty segments may be all that two such sets share
-                key = np.append(key, mix(np.array([salt ^ _SALT[3]], np.uint64)))
-            out.append(key)
+            for turn in range(ROUNDS):
+                split = found if not turn else np.sort(mix(found + np.uint64(turn)))
+                at = ((split >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+                start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                count = np.diff(start, append=n)
+                few = count < LEAST
+                empty = m - len(start)
+                salt = np.uint64((band * ROUNDS + turn) * int(_SALT[2]) & MASK)
+                key = mix(np.add.reduceat(mix(split ^ _SALT[0]), start) + at[start] * _SALT[1] + salt + count.astype(np.uint64) * _SALT[3])
+                out.append(key[~few] if int(few.sum()) + empty <= slack else key)
+                if empty <= slack:
+                    break
+                # else equal empty segments may be all that two such sets share: both are split once more, by other hashes
+            else:
+                out.append(mix(np.array([salt ^ _SALT[3]], np.uint64)))
         return np.concatenate(out)
 
 
@@ -104,15 +115,22 @@ def _profile(k: int, num: int, den: int, buckets: int):
         sent: set[tuple[int, int]] = set()
         held = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held
             keys = np.concatenate(parts)
             whose = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(x) for x in parts])
+            own = np.array(ids, np.int64)
+            order = np.argsort(keys, kind="stable")
+            keys, whose = keys[order], whose[order]
+            start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            count = np.diff(start, append=len(keys))
+            place = np.arange(len(keys)) - np.repeat(start, count)
             bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.argsort(bucket, kind="stable")
-            keys, whose, bucket = keys[order].astype(np.uint32), whose[order], bucket[order]
+            keys = keys.astype(np.uint32)
+            hot = (np.repeat(count, count) > HOT) & (place > FEW + 1)  # the bucket still sees that there are many
+            lone = (keys[hot] | bucket[hot] << np.uint64(32)).view(np.int64), own[whose[hot]]
+            keys, whose, bucket = keys[~hot], whose[~hot], bucket[~hot]
             start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            own = np.array(ids, np.int64)
             blobs, small = [], np.uint16 if len(ids) < 1 << 16 else np.uint32
             for a, b in zip(start.tolist(), [*start[1:].tolist(), len(keys)], strict=True):
                 used, back = np.unique(whose[a:b], return_inverse=True)
@@ -121,8 +139,12 @@ def _profile(k: int, num: int, den: int, buckets: int):
             ids.clear()
             parts.clear()
             held = 0
-            none = pa.nulls(len(blobs), pa.int64())
-            return pa.record_batch([none, none, none, none, pa.array(bucket[start].astype(np.int32)), pa.array(blobs, pa.binary())], schema=_PROFILE)
+            none, n = pa.nulls(len(blobs), pa.int64()), len(lone[0])
+            yield pa.record_batch([none, none, none, none, pa.array(bucket[start].astype(np.int32)), pa.array(blobs, pa.binary())], schema=_PROFILE)
+            if n:
+                yield pa.record_batch(
+                    [pa.array(lone[1]), pa.array(np.full(n, -1)), pa.array(lone[0]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_PROFILE
+                )
 
         for whole in batches:
             for batch in slices(whole):
@@ -144,45 +166,53 @@ def _profile(k: int, num: int, den: int, buckets: int):
                 columns = [pa.array(x, pa.int64()) for x in columns]
                 yield pa.record_batch([*columns, pa.nulls(len(rows), pa.int32()), pa.array(maps, pa.binary())], schema=_PROFILE)
                 if held >= FLUSH:
-                    yield flush()
+                    yield from flush()
         if parts:
-            yield flush()
+            yield from flush()
 
     return run
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each hash with two sets or more: all pairs (src, dst) of up to FEW sets, else rows (hash, doc_id) with many = true."""
-    keys, ids = [], []
+    """Of each hash with two sets or more: all pairs (src, dst) of up to FEW sets, else rows (hash, doc_id) with many = true.
+    Rows (bucket, packed) come in order of buckets."""
+
+    def one(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        keys, ids = [], []
+        for blob in blobs:
+            n, docs, width = np.frombuffer(blob, np.int64, 3).tolist()
+            keys.append(np.frombuffer(blob, np.uint32, n, 24 + 8 * docs))
+            ids.append(np.frombuffer(blob, np.int64, docs, 24)[np.frombuffer(blob, f"u{width}", n, 24 + 8 * docs + 4 * n)])
+        key, doc = np.concatenate(keys), np.concatenate(ids)
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], doc[order]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(start, append=len(key))
+        place = np.arange(len(key)) - np.repeat(start, count)
+        group = np.repeat(count, count)
+        pairs = []
+        for apart in range(1, FEW):  # set i of a group with set i + apart
+            i = np.flatnonzero((group <= FEW) & (place + apart < group))
+            a, b = doc[i], doc[i + apart]
+            pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
+        pair = np.unique(np.concatenate(pairs), axis=0)
+        large = group > FEW
+        many = np.unique(np.stack([(key[large] | np.uint64(bucket) << np.uint64(32)).view(np.int64), doc[large]], 1), axis=0)
+        for rows, flag in ((pair, False), (many, True)):
+            for a in range(0, len(rows), 1 << 16):
+                part = rows[a : a + (1 << 16)]
+                yield pa.record_batch([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(np.full(len(part), flag))], names=["src", "dst", "many"])
+
+    at, held = None, []
     for batch in batches:
         for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            n, docs, width = np.frombuffer(blob, np.int64, 3).tolist()
-            own = np.frombuffer(blob, np.int64, docs, 24)
-            keys.append(np.frombuffer(blob, np.uint32, n, 24 + 8 * docs).astype(np.uint64) | np.uint64(bucket) << np.uint64(32))
-            ids.append(own[np.frombuffer(blob, f"u{width}", n, 24 + 8 * docs + 4 * n)])
-    if not keys:
-        return
-    key, doc = np.concatenate(keys), np.concatenate(ids)
-    keys.clear()
-    ids.clear()
-    order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    count = np.diff(start, append=len(key))
-    place = np.arange(len(key)) - np.repeat(start, count)
-    group = np.repeat(count, count)
-    pairs = []
-    for apart in range(1, FEW):  # set i of a group with set i + apart
-        i = np.flatnonzero((group <= FEW) & (place + apart < group))
-        a, b = doc[i], doc[i + apart]
-        pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b])
-    pair = np.unique(np.concatenate(pairs), axis=0)
-    large = group > FEW
-    many = np.unique(np.stack([key[large].view(np.int64), doc[large]], 1), axis=0)
-    for rows, flag in ((pair, False), (many, True)):
-        for a in range(0, len(rows), 1 << 16):
-            part = rows[a : a + (1 << 16)]
-            yield pa.record_batch([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(np.full(len(part), flag))], names=["src", "dst", "many"])
+            if bucket != at and held:
+                yield from one(at, held)
+                held = []
+            at = bucket
+            held.append(blob)
+    if held:
+        yield from one(at, held)
 
 
 def _bounded_pairs(num: int, den: int):
@@ -206,7 +236,7 @@ def _bounded_pairs(num: int, den: int):
 
 
 def _bounded_groups(num: int, den: int):
-    """Of rows (hash, doc_id, n, map), those of a hash together: pairs that connect what bitmaps don't rule out."""
+    """Of rows (hash, lo, hi, doc_id, n, map), those of a hash's two blocks together: pairs that connect what bitmaps don't rule out."""
 
     def one(ids: list[int], sizes: list[int], maps: list[bytes]) -> list[tuple[int, int]]:
         bits, size = folded(maps), np.array(sizes, np.int64)
@@ -239,11 +269,11 @@ def _bounded_groups(num: int, den: int):
         at, held = None, ([], [], [])
         for batch in batches:
             out = []
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for *key, doc, n, bits in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
                 if key != at:
                     out += one(*held) if held[0] else []
                     at, held = key, ([], [], [])
-                for x, v in zip(held, row, strict=True):
+                for x, v in zip(held, (doc, n, bits), strict=True):
                     x.append(v)
             if out:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=_LINKS)
@@ -338,126 +368,173 @@ def dual(a: SignatureTree, b: SignatureTree, num: int, den: int, joined: np.ndar
             stack += [(i2, s, j2, t) for s, t in zip(p.tolist(), q.tolist(), strict=True)]
 
 
-def links(a: list[np.ndarray], b: list[np.ndarray] | None, num: int, den: int, root: list[int] | None = None) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links that connect the sets of a and b (positions, b's after a's); pairs already connected aren't counted."""
-    every = a + (b or [])
-    root = root or list(range(len(every)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+class Exact:
+    """Numbers of shingles that sets have in common."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.maps = sets, None
+        if len(sets) <= 3:
+            return
+        every = np.concatenate(sets)
+        every.sort()
+        shared = every[1:][every[1:] == every[:-1]]  # what is in one set only is in no intersection
+        shared = shared[np.r_[True, shared[1:] != shared[:-1]]] if len(shared) else shared
+        wide = -(-len(shared) // 64) * 64
+        if not wide or wide // 8 * len(sets) > EXACT:
+            return
+        self.maps = np.zeros((len(sets), wide // 64), np.uint64)
+        for row, one in zip(self.maps, sets, strict=True):
+            bits = np.zeros(wide, bool)
+            place = np.searchsorted(shared, one).clip(max=len(shared) - 1)
+            bits[place[shared[place] == one]] = True
+            row[:] = np.packbits(bits).view(np.uint64)
+
+    def overlap(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if self.maps is not None:
+            return np.bitwise_count(self.maps[p] & self.maps[q]).sum(1, dtype=np.int64)
+        out = np.zeros(len(p), np.int64)
+        for at, (i, j) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+            both = np.concatenate([self.sets[i], self.sets[j]])
+            both.sort()
+            out[at] = np.count_nonzero(both[1:] == both[:-1])
+        return out
 
-    out = []
 
-    def verify(i: int, j: int) -> None:
-        if (r := find(i)) != (s := find(j)):
-            x, y = every[i], every[j]
-            both = np.concatenate([x, y])
-            both.sort()
-            o = int(np.count_nonzero(both[1:] == both[:-1]))
-            if den * o >= num * (len(x) + len(y) - o):
-                root[max(r, s)] = min(r, s)
+def links(
+    a: list[np.ndarray], b: list[np.ndarray] | None, num: int, den: int, copies: list[int] | None = None, count: np.ndarray | None = None
+) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that connect the sets of a, or those of a with those of b (positions, b's after a's), and each one's root; to count
+    is added, for each set, the copies of all sets that it links with."""
+    every = a + (b or [])
+    size, weight = np.array([len(x) for x in every], np.int64), np.array(copies or [1] * len(every), np.int64)
+    root, out, exact = np.arange(len(every)), [], Exact(every)
+    count = np.zeros(len(every), np.int64) if count is None else count
+
+    def verify(p: np.ndarray, q: np.ndarray) -> None:
+        o = exact.overlap(p, q)
+        link = den * o >= num * (size[p] + size[q] - o)
+        p, q = p[link], q[link]
+        np.add.at(count, p, weight[q])
+        np.add.at(count, q, weight[p])
+        new = root[p] != root[q]
+        for i, j in zip(p[new].tolist(), q[new].tolist(), strict=True):
+            if (r := root[i]) != (s := root[j]):
+                root[root == max(r, s)] = min(r, s)
                 out.append((i, j))
 
     if len(every) <= 3:
-        for i in range(len(every)):
-            for j in range(max(i + 1, len(a) if b else 0), len(every)):
-                verify(i, j)
+        p, q = np.triu_indices(len(every), 1)
+        apart = (p < len(a)) & (q >= len(a)) if b else np.ones(len(p), bool)
+        verify(p[apart], q[apart])
         return out, root
-    bits = 1 << max(9, min(15, (8 * max(map(len, every))).bit_length()))
+    bits = 1 << max(9, min(15, (8 * int(size.max())).bit_length()))
     tree = SignatureTree.of(a, bits)
     other = SignatureTree.of(b, bits) if b else tree
     for p, q in dual(tree, other, num, den):
-        for i, j in zip(p.tolist(), q.tolist(), strict=True):
-            verify(i, j + (len(a) if b else 0))
+        verify(p, q + (len(a) if b else 0))
     return out, root
 
 
 def _join(k: int, num: int, den: int):
-    """Rows (cluster, lo, hi, block, doc_id, text), those of a pair of blocks together."""
+    """Rows (cluster, lo, hi, block, doc_id, copies, text), those of a pair of blocks together."""
 
-    def one(rows: list[tuple[int, int, np.ndarray]], lo: int, hi: int) -> list[tuple[int, int]]:
-        rows.sort(key=lambda r: (r[2][:1].tolist(), len(r[2]), r[1]))  # alike sets next to each other: tight nodes
+    def one(rows: dict[int, tuple[int, int, int, np.ndarray]], lo: int, hi: int) -> list[tuple[int, int, int]]:
+        rows = sorted(rows.values(), key=lambda r: (r[3][:1].tolist(), len(r[3]), r[1]))  # alike sets next to each other: tight nodes
         a, b = [r for r in rows if r[0] == lo], [r for r in rows if r[0] == hi and lo != hi]
         if lo != hi and not (a and b):
             return []
-        got, _ = links([r[2] for r in a], [r[2] for r in b] or None, num, den)
+        count = np.zeros(len(a) + len(b), np.int64)
+        got, _ = links([r[3] for r in a], [r[3] for r in b] or None, num, den, [r[2] for r in a + b], count)
         ids = [r[1] for r in a + b]
-        return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in got]
+        return [(min(ids[i], ids[j]), max(ids[i], ids[j]), 0) for i, j in got] + [(x, x, n) for x, n in zip(ids, count.tolist(), strict=True) if n]
+
+    def made(out: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=_COUNTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
+        at, rows = None, {}
         for whole in batches:
             for batch in slices(whole):
-                d = {c: batch.column(batch.schema.get_field_index(c)) for c in ("cluster", "lo", "hi", "block", "doc_id", "text")}
-                keys = zip(*(d[c].to_pylist() for c in ("cluster", "lo", "hi", "block", "doc_id")), strict=True)
+                d = {c: batch.column(batch.schema.get_field_index(c)) for c in ("cluster", "lo", "hi", "block", "doc_id", "copies", "text")}
+                keys = zip(*(d[c].to_pylist() for c in ("cluster", "lo", "hi", "block", "doc_id", "copies")), strict=True)
                 out = []
-                for (cluster, lo, hi, block, doc), found in zip(keys, shingle_sets(d["text"], k), strict=True):
+                for (cluster, lo, hi, block, doc, copies), found in zip(keys, shingle_sets(d["text"], k), strict=True):
                     if at != (cluster, lo, hi):
                         out += one(rows, at[1], at[2]) if at else []
-                        at, rows = (cluster, lo, hi), []
-                    rows.append((block, doc, found))
+                        at, rows = (cluster, lo, hi), {}
+                    rows[doc] = block, doc, copies, found
                 if out:
-                    yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=_LINKS)
+                    yield made(out)
         if at and (out := one(rows, at[1], at[2])):
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=_LINKS)
+            yield made(out)
 
     return run
 
 
+def _blocks(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """rows (doc_id, ...) with block and blocks, so many that ``key`` has about ``most`` rows in each."""
+    blocks = rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+    return rows.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+
+
 def annotate(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of docs (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, n_links) per row of docs (doc_id, text); n_links: other documents that it links with."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     width = parallelism(spark)
     docs = docs.select("doc_id", "text")
+    buckets = max(width, docs.count() // BUCKET)
     profile = scratch.cut(
-        docs.mapInArrow(_profile(k, num, den, width), "doc_id long, n long, k1 long, k2 long, bucket int, packed binary"), "profile"
+        docs.mapInArrow(_profile(k, num, den, buckets), "doc_id long, n long, k1 long, k2 long, bucket int, packed binary"), "profile"
     )
-    sizes = profile.where("bucket is null").select("doc_id", "n", "k1", "k2")
+    sizes = profile.where("bucket is null and n >= 0")
     classes = scratch.cut(
         sizes.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes"
     )
+    own = scratch.cut(_with_class(sizes.select("doc_id", "n", "k1", "k2"), classes), "own")
     packed = profile.where("bucket is not null").select("bucket", "packed")
-    near = packed.repartitionById(width, F.col("bucket")).mapInArrow(_neighbours, "src long, dst long, many boolean")
+    near = packed.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_neighbours, "src long, dst long, many boolean")
+    near = near.unionAll(profile.where("n = -1").select("k1", "doc_id", F.lit(True)))
     near = scratch.cut(near.distinct(), "near")
-    maps = profile.where("bucket is null and packed is not null and doc_id is not null").groupBy("doc_id", "n").agg(F.min("packed").alias("map"))
+    maps = sizes.where("packed is not null and doc_id is not null").groupBy("doc_id", "n").agg(F.min("packed").alias("map"))
     maps = scratch.cut(maps, "maps")
     side = lambda i, c: maps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{i}"), F.col("map").alias(f"map{i}"))
     pairs = near.where("not many").join(side(1, "src").hint("merge"), "src").join(side(2, "dst").hint("merge"), "dst")
     pairs = pairs.select("src", "dst", "n1", "map1", "n2", "map2").mapInArrow(_bounded_pairs(num, den), "src long, dst long")
-    groups = near.where("many").select(F.col("src").alias("hash"), F.col("dst").alias("doc_id")).join(maps.hint("merge"), "doc_id")
-    groups = groups.select("hash", "doc_id", "n", "map").repartition(width, "hash").sortWithinPartitions("hash", "doc_id")
+    groups = _blocks(near.where("many").select(F.col("src").alias("hash"), F.col("dst").alias("doc_id")), "hash", GROUP)
+    groups = scratch.cut(groups.join(maps.hint("merge"), "doc_id"), "groups").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = groups.where("blocks = 1 or other <> block").select("hash", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "n", "map")
+    groups = groups.repartition(width, "hash", "lo", "hi").sortWithinPartitions("hash", "lo", "hi", "doc_id")
     near = scratch.cut(pairs.unionAll(groups.mapInArrow(_bounded_groups(num, den), "src long, dst long")).distinct(), "near")
     shards = components(scratch, near)
-    members = scratch.cut(shards.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster")), "members")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = scratch.cut(dealt.select("doc_id", "cluster", "blocks", "block"), "dealt")
+    # the sets that were tested are any of a class's copies; its smallest doc_id stands for them in the join
+    members = shards.join(own.select(F.col("doc_id").alias("node"), "rep", "copies"), "node").groupBy("rep").agg(F.min("label").alias("cluster"), F.max("copies").alias("copies"))
+    members = scratch.cut(members.withColumnRenamed("rep", "doc_id"), "members")
+    dealt = scratch.cut(_blocks(members, "cluster", BLOCK), "dealt")
     # texts are always shuffled to the shards' rows: a plan that is alike at every size
     rows = docs.join(dealt.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "text")
+    rows = rows.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "copies", "text")
     rows = rows.repartition(width, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-    found = scratch.cut(rows.mapInArrow(_join(k, num, den), "src long, dst long"), "links")
-    own = scratch.cut(_with_class(sizes, classes), "own")
+    found = scratch.cut(rows.mapInArrow(_join(k, num, den), "src long, dst long, n long"), "links")
     scratch.drop(profile, near, dealt)
-    # The sets that were compared are any one of a class's copies; tie each to its class.
-    ties = own.join(members.select("doc_id"), "doc_id").where("rep <> doc_id").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))
-    labels = scratch.cut(components(scratch, found.unionAll(ties)).withColumnRenamed("node", "rep"), "labels")
+    labels = components(scratch, found.where("n = 0").select("src", "dst"))
+    counts = found.where("n > 0").groupBy("src").agg(F.sum("n").alias("others"))
+    labels = scratch.cut(labels.join(counts, F.col("node") == F.col("src")).select(F.col("node").alias("rep"), "label", "others"), "labels")
     out = own.join(labels, "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
+    linked = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"), linked.alias("n_links"))
 
 
 def _with_class(sizes: DataFrame, classes: DataFrame) -> DataFrame:
-    """(doc_id, n, rep); an empty set stands for itself. Only classes of several documents are joined."""
-    several = classes.where("copies > 1").select("k1", "k2", "rep")
-    return sizes.join(several, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
+    """(doc_id, n, rep, copies); an empty set stands for itself. Only classes of several documents are joined."""
+    several = classes.where("copies > 1").select("k1", "k2", "rep", "copies")
+    known = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    rep, copies = F.when(known, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")), F.when(known, F.coalesce("copies", F.lit(1))).otherwise(F.lit(1))
+    return sizes.join(several, ["k1", "k2"], "left").select("doc_id", "n", rep.alias("rep"), copies.alias("copies"))
 
 
 def representatives(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their component (or null), with all columns."""
-    scratch = Scratch(docs.sparkSession)
-    out = annotate(docs, k, num, den, scratch).where("doc_id <> component_id").select(F.col("doc_id").alias("_out")).distinct()
-    return docs.join(scratch.cut(out, "copies").hint("merge"), F.col("doc_id") == F.col("_out"), "left_anti")
+    scratch, out = Scratch(docs.sparkSession), fresh("copy", docs)
+    copies = annotate(docs, k, num, den, scratch).where("doc_id <> component_id").select(F.col("doc_id").alias(out)).distinct()
+    return docs.join(scratch.cut(copies, "copies").hint("merge"), docs["doc_id"] == F.col(out), "left_anti")

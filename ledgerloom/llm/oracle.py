@@ -31,7 +31,8 @@ n as materialized (select doc_id, count(*) as n from s group by 1),
 pairs as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
 links as materialized (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 90 * (x.n + y.n - o)),
 reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on r.b = l.a)
-select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(b) from reach where reach.a = d.doc_id) as component_id from documents d left join n on n.doc_id = d.doc_id"""
+select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(b) from reach where reach.a = d.doc_id) as component_id,
+    (select count(*) from links where links.a = d.doc_id) as n_links from documents d left join n on n.doc_id = d.doc_id"""
 
 
 def _secrets() -> str:

@@ -239,3 +239,85 @@ def test_short_items_with_substituted_words(spark):
     got = {(r.doc_id, r.item_id) for r in S.contamination(frame(spark, docs), bench).collect()}
     assert got == {x for x in want if x[1] >= 5}
     assert {(r.doc_id, r.item_id) for r in S.contamination(frame(spark, docs), bench, least=1).collect()} == want
+
+
+def counted(rows, k, num, den):
+    sets = {i: shingles(t, k) for i, t in rows}
+    out = dict.fromkeys(sets, 0)
+    for a in sets:
+        for b in sets:
+            if a != b and sets[a] and sets[b]:
+                o = len(sets[a] & sets[b])
+                out[a] += den * o >= num * (len(sets[a]) + len(sets[b]) - o)
+    return out
+
+
+@pytest.mark.parametrize("k,num,den", [(3, 90, 100), (5, 8, 10)])
+def test_number_of_links_equals_brute_force(spark, monkeypatch, k, num, den):
+    """Every link counts, in groups that blocks split too."""
+    monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "GROUP", 8)
+    rows = corpus(10 + k)
+    got = J.annotate(frame(spark, rows), k, num, den).collect()
+    assert {r.doc_id: r.n_links for r in got} == counted(rows, k, num, den)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, k, num, den)
+
+
+def test_a_hot_hash_leaves_its_bucket(monkeypatch):
+    """Of a hash that many sets of a task send, the packed part and the rows together have all sets."""
+    monkeypatch.setattr(J, "HOT", 8)
+    base = [f"v{i}" for i in range(60)]
+    texts = [" ".join([*base, f"z{i}", f"y{i}"]) for i in range(40)]
+    batch = pa.record_batch([pa.array(range(40), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    made = pa.Table.from_batches(list(J._profile(3, 90, 100, 1)(iter([batch])))).to_pylist()
+    rows = defaultdict(set)
+    for r in made:
+        if r["n"] == -1:
+            rows[r["k1"]].add(r["doc_id"])
+    packed = pa.record_batch([pa.array([0], pa.int32()), pa.array([r["packed"] for r in made if r["bucket"] is not None], pa.binary())], names=["bucket", "packed"])
+    for r in pa.Table.from_batches(list(J._neighbours(iter([packed])))).to_pylist():
+        if r["many"]:
+            rows[r["src"]].add(r["dst"])
+    want = defaultdict(set)
+    for i, found in enumerate(shingle_sets(pa.array(texts), 3)):
+        for key in J.Bands(90, 100).keys(found).tolist():
+            want[key & 0xFFFFFFFF].add(i)
+    assert rows == {key: x for key, x in want.items() if len(x) > J.FEW}
+    assert any(r["n"] == -1 for r in made)
+
+
+def test_mostly_empty_segments_share_a_key():
+    """Linked sets share a key also where most of their segments are empty."""
+    rng = np.random.default_rng(5)
+    bands = J.Bands(8, 10)
+    for _ in range(3000):
+        n = int(rng.integers(4, 60))
+        one = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        other = np.unique(np.r_[one[int(len(one) * 0.2) :], rng.integers(0, 1 << 63, 1).astype(np.uint64)]) if rng.random() < 0.5 else one[int(len(one) * 0.2) :]
+        o = len(np.intersect1d(one, other))
+        if 10 * o >= 8 * (len(one) + len(other) - o):
+            assert len(np.intersect1d(bands.keys(one), bands.keys(other)))
+
+
+def morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+LONG_WORDS = ["a" + "x" * 4095 + "b", "b" + "x" * 4095 + "a", morse(1024), morse(1024, "b", "a"), morse(8192), morse(8192, "b", "a"), "x" * 5000, "x" * 5001, "x" * 256, "x" * 257]
+
+
+def test_long_words_differ(spark):
+    hashed, _ = words(pa.array(LONG_WORDS))
+    assert len(set(hashed.tolist())) == len(LONG_WORDS)
+    assert words(pa.array([LONG_WORDS[0].upper()]))[0][0] == hashed[0]
+    rows = list(enumerate(LONG_WORDS)) + [(90, LONG_WORDS[3].upper())]
+    got = J.annotate(frame(spark, rows), 3, 90, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 90, 100)
+    assert {r.doc_id: r.n_links for r in got} == counted(rows, 3, 90, 100)
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c d e f g h i j k l", 7, 8), (2, "a b c d e f g h i j k l", 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Copy long, copy_ long")
+    docs = docs.select("*", F.col("Copy").alias("_out"), F.col("Copy").alias("block"), F.col("Copy").alias("n"))
+    assert [tuple(r) for r in J.representatives(docs).collect()] == [(1, rows[0][1], 7, 8, 7, 7, 7)]
