@@ -1,26 +1,31 @@
 """Quality classifier by importance resampling (operator 10).
 
 Two generative models, bags of hashed n-grams, are counted: one of target text (rows labelled as good, of a bounded sample)
-and one of the raw text (all documents). A document's importance is the ratio of its probabilities under both; here the
-mean log ratio of its n-grams, drawn towards the target's mean by ``PRIOR`` n-grams so that a few words decide nothing.
-Documents are sampled without replacement by Gumbel top-k: the k greatest values of log importance plus Gumbel noise that
-depends on doc_id and seed. k is the number of documents whose importance exceeds the cut that best tells the sample's
-labels apart.
+and one of the raw text (all documents). A document's importance is the ratio of its probabilities under both, so its logarithm
+is the sum of its n-grams' log ratios. The target's counts are smoothed by ``PRIOR`` n-grams of raw text, so that an n-gram that a
+small sample lacks says little. Documents are sampled without replacement by Gumbel top-k: the k greatest values of log importance
+plus standard Gumbel noise that depends on doc_id and seed. k is ``share`` of all documents, by default the share of good ones
+among the labelled.
+
+The noise is of a few units, log importances of good and bad texts of some length are tens to thousands apart: it decides among
+short and mixed documents around the k-th, in proportion to their importance, and leaves clear cases alone.
 
 N-grams are of tokens (runs of letters and digits, or of ASCII punctuation): each token's hash, and shapes (upper, title,
 lower, digits, other, which punctuation, repetition of the token before) in twos and threes, hashed to ``BUCKETS``.
 
 Scale: two passes over the texts; counts are summed by bucket with partial aggregation, so the driver sees BUCKETS rows; the
-k-th value is found by counts of a fixed number of value classes and a sort of the one class that k falls into.
+k-th value is found by counts of ``CLASSES`` ranges of values, each round within the range before that holds it, and a sort of
+what is left when that is little.
 
-Defined cases: null and empty texts have no n-grams and the target's mean, so they are kept or sampled as average target
-text; equal values are ordered by doc_id; each row of repeated doc_ids is scored, and gets the same noise; a null doc_id gets
-the noise of id -1; without usable labels of both kinds every row is kept; other columns are ignored by ``score`` and kept by
-``resample``; no rows give no rows.
+Defined cases: null and empty texts have no n-grams and an importance of 1; equal values are ordered by doc_id; each row of repeated
+doc_ids is scored, and gets the same noise; ``resample`` drops all rows of a doc_id of which one is not drawn; a null doc_id gets
+the noise of id -1; without usable labels of both kinds every row is kept; other columns, whatever their names, are ignored by
+``score`` and kept by ``resample``; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, SPACE, Scratch, _cuts, _POWERS, large, mix, placed, slices
+from .common import PUNCTUATION, SPACE, Scratch, _cuts, _POWERS, fresh, large, mix, placed, slices
 
 BUCKETS = 1 << 15
-PRIOR = 8.0
-#: Log importance is this much times the mean log ratio's distance from the cut, in units of the gap between good and bad.
-SHARPNESS = 150.0
+PRIOR = 1e4
+#: Ranges of values in a round of the search for the k-th, and so few rows are sorted.
+CLASSES, SORTED = 1 << 14, 10_000
 _CLASS = np.ones(256, np.uint8)
 _CLASS[PUNCTUATION] = 2
 _CLASS[SPACE] = 0
@@ -120,75 +125,62 @@ def _score(ratio: np.ndarray):
     return run
 
 
-def best_cut(values: np.ndarray, good: np.ndarray) -> float:
-    """The value that separates good (above) from bad with the greatest sum of both rates."""
-    order = np.argsort(values)
-    v, g = values[order], good[order]
-    gain = np.r_[0, np.cumsum(np.where(g, -1 / max(1, g.sum()), 1 / max(1, (~g).sum())))]
-    edge = np.r_[v[0] - 1, (v[1:] + v[:-1]) / 2, v[-1] + 1]
-    return float(edge[gain.argmax()])
-
-
-def score(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, seed: int = 0, scratch: Scratch | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, share: float | None = None, most_labels: int = 20_000, seed: int = 0, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, log_weight, value, n_ngrams, keep) per row; value is log_weight plus noise; keep: among the k greatest.
 
-    labels: (doc_id, quality), 1 for target text and 0 for other; at most ``most_labels`` of them are used, those with the
-    smallest hashes of doc_id.
+    labels: (doc_id, quality), 1 for target text and 0 for other; at most ``most_labels`` of them are used for the target's
+    model, those with the smallest hashes of doc_id. share: k over the number of documents.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sample = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels).collect()
-    good = {int(i): int(q) for i, q in sample}
-    counted = docs.mapInArrow(_count(good), "bucket int, raw long, target long")
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    good = known.agg(F.avg("quality")).first()[0] or 0.0
+    usable = 0 < good < 1
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels).collect()
+    counted = docs.mapInArrow(_count({int(i): int(q) for i, q in sample}), "bucket int, raw long, target long")
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, x, y in counted.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
         raw[bucket], target[bucket] = x, y
-    ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
-    mean = float((ratio * target).sum() / max(1.0, target.sum()))
+    part = np.maximum(raw, 1) / max(1.0, raw.sum())
+    ratio = np.log((target + PRIOR * part) / (target.sum() + PRIOR) / part) if usable else np.zeros(BUCKETS)
     scores = scratch.cut(docs.mapInArrow(_score(ratio), "doc_id long, ratio double, n long"), "scores")
-    drawn = (F.col("ratio") + PRIOR * mean) / (F.col("n") + PRIOR)
-    ids = spark.createDataFrame(sample or [(0, 0)], "doc_id long, quality int") if sample else None
-    known = scores.join(ids, "doc_id").select(drawn.alias("r"), "quality").collect() if sample else []
-    r, g = np.array([x[0] for x in known]), np.array([x[1] == 1 for x in known], bool)
-    if g.any() and not g.all():
-        cut = best_cut(r, g)
-        gap = max(1e-9, float(np.median(r[g]) - np.median(r[~g])))
-        scale = SHARPNESS / gap
-    else:
-        cut, scale = -1e300, 0.0
     uniform = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    weight = F.lit(scale) * (drawn - F.lit(cut)) if scale else F.lit(0.0)
-    valued = scores.select("doc_id", weight.alias("log_weight"), F.col("n").alias("n_ngrams"), (weight - F.log(-F.log(uniform))).alias("value"))
-    k = valued.where("log_weight > 0").count() if scale else None
-    return _top(scratch, valued, k)
+    noise = -F.log(-F.log(uniform))
+    valued = scores.select("doc_id", F.col("ratio").alias("log_weight"), F.col("n").alias("n_ngrams"), (F.col("ratio") + noise).alias("value"))
+    return _top(scratch, valued, math.ceil((good if share is None else share) * scores.count()) if usable else None)
 
 
 def _top(scratch: Scratch, valued: DataFrame, k: int | None) -> DataFrame:
     """With keep: whether the row is among the k greatest values, ties to the smaller doc_id."""
-    if k is None:
+    low, high, n = valued.agg(F.min("value"), F.max("value"), F.count("*")).first()
+    if k is None or k >= n:
         return valued.withColumn("keep", F.lit(True))
-    valued = valued.withColumn("class", F.least(F.greatest(F.floor(F.col("value") * 256), F.lit(-(1 << 17))), F.lit(1 << 17)))
-    before = 0
-    edge = None
-    for cls, n in sorted(valued.groupBy("class").count().collect(), reverse=True):
-        if before + n >= k:
-            edge = cls
+    if not k:
+        return valued.withColumn("keep", F.lit(False))
+    above, inside = 0, n
+    while inside > SORTED and high > low:  # of rows from low to high, all above high are kept
+        step = (high - low) / CLASSES
+        at = F.least(F.floor((F.col("value") - low) / step), F.lit(CLASSES - 1))
+        counts = valued.where(F.col("value").between(low, high)).groupBy(at.alias("at")).agg(F.count("*"), F.min("value"), F.max("value")).collect()
+        for _, many, least, most in sorted(counts, reverse=True):
+            if above + many >= k:
+                if (low, high) == (least, most):
+                    step = 0
+                low, high, inside = least, most, many
+                break
+            above += many
+        if not step:
             break
-        before += n
-    if edge is None:
-        return valued.drop("class").withColumn("keep", F.lit(True))
-    last = valued.where(F.col("class") == edge).orderBy(F.desc("value"), F.asc_nulls_first("doc_id")).limit(k - before)
-    last = last.agg(F.min(F.struct("value", (-F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("id"))).alias("x")).first()["x"]
-    if last is None:
-        return valued.withColumn("keep", F.col("class") > edge).drop("class")
+    order = F.desc("value"), F.asc_nulls_first("doc_id")
+    last = valued.where(F.col("value").between(low, high)).orderBy(*order).limit(k - above)
     own = F.struct("value", (-F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("id"))
-    return valued.withColumn("keep", own >= F.struct(F.lit(last["value"]).alias("value"), F.lit(last["id"]).alias("id"))).drop("class")
+    last = last.agg(F.min(own).alias("x")).first()["x"]
+    return valued.withColumn("keep", own >= F.struct(F.lit(last["value"]).alias("value"), F.lit(last["id"]).alias("id")))
 
 
 def resample(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The sampled rows of docs with all columns."""
-    scratch = Scratch(docs.sparkSession)
-    out = scratch.cut(score(docs, labels, scratch=scratch, **how).where("not keep").select(F.col("doc_id").alias("_out")).distinct(), "rejected")
-    return docs.join(out.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_out")), "left_anti")
+    scratch, out = Scratch(docs.sparkSession), fresh("rejected", docs)
+    rejected = scratch.cut(score(docs, labels, scratch=scratch, **how).where("not keep").select(F.col("doc_id").alias(out)).distinct(), "rejected")
+    return docs.join(rejected.hint("merge"), docs["doc_id"].eqNullSafe(F.col(out)), "left_anti")

@@ -249,7 +249,59 @@ def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = Q.score(docs, labels.where("doc_id % 3 <> 0")).join(labels.where("doc_id % 3 = 0"), "doc_id").toPandas()
     assert (got.keep == (got.quality == 1)).mean() > 0.93
-    assert Q.score(docs, labels).where("keep").count() == Q.score(docs, labels).where("log_weight > 0").count()
+
+
+def plain_quality(rows, labels, share, seed):
+    """Importance resampling by its definition: {doc_id: (log weight, value)} and the ids of the k greatest values."""
+    import math
+
+    import pyarrow as pa
+    import xxhash
+
+    grams = {i: Q.ngrams(pa.array([t]))[0].tolist() for i, t in rows}
+    raw, target = [0] * Q.BUCKETS, [0] * Q.BUCKETS
+    for i, found in grams.items():
+        for b in found:
+            raw[b] += 1
+            target[b] += labels.get(i) == 1
+    n, m, out = sum(raw), sum(target), {}
+    for i, found in grams.items():
+        weight = sum(math.log((target[b] + Q.PRIOR * raw[b] / n) / (m + Q.PRIOR) / (raw[b] / n)) for b in found)
+        # Spark's xxhash64 of (doc_id, seed): of 8 bytes each and an int of 4, the first one's hash as the seed of the second
+        first = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)
+        u = ((xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), first) % (1 << 52)) + 0.5) / (1 << 52)
+        out[i] = weight, weight - math.log(-math.log(u))
+    k = math.ceil(share * len(rows))
+    return out, set(sorted(out, key=lambda i: (-out[i][1], i))[:k])
+
+
+def test_quality_equals_plain_resampling(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows, known = [(r.doc_id, r.text or "") for r in docs.collect()], {r.doc_id: r.quality for r in labels.collect()}
+    share = sum(known.values()) / len(known)
+    drawn = []
+    for seed in range(2):
+        for part in (None, 0.4):
+            got = {r.doc_id: r for r in Q.score(docs, labels, share=part, seed=seed).collect()}
+            values, keep = plain_quality(rows, known, part or share, seed)
+            assert all(abs(got[i].log_weight - w) < 1e-6 and abs(got[i].value - v) < 1e-6 for i, (w, v) in values.items())
+            assert {i for i, r in got.items() if r.keep} == keep
+            drawn.append(keep)
+    assert drawn[1] != drawn[3]  # the noise takes part
+
+
+def test_noise_draws_by_importance(spark):
+    """Of short texts, how often one is drawn over many seeds grows with its importance."""
+    rng = random.Random(2)
+    mixed = lambda share: " ".join(rng.choice(["fine", "clear"] if rng.random() < share else ["x#1", "!!"]) for _ in range(3))
+    rows = [(i, mixed(0.5), 1) for i in range(300)] + [(1000 + i, "fine clear fine", 1) for i in range(20)] + [(2000 + i, "x#1 !! x#1", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rejected int")
+    labels = docs.where("doc_id >= 1000").selectExpr("doc_id", "if(doc_id < 2000, 1, 0) as quality")
+    seen = [Q.score(docs, labels, share=0.4, seed=s).toPandas() for s in range(4)]
+    often = pd.concat(seen).groupby("doc_id").agg(w=("log_weight", "first"), n=("keep", "sum"))
+    assert 0 < often.n[often.w < often.w.median()].mean() < often.n[often.w > often.w.median()].mean() and often.n.between(1, 3).sum() > 20
+    kept = Q.resample(docs.withColumn("_out", F.lit(1)), labels)
+    assert kept.columns == ["doc_id", "text", "rejected", "_out"] and kept.count() < 340
 
 
 def test_quality_odd_tables(spark):
