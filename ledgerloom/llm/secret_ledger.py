@@ -8,11 +8,11 @@ A rule's matches are found leftmost and non-overlapping with Java's regular expr
 only; a match counts if its tested group has the least number of characters. Offsets are of code points, the end exclusive.
 They are sums of the lengths of the pieces between matches and of the matches.
 
-Scale: texts are shuffled once, by blob, and copies fall together before the shuffle; a blob's findings are rows, so neither
-the number of matches in a text nor the number of paths of a blob meets in one value but for the paths' own result rows.
+Scale: a scan shuffles texts once, by blob, and copies fall together before the shuffle; a blob's findings are rows of the
+ledger. Only its result row has all spans of a text in one value, as the report's format asks.
 
 Defined cases: a null text is the empty text; equal texts share a blob; each row of repeated doc_ids gets its result; a null
-doc_id is kept; other columns are ignored by ``report`` and kept by ``redact``; no rows give no rows.
+doc_id is kept; other columns, whatever their names, are ignored by ``report`` and kept by ``redact``; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 
 @dataclass(frozen=True)
@@ -171,17 +171,17 @@ def redact(docs: DataFrame, mark: str = "*REDACTED*", ledger: DataFrame | None =
     """
     scratch = scratch or Scratch(docs.sparkSession)
     new = scratch.cut(scan(docs, ledger, rules).where("found" if ledger is None else "true"), "ledger")
-    per_blob = scratch.cut(findings(new if ledger is None else new.unionByName(ledger), rules), "findings").withColumnsRenamed({"blob": "_blob", "spans": "_spans"})
+    blob, spans, made = fresh("blob", docs), fresh("spans", docs), fresh("redacted", docs)
+    per_blob = scratch.cut(findings(new if ledger is None else new.unionByName(ledger), rules), "findings").withColumnsRenamed({"blob": blob, "spans": spans})
     # a row's text is null or has its blob's spans
-    rows = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(per_blob, "_blob", "left")
+    rows = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)).join(per_blob, blob, "left")
     text = F.col("text")
-    text = F.when(F.col("_spans").isNotNull(), _without(text, _ranges(text, F.col("_spans"), rules), mark)).otherwise(text)
-    rows = rows.withColumn("_redacted", text)
-    text = F.col("_redacted")
+    rows = rows.withColumn(made, F.when(F.col(spans).isNotNull(), _without(text, _ranges(text, F.col(spans), rules), mark)).otherwise(text))
+    text = F.col(made)
     for pattern, keep in REDACTIONS:
         text = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, keep + mark)).otherwise(text)
-    out = rows.withColumn("_redacted", text)
+    out = rows.withColumn(made, text)
     if "n_chars" in docs.columns:
-        long = F.length("_redacted").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_redacted") != F.col("text"), long).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("_redacted")).select(docs.columns)
+        long = F.length(made).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(made) != F.col("text"), long).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.col(made)).select(docs.columns)
