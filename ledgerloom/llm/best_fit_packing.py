@@ -15,7 +15,7 @@ are its units' ids, which are looked up by hash in arrays. Texts with special to
 
 Defined cases: a null or empty text is the end token alone; pieces of equal length are ranked by (bucket, doc_id, piece, start,
 crc), so repeated rows of a doc_id are packed separately and interchangeably; a null doc_id is packed as any other; other
-columns are ignored; no rows give no rows.
+columns, whatever their names, are ignored by ``pieces`` and kept by ``pack``; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, SPACE, Scratch, digests, large, mix, parallelism, placed, slices
+from .common import PUNCTUATION, SPACE, Scratch, digests, fresh, large, mix, parallelism, placed, slices
 
 ROOM = 2048
 END = np.zeros(1, "<u4").tobytes()
@@ -234,21 +234,22 @@ def pack(pieces: DataFrame, room: int = ROOM, scratch: Scratch | None = None) ->
     spark = pieces.sparkSession
     scratch = scratch or Scratch(spark)
     buckets = 8 * parallelism(spark)
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)).cast("int")
-    made = scratch.cut(pieces.withColumn("bucket", bucket), "pieces")
-    counted = scratch.cut(made.groupBy("length", "bucket").count(), "counts")
+    bucket, first, place, rank = (fresh(x, pieces) for x in ("bucket", "first", "place", "rank"))
+    of = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)).cast("int")
+    made = scratch.cut(pieces.withColumn(bucket, of), "pieces")
+    counted = scratch.cut(made.groupBy("length", bucket).agg(F.count("*").alias(first)), "counts")
     counts = np.zeros(room + 1, np.int64)
-    for length, n in counted.groupBy("length").agg(F.sum("count")).collect():  # at most room rows
+    for length, n in counted.groupBy("length").agg(F.sum(first)).collect():  # at most room rows
         counts[length] = n
-    before = F.sum("count").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    firsts = counted.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("first"))
+    before = F.sum(first).over(W.partitionBy("length").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1))
+    firsts = counted.select("length", bucket, F.coalesce(before, F.lit(0)).alias(first))
     places = spark.createDataFrame(_places(counts, room), "length long, low long, high long, many long, seq long, off long")
-    place = W.partitionBy("bucket", "length").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = made.withColumn("place", F.row_number().over(place)).join(firsts, ["bucket", "length"])
-    ranked = ranked.withColumn("rank", F.col("first") + F.col("place") - 1).drop("bucket", "first", "place")
+    within = W.partitionBy(bucket, "length").orderBy("doc_id", "piece", "start", "ids_crc32")
+    ranked = made.withColumn(place, F.row_number().over(within)).join(firsts, [bucket, "length"])
+    ranked = ranked.withColumn(rank, F.col(first) + F.col(place) - 1).drop(bucket, first, place)
     # combinations are of bounded number: each uses up some length's count below its number in the bin
-    out = ranked.join(F.broadcast(places).alias("p"), (F.col("p.length") == ranked["length"]) & F.col("rank").between(F.col("p.low"), F.col("p.high")))
-    at = F.col("rank") - F.col("p.low")
+    out = ranked.join(F.broadcast(places).alias("p"), (F.col("p.length") == ranked["length"]) & ranked[rank].between(F.col("p.low"), F.col("p.high")))
+    at = ranked[rank] - F.col("p.low")
     return out.select(
         *[ranked[c] for c in pieces.columns],
         (F.col("p.seq") + F.floor(at / F.col("p.many"))).cast("long").alias("sequence_id"),

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, Scratch, mix, parallelism, slices, words
+from .common import PUNCTUATION, Scratch, fresh, mix, parallelism, slices, words
 
 #: The masks: 1 marks a word that is hashed, 0 one that is ignored.
 MASKS = ("11101011", "1101100101", "1100101011", "101100010011")
@@ -234,7 +234,7 @@ def contamination(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all columns; rows without doc_id count as one document."""
-    scratch = Scratch(docs.sparkSession)
-    bad = scratch.cut(contamination(docs, benchmark, scratch=scratch, **how).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of docs that hold no benchmark item, with all columns, whatever their names; rows with one doc_id, or without, are one document."""
+    scratch, out = Scratch(docs.sparkSession), fresh("bad", docs)
+    bad = scratch.cut(contamination(docs, benchmark, scratch=scratch, **how).select(F.col("doc_id").alias(out)).distinct(), "contaminated")
+    return docs.join(bad.hint("merge"), docs["doc_id"].eqNullSafe(F.col(out)), "left_anti")

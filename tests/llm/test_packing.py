@@ -85,3 +85,17 @@ def test_combinations_use_every_piece():
     assert (used == counts).all()
     # as many lengths above half a bin as below: within a few hundredths of the bound
     assert bins <= 1.03 * -(-int((counts * np.arange(2049)).sum()) // 2048)
+
+
+def test_long_words_have_their_own_ids(tokenizer):
+    """Words that differ by bytes 4,096 apart, and ones that meet in linear hashes modulo a power of two."""
+    morse = "".join("b" if bin(i).count("1") % 2 else "a" for i in range(1024))
+    texts = ["a" + "x" * 4095 + "b", "b" + "x" * 4095 + "a", morse, morse.translate({97: "b", 98: "a"}), "x" * 5000 + "'s", "é" * 300, "<|endoftext|> " + "y" * 300]
+    got = list(B.UnitCache(tokenizer_path()).ids(pa.array(texts)))
+    assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_clashing_names(spark):
+    made = spark.createDataFrame([(1, 0, 0, 5, 7, "a", "b", "c", "d")], "doc_id long, piece int, start long, length long, ids_crc32 long, bucket string, First string, place string, rank string")
+    got = B.pack(made).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0, 5, 7, "a", "b", "c", "d", 0, 0)]
