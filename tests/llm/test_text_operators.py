@@ -378,6 +378,34 @@ def test_top_k_equals_brute_force(spark, monkeypatch, case):
     assert got == {i: v for i, v in want.items() if v}
 
 
+def test_top_k_of_repeated_rows(spark, monkeypatch):
+    """Of rows with one vec_id that with the smallest embedding counts, in whatever cells they would be; one vector is in a third of all rows."""
+    monkeypatch.setattr(K, "SHARD", 100)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(600)] + [(i, [0.25] * 5) for i in range(600, 900)]
+    again = rows[:40] + [(i, rng.normal(size=5).tolist()) for i in range(0, 200, 3)] + [(20, [float("nan")] * 5), (None, [1.0] * 5)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows + again], "vec_id long, embedding array<double>, cell int, shard int")
+    got = {}
+    for r in K.top_k(df, F.col("vec_id") % 20 == 0, k=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    kept = {}
+    for i, v in rows + again[:-2]:
+        kept[i] = min(kept.get(i, v), v)
+    vectors = floors(list(kept.items()))
+    assert got == brute_top(vectors, [i for i in vectors if i % 20 == 0], 7)
+
+
+def test_tree_search_equals_brute_force():
+    rng = np.random.default_rng(1)
+    x = np.floor(np.concatenate([rng.normal(c, 4, (256, 3)) for c in rng.normal(0, 200, (40, 3))]))
+    tree = K.KDTree(x, np.arange(len(x)))
+    assert tree.below[0] is not None and all(r is None or len(r) <= K.LEAF for r in tree.rows)
+    q = x[:1]
+    (rank, score), = tree.search(q, np.array([-1]), 5, [None], np.array([0]))
+    want = sorted(((-(q[0] @ v), i) for i, v in enumerate(x)))[:5]
+    assert sorted((-int(s), int(r)) for r, s in zip(rank, score)) == [(int(a), b) for a, b in want]
+
+
 def test_top_k_no_rows(spark):
     assert K.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
