@@ -28,6 +28,7 @@ def catalog(deliveries: DataFrame, merged: DataFrame | None = None) -> DataFrame
     merged (entity) MERGED_CONSOLIDATED. Versions are places in range partitions plus the entity's rows in those before, so an
     entity of many deliveries is split."""
     parts = int(deliveries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: partition ids must agree below
+    deliveries = deliveries.select("entity", "name", "arrived")  # both uses of the ranges below read the same columns
     ranged = deliveries.repartitionByRange(parts, "entity", "arrived", "name").withColumn("_part", F.spark_partition_id())
     placed = ranged.withColumn("_place", F.row_number().over(W.partitionBy("_part", "entity").orderBy("arrived", "name")))
     sizes = placed.groupBy("_part", "entity").agg(F.max("_place").alias("_n"))
@@ -53,16 +54,25 @@ def must_rebuild(stored: str | None, settings: dict, snapshots_there: bool) -> b
     return stored != fingerprint(settings) or not snapshots_there
 
 
+#: Most seed vectors that a column is compared with.
+SEEDS = 4096
+
+
 def nearest_signature(columns: DataFrame, known: DataFrame, most: float = 0.45) -> DataFrame:
     """(name, nearest, distance): each column's nearest known signature by cosine distance of vectors, if near enough.
 
-    known is a seed table; candidates share at least one component's sign bucket, so the join is on a key.
+    known is a seed table of at most SEEDS rows, which is gone over in full for each column, so no near one is missed; a longer
+    table is an error.
     """
+    seeds = known.select("name", F.col("vector").cast("array<double>")).orderBy("name").limit(SEEDS + 1).collect()
+    if len(seeds) > SEEDS:
+        raise ValueError(f"over {SEEDS} known signatures")
+    if not seeds:
+        return columns.sparkSession.createDataFrame([], "name string, nearest string, distance double")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     size = lambda a: F.sqrt(dot(a, a))
-    top = lambda c: F.array_position(c, F.array_max(c))
-    a = columns.select("name", F.col("vector").alias("a"), top(F.col("vector")).alias("top"))
-    b = known.select(F.col("name").alias("nearest"), F.col("vector").alias("b"), top(F.col("vector")).alias("top"))
-    both = a.join(b, "top").withColumn("distance", 1 - dot(F.col("a"), F.col("b")) / (size(F.col("a")) * size(F.col("b"))))
-    best = both.where(F.col("distance") < most).groupBy("name").agg(F.min(F.struct("distance", "nearest")).alias("x"))
-    return best.select("name", "x.nearest", "x.distance")
+    table = columns.sparkSession.createDataFrame([(seeds,)], "seeds array<struct<nearest:string,b:array<double>>>")
+    rows = columns.select("name", F.col("vector").cast("array<double>").alias("a")).join(F.broadcast(table))  # one row
+    away = F.transform("seeds", lambda s: F.struct((1 - dot(F.col("a"), s["b"]) / (size(F.col("a")) * size(s["b"]))).alias("distance"), s["nearest"].alias("nearest")))
+    rows = rows.select("name", F.array_min(F.filter(away, lambda x: x["distance"] < most)).alias("x")).where("x is not null")
+    return rows.groupBy("name").agg(F.min("x").alias("x")).select("name", "x.nearest", "x.distance")

@@ -119,16 +119,42 @@ def vendor_names(aliases: DataFrame, standards: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+
+
+def _grams(name: str) -> F.Column:
+    """Distinct pairs of neighbouring letters; of names of up to 3 letters, which can be alike without a pair, the letters as well."""
+    c = F.col(name)
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(c, i, F.lit(n)))
+    pairs = F.filter(cut(2), lambda x: F.length(x) == 2)
+    return F.array_distinct(F.when(F.length(c) <= 3, F.concat(pairs, cut(1))).otherwise(pairs))
 
 
 def fuzzy_vendors(names: DataFrame, standards: DataFrame, least: float = 0.8) -> DataFrame:
-    """(name, standard, ratio): the most alike standard name that shares a word's first four letters, by difflib's ratio.
+    """(name, standard, ratio): the most alike standard name by difflib's ratio, of at least ``least`` (0.8 or more).
 
-    Blocking keeps the comparison an equi-join; within blocks an Arrow UDF compares pairs.
+    Names are compared as distinct upper-case values. Candidates lose no match: with a ratio of 0.8 or more of T letters at least
+    0.4 T are matched on either side, in at most 0.2 T + 1 runs, so for T over 5 some run has two letters, and the shorter name has
+    two thirds of the longer one's. So they share a pair of letters; of a name's pairs, as many as may all be missing and one more
+    must be looked up, and the rarest among the standards are. A candidate must have the letters in common that the ratio needs.
     """
-    words = lambda c: F.explode(F.array_distinct(F.transform(F.split(F.upper(c), r"\W+"), lambda w: F.substring(w, 1, 4))))
-    n = names.select("name", words("name").alias("block")).where("block <> ''")
-    s = standards.select("standard", words("standard").alias("block")).where("block <> ''")
-    pairs = n.join(s, "block").select("name", "standard").distinct().withColumn("ratio", _ratio(F.upper("name"), F.upper("standard")))
-    return pick(pairs.where(F.col("ratio") >= least), ["name"], [F.desc("ratio"), F.col("standard")])
+    if not 0.8 <= least <= 1:
+        raise ValueError("least must be 0.8 or more")
+    n = names.select(F.upper("name").alias("a")).where("a <> ''").distinct()
+    s = standards.select(F.upper("standard").alias("b")).where("b <> ''").distinct()
+    by_gram = s.select("b", F.explode(_grams("b")).alias("gram"))
+    often = by_gram.groupBy("gram").agg(F.count("*").alias("often"))
+    looked = n.select("a", F.explode(_grams("a")).alias("gram")).join(often, "gram")
+    # at least M - runs = 0.2 T - 1 of the name's pairs are shared, T being at least 5 / 3 of its length
+    rank = F.row_number().over(W.partitionBy("a").orderBy("often", "gram"))
+    missing = F.when(F.length("a") <= 3, F.lit(9)).otherwise(F.floor(F.length("a") * 2 / 3) + 1)
+    looked = looked.withColumn("rank", rank).where(F.col("rank") <= missing)
+    pairs = looked.join(by_gram, "gram").select("a", "b").distinct()
+    la, lb = F.length("a"), F.length("b")
+    pairs = pairs.where(2 * F.least(la, lb) >= least * (la + lb) - 1e-9)
+    letters = lambda c: F.array_sort(F.split(F.col(c), ""))
+    common = la - F.length(F.array_join(F.array_except(letters("a"), letters("b")), ""))  # at most: repeated letters count as common
+    pairs = pairs.where(2 * common >= least * (la + lb) - 1e-9)
+    scored = pairs.withColumn("ratio", _ratio("a", "b")).where(F.col("ratio") >= least)
+    best = names.select("name").distinct().withColumn("a", F.upper("name")).join(scored, "a").join(standards.select("standard", F.upper("standard").alias("b")).distinct(), "b")
+    return pick(best, ["name"], [F.desc("ratio"), F.col("standard")]).select("name", "standard", "ratio")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def pick(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key; order must be total for a defined result."""
@@ -31,12 +33,24 @@ def mode(df: DataFrame, keys: list[str], value: str, alias: str) -> DataFrame:
 
 
 def row_ids(df: DataFrame, keys: list[str], alias: str = "row_number") -> DataFrame:
-    """Numbers from 1 in the order of keys, without gathering the rows in one task: positions inside range partitions plus
-    the sizes of the partitions before."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: partition ids must agree below
-    ranged = df.repartitionByRange(parts, *(F.col(k).asc_nulls_last() for k in keys)).withColumn("_part", F.spark_partition_id())
-    w = W.partitionBy("_part").orderBy(*(F.col(k).asc_nulls_last() for k in keys))
-    placed = ranged.withColumn("_place", F.row_number().over(w))
-    sizes = placed.groupBy("_part").agg(F.max("_place").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return placed.join(F.broadcast(before), "_part").withColumn(alias, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+    """Numbers from 1 in the order of keys, nulls last, without gathering the rows in one task: positions inside range partitions
+    plus the sizes of the partitions before. Columns other than the keys break no ties; equal rows get numbers in any order.
+
+    The ranges are drawn by a sample, so the ranged rows are written once: numbers and sizes must be of the same ranges.
+    """
+    part, place, n, before = (_unused(x, df) for x in ("part", "place", "n", "before"))
+    order = [F.col(k).asc_nulls_last() for k in keys]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy(part).agg(F.count("*").alias(n))
+    running = F.sum(n).over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1))  # over as many rows as there are partitions
+    sizes = sizes.select(part, F.coalesce(running, F.lit(0)).alias(before))
+    placed = ranged.withColumn(place, F.row_number().over(W.partitionBy(part).orderBy(*order)))
+    return placed.join(F.broadcast(sizes), part).withColumn(alias, F.col(before) + F.col(place)).drop(part, place, before)
+
+
+def _unused(name: str, df: DataFrame) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

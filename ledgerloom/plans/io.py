@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
@@ -11,14 +9,13 @@ from ..functions import pricing as P
 from ..operators import incremental as I
 from ..operators import manifest as N
 from ..operators import windows as O
-from ..sources import readers, sinks
+from ..sources import readers, shared, sinks
 from .registry import query
 
 
 def place(d, name: str) -> str:
     """A new path in the shared folder."""
-    top = d.spark.conf.get("spark.checkpoint.dir", None) or d.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/io/{uuid.uuid4().hex}/{name}"
+    return shared.place(d.spark, name)
 
 
 _TEXT = "select item_id, description, coalesce(manufacturer, '') as manufacturer, manufacturer_part from item_master"

@@ -22,12 +22,20 @@ def retained(logs: DataFrame, now: Column, days: int = 90) -> DataFrame:
 
 
 def deliver(spark: SparkSession, source: str, schema: str, store: Versions, table: str, keys: list[str], mode: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of late rows is merged into the table under a mode and committed as a version."""
-
-    def batch(df: DataFrame, _: int) -> None:
-        live = store.read(table)
-        merged = mutate(live.drop("record_status"), df, keys, mode)
-        store.commit({table: merged})
+    """Each micro-batch of late rows is merged into the table's ACTIVE rows under a mode and committed as a version.
+
+    Rows of other statuses are history and stay as they are. A version notes the last batch of each stream, by its checkpoint
+    folder, so a batch that runs again after a failure changes nothing.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        done = store.notes()
+        if done.get(checkpoint, -1) >= number:
+            return
+        every = store.read(table)
+        live = every.where("record_status = 'ACTIVE'").drop("record_status")
+        history = every.where("record_status is distinct from 'ACTIVE'")
+        store.commit({table: mutate(live, df, keys, mode).unionByName(history)}, notes=done | {checkpoint: number})
 
     rows = spark.readStream.schema(schema).parquet(source)
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

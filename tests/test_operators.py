@@ -178,3 +178,78 @@ def test_catalog_splits_a_hot_entity(spark):
     assert got == want | {("cold", "a"): (1, "ACTIVE"), (None, "b"): (2, "ACTIVE"), (None, "c"): (1, "SUPERSEDED")}
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning(entity" in plan and "row_number() windowspecdefinition(entity" not in plan
+
+
+def test_row_ids_of_wide_rows_in_many_partitions(spark):
+    rows = spark.range(0, 40_000, 1, 20).select((F.col("id") * 7919 % 40_000).alias("k"), F.col("id").alias("place"), F.repeat(F.lit("x"), 50).alias("part"), F.when(F.col("id") % 9 > 0, F.col("id")).alias("n"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        got = W.row_ids(rows, ["k"]).select("k", "row_number", "part", "n").collect()
+        nulls = W.row_ids(rows, ["n", "k"], "at").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 40_000 and all(r.row_number == r.k + 1 for r in got)
+    want = sorted((r.n is None, r.n or 0, r.k) for r in nulls)
+    assert sorted((r.at, (r.n is None, r.n or 0, r.k)) for r in nulls) == list(enumerate(want, 1))
+
+
+def test_versions_are_numbered_and_discarded(spark, tmp_path):
+    store = sinks.Versions(spark, f"file://{tmp_path}/store")
+    made = [store.commit({"t": spark.range(n)}, notes={"n": n}) for n in (1, 2, 3)]
+    assert store.versions() == made and store.notes() == {"n": 3}
+    store.discard(keep=1)
+    assert store.versions() == made[-1:] and store.read("t").count() == 3
+    store._numbers = lambda: []  # another commit has come in between
+    with pytest.raises(RuntimeError):
+        store.commit({"t": spark.range(9)})
+        store.commit({"t": spark.range(9)})
+
+
+@pytest.mark.parametrize("mode,trail", [("UPSERT_OVERWRITE", []), ("SPLIT_AUDIT_TRAIL", [("b", 2, "SUPERSEDED"), ("c", 3, "SUPERSEDED")]), ("PRESERVE_HISTORIC_RECORD", [("b", 5, "LEDGERED"), ("c", 6, "LEDGERED")])])
+def test_deliveries_keep_the_trail(spark, tmp_path, mode, trail):
+    store = sinks.Versions(spark, f"file://{tmp_path}/store")
+    store.commit({"t": spark.createDataFrame([("a", 1, "ACTIVE"), ("b", 2, "ACTIVE"), ("c", 3, "ACTIVE")], "k string, v int, record_status string")})
+    for row in (("b", 5), ("c", 6)):
+        spark.createDataFrame([row], "k string, v int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        feeds.deliver(spark, f"{tmp_path}/in", "k string, v int", store, "t", ["k"], mode, f"{tmp_path}/check").awaitTermination()
+    active = [("a", 1, "ACTIVE"), *([("b", 2, "ACTIVE"), ("c", 3, "ACTIVE")] if mode.startswith("PRESERVE") else [("b", 5, "ACTIVE"), ("c", 6, "ACTIVE")])]
+    got = sorted(tuple(r) for r in store.read("t").select("k", "v", "record_status").collect())
+    assert got == sorted(active + trail)
+    versions = store.versions()
+    import shutil
+
+    shutil.rmtree(tmp_path / "check" / "commits")  # as after a failure between the commit of the version and of the batch
+    feeds.deliver(spark, f"{tmp_path}/in", "k string, v int", store, "t", ["k"], mode, f"{tmp_path}/check").awaitTermination()
+    assert store.versions() == versions and got == sorted(tuple(r) for r in store.read("t").select("k", "v", "record_status").collect())
+
+
+def test_fuzzy_vendors_equal_brute_force(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(6)
+    standards = sorted({"".join(rng.choices("ABCDE ", k=rng.randint(1, 14))).strip() or "A" for _ in range(120)} | {"MEDTRONIC", "AB", "AXB", "ACME INC", "ACNE INC"})
+    names = {"MDETRONIC", "Xedtronic", "AB", "aXB", "ABX", "", *(rng.choice(standards) for _ in range(20))}
+    for s in standards:
+        x = list(s)
+        for _ in range(rng.randint(0, 3)):
+            x.insert(rng.randrange(len(x) + 1), rng.choice("ABCDE "))
+            x.pop(rng.randrange(len(x)))
+        names.add("".join(x))
+    got = {r.name: (r.standard, r.ratio) for r in M.fuzzy_vendors(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(s,) for s in standards], "standard string")).collect()}
+    want = {}
+    for n in names:
+        best = min(((-SequenceMatcher(None, n.upper(), s, autojunk=False).ratio(), s) for s in standards))
+        if -best[0] >= 0.8:
+            want[n] = (best[1], -best[0])
+    assert got == want and "MDETRONIC" in got and "Xedtronic" in got
+
+
+def test_nearest_signature_misses_none(spark):
+    from ledgerloom.operators import manifest
+
+    columns = spark.createDataFrame([("a", [1.0, 0.9]), ("b", [-1.0, 0.0])], "name string, vector array<double>")
+    known = spark.createDataFrame([("x", [0.9, 1.0]), ("y", [0.0, 1.0])], "name string, vector array<double>")
+    assert [(r.name, r.nearest) for r in manifest.nearest_signature(columns, known).collect()] == [("a", "x")]
+    assert manifest.nearest_signature(columns, known.limit(0)).count() == 0
