@@ -44,16 +44,49 @@ def contract_cascade(rows: DataFrame, contracts: DataFrame, key: str, date_in_jo
     rows: key, item_id, vendor, unit, day; contracts: contract_number, item_id, vendor, uom, starts, ends, price.
     """
     c = contracts.select("contract_number", "item_id", F.col("vendor").alias("c_vendor"), F.col("uom").alias("c_unit"), "starts", "ends", "price")
-    both = rows.join(c, "item_id")
+    asks = ["item_id", "vendor", "unit", "day"]
+    # each combination is decided once, by a grouped minimum that starts before the shuffle; rows without item are in no join
+    both = rows.where(~F.upper(F.trim("item_id")).isin(*BLANK)).select(*asks).distinct().join(c, "item_id")
     tier = F.when((F.col("vendor") == F.col("c_vendor")) & (F.col("unit") == F.col("c_unit")), 1).when(F.col("vendor") == F.col("c_vendor"), 2).otherwise(3)
-    valid = valid_on(F.col("day"), F.col("starts"), F.col("ends"))
-    both = both.withColumn("tier", tier).withColumn("valid", F.coalesce(valid, F.lit(False)))
+    valid = F.coalesce(valid_on(F.col("day"), F.col("starts"), F.col("ends")), F.lit(False))
     if date_in_join:
-        both = both.where("valid")
-    order = [F.col("tier"), *([] if date_in_join else [F.desc("valid")]), F.desc(F.coalesce("ends", F.lit("2099-12-31").cast("date"))), F.col("contract_number"), F.col("price").asc_nulls_last(), F.col("starts"), F.col("c_vendor"), F.col("c_unit")]
-    best = pick(both, [key], order).select(key, "contract_number", "tier", "valid")
-    status = F.when(F.col("contract_number").isNull(), "NO_CONTRACT").when(F.col("valid"), "ON_CONTRACT").otherwise("LAPSED_CONTRACT")
-    return rows.select(key).join(best, key, "left").select(key, "contract_number", F.coalesce("tier", F.lit(99)).alias("tier"), status.alias("status"))
+        both = both.where(valid)
+    last = F.coalesce("ends", F.lit("2099-12-31").cast("date"))
+    order = [tier.alias("tier"), (~valid).alias("invalid"), -F.unix_date(last), "contract_number", F.col("price").isNull(), "price", "starts", "c_vendor", "c_unit"]
+    best = both.groupBy(*asks).agg(F.min(F.struct(*order)).alias("best"))
+    best = best.select(*(F.col(x).alias(f"asked_{x}") for x in asks), "best.tier", "best.invalid", "best.contract_number")
+    same = reduce(lambda a, b: a & b, (rows[x].eqNullSafe(best[f"asked_{x}"]) for x in asks))
+    status = F.when(F.col("contract_number").isNull(), "NO_CONTRACT").when(F.col("invalid"), "LAPSED_CONTRACT").otherwise("ON_CONTRACT")
+    return rows.join(best, same, "left").select(rows[key], "contract_number", F.coalesce("tier", F.lit(99)).alias("tier"), status.alias("status"))
+
+
+def first_by_end(rows: DataFrame, keys: list[str], before: list[str]) -> DataFrame:
+    """Of each key the row that is least in the columns of before, then has the latest end, an open one last."""
+    others = [c for c in rows.columns if c not in keys]
+    order = [*before, F.col("ends").isNull(), -F.unix_date("ends"), "contract_number", "starts", F.col("price").isNull(), "price", "contract_uom"]
+    least = F.min(F.struct(F.struct(*order).alias("order"), F.struct(*others).alias("row"))).alias("best")
+    return rows.groupBy(*keys).agg(least).select(*keys, "best.row.*")
+
+
+def contract_in_force(rows: DataFrame, contracts: DataFrame) -> DataFrame:
+    """rows with tier, contract_number, price, each_price, contract_uom, category, starts and ends of the contract in force on day.
+
+    Tiers: item, vendor, maker's part and unit (1); item, vendor and unit (2); item and vendor (3); vendor and maker's part (4).
+    rows: item_id, vendor, catalog_number, unit, day and more. Each combination of these is decided once, and only combinations
+    without a contract by item are looked up by part.
+    """
+    asks = ["item_id", "vendor", "catalog_number", "unit", "day"]
+    asked = rows.select(*asks).where("day is not null and trim(vendor) <> ''").distinct()
+    c = contracts.select("contract_number", "item_id", "vendor", "manufacturer_part", "price", "each_price", F.col("uom").alias("contract_uom"), "category", "starts", "ends")
+    valid = valid_on(F.col("day"), F.col("starts"), F.col("ends"))
+    same = F.col("unit") == F.col("contract_uom")
+    tier = F.when(same & (F.col("catalog_number") == F.col("manufacturer_part")), 1).when(same, 2).otherwise(3)
+    by_item = asked.where("item_id <> ''").join(c, ["item_id", "vendor"]).where(valid).withColumn("tier", tier).drop("manufacturer_part")
+    by_item = first_by_end(by_item, asks, ["tier"])
+    rest = asked.join(by_item.select(*asks), asks, "left_anti").where(~F.upper(F.trim("catalog_number")).isin(*BLANK))
+    by_part = rest.join(c.drop("item_id").withColumnRenamed("manufacturer_part", "catalog_number"), ["vendor", "catalog_number"]).where(valid).withColumn("tier", F.lit(4))
+    best = by_item.unionByName(first_by_end(by_part, asks, []))
+    return rows.join(best, asks, "left")
 
 
 def historical(rows: DataFrame, contracts: DataFrame, key: str, lookback_months: int = 6) -> DataFrame:
@@ -72,15 +105,17 @@ def historical(rows: DataFrame, contracts: DataFrame, key: str, lookback_months:
     both = both.withColumn("latest", F.max(F.when(F.col("active"), F.col("starts"))).over(combo))
     tie = F.col("active") & (F.col("starts") == F.col("latest"))
     price_key = F.coalesce(F.round("each_price", 6), -F.round("price", 6))
+    # whether there are several is seen by the least and the greatest, without the shuffles of distinct counts
+    several = lambda name, c: [f(F.when(tie & F.col("price").isNotNull(), c)).alias(f"{name}_{f.__name__}") for f in (F.min, F.max)]
+    differ = lambda name: F.col(f"{name}_min") != F.col(f"{name}_max")
     best = F.min(F.when(tie & F.col("price").isNotNull(), F.struct((F.col("uom") != "EA").alias("x"), "contract_number", "uom", "price"))).alias("best")
     decided = both.groupBy("vendor", "item_id", "day").agg(
         F.count("contract_number").alias("found"), F.count_if("active").alias("n_active"), F.count_if("near").alias("n_near"),
-        F.count(F.when(tie, F.col("price"))).alias("priced"), F.count_distinct(F.when(tie & F.col("price").isNotNull(), price_key)).alias("prices"),
-        F.count_distinct(F.when(tie & F.col("price").isNotNull(), F.col("contract_number"))).alias("numbers"), best,
+        F.count(F.when(tie, F.col("price"))).alias("priced"), *several("prices", price_key), *several("numbers", F.col("contract_number")), best,
     )
     status = (
         F.when(F.col("found") == 0, "NOT_FOUND").when((F.col("n_active") == 0) & (F.col("n_near") > 0), "NOT_ACTIVE_IN_LOOKBACK").when(F.col("n_active") == 0, "NOT_ACTIVE")
-        .when(F.col("priced") == 0, "PRICE_MISSING").when((F.col("prices") > 1) & (F.col("numbers") > 1), "AMBIGUOUS_MULTIPLE_CONTRACTS").when(F.col("prices") > 1, "AMBIGUOUS_MULTIPLE_PRICES").otherwise("MATCHED")
+        .when(F.col("priced") == 0, "PRICE_MISSING").when(differ("prices") & differ("numbers"), "AMBIGUOUS_MULTIPLE_CONTRACTS").when(differ("prices"), "AMBIGUOUS_MULTIPLE_PRICES").otherwise("MATCHED")
     )
     decided = decided.withColumn("status", status)
     hit = F.col("status") == "MATCHED"

@@ -38,7 +38,7 @@ def row_ids(df: DataFrame, keys: list[str], alias: str = "row_number") -> DataFr
 
     The ranges are drawn by a sample, so the ranged rows are written once: numbers and sizes must be of the same ranges.
     """
-    part, place, n, before = (_unused(x, df) for x in ("part", "place", "n", "before"))
+    part, place, n, before = (_unused(x, df, alias) for x in ("part", "place", "n", "before"))
     order = [F.col(k).asc_nulls_last() for k in keys]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = written(df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id()), "ranged")
@@ -49,8 +49,8 @@ def row_ids(df: DataFrame, keys: list[str], alias: str = "row_number") -> DataFr
     return placed.join(F.broadcast(sizes), part).withColumn(alias, F.col(before) + F.col(place)).drop(part, place, before)
 
 
-def _unused(name: str, df: DataFrame) -> str:
-    taken = {c.lower() for c in df.columns}
+def _unused(name: str, df: DataFrame, *more: str) -> str:
+    taken = {c.lower() for c in (*df.columns, *more)}
     while name in taken:
         name += "_"
     return name

@@ -138,7 +138,7 @@ _V = f"v as (select l.*, c.*, {_VARIANCE} as variance from lines l join (select
 
 
 def detailed(d):
-    return lines(d).join(d.consumption.select("row_id", "service_date", "facility", "manufacturer", "patient_type", "description"), "row_id")
+    return lines(d, "service_date", "facility", "manufacturer", "patient_type", "description")
 
 
 @query("AGG-22", f"with {_LINES}, {_V} select vendor, strftime(service_date, '%Y-%m') as month, count(*) as lines, count(*) filter (item_id <> '') as eligible, count(contract_number) as matched, {r('sum(spend)')} as spend, {r('sum(variance)')} as variance, count(contract_number) filter (item_id <> '') * 1e0 / nullif(count(*) filter (item_id <> ''), 0) as match_rate from v group by 1, 2")

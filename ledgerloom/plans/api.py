@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import cents
+from ..operators import windows as O
 from .aggregates import _V, detailed, r
 from .projections import _LINES, lines
 from .registry import query
@@ -54,9 +55,10 @@ _X = _V.replace("v as (", "x as (", 1)
 
 @query("API-02", " union all ".join(f"select * from (with {_LINES}, {_X} select '{k}' as by, {k} as name, {r('sum(greatest(variance, 0e0))')} as savings from x group by 2 order by 3 desc, 2 limit 5)" for k in ("manufacturer", "vendor", "description")))
 def top_savings(d):
-    x = detailed(d)
-    one = lambda k: x.groupBy(F.lit(k).alias("by"), F.col(k).alias("name")).agg(cents(F.sum(F.greatest("variance", F.lit(0.0)))).alias("savings")).orderBy(F.desc("savings"), "name").limit(5)
-    return one("manufacturer").unionAll(one("vendor")).unionAll(one("description"))
+    keys = F.array(*(F.struct(F.lit(k).alias("by"), F.col(k).alias("name")) for k in ("manufacturer", "vendor", "description")))
+    over = detailed(d).select(F.explode(keys).alias("x"), F.greatest("variance", F.lit(0.0)).alias("over"))  # one pass for the three
+    sums = over.groupBy("x.by", "x.name").agg(cents(F.sum("over")).alias("savings"))
+    return O.pick(sums, ["by"], [F.desc("savings"), F.col("name")], 5)
 
 
 @query("API-03", f"select strftime(service_date, '%Y-%m') as month, count(*) as lines, {r('sum(unit_price * quantity)')} as spend, count(*) filter (item_id = '') as unmapped from consumption group by 1")

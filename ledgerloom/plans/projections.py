@@ -81,14 +81,14 @@ _LINES = """lines as (select c.row_id, c.unit_price, c.quantity, c.unit_price *
 _VARIANCE = f"case when price > 0 then (unit_price - case when {_UNIT} = contract_uom then price else coalesce(each_price * qoe, 0) end) * quantity else 0 end"
 
 
-def lines(d):
-    """Lines with the cheapest contract of their item and vendor."""
+def lines(d, *more):
+    """Lines with the cheapest contract of their item and vendor, and more columns of consumption."""
     from ..operators.windows import pick
 
     k = d.contracts.where("right(contract_number, 1) <> 'B'")
     k = pick(k, ["item_id", "vendor"], [F.col("price").asc_nulls_last(), F.col("contract_number"), F.col("starts")])
     k = k.select("item_id", "vendor", "contract_number", "price", "each_price", F.col("uom").alias("contract_uom"), "qoe")
-    c = d.consumption.select("row_id", "item_id", "vendor", "unit_price", "quantity", (F.col("unit_price") * F.col("quantity")).alias("spend"), C.standard_unit(F.col("uom")).alias("unit"))
+    c = d.consumption.select("row_id", "item_id", "vendor", "unit_price", "quantity", (F.col("unit_price") * F.col("quantity")).alias("spend"), C.standard_unit(F.col("uom")).alias("unit"), *more)
     same = F.col("unit") == F.col("contract_uom")
     out = c.join(k, ["item_id", "vendor"], "left")
     return out.withColumn("variance", P.variance(F.col("unit_price"), F.col("quantity"), F.col("price"), F.col("each_price"), F.col("qoe"), same))
