@@ -1,30 +1,36 @@
 """Main text of web pages by minimum-cut labelling (operator 4).
 
-A page is read into text blocks with the elements above them. A linear classifier on these elements' names, classes and roles
-and on the block's words and links gives each block a log-odds value for content; its size is the capacity of the block's edge
-from the source (content) or to the sink (boilerplate), which is the cost of deciding against it. Blocks that follow each other,
-and consecutive blocks of one parent, are joined by smoothness edges whose capacity grows with the share of the DOM path that
-both have in common. The minimum cut, found as a maximum flow, separates content from boilerplate at the least total cost.
-
-The weights are fixed values below: no table has labelled blocks to fit them to. Evidence of an element such as <nav> or a
-class such as "advert" exceeds what smoothness edges can carry, so a cut never takes such a block in for its neighbours' sake.
-
-Defined cases: a null, empty or text-free page gives the empty text; character references are decoded once, white space inside
-a block becomes one space, blocks are joined by one space; script, style, comments and the head are never text; unclosed and
-misnested tags close where HTML closes them, an unclosed comment or script reaches to the end; pages are handled whole; repeated
-rows are repeated results; null page_ids are kept; other columns are ignored; no rows give no rows.
+A page is read into text blocks with the elements above them. A classifier gives each block a log-odds value for content; its size
+is the capacity of the block's edge from the source (content) or to the sink (boilerplate), which is the cost of deciding against
+it. Blocks that follow each other, and consecutive blocks of one parent, are joined by smoothness edges whose capacity grows with
+the share of the DOM path that both have in common. The minimum cut, found as a maximum flow, separates content from boilerplate
+at the least total cost, so a doubtful block goes with its neighbours.
+
+The classifier is a logistic regression on what a block is like: words, links, sentence end, heading, list item, paragraph,
+siblings, neighbours, share of the page. It is fitted to a bounded sample of pages whose element names, classes and roles tell
+content from boilerplate; those names are no features, so it also serves pages without them. Where a page has them, they add
+fixed evidence, of the order of what a block's edges can carry.
+
+Defined cases: a null, empty or text-free page gives the empty text; a page of which the cut leaves nothing keeps the blocks that
+no boilerplate element holds and that aren't mostly links; without pages to fit to, fixed weights serve; character references are
+decoded once, white space inside a block becomes one space, blocks are joined by one space; script, style, comments and the head
+are never text; unclosed and misnested tags close where HTML closes them, an unclosed comment or script reaches to the end; pages
+are handled whole, in time that doesn't grow with the depth of their elements; repeated rows are repeated results; null page_ids
+are kept; other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 from math import log1p
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import slices
 
@@ -47,9 +53,17 @@ BOILERPLATE_WORDS = frozenset(
 NEVER_WRAPPERS = frozenset("comment comments commentlist disqus discussion replies reply respond feedback related recommended recommendations trending popular".split())
 HEADER_WORDS = frozenset("header banner".split())
 CONTENT_WORDS = frozenset("article content post entry story main body articlebody".split())
-# Weights of the evidence.
-STRONG, INSIDE, OUTSIDE = 8.0, 4.0, -3.0
+# Evidence of names for content, against it, outside the content of a page that has some, and for link lists; smoothness.
+INSIDE, BOILERPLATE, OUTSIDE, LINK_LIST = 5.0, -6.0, -5.0, -6.0
 NEXT, SIBLING = 1.2, 0.6
+#: The classifier's value is within this.
+MOST = 4.0
+#: Features of a block, and their weights where there is nothing to fit them to.
+FEATURES = {
+    "one": -1.0, "words": 0.41, "linked": -4.0, "sentence": 0.6, "heading": 0.6, "listed": 0.0, "paragraph": 0.0, "siblings": 0.0, "copyright": -3.0,
+    "words_before": 0.0, "words_after": 0.0, "share": 0.0,
+}
+DEFAULT = tuple(FEATURES.values())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?>\"[^\"]*\"|'[^']*'|[^'\">])*+(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>",
@@ -60,21 +74,22 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "sign", "chars", "holds", "words")
+    """Flags that hold for all below are taken from the parent, so nothing walks to the top."""
+
+    __slots__ = ("tag", "parent", "depth", "sign", "chars", "holds", "words", "block", "heading", "inside", "texts", "standing")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str = ""):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
-        self.chars, self.holds = 0, False
+        self.chars, self.holds, self.texts, self.standing = 0, False, 0, 0
+        self.block = parent.block if parent and tag in INLINE else self
+        self.heading = tag in HEADINGS or bool(parent and parent.heading)
         self.words = words = self.read(attributes) if attributes and not attributes.isspace() else frozenset()
         bad = tag in BOILERPLATE_TAGS or bool(words & BOILERPLATE_WORDS)
         if tag == "header" or bad and words & BOILERPLATE_WORDS <= HEADER_WORDS and tag not in BOILERPLATE_TAGS:
-            # an article's own header is part of it
-            above, bad = parent, not words & CONTENT_WORDS
-            while above and bad:
-                bad = not (above.tag in CONTENT_TAGS or above.words & CONTENT_WORDS)
-                above = above.parent
+            bad = not words & CONTENT_WORDS and not (parent and parent.inside)  # an article's own header is part of it
         good = tag in CONTENT_TAGS or bool(words & CONTENT_WORDS)
         self.sign = -1 if bad else 1 if good else 0
+        self.inside = good or bool(parent and parent.inside)
 
     @staticmethod
     def read(attributes: str) -> frozenset[str]:
@@ -96,25 +111,20 @@ class Block:
 
 
 def blocks(html: str) -> list[Block]:
-    """Text blocks in page order."""
+    """Text blocks in page order; their elements know whether they stand in content (1), in boilerplate (-1) or in neither."""
     top = at = Element("#top", None)
+    every = [top]
     out: list[Block] = []
     parts: list[str] = []
     linked = links = 0
+    open_: Counter[str] = Counter()
 
     def close() -> None:
         nonlocal linked
         if parts:
             if text := " ".join(unescape("".join(parts)).split()):
-                block = at
-                while block.tag in INLINE and block.parent:
-                    block = block.parent
-                heading, above = False, block
-                while above:
-                    above.chars += len(text)
-                    heading |= above.tag in HEADINGS
-                    above = above.parent
-                out.append(Block(block, text, linked, heading))
+                out.append(Block(at.block, text, linked, at.heading))
+                at.block.chars += len(text)
             parts.clear()
         linked = 0
 
@@ -135,15 +145,14 @@ def blocks(html: str) -> list[Block]:
         if not inline:
             close()
         if m[2]:
-            found = at
+            found = at if open_[tag] else None
             while found and found.tag != tag and not (inline and found.tag not in INLINE):
                 found = found.parent
             if found and found.tag == tag and found.parent:
-                while at is not found:
+                while at is not found.parent:
                     links -= at.tag == "a"
+                    open_[at.tag] -= 1
                     at = at.parent
-                links -= tag == "a"
-                at = found.parent
             continue
         drop = {"p"} if tag in CLOSES_P else SAME.get(tag, ())
         if drop:
@@ -153,10 +162,13 @@ def blocks(html: str) -> list[Block]:
             if found and found.tag in drop:
                 while at is not found.parent:
                     links -= at.tag == "a"
+                    open_[at.tag] -= 1
                     at = at.parent
         if tag in VOID or m[4].endswith("/") and not inline and tag not in CLOSES_P:
             continue
         at = Element(tag, at, m[4])
+        every.append(at)
+        open_[tag] += 1
         links += tag == "a"
         if at.sign > 0:
             above = at.parent
@@ -166,40 +178,53 @@ def blocks(html: str) -> list[Block]:
     if last < len(html):
         parts.append(html[last:])
     close()
+    for x in reversed(every[1:]):  # parents come before their children
+        x.parent.chars += x.chars
+    for x in every[1:]:
+        # boilerplate elements count wherever they are, but for wrappers with most of the page's text around its article
+        wrapper = x.holds and 2 * x.chars >= top.chars and not x.words & NEVER_WRAPPERS
+        x.standing = -1 if x.parent.standing < 0 or x.sign < 0 and not wrapper else max(x.parent.standing, x.sign)
+    for b in out:
+        if b.parent.parent:
+            b.parent.parent.texts += 1
     return out
 
 
-def evidence(page: list[Block]) -> list[float]:
-    """Log-odds of content of each block."""
+def features(page: list[Block]) -> np.ndarray:
+    """A row of FEATURES for each block."""
     total = sum(len(b.text) for b in page)
-    marked = any(_standing(b.parent, total) > 0 for b in page)
-    out = []
-    for b in page:
-        standing = _standing(b.parent, total)
-        words = b.text.count(" ") + 1
-        dense = min(1.0, b.linked / len(b.text))
-        if standing < 0:
-            value = -STRONG
-        elif standing > 0:
-            value = INSIDE - (6.0 if dense > 0.9 and not b.heading and words < 12 and b.parent.tag == "li" else 0.0)
-        else:
-            value = -1.0 + 0.9 * log1p(words) / log1p(8) + 0.6 * (b.text[-1] in ".!?\"'") + 0.6 * b.heading - 4.0 * dense - 3.0 * ("©" in b.text)
-            if marked:
-                value = min(value, 0.0) + OUTSIDE
-        out.append(value)
-    return out
-
-
-def _standing(at: Element | None, total: int) -> int:
-    """1 inside a content element, -1 inside a boilerplate one, 0 in neither. Boilerplate elements count wherever they are
-    above the block, but for wrappers with most of the page's text around its article."""
-    found = 0
-    while at:
-        if at.sign < 0 and not (at.holds and 2 * at.chars >= total and not at.words & NEVER_WRAPPERS):
-            return -1
-        found = found or max(0, at.sign)
-        at = at.parent
-    return found
+    words = [log1p(b.text.count(" ") + 1) for b in page]
+    before, after = [0.0, *words[:-1]], [*words[1:], 0.0]
+    rows = [
+        (
+            1.0, w, min(1.0, b.linked / len(b.text)), b.text[-1] in ".!?\"'", b.heading, b.parent.tag == "li", b.parent.tag == "p", log1p(b.parent.parent.texts if b.parent.parent else 1), "\u00a9" in b.text,
+            x, y, len(b.text) / total,
+        )
+        for b, w, x, y in zip(page, words, before, after, strict=True)
+    ]
+    return np.array(rows, float).reshape(len(page), len(FEATURES))
+
+
+def evidence(page: list[Block], weights: tuple[float, ...] = DEFAULT) -> list[float]:
+    """Log-odds of content of each block: the classifier's value, and what names add."""
+    value = (features(page) @ np.array(weights)).clip(-MOST, MOST)
+    standing = np.array([b.parent.standing for b in page])
+    menu = np.array([b.parent.tag == "li" and not b.heading and b.linked > 0.9 * len(b.text) and b.text.count(" ") < 11 for b in page])
+    names = np.where(standing < 0, BOILERPLATE, np.where(standing > 0, INSIDE + LINK_LIST * menu, OUTSIDE if (standing > 0).any() else 0.0))
+    return (value + names).tolist()
+
+
+def fit(x: np.ndarray, content: np.ndarray, penalty: float = 1.0, steps: int = 30) -> tuple[float, ...]:
+    """Weights of a logistic regression by Newton's method, both kinds weighing the same."""
+    if not 0 < content.mean() < 1:
+        return DEFAULT
+    w = np.zeros(x.shape[1])
+    weight = np.where(content, 0.5 / content.mean(), 0.5 / (~content).mean())
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-(x @ w).clip(-30, 30)))
+        slope = x.T @ (weight * (content - p)) - penalty * w
+        w = w + np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w)), slope)
+    return tuple(w.tolist())
 
 
 def proximity(a: Element, b: Element) -> float:
@@ -268,10 +293,8 @@ def minimum_cut(value: list[float], edges: list[tuple[int, int, float]]) -> list
                 place[u] += 1
 
 
-def main_text(html: str | None) -> str:
-    page = blocks(html or "")
-    if not page:
-        return ""
+def label(page: list[Block], weights: tuple[float, ...] = DEFAULT) -> list[bool]:
+    """Which blocks are content."""
     edges, last = [], {}
     for i, b in enumerate(page):
         if i:
@@ -280,20 +303,51 @@ def main_text(html: str | None) -> str:
         if (j := last.get(above, i)) < i - 1:
             edges.append((j, i, SIBLING * proximity(page[j].parent, b.parent)))
         last[above] = i
-    content = minimum_cut(evidence(page), edges)
-    return " ".join(b.text for b, keep in zip(page, content, strict=True) if keep)
+    content = minimum_cut(evidence(page, weights), edges)
+    return content if any(content) else [b.parent.standing >= 0 and 2 * b.linked < len(b.text) for b in page]
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "html"):
-            texts = [main_text(x.as_py()) for x in batch.column(2)]
-            yield pa.record_batch(
-                [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
-            )
+def main_text(html: str | None, weights: tuple[float, ...] = DEFAULT) -> str:
+    page = blocks(html or "")
+    return " ".join(b.text for b, keep in zip(page, label(page, weights), strict=True) if keep) if page else ""
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) per row of pages (page_id, url, html)."""
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+def _telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(features, content) of the blocks of pages whose names tell content."""
+    for whole in batches:
+        for batch in slices(whole, "html"):
+            for html in batch.column(0):
+                page = blocks(html.as_py() or "")
+                content = [b.parent.standing > 0 for b in page]
+                if any(content):
+                    yield pa.record_batch([pa.array(features(page).tolist(), pa.list_(pa.float64())), pa.array(content)], names=["features", "content"])
+
+
+def fitted(pages: DataFrame, most_pages: int = 400, most_blocks: int = 20_000) -> tuple[float, ...]:
+    """Weights from the pages with the smallest hashes of page_id, at most ``most_pages``, and at most ``most_blocks`` of their blocks."""
+    sample = pages.select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(most_pages).select("html")
+    rows = sample.mapInArrow(_telling, "features array<double>, content boolean").limit(most_blocks).toArrow()
+    if not rows.num_rows:
+        return DEFAULT
+    x = rows["features"].combine_chunks()
+    x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy().reshape(-1, len(FEATURES))
+    return fit(x, rows["content"].to_numpy().astype(bool))
+
+
+def _extract(weights: tuple[float, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "html"):
+                texts = [main_text(x.as_py(), weights) for x in batch.column(2)]
+                yield pa.record_batch(
+                    [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())],
+                    names=["page_id", "url", "text", "n_chars"],
+                )
+
+    return run
+
+
+def extract(pages: DataFrame, weights: tuple[float, ...] | None = None) -> DataFrame:
+    """(page_id, url, text, n_chars) per row of pages (page_id, url, html); weights: the classifier's, by default fitted to them."""
+    weights = weights or fitted(pages)
+    return pages.select("page_id", "url", "html").mapInArrow(_extract(weights), "page_id long, url string, text string, n_chars long")

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -97,6 +98,49 @@ def test_extraction_of_the_test_pages(spark):
         assert got[r.page_id] == " ".join(html.unescape(re.sub("<[^>]*>", " ", inner)).split())
 
 
+def unnamed(page):
+    """The page without telling element names, classes, ids and roles."""
+    names = "article|main|nav|footer|aside|header|section"
+    page = re.sub(f"<({names})\\b[^>]*>", "<div>", re.sub(f"</({names})>", "</div>", page))
+    return re.sub(r'\s(class|id|role)="[^"]*"', "", page)
+
+
+def test_extraction_without_telling_names(spark):
+    """Fitted to pages that tell, the classifier finds the article where nothing does; other pages than those fitted to."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = M.fitted(pages.where("page_id % 2 = 0"))
+    assert weights != M.DEFAULT
+    score = []
+    for r in pages.where("page_id % 2 = 1").collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        want, got = (Counter(x.split()) for x in (html.unescape(re.sub("<[^>]*>", " ", inner)), M.main_text(unnamed(r.html), weights)))
+        score.append(2 * sum((want & got).values()) / max(1, sum(want.values()) + sum(got.values())))
+    assert np.mean(score) > 0.95
+
+
+def test_the_cut_overrules_single_blocks():
+    """A short line between paragraphs and a sentence among links go with their neighbours."""
+    long = "<p>This is a long paragraph of the story that goes on for quite a while and then ends.</p>"
+    page = f"<div>{long}<p>More below</p>{long}</div><ul><li><a>Home</a></li><li><a>News of today</a></li><li>All about our site.</li><li><a>Sport</a></li><li><a>Weather</a></li></ul>"
+    every = M.blocks(page)
+    alone, cut = [v > 0 for v in M.evidence(every)], M.label(every)
+    truth = [True, True, True, False, False, False, False, False]
+    assert alone != truth and cut == truth
+    # names are evidence, but no more than neighbours can outweigh
+    assert max(abs(v) for v in M.evidence(M.blocks("<aside>x</aside>"))) <= M.MOST - M.BOILERPLATE
+
+
+def test_extraction_of_short_and_deep_pages():
+    assert M.main_text("<body><p>Short.</p></body>") == "Short." and M.main_text("<div>Ok</div>") == "Ok"
+    assert M.main_text("<nav>Menu</nav><div>Ok</div>") == "Ok" and M.main_text("<nav>Menu</nav>") == ""
+    import time
+
+    began = time.process_time()
+    for page in ("<div>x y z. " * 30_000, "<b>x y z. " * 30_000 + "</i>", "<div>" * 30_000 + "<p>x y z.</x>" * 2000):
+        M.main_text(page)
+    assert time.process_time() - began < 20
+
+
 def test_minimum_cut_equals_brute_force():
     rng = random.Random(3)
     for _ in range(100):
