@@ -18,7 +18,8 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write archives of all pages, read them back, assemble the captures."""
     scratch = Scratch(spark)
     warc_captures.write(_table(spark, sf_dir, "pages"), path := scratch.place("warc"), scratch=scratch)
-    captures = warc_captures.assemble(warc_captures.read_records(spark, path, with_payload=False))
+    records = scratch.cut(warc_captures.read_records(spark, path, with_payload=False), "records")  # parsed once
+    captures = warc_captures.assemble(records)
     return captures.select(
         "page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), "refers_to", F.col("request.uri").alias("request_uri"),

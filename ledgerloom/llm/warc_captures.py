@@ -4,19 +4,23 @@ r"""WARC transaction assembly (operator 1).
 metadata record; request and metadata name the response's record in WARC-Concurrent-To. ``read_records`` parses archives, a
 row per record; ``assemble`` joins the records of a transaction through these identifiers to one nested row per capture.
 
-Archives are gzip files of WARC/1.1 records, of at most ``PER_FILE`` transactions, written by Spark's text sink: a record ends
-in two line ends, which is also the separator between rows. Records are read by their Content-Length, never by a separator,
-so payloads may hold anything. Archives are read through Spark as well, so any store that it reaches will do.
+Archives are gzip files of WARC/1.1 records, of at most ``PER_FILE`` transactions and about ``FILE`` bytes (a larger transaction is
+alone), written by Spark's text sink: a record ends in two line ends, which is also the separator between rows. Records are read
+by their Content-Length, never by a separator, so payloads may hold anything. Archives are read through Spark as well, so any
+store that it reaches will do.
 
 Of records with equal payloads of at least ``LEAST`` bytes that with the smallest page_id is the response and the others
-revisit it. A revisit record has no payload but its digest and length; its payload is that of the record that it refers to.
+revisit it. A revisit record has no payload but its digest and length; it names the response's record in WARC-Refers-To, by which
+``assemble`` finds the page that it refers to. A page's id is in its metadata record, as page-id.
 
 Scale: only digests are shuffled to find equal payloads, with partial aggregation; only digests of several pages are joined
 back; per transaction a few short columns are shuffled to assemble it.
 
 Defined cases: a null html or url is the empty one; of rows with the same smallest page_id and equal payloads each is a
 response, of repeated rows each gets a transaction; a null page_id comes after all others and stays null; line ends in a url are
-percent-encoded; other columns are ignored; no rows give no records and no captures.
+percent-encoded; other columns are ignored; no rows give no records and no captures. Of an archive that is cut short or damaged
+the whole records before the damage are read; a record without a usable Content-Length is passed over; other archives' captures
+have a null page_id where no metadata record tells one.
 """
 
 from __future__ import annotations
@@ -26,12 +30,13 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-PER_FILE = 2000
+#: Transactions in a file; bytes in a file; pages over so many bytes are alone in one.
+PER_FILE, FILE, ALONE = 2000, 64 << 20, 1 << 20
 LEAST = 100
 EOL = "\r\n"
 _RECORD = "type string, id string, concurrent_to string, refers_to string, uri string, date string, http string, fields map<string,string>, payload_bytes long, payload_digest string, payload binary"
@@ -62,9 +67,12 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", scrat
     html = F.coalesce("html", F.lit(""))
     url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
     rows = pages.select("page_id", url.alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
-    narrow = pages.select("page_id", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("bytes")).where(F.col("bytes") >= LEAST)
-    repeats = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    repeats = scratch.cut(repeats, "repeats")
+    seen = Observation()
+    narrow = pages.select("page_id", url.alias("url"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("bytes"))
+    narrow = narrow.observe(seen, F.max(F.when(F.col("bytes") <= ALONE, F.col("bytes"))).alias("most"), F.count_if(F.col("bytes") > ALONE).alias("alone"))
+    first = F.min(F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("first")
+    repeats = narrow.groupBy("digest").agg(first, F.max("bytes").alias("bytes"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("bytes") >= LEAST))
+    repeats = scratch.cut(repeats.select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")), "repeats")
     rows = rows.join(repeats, "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
@@ -79,14 +87,19 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", scrat
     response = _record(
         F.when(again, "revisit").otherwise("response"), ident, F.when(again, http).otherwise(F.concat(http, F.col("html"))), when, uri,
         F.when(again, _field("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.when(again, _field("X-Refers-To-Page", F.col("first").cast("string"))),
+        F.when(again, _field("WARC-Refers-To", _uuid(F.lit("response"), F.col("first").cast("string"), F.col("digest"), F.col("first_url")))),
+        F.when(again, _field("WARC-Refers-To-Target-URI", F.col("first_url"))), F.when(again, _field("WARC-Refers-To-Date", date)),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), _field("Content-Type", "application/http; msgtype=response"),
     )
     about = _lines(_field("page-id", page), _field("payload-bytes", size))
     metadata = _record("metadata", _uuid(F.lit("metadata"), page, F.col("digest"), "url"), about, _field("WARC-Concurrent-To", ident), when, uri, _field("Content-Type", "application/warc-fields"))
     gap = F.lit(EOL + EOL)
     value = F.concat(request, gap, response, gap, metadata)
-    rows.select(value.alias("value")).write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+    long = F.octet_length("html") > ALONE
+    for part, n in ((~long, min(PER_FILE, max(1, FILE // (seen.get["most"] or 1)))), (long, 1)):
+        if n > 1 or seen.get["alone"]:
+            out = rows.where(part).select(value.alias("value")).write.mode("append")
+            out.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", n).text(path)
 
 
 def _head(data: bytes) -> dict[str, str]:
@@ -99,26 +112,36 @@ def _head(data: bytes) -> dict[str, str]:
 
 
 def _inflate(data: bytes) -> bytes:
-    """All members of a gzip file; other files as they are."""
+    """All members of a gzip file, as far as it is whole; other files as they are."""
     if data[:2] != b"\x1f\x8b":
         return data
     out = []
     while data:
         d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
+        try:
+            out.append(d.decompress(data))
+        except zlib.error:
+            break
         data = d.unused_data
     return b"".join(out)
 
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record."""
+    """(fields, block) of each whole record."""
     at = 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
         head = _head(data[at:end])
-        size = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        at = end + 4
+        size = head.get("content-length", "")
+        if not size.isdecimal():
+            continue
+        if at + int(size) > len(data):
+            return
+        yield head, data[at : at + int(size)]
+        at += int(size)
 
 
 def _parse(with_payload: bool):
@@ -135,11 +158,10 @@ def _parse(with_payload: bool):
                         if kind == "response":
                             size, digest = len(payload), hashlib.sha256(payload).hexdigest()
                         elif kind == "revisit":
-                            size = int(_head(top).get("content-length", 0))
+                            size = int(n) if (n := _head(top).get("content-length", "")).isdecimal() else None
                             digest = head.get("warc-payload-digest", "").removeprefix("sha256:")
                     else:
                         fields = list(_head(block).items())
-                    fields += [("refers-to-page", head["x-refers-to-page"])] if "x-refers-to-page" in head else []
                     rows.append((kind, head.get("warc-record-id"), head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-date"), http, fields, size, digest, payload if with_payload and kind == "response" else None))
                 if rows:
                     types = [pa.string()] * 7 + [pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.binary()]
@@ -162,5 +184,7 @@ def assemble(records: DataFrame) -> DataFrame:
     metadata = other("metadata").groupBy(F.col("concurrent_to").alias("id")).agg(F.min(about).alias("metadata"))
     main = records.where("type in ('response', 'revisit')")
     response = F.struct(F.col("id").alias("record"), "type", "uri", "date", "http", "payload_bytes", "payload_digest", "payload")
-    rows = main.select("id", response.alias("response"), F.col("fields")["refers-to-page"].cast("long").alias("refers_to")).join(request, "id", "left").join(metadata, "id", "left")
-    return rows.select(F.nullif(F.col("metadata.page_id"), F.lit("")).cast("long").alias("page_id"), "response", "request", "metadata", "refers_to")
+    page = F.nullif(F.col("metadata.page_id"), F.lit("")).cast("long")
+    first = metadata.select(F.col("id").alias("refers"), page.alias("refers_to"))
+    rows = main.select("id", response.alias("response"), F.col("refers_to").alias("refers")).join(request, "id", "left").join(metadata, "id", "left").join(first, "refers", "left")
+    return rows.select(page.alias("page_id"), "response", "request", "metadata", "refers_to")

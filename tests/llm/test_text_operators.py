@@ -63,6 +63,34 @@ def test_warc_reads_several_gzip_members():
     assert [b for _, b in W.records(data)] == [b"ab", b"ab"]
 
 
+def test_warc_of_damaged_archives():
+    import gzip
+
+    one = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    blocks = lambda data: [b for _, b in W.records(W._inflate(data))]
+    assert blocks(one + one[:-7]) == blocks(one + one[:20]) == blocks(one + one.replace(b": 2", b": 999")) == [b"ab"]
+    assert blocks(one.replace(b": 2", b": x") + one) == blocks(one.replace(b"Content-Length: 2\r\n", b"") + one) == [b"ab"]
+    assert blocks(gzip.compress(one) + gzip.compress(one * 50)[:-40]) and blocks(gzip.compress(one) + b"\x1f\x8bjunk") == [b"ab"]
+    assert blocks(b"") == []
+
+
+def test_warc_refers_by_record(spark, monkeypatch):
+    """A revisit names the response's record; large pages have files of their own."""
+    monkeypatch.setattr(W, "ALONE", 300)
+    monkeypatch.setattr(W, "FILE", 1000)
+    rows = [(5, "u", "p" * 200), (2, "z", "p" * 200), (2, "y", "p" * 200), (None, "n", "p" * 200), (9, "v", "q" * 500), (8, "w", "q" * 500), (7, "x", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    scratch = Scratch(spark)
+    W.write(pages, path := scratch.place("warc"), scratch=scratch)
+    records = W.read_records(spark, path).collect()
+    ids = {r.id: r.uri for r in records if r.type == "response"}
+    assert {r.uri: ids[r.refers_to] for r in records if r.type == "revisit"} == {"u": "y", "n": "y", "v": "w"}
+    got = sorted((r.page_id or 0, r.response.uri, r.response.type, r.refers_to) for r in W.assemble(W.read_records(spark, path)).collect())
+    assert got == [(0, "n", "revisit", 2), (2, "y", "response", None), (2, "z", "response", None), (5, "u", "revisit", 2), (7, "x", "response", None), (8, "w", "response", None), (9, "v", "revisit", 8)]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path).select("content").collect()
+    assert sum(len(list(W.records(W._inflate(f.content)))) for f in files) == 3 * len(rows)
+
+
 # --- extraction
 
 
