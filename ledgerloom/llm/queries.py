@@ -19,7 +19,7 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     warc_captures.write(_table(spark, sf_dir, "pages"), path := scratch.place("warc"), scratch=scratch)
     records = scratch.cut(warc_captures.read_records(spark, path, with_payload=False), "records")  # parsed once
-    captures = warc_captures.assemble(records)
+    captures = warc_captures.assemble(records, scratch)
     return captures.select(
         "page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"), "refers_to", F.col("request.uri").alias("request_uri"),

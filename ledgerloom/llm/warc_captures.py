@@ -176,15 +176,21 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
     return files.select("content").mapInArrow(_parse(with_payload), _RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
-    """A nested row per capture: (page_id, response struct, request struct, metadata struct, refers_to)."""
+def assemble(records: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """A nested row per capture: (page_id, response struct, request struct, metadata struct, refers_to).
+
+    Very many revisits may refer to one record: both sides of that join are written tables, whose hot keys Spark can split.
+    """
+    scratch = scratch or Scratch(records.sparkSession)
     other = lambda kind: records.where(F.col("type") == kind)
     request = other("request").groupBy(F.col("concurrent_to").alias("id")).agg(F.min(F.struct(F.col("id").alias("record"), "uri", "date", "http")).alias("request"))
     about = F.struct(F.col("id").alias("record"), "uri", "date", F.col("fields")["page-id"].alias("page_id"), F.col("fields")["payload-bytes"].cast("long").alias("bytes"))
     metadata = other("metadata").groupBy(F.col("concurrent_to").alias("id")).agg(F.min(about).alias("metadata"))
+    page = F.nullif(F.col("metadata.page_id"), F.lit("")).cast("long")
+    pages = scratch.cut(metadata.select(F.col("id").alias("refers"), page.alias("refers_to")), "pages")
+    revisits = scratch.cut(other("revisit").where("refers_to is not null").select("id", F.col("refers_to").alias("refers")).distinct(), "revisits")
+    refers = revisits.join(pages, "refers").select("id", "refers_to")
     main = records.where("type in ('response', 'revisit')")
     response = F.struct(F.col("id").alias("record"), "type", "uri", "date", "http", "payload_bytes", "payload_digest", "payload")
-    page = F.nullif(F.col("metadata.page_id"), F.lit("")).cast("long")
-    first = metadata.select(F.col("id").alias("refers"), page.alias("refers_to"))
-    rows = main.select("id", response.alias("response"), F.col("refers_to").alias("refers")).join(request, "id", "left").join(metadata, "id", "left").join(first, "refers", "left")
+    rows = main.select("id", response.alias("response")).join(request, "id", "left").join(metadata, "id", "left").join(refers, "id", "left")
     return rows.select(page.alias("page_id"), "response", "request", "metadata", "refers_to")
