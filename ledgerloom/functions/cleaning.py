@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 SENTINELS = ("", "NULL", "null", "N/A", "NA", "none", "NONE")
 #: Spellings of units of measure and their standard unit.
 UNITS = {"EA": "EA", "EACH": "EA", "EACHES": "EA", "CA": "CA", "CASE": "CA", "CS": "CA", "BX": "BX", "BOX": "BX"}
-#: Ordered keyword classes of item descriptions.
+#: Ordered keyword classes of item descriptions, and the class of what has none.
 KEYWORD_CLASSES = (
-    ("Orthopedic Implants", ("SCREW", "PLATE", "IMPLANT", "BOLT")),
-    ("Wound Closure", ("SUTURE", "STAPLE", "RING")),
-    ("Vascular Access", ("CATHETER", "NEEDLE", "IV")),
+    ("Orthopedic / Implants", ("IMPLANT", "SCREW", "PLATE", "SPINE", "BONE")),
+    ("Cardiology", ("STENT", "PACEMAKER", "BALLOON", "CATH")),
+    ("PPE / Apparel", ("GLOVE", "MASK", "GOWN", "PPE")),
+    ("Surgical Supplies", ("SUTURE", "STAPLE", "BLADE")),
+    ("Wound Care", ("DRESSING", "GAUZE", "WOUND")),
+    ("IV & Injection", ("SYRINGE", "NEEDLE", "IV")),
 )
+UNCLASSIFIED = "General Medical (Unclassified)"
+#: Legal forms at the end of a vendor's name.
+LEGAL_FORMS = ("INC", "INCORPORATED", "LLC", r"L\.L\.C\.", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LIMITED", r"SC\s+INC")
 
 
 def clean_string(c: Column) -> Column:
@@ -68,12 +74,13 @@ def item_key(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit("")))
 
 
-def keyword_class(description: Column, fallback: Column) -> Column:
+def keyword_class(description: Column, fallback: Column, seed: Column | None = None) -> Column:
+    """The seed's class, else the first class with a keyword in the description, else the fallback, else UNCLASSIFIED."""
     text = F.upper(F.coalesce(description, F.lit("")))
-    out = F.when(F.lit(False), "")
-    for name, words in KEYWORD_CLASSES:
-        out = out.when(reduce(lambda a, b: a | b, (text.contains(w) for w in words)), name)
-    return out.otherwise(F.coalesce(fallback, F.lit("Unclassified")))
+    out = F.coalesce(F.nullif(F.trim(fallback), F.lit("")), F.lit(UNCLASSIFIED))
+    for name, words in reversed(KEYWORD_CLASSES):
+        out = F.when(reduce(lambda a, b: a | b, (text.contains(w) for w in words)), name).otherwise(out)
+    return out if seed is None else F.coalesce(seed, out)
 
 
 def quality_score(has_id: Column, has_maker: Column, has_class: Column) -> Column:
@@ -123,5 +130,6 @@ def pad_code(c: Column, width: int) -> Column:
 
 
 def strip_suffix(c: Column) -> Column:
-    """A vendor's name without its legal form."""
-    return F.regexp_replace(F.upper(F.trim(c)), r"[,.]?\s+(INC|LLC|CORP|CO|LTD|LP|COMPANY|CORPORATION|SC INC)\.?$", "")
+    """A vendor's name without its legal form, white space collapsed."""
+    bare = F.regexp_replace(F.upper(F.trim(c)), rf"[,.]?\s+({'|'.join(LEGAL_FORMS)})$", "")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))

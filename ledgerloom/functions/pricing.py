@@ -6,7 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Multiples that a pack price may be of an each price.
-PACK_MULTIPLES = (2, 4, 5, 6, 10, 12, 20, 24, 25, 50, 100)
+PACK_MULTIPLES = (2, 4, 5, 6, 8, 10, 12, 15, 20, 24, 25, 30, 48, 50, 100, 120, 144, 250, 500)
+#: Units that a number of eaches may follow, and the eaches in units without a number.
+PACK_UNITS = ("BX", "BOX", "CS", "CASE", "PK", "PACK", "PKG", "DZ", "CT", "CARTON")
+PACK_FACTORS = {
+    "EA": 1, "EACH": 1, "PC": 1, "PIECE": 1, "UNIT": 1, "UN": 1, "DZ": 12, "DOZEN": 12, "PR": 2, "PAIR": 2, "BX": 10, "BOX": 10, "CS": 50, "CASE": 50, "PK": 5, "PACK": 5, "PKG": 5,
+    "KIT": 1, "SET": 1, "TRAY": 1, "VIAL": 1, "BTL": 1, "BOTTLE": 1, "AMP": 1, "AMPOULE": 1, "SYR": 1, "SYRINGE": 1, "ROLL": 1, "BAG": 1,
+}
+PACK_PATTERN = rf"({'|'.join(PACK_UNITS)})[/\s_-]*(\d+)"
 
 
 def variance(unit: Column, quantity: Column, contract: Column, contract_each: Column, factor: Column, same_unit: Column) -> Column:
@@ -34,16 +41,23 @@ def comparison_flag(paid: Column, mapped: Column, percent: float) -> Column:
     return F.when(~usable, "NOT_COMPARABLE").when((paid - mapped) / mapped * 100 > percent, f"ABOVE_{percent:g}_PERCENT").otherwise("WITHIN")
 
 
+def _number(unit: Column) -> Column:
+    """The number after a pack unit anywhere in the text, null without one or if it is 0."""
+    n = F.regexp_extract(F.upper(unit), PACK_PATTERN, 2).try_cast("double")
+    return F.when(n > 0, n)
+
+
 def pack_factor(unit: Column) -> Column:
-    """The number in units such as BX/10 anywhere in the text, else that of a known unit, else 1."""
-    written = F.regexp_extract(F.upper(unit), r"([A-Z]+)\s*/\s*(\d+)", 2)
-    known = F.create_map(*(F.lit(x) for pair in {"DZ": 12.0, "EA": 1.0, "PR": 2.0, "PK": 5.0, "BX": 10.0, "CA": 50.0}.items() for x in pair))
-    return F.when(written != "", written.cast("double")).otherwise(F.coalesce(F.try_element_at(known, F.upper(F.trim(unit))), F.lit(1.0)))
+    """The number in units such as BX/10, PK 20 or BOX-12, else that of a known unit, else 1."""
+    known = F.create_map(*(F.lit(x) for k, v in PACK_FACTORS.items() for x in (k, float(v))))
+    return F.coalesce(_number(unit), F.try_element_at(known, F.upper(F.trim(unit))), F.lit(1.0))
 
 
 def pack_label(unit: Column) -> Column:
-    kind = F.regexp_extract(F.upper(unit), r"([A-Z]+)\s*/\s*(\d+)", 1)
-    return F.when(kind != "", F.concat(F.substring(kind, 1, 2), F.lit("/"), pack_factor(unit).cast("int").cast("string"))).otherwise(F.upper(F.trim(unit)))
+    """The first two letters of a pack unit and its number, else the unit; EA for none."""
+    n, kind = _number(unit), F.regexp_extract(F.upper(unit), PACK_PATTERN, 1)
+    plain = F.coalesce(F.nullif(F.upper(F.trim(unit)), F.lit("")), F.lit("EA"))
+    return F.when(n > 0, F.concat(F.substring(kind, 1, 2), F.lit("/"), n.cast("long").cast("string"))).otherwise(plain)
 
 
 def pack_mismatch(paid: Column, contract: Column, tolerance: float = 0.08) -> Column:

@@ -113,7 +113,9 @@ def schema(d):
     return d.spark.createDataFrame(I.schema_drift(expected, d.after), "column_name string, change string, severity string")
 
 
-_PACK = "case when regexp_extract(upper(u), '([A-Z]+)\\s*/\\s*(\\d+)', 2) <> '' then cast(regexp_extract(upper(u), '([A-Z]+)\\s*/\\s*(\\d+)', 2) as double) else coalesce(case trim(upper(u)) when 'DZ' then 12e0 when 'EA' then 1e0 when 'PR' then 2e0 when 'PK' then 5e0 when 'BX' then 10e0 when 'CA' then 50e0 end, 1e0) end"
+_NUMBER = f"try_cast(regexp_extract(upper(u), '{P.PACK_PATTERN}', 2) as double)"
+_KNOWN = " ".join(f"when '{k}' then {v}e0" for k, v in P.PACK_FACTORS.items())
+_PACK = f"coalesce(case when {_NUMBER} > 0 then {_NUMBER} end, case trim(upper(u)) {_KNOWN} end, 1e0)"
 
 
 @query("GRD-01", f"select row_id, {_PACK} as factor from (select row_id, case when log_id % 2 = 0 then trim(uom) || '/' || cast(log_id % 30 + 1 as string) else uom end as u from consumption)")
@@ -149,7 +151,7 @@ def padded(d):
     return d.item_master.select("item_id", C.pad_code(F.col("item_id"), 5).alias("code"))
 
 
-@query("GRD-06", "select alias, regexp_replace(upper(trim(alias)), '[,.]?\\s+(INC|LLC|CORP|CO|LTD|LP|COMPANY|CORPORATION|SC INC)\\.?$', '') as name from aliases")
+@query("GRD-06", f"select alias, trim(regexp_replace(regexp_replace(upper(trim(alias)), '[,.]?\\s+({'|'.join(C.LEGAL_FORMS)})$', ''), '\\s+', ' ', 'g')) as name from aliases")
 def suffixes(d):
     return d.aliases.select("alias", C.strip_suffix(F.col("alias")).alias("name"))
 

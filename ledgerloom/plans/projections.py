@@ -124,7 +124,7 @@ def status(d):
     return lines(d).select("row_id", F.when(has, "ON").otherwise("OFF").alias("status"), yes(has).alias("has_contract"), yes(F.col("unit") == F.col("contract_uom")).alias("unit_match"))
 
 
-_CLASS = "case " + " ".join("when " + " or ".join(f"upper({{0}}) like '%{w}%'" for w in words) + f" then '{name}'" for name, words in C.KEYWORD_CLASSES) + " else {1} end"
+_CLASS = "case " + " ".join("when " + " or ".join(f"upper({{0}}) like '%{w}%'" for w in words) + f" then '{name}'" for name, words in C.KEYWORD_CLASSES) + f" else coalesce(nullif(trim({{1}}), ''), '{C.UNCLASSIFIED}') end"
 
 
 @query("PRJ-17", f"select item_id, {_CLASS.format('description', 'unspsc_text')} as class from item_master")

@@ -253,3 +253,18 @@ def test_nearest_signature_misses_none(spark):
     known = spark.createDataFrame([("x", [0.9, 1.0]), ("y", [0.0, 1.0])], "name string, vector array<double>")
     assert [(r.name, r.nearest) for r in manifest.nearest_signature(columns, known).collect()] == [("a", "x")]
     assert manifest.nearest_signature(columns, known.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("unit,factor,label", [("PK 20", 20.0, "PK/20"), ("box-12", 12.0, "BO/12"), ("BX 5", 5.0, "BX/5"), ("CS/0", 1.0, "CS/0"), ("BOX", 10.0, "BOX"), (" dozen ", 12.0, "DOZEN"), ("EA/7", 1.0, "EA/7"), ("carton_144", 144.0, "CA/144")])
+def test_pack_units_without_slash(spark, unit, factor, label):
+    assert one(spark, P.pack_factor(F.col("u")), u=unit) == factor
+    assert one(spark, P.pack_label(F.col("u")), u=unit) == label
+
+
+def test_legal_forms_and_classes(spark):
+    x = F.col("x")
+    for name, bare in [("ST JUDE MEDICAL SC INC", "ST JUDE MEDICAL"), ("Acme  Incorporated", "ACME"), ("ACME, L.L.C.", "ACME"), ("ACME LIMITED", "ACME"), ("ACME LP", "ACME LP"), ("INC", "INC")]:
+        assert one(spark, C.strip_suffix(x), x=name) == bare
+    for text, kind in [("bone screw", "Orthopedic / Implants"), ("Catheter", "Cardiology"), ("surgical gown", "PPE / Apparel"), ("skin stapler", "Surgical Supplies"), ("gauze", "Wound Care"), ("iv set", "IV & Injection"), ("other", "Food"), ("mask for bone", "Orthopedic / Implants")]:
+        assert one(spark, C.keyword_class(x, F.lit(" Food ")), x=text) == kind
+    assert one(spark, C.keyword_class(x, F.lit(" ")), x="other") == C.UNCLASSIFIED and one(spark, C.keyword_class(x, x, F.lit("Seed")), x="bone") == "Seed"
