@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
@@ -64,6 +65,19 @@ def blanks(d):
     return readers.delimited(d.spark, items_as_text(d), _COLUMNS, keep_blanks=True)
 
 
+@query("SRC-10", "select item_id, description, case cast(item_id as int) % 3 when 0 then 0 when 1 then 1 else 2 end as part from item_master")
+def in_parts(d):
+    """Three parts of a feed, one with its columns in another order; part_10 comes last."""
+    path, n = place(d, "parts"), F.col("item_id").cast("int") % 3
+    for name, rest, columns in (("part_1", 0, ["item_id", "description"]), ("part_2", 1, ["description", "item_id"]), ("part_10", 2, ["item_id", "description"])):
+        d.item_master.where(n == rest).select(*columns).write.option("header", True).csv(f"{path}/{name}")
+    rows = readers.parts(d.spark, f"{path}/missing_*/*.csv", f"{path}/part_*/*.csv")
+    folder = F.regexp_extract("_source_file", "/part_([0-9]+)/", 1)
+    order = rows.groupBy(folder.alias("folder")).agg(F.min("_source_index").alias("first"))
+    place_of = order.select("folder", (F.row_number().over(W.orderBy("first")) - 1).alias("part"))  # three rows
+    return rows.withColumn("folder", folder).join(F.broadcast(place_of), "folder").select("item_id", "description", "part")
+
+
 @query("SRC-14", "select '|' as delimiter")
 def sniffed(d):
     return d.spark.createDataFrame([(readers.sniff(d.spark, items_as_text(d)),)], "delimiter string")

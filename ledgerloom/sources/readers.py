@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +45,47 @@ def or_empty(spark: SparkSession, path: str, columns: list[str], **how) -> DataF
     return delimited(spark, path, columns, **how) if there else spark.createDataFrame([], strings(columns))
 
 
+def discover(spark: SparkSession, *patterns: str) -> list[str]:
+    """The files of the first pattern that has some, on any store that Spark reaches, in natural order: part 2 before part 10.
+
+    A pattern whose store can't be reached counts as one without files, so a local folder can follow a remote one.
+    """
+    for pattern in patterns:
+        at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        try:
+            found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+        except Py4JJavaError:
+            continue
+        paths = [f.getPath().toString() for f in found if f.isFile() and f.getLen()]
+        if paths:
+            return sorted(paths, key=lambda p: [int(x) if x.isdigit() else x.lower() for x in re.split(r"(\d+)", p)])
+    raise FileNotFoundError(f"no files match {', '.join(patterns)}")
+
+
+def parts(spark: SparkSession, *patterns: str, sep: str = ",") -> DataFrame:
+    """All rows of the files of a feed in parts, by column name, with _source_file and its place _source_index in natural order.
+
+    Every file has a header of the same columns, in any order; else the error names the files that differ.
+    """
+    paths = discover(spark, *patterns)
+    headers = {p: tuple(spark.read.text(p).first()[0].split(sep)) for p in paths}  # a line of each file
+    wrong = [p for p in paths if set(headers[p]) != set(headers[paths[0]])]
+    if wrong:
+        raise ValueError(f"columns other than those of {paths[0]}: {', '.join(wrong)}")
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        alike.setdefault(headers[p], []).append(p)
+    read = lambda columns, files: spark.read.option("sep", sep).option("header", True).schema(strings(list(columns))).csv(files).withColumn("_source_file", F.col("_metadata.file_path"))
+    rows = reduce(DataFrame.unionByName, (read(c, files) for c, files in alike.items()))
+    index = spark.createDataFrame([(_plain(p), i) for i, p in enumerate(paths)], "file string, _source_index int")
+    return rows.join(F.broadcast(index), F.regexp_replace("_source_file", "^[a-z0-9]+:/+", "/") == F.col("file")).drop("file")
+
+
+def _plain(path: str) -> str:
+    """The path without scheme, which is written in more than one way."""
+    return re.sub("^[a-z0-9]+:/+", "/", path)
+
+
 def kind(columns: list[str]) -> str:
     """The kind of feed that columns speak for."""
     have = {c.lower() for c in columns}

@@ -268,3 +268,17 @@ def test_legal_forms_and_classes(spark):
     for text, kind in [("bone screw", "Orthopedic / Implants"), ("Catheter", "Cardiology"), ("surgical gown", "PPE / Apparel"), ("skin stapler", "Surgical Supplies"), ("gauze", "Wound Care"), ("iv set", "IV & Injection"), ("other", "Food"), ("mask for bone", "Orthopedic / Implants")]:
         assert one(spark, C.keyword_class(x, F.lit(" Food ")), x=text) == kind
     assert one(spark, C.keyword_class(x, F.lit(" ")), x="other") == C.UNCLASSIFIED and one(spark, C.keyword_class(x, x, F.lit("Seed")), x="bone") == "Seed"
+
+
+def test_feeds_in_parts(spark, tmp_path):
+    for name, text in (("c10.csv", "a,b\n5,z\n"), ("c2.csv", "b,a\ny,3\n"), ("c1.csv", "a,b\n1,x\n2,\n"), ("c3.csv", "")):
+        (tmp_path / name).write_text(text)
+    found = readers.discover(spark, "nostore://x/*", f"file://{tmp_path}/none*", f"file://{tmp_path}/c*.csv")
+    assert [p.rsplit("/", 1)[1] for p in found] == ["c1.csv", "c2.csv", "c10.csv"]
+    rows = readers.parts(spark, f"file://{tmp_path}/c*.csv").select("a", "b", "_source_index").collect()
+    assert sorted(map(tuple, rows)) == [("1", "x", 0), ("2", None, 0), ("3", "y", 1), ("5", "z", 2)]
+    (tmp_path / "c11.csv").write_text("a,c\n1,2\n")
+    with pytest.raises(ValueError, match="c11"):
+        readers.parts(spark, f"file://{tmp_path}/c*.csv")
+    with pytest.raises(FileNotFoundError):
+        readers.discover(spark, f"file://{tmp_path}/none*")
