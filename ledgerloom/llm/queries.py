@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, chat_grammar, importance_quality, kd_tree_topk, min_cut_extract, ngram_jaccard_join, ordinal_toxicity, secret_ledger, spaced_seeds, warc_captures
+from . import (
+    best_fit_packing, chat_grammar, filter_audit, importance_quality, kd_tree_topk, min_cut_extract, ngram_jaccard_join, ordinal_toxicity,
+    phrase_mining, secret_ledger, source_mixing, spaced_seeds, warc_captures,
+)
 from .common import Scratch
 from .oracle import ORACLE  # noqa: F401
 
@@ -90,11 +93,27 @@ def op10_importance_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).where("keep").drop("keep")
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, sources weighing 5, 2, 1, repeating, 150 % of all words, two epochs at most."""
+    return source_mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders of five filters over all documents, for each lang."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of each lang that hold together most."""
+    return phrase_mining.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_transactions, op2_spaced_seeds, op3_best_fit_packing, op4_min_cut_extract, op5_chat_grammar, op6_ngram_jaccard_join,
         op7_secret_ledger, op8_ordinal_toxicity, op9_kd_tree_topk, op10_importance_quality,
+        op11_source_mixing, op12_filter_audit, op13_phrase_mining,
     )
 }
 
