@@ -165,18 +165,19 @@ def _grams(name: str) -> F.Column:
     return F.array_distinct(F.when(F.length(c) <= 3, F.concat(pairs, cut(1))).otherwise(pairs))
 
 
-def fuzzy_vendors(names: DataFrame, standards: DataFrame, least: float = 0.8) -> DataFrame:
-    """(name, standard, ratio): the most alike standard name by difflib's ratio, of at least ``least`` (0.8 or more).
-
-    Names are compared as distinct upper-case values. Candidates lose no match: with a ratio of 0.8 or more of T letters at least
-    0.4 T are matched on either side, in at most 0.2 T + 1 runs, so for T over 5 some run has two letters, and the shorter name has
-    two thirds of the longer one's. So they share a pair of letters; of a name's pairs, as many as may all be missing and one more
-    must be looked up, and the rarest among the standards are. A candidate must have the letters in common that the ratio needs.
+def fuzzy_pairs(names: DataFrame, standards: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, ratio) of all distinct upper-case names (in the only column) and standards whose ratio by difflib is at least ``least``
+    (0.8 or more).
+
+    Candidates lose no match: with a ratio of 0.8 or more of T letters at least 0.4 T are matched on either side, in at most
+    0.2 T + 1 runs, so for T over 5 some run has two letters, and the shorter name has two thirds of the longer one's. So they share a
+    pair of letters; of a name's pairs, as many as may all be missing and one more must be looked up, and the rarest among the
+    standards are. A candidate must have the letters in common that the ratio needs.
     """
     if not 0.8 <= least <= 1:
         raise ValueError("least must be 0.8 or more")
-    n = names.select(F.upper("name").alias("a")).where("a <> ''").distinct()
-    s = standards.select(F.upper("standard").alias("b")).where("b <> ''").distinct()
+    n = names.select(F.upper(names.columns[0]).alias("a")).where("a <> ''").distinct()
+    s = standards.select(F.upper(standards.columns[0]).alias("b")).where("b <> ''").distinct()
     by_gram = s.select("b", F.explode(_grams("b")).alias("gram"))
     often = by_gram.groupBy("gram").agg(F.count("*").alias("often"))
     looked = n.select("a", F.explode(_grams("a")).alias("gram")).join(often, "gram")
@@ -190,6 +191,11 @@ def fuzzy_vendors(names: DataFrame, standards: DataFrame, least: float = 0.8) ->
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
     common = la - F.length(F.array_join(F.array_except(letters("a"), letters("b")), ""))  # at most: repeated letters count as common
     pairs = pairs.where(2 * common >= least * (la + lb) - 1e-9)
-    scored = pairs.withColumn("ratio", _ratio("a", "b")).where(F.col("ratio") >= least)
+    return pairs.withColumn("ratio", _ratio("a", "b")).where(F.col("ratio") >= least)
+
+
+def fuzzy_vendors(names: DataFrame, standards: DataFrame, least: float = 0.8) -> DataFrame:
+    """(name, standard, ratio): the most alike standard name by difflib's ratio, of at least ``least`` (0.8 or more)."""
+    scored = fuzzy_pairs(names.select("name"), standards.select("standard"), least)
     best = names.select("name").distinct().withColumn("a", F.upper("name")).join(scored, "a").join(standards.select("standard", F.upper("standard").alias("b")).distinct(), "b")
     return pick(best, ["name"], [F.desc("ratio"), F.col("standard")]).select("name", "standard", "ratio")

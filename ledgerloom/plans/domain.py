@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 _UNIT = "case l_linenumber % 5 when 0 then 'EA' when 1 then 'EACH' when 2 then 'BX' when 3 then ' box ' else 'CASE' end"
+
+
+def _vendor_word(family: str) -> str:
+    """One of 40 invented names."""
+    head = " ".join(f"when {i} then '{x}'" for i, x in enumerate("Kar Bel Dom Fen Gil Hux Jor Lap".split()))
+    tail = " ".join(f"when {8 * i} then '{x}'" for i, x in enumerate("tonic vanta mexis ridge solve".split()))
+    return f"case {family} % 8 {head} end || case {family} - {family} % 8 {tail} end"
+
+
 VIEWS = {
     "consumption": f"""
         select cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-' || cast(l_partkey as string) || '-' || cast(l_suppkey as string) || '-' || cast(cast(floor(l_extendedprice) as bigint) as string) as row_id,
@@ -57,6 +66,23 @@ VIEWS = {
         from {{lineitem}} where l_linenumber % 4 <> 0""",
     "aliases": """
         select case s_suppkey % 3 when 0 then lower(s_name) || '  INC' when 1 then ' ' || s_name else s_name || ', LLC' end as alias, upper(s_name) as standard from {supplier}""",
+    # spellings of vendors in three feeds: of a family of items, f, contracts have three legal forms; usage has equal names, other legal
+    # forms, names that share a word, names that share only items or codes, misspelt ones, and traders without contracts
+    "vendor_contracts": f"""
+        select {_vendor_word('f')} || case form when 0 then ' Medical Inc' when 1 then ' MEDICAL' else '  Medical, LLC' end as vendor, cast(l_partkey as string) as item_id,
+            case when f % 4 = 0 then null else 'VC' || cast(f as string) end as vendor_code
+        from (select distinct l_partkey, case when l_partkey % 10 = 1 then (l_partkey * 7) % 35 else l_partkey % 40 end as f, l_linenumber % 3 as form from {{lineitem}}) as k
+        where l_partkey % 3 <> 0 and f < 35""",
+    "vendor_usage": f"""
+        select l_orderkey as log_id, cast(l_partkey as string) as item_id, case f % 7 when 0 then {_vendor_word('f')} || ' medical inc' when 1 then {_vendor_word('f')} || ' Medical Corp.'
+            when 2 then 'Hospital Supply ' || {_vendor_word('f')} when 3 then 'Depot ' || cast(f as string)
+            when 4 then case when l_partkey % 3 = 0 then substr({_vendor_word('f')}, 1, 4) || substr({_vendor_word('f')}, 4) || ' Medical' else {_vendor_word('f')} || ' MEDICAL' end
+            when 5 then case when l_suppkey % 9 = 0 then ' ' else 'Unrelated Works ' || cast(f as string) end else 'Trader ' || cast(l_suppkey % 50 as string) end as vendor
+        from (select *, l_partkey % 40 as f from {{lineitem}}) as k""",
+    "vendor_items": f"""
+        select cast(p_partkey as string) as item_id, case f % 7 when 3 then 'Depot ' || cast(f as string) when 5 then null else {_vendor_word('f')} || ' Medical' end as vendor,
+            case when f % 3 = 0 then 'VC' || cast(f as string) when p_partkey % 11 = 0 then 'VC' || cast((f + 1) % 40 as string) end as vendor_code
+        from (select *, p_partkey % 40 as f from {{part}}) as k""",
     "logs": """select event_id, user_id, cast(ts as timestamp) as ts, event_type as action, case when event_id % 7 = 0 then 'FAILED' else 'OK' end as status, value, props from {events}""",
 }
 #: Rows of the same feed before and after a delivery: some go, some change, some come.

@@ -160,9 +160,10 @@ def unspsc(d):
     return M.unspsc(d.consumption.select("row_id", item.alias("item_id")), d.item_master, "row_id")
 
 
-@query("JN-19", """with s as (select distinct upper(s_name) as standard from supplier), a as (select alias, regexp_replace(trim(upper(alias)), '\\s+', ' ', 'g') as k from aliases),
-    c as (select alias, k, regexp_replace(k, '[,.]?\\s+(INC|LLC|CORP|CO|LTD|LP|COMPANY|CORPORATION|SC INC)\\.?$', '') as core from a)
-    select c.alias, coalesce(e.standard, s.standard) as standard, case when e.standard is not null then 'EXACT' when s.standard is not null then 'CORE' else 'NONE' end as method from c left join s e on c.k = e.standard left join s on c.core = s.standard""")
+@query("JN-19-NAMES", f"""with s as (select distinct upper(s_name) as standard from supplier), a as (select alias, regexp_replace(trim(upper(alias)), '\\s+', ' ', 'g') as k from aliases),
+    c as (select alias, k, trim(regexp_replace(k, '[,.]?\\s+({'|'.join(C.LEGAL_FORMS)})$', '')) as core from a)
+    select c.alias, coalesce(e.standard, s.standard) as standard, case when e.standard is not null then 'EXACT' when s.standard is not null then 'CORE' else 'NONE' end as method
+    from c left join s e on c.k = e.standard left join s on c.core = s.standard""")
 def vendors(d):
     return M.vendor_names(d.aliases, d.supplier.select(F.upper("s_name").alias("standard")).distinct())
 
