@@ -10,8 +10,8 @@ seed and doc_id), as far as the words go; the one where they end gives only its
 target, rounded, and reruns agree, however the rows are partitioned.
 
 Scale: words are counted once and narrow rows written once. The place where a source's fractional repetition ends is found by
-sums over prefixes of the order's key: 4 hexadecimal digits (65,536 buckets a source), inside the one bucket where it ends whole
-keys, inside the one key where it ends (rows with equal doc_id and size) 4 digits of the row's own key, then the row. No step has a
+sums over prefixes of the order's key: twice 2 hexadecimal digits (256 buckets a source each time), inside the bucket where it ends
+whole keys, inside the one key where it ends (rows with equal doc_id and size) 2 and 2 digits of the row's own key, then the row. No step has a
 source's rows in one task, however many of them are of one source, one doc_id or one text. The order of sources is of range
 partitions and their running sums.
 
@@ -34,8 +34,8 @@ from .common import Scratch, fresh, parallelism
 WORD = r"[^\x20\x09-\x0D]+"
 #: A word and the white space before it.
 WITH_SPACE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
-#: Lengths of the prefixes of a row's key: bucket, doc_id and size, bucket among equals, row.
-LEVELS = (4, 52, 56, 104)
+#: Lengths of the prefixes of a row's key: two of buckets, doc_id and size, two of buckets among equals, row.
+LEVELS = (2, 4, 52, 54, 56, 104)
 BIG = "decimal(38,0)"
 
 
