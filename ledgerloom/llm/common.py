@@ -8,11 +8,12 @@ slice (or by the longest word) however long a document is.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark.rdd import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,6 +214,43 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Slices of a table of fixed size, which are summed apart.
+SLICES = 64
+
+
+def sliced_table(slices: RDD, add: Callable, bits_of: Callable, bits: int) -> np.ndarray:
+    """A table of bits from (number, part) of its slices, which are summed apart; SLICES rows of fixed size go to the driver."""
+    size = (1 << bits) // SLICES
+    out = np.zeros(1 << bits, bool)
+    for i, part in slices.reduceByKey(add, SLICES).mapValues(lambda x: np.packbits(bits_of(x))).collect():
+        out[i * size : (i + 1) * size] = np.unpackbits(part)
+    return np.packbits(out, bitorder="little")
+
+
+def bit_table(keys: RDD, bits: int) -> np.ndarray:
+    """A table of 2 ** bits bits with those of arrays of 64-bit keys set."""
+
+    def run(rows: Iterable[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        out = np.zeros(1 << bits, bool)
+        for h in rows:
+            out[bit_place(h, bits)] = True
+        for i, part in enumerate(np.split(out, SLICES)):
+            if part.any():
+                yield i, np.packbits(part)
+
+    return sliced_table(keys.coalesce(16).mapPartitions(run), np.bitwise_or, np.unpackbits, bits)
+
+
+def bit_place(h: np.ndarray, bits: int) -> np.ndarray:
+    return mix(h) >> np.uint64(64 - bits)
+
+
+def bit_held(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the bits of keys are set."""
+    at = bit_place(h, bits)
+    return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
 def components(scratch: Scratch, edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, label) for every node of edges (src, dst), label the smallest node that it reaches.
 

@@ -3,7 +3,8 @@
 A document fails A with under 100 words, B with under 80 % distinct words, C with over 10 % capital letters A-Z, D with any of the
 characters #$%&*| and E if its text is that of a document with a smaller doc_id.
 
-E goes by an RDD that is routed by fingerprint: each task keeps chains of the texts with an equal xxHash, with the full text, so that
+E goes by an RDD that is routed by fingerprint, the text's xxHash. A table of bits of fixed size (``BITS``) has the fingerprints that
+occur twice or more; texts without their bit differ from all others. Of the rest, each task keeps chains of the texts with an equal fingerprint, with the full text, so that
 a collision joins no two texts, and the smallest doc_id; a doc_id that isn't the smallest is emitted as soon as that is known. What is
 left is partitioned by the hash and chained again, sorted by it, outside memory where need be, so that a task holds one chain at a
 time. Texts with copies in their own task first meet by (hash, part of the tasks), so that of a text with copies
@@ -12,8 +13,9 @@ everywhere no task gets more than about the square root of the number of tasks.
 A document's failures are five bits; vectors of counts by the 32 masks (all, quality = 1, toxic = 1) are merged for each part with
 combineByKey, and all 120 orders follow from a part's vector.
 
-Scale: of each task a text is shuffled once, or twice if it has copies there; to that end tasks read their rows twice, once for the
-texts with copies and once for the others, which is cheaper than a shuffle of all texts. Chains of a map task are given on when they
+Scale: fingerprints are counted without texts; a text that may have copies is shuffled once from each task, or twice if it has copies
+there. To that end tasks read their rows twice, once for the texts with copies there and once for the others, which is cheaper than
+two shuffles. Chains of a map task are given on when they
 hold over ``HELD`` bytes; labels are joined to narrow rows.
 
 Defined cases: a null text is the empty text, and empty texts are copies of each other; a null lang is part ''; a null doc_id is
@@ -31,11 +33,12 @@ import numpy as np
 from pyspark.rdd import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
-from .common import Scratch, parallelism
+from .common import Scratch, bit_held, bit_table, parallelism
 
 FILTERS = "ABCDE"
+#: Bits of the table of fingerprints that occur again.
+BITS = 24
 #: Bytes of text in a map task's chains.
 HELD = 32 << 20
 _NOT_CAPITAL = bytes(i for i in range(256) if not 65 <= i <= 90)
@@ -81,9 +84,9 @@ class Chain:
             yield data, [(least, p, n) for p, n in docs.items()], came > 1
 
 
-def _read(rows: Iterable, at: int, spread: int, several: bool) -> Iterator[tuple]:
-    """((fingerprint, salt), (text, mask, documents)) of one task's rows. several: of texts with copies in this task, salted, and
-    nothing else; otherwise of the others, and the decided documents, without text, at keys of their own."""
+def _read(rows: Iterable, at: int, spread: int, again: np.ndarray, several: bool) -> Iterator[tuple]:
+    """((fingerprint, salt), (text, mask, documents)) of one task's rows (doc_id, text, part, fingerprint). several: of texts with copies
+    in this task, salted, and nothing else; otherwise of the others, and the decided documents, without text, at keys of their own."""
     chains: dict[int, Chain] = {}
     held = 0
     own = count(at << 24)
@@ -95,13 +98,15 @@ def _read(rows: Iterable, at: int, spread: int, several: bool) -> Iterator[tuple
                     yield (fp, at % spread if several else -1), (data, own_failures(data), docs)
         chains.clear()
 
-    for doc_id, text, part in rows:
+    for doc_id, text, part, fp in rows:
+        alone = doc_id is None or not bit_held(again, np.array([fp]).view(np.uint64), BITS)[0]
+        if alone and several:
+            continue
         data = text.encode("utf-8", "surrogatepass")
-        if doc_id is None:
-            if not several:
-                yield (next(own), -1), (None, own_failures(data), [(None, part, 1)])
+        if alone:
+            yield (next(own), -1), (None, own_failures(data), [(doc_id, part, 1)])
             continue
-        chain = chains.setdefault(xxh3_64_intdigest(data) >> 1, Chain())
+        chain = chains.setdefault(fp, Chain())
         held += 0 if data in chain.links else len(data)
         lost = list(chain.put(data, [(doc_id, part, 1)]))
         if lost and not several:
@@ -140,12 +145,16 @@ def _routed(rows: RDD, n: int) -> RDD:
 def failures(docs: DataFrame) -> RDD:
     """(doc_id, part, mask, rows) of all documents; rows: how many have that doc_id, part and text."""
     spark = docs.sparkSession
-    Scratch(spark)  # sets the size of batches where it isn't set
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit(""))).rdd
+    scratch = Scratch(spark)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.xxhash64(text).alias("fp"))
+    repeated = scratch.cut(rows.groupBy("fp").count().where("count > 1").select("fp"), "repeated")
+    again = spark.sparkContext.broadcast(bit_table(repeated.rdd.map(lambda r: np.array([r["fp"]]).view(np.uint64)), BITS))
+    rows = rows.rdd
     tasks = rows.getNumPartitions()
     n, spread = max(parallelism(spark), tasks), max(1, math.isqrt(tasks))
-    met = _routed(rows.mapPartitionsWithIndex(lambda i, it: _read(it, i, spread, True)), n)
-    others = rows.mapPartitionsWithIndex(lambda i, it: _read(it, i, spread, False))
+    met = _routed(rows.mapPartitionsWithIndex(lambda i, it: _read(it, i, spread, again.value, True)), n)
+    others = rows.mapPartitionsWithIndex(lambda i, it: _read(it, i, spread, again.value, False))
     return _routed(others.union(met), n).flatMap(lambda r: [(doc_id, part, r[1][1], k) for doc_id, part, k in r[1][2]])
 
 

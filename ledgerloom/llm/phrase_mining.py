@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, _cuts, digests, large, mix, placed
+from .common import SLICES, SPACE, Scratch, _cuts, bit_held, bit_place, bit_table, digests, large, mix, placed, sliced_table
 
 #: Bytes between words, and those of them between pieces.
 GAPS = SPACE.copy()
@@ -46,8 +46,6 @@ BREAKS = GAPS.copy()
 BREAKS[list(b" \t")] = False
 #: Bits of a table of frequent keys, and counters in the table of pairs.
 BITS, BUCKETS = 26, 24
-#: Slices of a table of fixed size, which are summed apart.
-SLICES = 64
 #: Entries that a task holds before it gives them on.
 HELD = 1 << 21
 #: Parts of a shard's blocks that are counted apart.
@@ -114,16 +112,6 @@ def third(whole: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (whole - a * _TRIPLE[0] - b * _TRIPLE[1]) * _INVERSE[int(_TRIPLE[2])]
 
 
-def _place(h: np.ndarray, bits: int) -> np.ndarray:
-    return mix(h) >> np.uint64(64 - bits)
-
-
-def held(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    """Whether the bits of keys are set."""
-    at = _place(h, bits)
-    return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
-
-
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     """Of keys in rising order the numbers rise; shards: a power of two."""
     return (h >> np.uint64(33)).astype(np.int64) * shards >> 31
@@ -279,7 +267,7 @@ def _first(shards: int) -> Callable:
                 keys, c = np.unique(h, return_counts=True)
                 yield lang, (keys, c)
                 both, one = _pairs(h, piece)
-                at, c = np.unique(_place(both[one], BUCKETS).astype(np.uint32), return_counts=True)
+                at, c = np.unique(bit_place(both[one], BUCKETS).astype(np.uint32), return_counts=True)
                 table[at] = np.minimum(table[at] + np.minimum(c, 255), 255)
 
         def rows() -> Iterator[tuple]:
@@ -301,10 +289,10 @@ def _second(shards: int, words, buckets) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def entries() -> Iterator[tuple]:
             for lang, _, (h, _, _, piece) in _each(batches):
-                known = held(words.value, h, BITS)
+                known = bit_held(words.value, h, BITS)
                 both, one = _pairs(h, piece)
                 at = np.flatnonzero(one & known[:-1] & known[1:])
-                at = at[held(buckets.value, both[at], BUCKETS)]
+                at = at[bit_held(buckets.value, both[at], BUCKETS)]
                 keys, first, c = np.unique(both[at], return_index=True, return_counts=True)
                 yield lang, (keys, c, h[:-1][at][first])
 
@@ -318,7 +306,7 @@ def _third(shards: int, pairs) -> Callable:
         def entries() -> Iterator[tuple]:
             for lang, _, (h, _, _, piece) in _each(batches):
                 both, one = _pairs(h, piece)
-                one &= held(pairs.value, both, BITS)
+                one &= bit_held(pairs.value, both, BITS)
                 at = np.flatnonzero(one[:-1] & one[1:])
                 keys, first, c = np.unique(triple(h[at], h[at + 1], h[at + 2]), return_index=True, return_counts=True)
                 at = at[first]
@@ -342,7 +330,7 @@ def _spelt(wanted) -> Callable:
                     continue
                 keys = pair(h[:-1], h[1:]) if n == 2 else triple(h[:-2], h[1:-1], h[2:])
                 at = np.flatnonzero(piece[: len(keys)] == piece[n - 1 :])
-                at = at[held(wanted.value[n], keys[at], BITS)]
+                at = at[bit_held(wanted.value[n], keys[at], BITS)]
                 keys, first = np.unique(keys[at], return_index=True)
                 for key, i in zip(keys.tolist(), at[first].tolist(), strict=True):
                     if (lang, key) not in seen:
@@ -425,29 +413,6 @@ def level(scratch: Scratch, blocks: DataFrame, least: int) -> DataFrame:
     return out
 
 
-def _table(slices: RDD, add: Callable, bits_of: Callable, bits: int) -> np.ndarray:
-    """A table of bits from (number, part) of its slices, which are summed apart; SLICES rows of fixed size go to the driver."""
-    size = (1 << bits) // SLICES
-    out = np.zeros(1 << bits, bool)
-    for i, part in slices.reduceByKey(add, SLICES).mapValues(lambda x: np.packbits(bits_of(x))).collect():
-        out[i * size : (i + 1) * size] = np.unpackbits(part)
-    return np.packbits(out, bitorder="little")
-
-
-def bits(keys: RDD) -> np.ndarray:
-    """A table of BITS bits with those of arrays of keys set."""
-
-    def run(rows: Iterable[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-        out = np.zeros(1 << BITS, bool)
-        for h in rows:
-            out[_place(h, BITS)] = True
-        for i, part in enumerate(np.split(out, SLICES)):
-            if part.any():
-                yield i, np.packbits(part)
-
-    return _table(keys.coalesce(16).mapPartitions(run), np.bitwise_or, np.unpackbits, BITS)
-
-
 def keys_of(table: DataFrame) -> RDD:
     return table.select("h").rdd.map(lambda r: _u(r["h"]))
 
@@ -464,7 +429,7 @@ def _hot_buckets(first: DataFrame, least: int) -> np.ndarray:
         return row["shard"], part
 
     slices = first.where("kind = 'buckets'").select("shard", "h", "c").rdd.map(dense)
-    return _table(slices, lambda a, b: a + np.minimum(b, 255 - a), lambda x: x >= min(least, 255), BUCKETS)
+    return sliced_table(slices, lambda a, b: a + np.minimum(b, 255 - a), lambda x: x >= min(least, 255), BUCKETS)
 
 
 # --- cuts
@@ -561,10 +526,10 @@ def candidates(docs: DataFrame, least: int = 10, shard_bytes: int = 16 << 20, sc
     first = scratch.cut(texts.mapInArrow(_first(shards), BLOCKS), "words")
     words = level(scratch, first.where("kind = 'block'"), least)
     hot = send(_hot_buckets(first, least))
-    blocks = scratch.cut(texts.mapInArrow(_second(shards, send(bits(keys_of(words))), hot), BLOCKS), "pairs")
+    blocks = scratch.cut(texts.mapInArrow(_second(shards, send(bit_table(keys_of(words), BITS)), hot), BLOCKS), "pairs")
     pairs = level(scratch, blocks, least)
     scratch.drop(blocks)
-    blocks = scratch.cut(texts.mapInArrow(_third(shards, send(bits(keys_of(pairs)))), BLOCKS), "triples")
+    blocks = scratch.cut(texts.mapInArrow(_third(shards, send(bit_table(keys_of(pairs), BITS))), BLOCKS), "triples")
     triples = level(scratch, blocks, least)
     scratch.drop(blocks)
 
@@ -586,7 +551,7 @@ def collocations(docs: DataFrame, least: int = 10, most: int = 2000, shard_bytes
     found = found.withColumn("rank", F.rank().over(W.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= most).drop("rank")
     found = scratch.cut(found, "best")  # with all that tie with the last
     keys = {n: found.where(F.col("level") == n).select("h").rdd.map(lambda r: np.array([r["h"]]).view(np.uint64)) for n in (2, 3)}
-    wanted = docs.sparkSession.sparkContext.broadcast({n: bits(x) for n, x in keys.items()})
+    wanted = docs.sparkSession.sparkContext.broadcast({n: bit_table(x, BITS) for n, x in keys.items()})
     spelt = texts.mapInArrow(_spelt(wanted), SPELT).dropDuplicates(["level", "lang", "h"])
     rows = found.join(spelt, ["level", "lang", "h"]).join(sizes, "lang")
     order = W.partitionBy("lang").orderBy(*best, "phrase")
