@@ -258,7 +258,7 @@ def each_price(d):
     return box.select("row_id", each.alias("each_price"), ((each - F.col("client_contract_price")) * F.col("quantity")).alias("each_savings"))
 
 
-@query("API-11", "select status, count(*) as rows from (select case when trim(item_id) = '' or trim(vendor) = '' then 'MISSING_MAPPING_KEY' when service_date is null then 'INVALID_CONSUMPTION_DATE' else 'MAPPED' end as status from consumption) group by 1")
+@query("API-11-STATES", "select status, count(*) as rows from (select case when trim(item_id) = '' or trim(vendor) = '' then 'MISSING_MAPPING_KEY' when service_date is null then 'INVALID_CONSUMPTION_DATE' else 'MAPPED' end as status from consumption) group by 1")
 def one_shot(d):
     """The mapper end to end: base rows, historical contracts for the eligible ones, a count per state."""
     from ..operators.matching import historical
