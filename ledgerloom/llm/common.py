@@ -8,7 +8,7 @@ slice (or by the longest word) however long a document is.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -214,21 +214,13 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Slices of a table of fixed size, which are summed apart.
+#: Slices of a bit table, which are combined apart.
 SLICES = 64
 
 
-def sliced_table(slices: RDD, add: Callable, bits_of: Callable, bits: int) -> np.ndarray:
-    """A table of bits from (number, part) of its slices, which are summed apart; SLICES rows of fixed size go to the driver."""
-    size = (1 << bits) // SLICES
-    out = np.zeros(1 << bits, bool)
-    for i, part in slices.reduceByKey(add, SLICES).mapValues(lambda x: np.packbits(bits_of(x))).collect():
-        out[i * size : (i + 1) * size] = np.unpackbits(part)
-    return np.packbits(out, bitorder="little")
-
-
 def bit_table(keys: RDD, bits: int) -> np.ndarray:
-    """A table of 2 ** bits bits with those of arrays of 64-bit keys set."""
+    """A table of 2 ** bits bits with those of arrays of 64-bit keys set; SLICES rows of fixed size go to the driver."""
+    size = (1 << bits) // SLICES
 
     def run(rows: Iterable[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
         out = np.zeros(1 << bits, bool)
@@ -236,9 +228,12 @@ def bit_table(keys: RDD, bits: int) -> np.ndarray:
             out[bit_place(h, bits)] = True
         for i, part in enumerate(np.split(out, SLICES)):
             if part.any():
-                yield i, np.packbits(part)
+                yield i, np.packbits(part, bitorder="little")
 
-    return sliced_table(keys.coalesce(16).mapPartitions(run), np.bitwise_or, np.unpackbits, bits)
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for i, part in keys.coalesce(16).mapPartitions(run).reduceByKey(np.bitwise_or, SLICES).collect():
+        out[i * size // 8 : (i + 1) * size // 8] = part
+    return out
 
 
 def bit_place(h: np.ndarray, bits: int) -> np.ndarray:

@@ -2,23 +2,23 @@
 
 Texts are split at .,;:!? and line ends into pieces, those at spaces and tabs into words, A-Z in lower case; all counts are per lang.
 Candidates are phrases of 2 or 3 words that occur ``least`` times or more. They are found level by level: a phrase can only be
-frequent if all phrases inside it are (and, for pairs, if its bucket in a table of bucket counts is), so that only such occurrences
-go on. That misses no frequent phrase; what is counted in vain only costs time.
+frequent if all phrases inside it are, so that only such occurrences go on.
 
-A level is counted in shards by the phrase's hash. The distinct candidates of a shard get a minimal perfect hash (bit tables of
-falling size: keys alone at their place stay, others go to the next table), with the key stored at each slot; an occurrence counts
-only where the stored key is its own. Tasks over parts of a shard's occurrences add them up with numpy.bincount by slot, and these
-arrays are summed, first by part and then by shard. Frequent keys with their counts get a minimal perfect hash again; the counts of
-a candidate's two parts at each cut are read from it by slot: a shard asks each other shard once for the distinct keys it needs.
+A level is counted in shards by the phrase's hash. Each task over texts adds equal phrases up first and sends a shard one block of
+them. The distinct candidates of a shard get a minimal perfect hash (bit tables of falling size: keys alone at their place stay,
+others go to the next table), with the key stored at each slot; an entry counts only where the stored key is its own. Each block is
+counted with numpy.bincount by slot, and these arrays are summed as a tree. Frequent keys with their counts get a minimal perfect
+hash again; the counts of a candidate's two parts at each cut are read from it by slot: a shard asks each other shard once for the
+distinct keys it needs.
 
 A word is known by 64 bits of a hash of its bytes, a phrase by a linear combination of its words' hashes, so that a part follows from
 the whole and the other part; equal hashes are taken for equal phrases. Only phrases in the result, and those that tie with the last
-of them, are written out: by a last pass over the texts, which verifies their hashes.
+of them, are written out, by a last pass over the texts.
 
-Scale: nothing that grows with the corpus is broadcast or gathered: broadcast are bit tables of fixed size (``BITS``, ``BUCKETS``;
-where a corpus fills them, they rule out less and the results stay the same). The number of shards grows with the corpus
-(``shard_bytes`` of text each), so a task's keys are bounded; a word or phrase of however many occurrences is one entry for each task that
-read it. Blocks of entries, tables and counts are written to the shared folder.
+Scale: nothing that grows with the corpus is broadcast or gathered: broadcast are bit tables of fixed size (``BITS``; where a corpus
+fills them, they rule out less and the results stay the same). A phrase is shuffled once from each task, with 9 bytes as a rule. The
+number of shards grows with the corpus (``shard_bytes`` of text each), so a task's keys are bounded; a word or phrase of however many
+occurrences is one entry for each task that read it.
 
 Defined cases: a null text is the empty text; a null lang is ``und``, together with the lang of that name; repeated rows count again;
 doc_id and other columns are ignored; no rows, or no candidates, give no rows.
@@ -37,24 +37,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SLICES, SPACE, Scratch, _cuts, bit_held, bit_place, bit_table, digests, large, mix, placed, sliced_table
+from .common import SPACE, Scratch, _cuts, bit_held, bit_table, digests, distinct, large, mix, placed
 
 #: Bytes between words, and those of them between pieces.
 GAPS = SPACE.copy()
 GAPS[list(b".,;:!?")] = True
 BREAKS = GAPS.copy()
 BREAKS[list(b" \t")] = False
-#: Bits of a table of frequent keys, and counters in the table of pairs.
-BITS, BUCKETS = 26, 24
+#: Bits of a table of frequent keys.
+BITS = 26
 #: Entries that a task holds before it gives them on.
 HELD = 1 << 21
-#: Parts of a shard's blocks that are counted apart.
-SALTS = 4
 _PAIR = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _TRIPLE = tuple(np.uint64(x) for x in (0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 _INVERSE = {int(x): np.uint64(pow(int(x), -1, 1 << 64)) for x in (_PAIR[1], _TRIPLE[2])}
 BLOCKS = "kind string, level int, lang string, shard int, h binary, c binary, a binary, b binary"
-TABLE = "level int, lang string, shard int, mph binary, h binary, c binary, a binary, b binary"
+TABLE = "level int, lang string, shard int, mph binary, h binary, c binary, a binary, b binary, total long"
 MESSAGES = "level int, lang string, shard int, kind string, from_level int, from_shard int, h binary, c binary"
 FOUND = "level int, lang string, h long, a long, l long, r long, score long"
 
@@ -177,6 +175,15 @@ def _i(x: bytes | None) -> np.ndarray:
     return np.frombuffer(x or b"", np.int64)
 
 
+def _short(c: np.ndarray) -> bytes:
+    """Counts with a byte each if that is enough for all, else with 8."""
+    return (c.astype(np.uint8) if c.max(initial=0) < 256 else c.astype(np.int64)).tobytes()
+
+
+def _counts(block: dict) -> np.ndarray:
+    return np.frombuffer(block["c"], np.int64 if len(block["c"]) == len(block["h"]) else np.uint8)
+
+
 def read_slots(row: dict, keys: np.ndarray) -> np.ndarray:
     """The slots of keys in a table's row, -1 where the stored key is another one."""
     slots, stored = PerfectHash.load(row["mph"]).slots(keys), _u(row["h"])
@@ -224,22 +231,22 @@ def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return keys, np.bincount(inverse, c, len(keys)).astype(np.int64), *(m[first] for m in more)
 
 
-def _blocks(level: int, shards: int, entries: Iterable[tuple[str, tuple[np.ndarray, ...]]], kind: str = "block") -> Iterator[tuple]:
-    """Entries by lang, gathered, summed and given on in blocks by shard."""
-    kept: dict[str, list] = {}
+def _blocks(level: int, shards: int, entries: Iterable[tuple[str, str, tuple[np.ndarray, ...]]]) -> Iterator[tuple]:
+    """Entries (kind, lang, (h, c, more...)), gathered, summed and given on in blocks by shard."""
+    kept: dict[tuple[str, str], list] = {}
     n = 0
 
     def give() -> Iterator[tuple]:
-        for lang, parts in kept.items():
-            h, *more = _merged(parts)
+        for (kind, lang), parts in kept.items():
+            h, c, *more = _merged(parts)
             shard = _shard(h, shards)
             cuts = np.flatnonzero(np.diff(shard, prepend=-1)) if h.size else np.zeros(0, int)
             for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
-                columns = [x[a:b].tobytes() for x in (h, *more)]
-                yield kind, level, lang, int(shard[a]), *columns, *[None] * (4 - len(columns))
+                columns = [x[a:b].tobytes() for x in more]
+                yield kind, level, lang, int(shard[a]), h[a:b].tobytes(), _short(c[a:b]), *columns, *[None] * (2 - len(columns))
 
-    for lang, entry in entries:
-        kept.setdefault(lang, []).append(entry)
+    for kind, lang, entry in entries:
+        kept.setdefault((kind, lang), []).append(entry)
         n += len(entry[0])
         if n > HELD:
             kept = {k: [_merged(v)] for k, v in kept.items()}
@@ -256,45 +263,20 @@ def _pairs(h: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first(shards: int) -> Callable:
-    """Words, the number of words, and counts of pairs by bucket, up to 255."""
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = np.zeros(1 << BUCKETS, np.uint8), {}
-
-        def entries() -> Iterator[tuple]:
-            for lang, _, (h, _, _, piece) in _each(batches):
-                total[lang] = total.get(lang, 0) + len(h)
-                keys, c = np.unique(h, return_counts=True)
-                yield lang, (keys, c)
-                both, one = _pairs(h, piece)
-                at, c = np.unique(bit_place(both[one], BUCKETS).astype(np.uint32), return_counts=True)
-                table[at] = np.minimum(table[at] + np.minimum(c, 255), 255)
-
-        def rows() -> Iterator[tuple]:
-            yield from _blocks(1, shards, entries())
-            for lang, n in total.items():
-                yield "words", 0, lang, 0, None, str(n).encode(), None, None
-            for i, part in enumerate(np.split(table, SLICES)):
-                there = np.flatnonzero(part).astype(np.uint32)
-                if there.size:
-                    few = there.size * 5 < part.size
-                    yield "buckets", 0, None, i, there.tobytes() if few else None, (part[there] if few else part).tobytes(), None, None
-
-        yield from _batches(rows(), BLOCKS)
+        entries = (("words", lang, np.unique(h, return_counts=True)) for lang, _, (h, *_) in _each(batches))
+        yield from _batches(_blocks(1, shards, entries), BLOCKS)
 
     return run
 
 
-def _second(shards: int, words, buckets) -> Callable:
+def _second(shards: int, words) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def entries() -> Iterator[tuple]:
             for lang, _, (h, _, _, piece) in _each(batches):
                 known = bit_held(words.value, h, BITS)
                 both, one = _pairs(h, piece)
-                at = np.flatnonzero(one & known[:-1] & known[1:])
-                at = at[bit_held(buckets.value, both[at], BUCKETS)]
-                keys, first, c = np.unique(both[at], return_index=True, return_counts=True)
-                yield lang, (keys, c, h[:-1][at][first])
+                yield "pairs", lang, np.unique(both[one & known[:-1] & known[1:]], return_counts=True)
 
         yield from _batches(_blocks(2, shards, entries()), BLOCKS)
 
@@ -302,15 +284,19 @@ def _second(shards: int, words, buckets) -> Callable:
 
 
 def _third(shards: int, pairs) -> Callable:
+    """Phrases of three words with the hashes of their first word and pair, and the first words of frequent pairs."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def entries() -> Iterator[tuple]:
             for lang, _, (h, _, _, piece) in _each(batches):
                 both, one = _pairs(h, piece)
                 one &= bit_held(pairs.value, both, BITS)
+                keys, first = np.unique(both[one], return_index=True)
+                yield "parts", lang, (keys, np.zeros(len(keys), np.int64), h[:-1][one][first])
                 at = np.flatnonzero(one[:-1] & one[1:])
                 keys, first, c = np.unique(triple(h[at], h[at + 1], h[at + 2]), return_index=True, return_counts=True)
                 at = at[first]
-                yield lang, (keys, c, h[at], both[at])
+                yield "triples", lang, (keys, c, h[at], both[at])
 
         yield from _batches(_blocks(3, shards, entries()), BLOCKS)
 
@@ -348,88 +334,67 @@ SPELT = "level int, lang string, h long, phrase string"
 # --- levels
 
 
-def _build(table: pa.Table) -> pa.Table:
-    """A shard's blocks: the distinct keys in a perfect hash's slots, with what follows from them."""
-    rows = table.to_pylist()
-    keys, first = np.unique(np.concatenate([_u(r["h"]) for r in rows]), return_index=True)
-    mph = PerfectHash.build(keys)
-    slots = mph.slots(keys)
+def _tree_sum(arrays: Iterable[np.ndarray], size: int) -> np.ndarray:
+    """The sum of arrays, neighbours first: as many are held at once as the tree is high."""
+    held: list[tuple[int, np.ndarray]] = []
+    for x in arrays:
+        held.append((0, x))
+        while len(held) > 1 and held[-1][0] == held[-2][0]:
+            (n, b), (_, a) = held.pop(), held.pop()
+            held.append((n + 1, a + b))
+    return np.sum([x for _, x in held], 0) if held else np.zeros(size, np.int64)
 
-    def by_slot(column: str) -> bytes | None:
-        if rows[0][column] is None:
-            return None
-        out = np.empty(len(keys), np.uint64)
-        out[slots] = np.concatenate([_u(r[column]) for r in rows])[first]
-        return out.tobytes()
 
-    return _batch([(rows[0]["level"], rows[0]["lang"], rows[0]["shard"], mph.dump(), by_slot("h"), None, by_slot("a"), by_slot("b"))], TABLE)
+def _count(least: int) -> Callable:
+    def run(table: pa.Table) -> pa.Table:
+        """A shard's blocks, counted by slot; its frequent keys, in a perfect hash of their own, and the sum of all counts."""
+        rows = table.to_pylist()
+        keys = distinct(np.concatenate([_u(r["h"]) for r in rows]))
+        mph = PerfectHash.build(keys)
+        stored = np.empty(len(keys), np.uint64)
+        stored[mph.slots(keys)] = keys
 
+        def by_slot(row: dict) -> np.ndarray:
+            h = _u(row["h"])
+            slots = mph.slots(h)
+            own = stored[slots] == h
+            return np.bincount(slots[own], _counts(row)[own], len(keys)).astype(np.int64)
 
-def _count(blocks: pa.Table, tables: pa.Table) -> pa.Table:
-    """A part of a shard's blocks, counted by slot."""
-    if not blocks.num_rows:
-        return _batch([], TABLE)
-    [row] = tables.to_pylist()
-    size = len(row["h"]) // 8
-    total = np.zeros(size, np.int64)
-    mph, stored = PerfectHash.load(row["mph"]), _u(row["h"])
-    for block in blocks.to_pylist():
-        keys = _u(block["h"])
-        slots = mph.slots(keys)
-        own = stored[slots] == keys
-        total += np.bincount(slots[own], _i(block["c"])[own], size).astype(np.int64)
-    return _batch([(row["level"], row["lang"], row["shard"], None, None, total.tobytes(), None, None)], TABLE)
-
-
-def _frequent(least: int) -> Callable:
-    def run(tables: pa.Table, counts: pa.Table) -> pa.Table:
-        """The parts' counts summed; frequent keys in a perfect hash of their own."""
-        [row] = tables.to_pylist()
-        c = np.sum([_i(x) for x in counts["c"].to_pylist()], 0)
+        c = _tree_sum(map(by_slot, rows), len(keys))
         keep = np.flatnonzero(c >= least)
-        if not keep.size:
-            return _batch([], TABLE)
-        keys = _u(row["h"])[keep]
-        mph = PerfectHash.build(keys)
-        slots = mph.slots(keys)
-        order = keep[np.argsort(slots)]
-        a, b = (None if row[x] is None else _u(row[x])[order].tobytes() for x in "ab")
-        return _batch([(row["level"], row["lang"], row["shard"], mph.dump(), _u(row["h"])[order].tobytes(), c[order].tobytes(), a, b)], TABLE)
+        frequent = PerfectHash.build(stored[keep])
+        order = keep[np.argsort(frequent.slots(stored[keep]))]
+        more = {x: None for x in "ab"}
+        for x in more:
+            if rows[0][x] is not None:
+                out = np.empty(len(keys), np.uint64)
+                for r in rows:
+                    out[mph.slots(_u(r["h"]))] = _u(r[x])
+                more[x] = out[order].tobytes()
+        return _batch([(rows[0]["level"], rows[0]["lang"], rows[0]["shard"], frequent.dump(), stored[order].tobytes(), c[order].tobytes(), more["a"], more["b"], int(c.sum()))], TABLE)
 
     return run
 
 
-def level(scratch: Scratch, blocks: DataFrame, least: int) -> DataFrame:
+def level(blocks: DataFrame, least: int) -> DataFrame:
     """The frequent keys of a level by shard (TABLE), from its blocks."""
-    of = ["lang", "shard"]
-    built = scratch.cut(blocks.drop("kind", "c").groupBy(*of).applyInArrow(_build, TABLE), "keys")
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted = blocks.select("lang", "shard", "h", "c", (F.xxhash64("h") % SALTS).cast("int").alias("salt")).withColumn("salt", F.abs("salt"))
-    left = salted.groupBy(*of, "salt")
-    counted = left.cogroup(built.select("level", "lang", "shard", "mph", "h", parts.alias("salt")).groupBy(*of, "salt")).applyInArrow(_count, TABLE)
-    out = built.groupBy(*of).cogroup(counted.groupBy(*of)).applyInArrow(_frequent(least), TABLE)
-    out = scratch.cut(out, "level")
-    scratch.drop(built)
-    return out
-
+    return blocks.groupBy("lang", "shard").applyInArrow(_count(least), TABLE)
 
-def keys_of(table: DataFrame) -> RDD:
-    return table.select("h").rdd.map(lambda r: _u(r["h"]))
 
+def _with_parts(blocks: pa.Table, tables: pa.Table) -> pa.Table:
+    """A row of frequent pairs with the hashes of their first words."""
+    if not tables.num_rows:
+        return _batch([], TABLE)
+    [row] = tables.to_pylist()
+    first = np.zeros(len(row["h"]) // 8, np.uint64)
+    for block in blocks.to_pylist():
+        slots = read_slots(row, _u(block["h"]))
+        first[slots[slots >= 0]] = _u(block["a"])[slots >= 0]
+    return _batch([tuple(row[x] for x in ("level", "lang", "shard", "mph", "h", "c")) + (first.tobytes(), None, row["total"])], TABLE)
 
-def _hot_buckets(first: DataFrame, least: int) -> np.ndarray:
-    """Bits of the buckets with ``least`` occurrences of pairs or more; counts go up to 255."""
-    size = (1 << BUCKETS) // SLICES
-
-    def dense(row) -> tuple[int, np.ndarray]:
-        part = np.frombuffer(row["c"], np.uint8)
-        if row["h"] is not None:
-            part, few = np.zeros(size, np.uint8), part
-            part[np.frombuffer(row["h"], np.uint32)] = few
-        return row["shard"], part
 
-    slices = first.where("kind = 'buckets'").select("shard", "h", "c").rdd.map(dense)
-    return sliced_table(slices, lambda a, b: a + np.minimum(b, 255 - a), lambda x: x >= min(least, 255), BUCKETS)
+def keys_of(table: DataFrame) -> RDD:
+    return table.select("h").rdd.map(lambda r: _u(r["h"]))
 
 
 # --- cuts
@@ -490,6 +455,8 @@ def _score(messages: pa.Table, tables: pa.Table) -> pa.Table:
     if not tables.num_rows:
         return _batch([], FOUND)
     [row] = tables.to_pylist()
+    if not row["h"]:
+        return _batch([], FOUND)
     messages = messages.to_pylist()
     known = {}
     for n in (1, 2):
@@ -523,14 +490,13 @@ def candidates(docs: DataFrame, least: int = 10, shard_bytes: int = 16 << 20, sc
     shards = 1 << max(0, int(size / shard_bytes - 1e-9)).bit_length()
     send = spark.sparkContext.broadcast
 
-    first = scratch.cut(texts.mapInArrow(_first(shards), BLOCKS), "words")
-    words = level(scratch, first.where("kind = 'block'"), least)
-    hot = send(_hot_buckets(first, least))
-    blocks = scratch.cut(texts.mapInArrow(_second(shards, send(bit_table(keys_of(words), BITS)), hot), BLOCKS), "pairs")
-    pairs = level(scratch, blocks, least)
-    scratch.drop(blocks)
+    words = scratch.cut(level(texts.mapInArrow(_first(shards), BLOCKS), least), "words")
+    pairs = scratch.cut(level(texts.mapInArrow(_second(shards, send(bit_table(keys_of(words), BITS))), BLOCKS), least), "pairs")
     blocks = scratch.cut(texts.mapInArrow(_third(shards, send(bit_table(keys_of(pairs), BITS))), BLOCKS), "triples")
-    triples = level(scratch, blocks, least)
+    triples = scratch.cut(level(blocks.where("kind = 'triples'"), least), "frequent_triples")
+    shard = ["lang", "shard"]
+    pairs = blocks.where("kind = 'parts'").groupBy(*shard).cogroup(pairs.groupBy(*shard)).applyInArrow(_with_parts, TABLE)
+    pairs = scratch.cut(pairs, "frequent_pairs")
     scratch.drop(blocks)
 
     of = ["level", "lang", "shard"]
@@ -539,7 +505,7 @@ def candidates(docs: DataFrame, least: int = 10, shard_bytes: int = 16 << 20, sc
     every = words.unionByName(pairs)
     answers = asked.where("kind = 'ask'").groupBy(*of).cogroup(every.groupBy(*of)).applyInArrow(_answer, MESSAGES)
     found = answers.unionByName(asked.where("kind = 'inside'")).groupBy(*of).cogroup(longer.groupBy(*of)).applyInArrow(_score, FOUND)
-    sizes = first.where("kind = 'words'").groupBy("lang").agg(F.sum(F.col("c").cast("string").cast("long")).alias("n"))
+    sizes = words.groupBy("lang").agg(F.sum("total").alias("n"))
     return scratch.cut(found, "found"), sizes, texts
 
 
