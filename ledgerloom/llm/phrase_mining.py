@@ -47,7 +47,7 @@ BREAKS[list(b" \t")] = False
 #: Bits of a table of frequent keys.
 BITS = 26
 #: Entries that a task holds before it gives them on.
-HELD = 1 << 21
+HELD = 3 << 19
 _PAIR = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _TRIPLE = tuple(np.uint64(x) for x in (0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 _INVERSE = {int(x): np.uint64(pow(int(x), -1, 1 << 64)) for x in (_PAIR[1], _TRIPLE[2])}
@@ -381,16 +381,24 @@ def level(blocks: DataFrame, least: int) -> DataFrame:
     return blocks.groupBy("lang", "shard").applyInArrow(_count(least), TABLE)
 
 
-def _with_parts(blocks: pa.Table, tables: pa.Table) -> pa.Table:
-    """A row of frequent pairs with the hashes of their first words."""
-    if not tables.num_rows:
-        return _batch([], TABLE)
-    [row] = tables.to_pylist()
-    first = np.zeros(len(row["h"]) // 8, np.uint64)
-    for block in blocks.to_pylist():
-        slots = read_slots(row, _u(block["h"]))
-        first[slots[slots >= 0]] = _u(block["a"])[slots >= 0]
-    return _batch([tuple(row[x] for x in ("level", "lang", "shard", "mph", "h", "c")) + (first.tobytes(), None, row["total"])], TABLE)
+def _third_level(least: int) -> Callable:
+    count = _count(least)
+
+    def run(blocks: pa.Table, tables: pa.Table) -> pa.Table:
+        """A shard's phrases of three words, counted, and its row of frequent pairs with the hashes of their first words."""
+        out = []
+        own = blocks.filter(pc.equal(blocks["kind"], "triples"))
+        if own.num_rows:
+            out.append(count(own))
+        for row in tables.to_pylist():
+            first = np.zeros(len(row["h"]) // 8, np.uint64)
+            for block in blocks.filter(pc.equal(blocks["kind"], "parts")).to_pylist():
+                slots = read_slots(row, _u(block["h"]))
+                first[slots[slots >= 0]] = _u(block["a"])[slots >= 0]
+            out.append(_batch([tuple(row[x] for x in ("level", "lang", "shard", "mph", "h", "c")) + (first.tobytes(), None, row["total"])], TABLE))
+        return pa.concat_tables(out) if out else _batch([], TABLE)
+
+    return run
 
 
 def keys_of(table: DataFrame) -> RDD:
@@ -492,17 +500,13 @@ def candidates(docs: DataFrame, least: int = 10, shard_bytes: int = 16 << 20, sc
 
     words = scratch.cut(level(texts.mapInArrow(_first(shards), BLOCKS), least), "words")
     pairs = scratch.cut(level(texts.mapInArrow(_second(shards, send(bit_table(keys_of(words), BITS))), BLOCKS), least), "pairs")
-    blocks = scratch.cut(texts.mapInArrow(_third(shards, send(bit_table(keys_of(pairs), BITS))), BLOCKS), "triples")
-    triples = scratch.cut(level(blocks.where("kind = 'triples'"), least), "frequent_triples")
-    shard = ["lang", "shard"]
-    pairs = blocks.where("kind = 'parts'").groupBy(*shard).cogroup(pairs.groupBy(*shard)).applyInArrow(_with_parts, TABLE)
-    pairs = scratch.cut(pairs, "frequent_pairs")
-    scratch.drop(blocks)
+    blocks, shard = texts.mapInArrow(_third(shards, send(bit_table(keys_of(pairs), BITS))), BLOCKS), ["lang", "shard"]
+    longer = blocks.groupBy(*shard).cogroup(pairs.groupBy(*shard)).applyInArrow(_third_level(least), TABLE)
+    longer = scratch.cut(longer, "pairs_and_triples")
 
     of = ["level", "lang", "shard"]
-    longer = pairs.unionByName(triples)
     asked = scratch.cut(longer.mapInArrow(_ask(shards), MESSAGES), "asked")
-    every = words.unionByName(pairs)
+    every = words.unionByName(longer.where("level = 2"))
     answers = asked.where("kind = 'ask'").groupBy(*of).cogroup(every.groupBy(*of)).applyInArrow(_answer, MESSAGES)
     found = answers.unionByName(asked.where("kind = 'inside'")).groupBy(*of).cogroup(longer.groupBy(*of)).applyInArrow(_score, FOUND)
     sizes = words.groupBy("lang").agg(F.sum("total").alias("n"))
