@@ -14,7 +14,7 @@ all rows, in blocks, but for what the bounds rule out.
 Components are floor(scale * x) with x as double. Products are exact: in double arithmetic where magnitudes allow, else in
 integers of any size; scores are clamped to 64 bits.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part, neither as queries nor as
+Defined cases: vectors that are null or hold null or non-finite components, or such that aren't finite times scale, take no part, neither as queries nor as
 candidates, nor do rows without vec_id; of vectors of different lengths missing components count as 0; vec_id is a key: of rows that
 repeat one, that with the smallest embedding (by its components in order) counts, and asks if it does; fewer than k candidates
 give as many rows; other columns, whatever their names, are ignored; no rows give no rows.
@@ -321,7 +321,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     """(query_id, rank, vec_id, score) of vectors (vec_id, embedding): the k best other rows of each query row."""
     spark = vectors.sparkSession
     scratch, width = scratch or Scratch(spark), parallelism(spark)
-    finite = F.forall(F.col("embedding").cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    finite = F.forall(F.col("embedding").cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < float("inf")))
     vectors = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite)
     vectors = vectors.select(F.col("vec_id").cast("long"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.col("embedding").cast("array<double>").alias("embedding"))
     n = vectors.count()

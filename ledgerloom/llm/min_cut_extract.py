@@ -22,6 +22,7 @@ are kept; other columns are ignored; no rows give no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
@@ -65,10 +66,9 @@ FEATURES = {
 }
 DEFAULT = tuple(FEATURES.values())
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?>\"[^\"]*\"|'[^']*'|[^'\">])*+(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>",
-    re.S | re.I,
-)
+_SPECIAL = re.compile("[>\"']")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]{0,99}")
+_RAW = re.compile(rf"(?:{RAW})(?=[\s/>])", re.I)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -110,6 +110,64 @@ class Block:
         self.parent, self.text, self.linked, self.heading = parent, text, linked, heading
 
 
+class Ends:
+    """Where tags end: the first > outside of quotes. The answer for every place is found in one pass from the end, so a page of tags or
+    quotes that never end takes no longer than another one."""
+
+    def __init__(self, html: str):
+        self.at = [m.start() for m in _SPECIAL.finditer(html)]
+        self.end = [-1] * (len(self.at) + 1)  # for a place outside of quotes before the i-th of them; -1: none
+        seen = {'"': -1, "'": -1}
+        for i in range(len(self.at) - 1, -1, -1):
+            c = html[self.at[i]]
+            if c == ">":
+                self.end[i] = self.at[i]
+            else:
+                self.end[i] = self.end[seen[c] + 1] if seen[c] >= 0 else -1
+                seen[c] = i
+        self.plain = [x for x in self.at if html[x] == ">"]
+
+    def of_tag(self, start: int) -> int:
+        return self.end[bisect_left(self.at, start)]
+
+    def of_declaration(self, start: int) -> int:
+        i = bisect_left(self.plain, start)
+        return self.plain[i] if i < len(self.plain) else -1
+
+
+def tokens(html: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(start, end, whether it closes, tag, attributes) of all markup; the tag is None for what is dropped as a whole: comments,
+    declarations, and elements of RAW with what they hold. A < that begins no markup is text."""
+    ends, at = Ends(html), html.find("<")
+    while at >= 0:
+        to, closes, tag, attributes = -1, False, None, ""
+        if ends.of_declaration(at) < 0:  # nothing ends any more but the text
+            if (at := html.find("<!--", at)) >= 0:
+                yield at, len(html), False, None, ""
+            return
+        if html.startswith("<!--", at):
+            to = html.find("-->", at + 4) + 3
+            to = to if to > 2 else len(html)
+        elif raw := _RAW.match(html, at + 1):
+            if (inner := ends.of_tag(raw.end())) >= 0:
+                last = re.compile(rf"</{raw[0]}\s*>", re.I).search(html, inner + 1)
+                to = last.end() if last else len(html)
+        elif html.startswith(("<!", "<?"), at):
+            to = ends.of_declaration(at) + 1 or -1
+        else:
+            closes = html.startswith("/", at + 1)
+            if name := _NAME.match(html, at + 1 + closes):
+                tag, begin = name[0], name.end()
+                to = ends.of_tag(begin) + 1 or -1
+                if to < 0 and (quote := re.search("[\"']", tag)):  # then the quote may begin an attribute
+                    tag, begin = tag[: quote.start()], name.start() + quote.start()
+                    to = ends.of_tag(begin) + 1 or -1
+                attributes = html[begin : to - 1] if to >= 0 else ""
+        if to >= 0:
+            yield at, to, closes, tag, attributes
+        at = html.find("<", to if to >= 0 else at + 1)
+
+
 def blocks(html: str) -> list[Block]:
     """Text blocks in page order; their elements know whether they stand in content (1), in boilerplate (-1) or in neither."""
     top = at = Element("#top", None)
@@ -129,22 +187,22 @@ def blocks(html: str) -> list[Block]:
         linked = 0
 
     last = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > last:
-            parts.append(html[last : m.start()])
+    for start, end, closes, name, attributes in tokens(html):
+        if start > last:
+            parts.append(html[last:start])
             if links:
-                linked += m.start() - last
-        last = m.end()
-        if m[3] is None:
+                linked += start - last
+        last = end
+        if name is None:
             continue
-        tag = m[3].lower()
+        tag = name.lower()
         if tag == "br":
             parts.append(" ")
             continue
         inline = tag in INLINE
         if not inline:
             close()
-        if m[2]:
+        if closes:
             found = at if open_[tag] else None
             while found and found.tag != tag and not (inline and found.tag not in INLINE):
                 found = found.parent
@@ -164,9 +222,9 @@ def blocks(html: str) -> list[Block]:
                     links -= at.tag == "a"
                     open_[at.tag] -= 1
                     at = at.parent
-        if tag in VOID or m[4].endswith("/") and not inline and tag not in CLOSES_P:
+        if tag in VOID or attributes.endswith("/") and not inline and tag not in CLOSES_P:
             continue
-        at = Element(tag, at, m[4])
+        at = Element(tag, at, attributes)
         every.append(at)
         open_[tag] += 1
         links += tag == "a"

@@ -43,9 +43,14 @@ def _secrets() -> str:
         if rule.kind == "assign":
             letters = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
             pattern = letters + pattern[pattern.index(")") + 1 :]
+        before = "''"  # what a pattern takes in before a match, where it may not look behind
+        if "(?<!" in pattern:
+            pattern = "(^|[^" + pattern[5:].replace("}+", "}")
+            before = f"regexp_extract(m[i], '{pattern}', 1)"
         found.append(
             f"""select doc_id, {rank} as rank, '{rule.kind}' as kind, {str(rule.base).lower()} as base, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
-            's': cast(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint), 'n': length(m[i]), 'ok': length(v[i]) >= {rule.least}}})) as f
+            's': cast(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) + length({before}) as bigint),
+            'n': length(m[i]) - length({before}), 'ok': length(v[i]) - length({before}) >= {rule.least}}})) as f
             from (select doc_id, string_split_regex(t, '{pattern}') as g, regexp_extract_all(t, '{pattern}') as m, regexp_extract_all(t, '{pattern}', {rule.group}) as v from d where regexp_matches(t, '{pattern}'))"""
         )
     counts = ", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in RULES if r.base)
