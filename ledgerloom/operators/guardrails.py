@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,15 +25,69 @@ def price_bounds(df: DataFrame, keys: list[str], price: str) -> DataFrame:
     )
 
 
-def net_returns(rows: DataFrame, case: str, item: str, quantity: str, row_id: str) -> DataFrame:
-    """(row_id, state): a return and a purchase of the same case, item and amount cancel one for one, in order of row_id."""
+def net_returns(rows: DataFrame, case: str, item: str, quantity: str, row_id: str, tolerance: float = 0.001) -> DataFrame:
+    """(row_id, state, partner): in order of row_id, each purchase takes the first return of its case, item and amount that is left; one
+    without case takes the first of any case. Amounts are equal within the tolerance.
+
+    Where no purchase without case and no two different amounts meet, the n-th purchase of a case goes with its n-th return, by row
+    numbers of (case, item, amount), so a popular item is split by case. Only items and amounts where they do meet are gone
+    through in order, by rows that can find a partner: of each case and amount, purchases up to the number of the case's returns.
+    """
+    amount = F.abs(F.coalesce(F.col(quantity).cast("double"), F.lit(0.0)))
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     sign = F.when(F.col(quantity) < 0, -1).otherwise(1)
-    amount = F.round(F.abs(quantity), 3)
-    w = W.partitionBy(case, item, "_amount", "_sign").orderBy(row_id)
-    x = rows.select(row_id, case, item, amount.alias("_amount"), sign.alias("_sign")).withColumn("_n", F.row_number().over(w))
-    keys = [case, item, "_amount", "_n"]
-    other = x.select(*keys, (-F.col("_sign")).alias("_sign"), F.lit(True).alias("_paired"))
-    return x.join(other, [*keys, "_sign"], "left").select(row_id, F.when(F.col("_paired"), "NETTED").otherwise("ACTIVE").alias("state"))
+    x = rows.select(F.col(row_id).alias("row_id"), blank(case).alias("case"), blank(item).alias("item"), amount.alias("amount"), sign.alias("sign"))
+    near = x.groupBy("item", "amount").agg(F.count_if(F.col("sign") < 0).alias("back"), F.count_if((F.col("sign") > 0) & (F.col("case") == "")).alias("wild"))
+    by_amount = W.partitionBy("item").orderBy("amount")
+    start = F.when(F.col("amount") - F.lag("amount").over(by_amount) < tolerance, 0).otherwise(1)
+    near = near.withColumn("start", start).withColumn("cluster", F.sum("start").over(by_amount))
+    facts = near.groupBy("item", "cluster").agg(F.sum("back").alias("back"), F.sum("wild").alias("wild"), F.count("*").alias("amounts"))
+    facts = near.select(F.col("item").alias("i"), F.col("amount").alias("a"), F.col("cluster").alias("c")).join(facts.where("back > 0"), (F.col("i") == F.col("item")) & (F.col("c") == F.col("cluster")))
+    facts = facts.select("i", "a", "cluster", ((F.col("wild") > 0) | (F.col("amounts") > 1)).alias("meet"))
+    x = x.join(facts, (F.col("item") == F.col("i")) & (F.col("amount") == F.col("a"))).drop("i", "a")
+    key = ["item", "cluster", "case"]
+    x = x.withColumn("n", F.row_number().over(W.partitionBy(*key, "amount", "sign").orderBy("row_id")))
+    plain = x.where("not meet").select("row_id", *key, "sign", "n")
+    other = plain.select(F.col("row_id").alias("partner"), *key, (-F.col("sign")).alias("sign"), "n")
+    pairs = plain.join(other, [*key, "sign", "n"]).select("row_id", "partner")
+    returns = x.where("meet and sign < 0")
+    # of a case with k returns the first k purchases of an amount can find one; of those without case, as many as there are returns
+    most = returns.groupBy(*key).agg(F.count("*").alias("k")).unionByName(returns.groupBy("item", "cluster").agg(F.count("*").alias("k")).withColumn("case", F.lit("")))
+    most = most.groupBy(*key).agg(F.max("k").alias("k"))
+    able = x.where("meet and sign > 0").join(most, key).where("n <= k").drop("k").unionByName(returns)
+    met = able.groupBy("item", "cluster").applyInPandas(_in_order(tolerance), f"row_id {dict(x.dtypes)['row_id']}, partner {dict(x.dtypes)['row_id']}")
+    found = pairs.unionByName(met).unionByName(met.select(F.col("partner").alias("row_id"), F.col("row_id").alias("partner")))
+    out = rows.select(F.col(row_id).alias("row_id")).join(found, "row_id", "left")
+    return out.select(F.col("row_id").alias(row_id), F.when(F.col("partner").isNotNull(), "NETTED").otherwise("ACTIVE").alias("state"), "partner")
+
+
+def _in_order(tolerance: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """(row_id, partner) of the purchases of one item and cluster of amounts that find a return."""
+        group = group.sort_values("row_id")
+        queues: dict[tuple, deque] = {}  # of returns by case and amount, and by amount alone
+        back = group[group["sign"] < 0]
+        for place, (row, case, amount) in enumerate(zip(back["row_id"], back["case"], back["amount"], strict=True)):
+            queues.setdefault((case, amount), deque()).append((place, row))
+            queues.setdefault((None, amount), deque()).append((place, row))
+        amounts, gone, out = sorted(set(back["amount"])), set(), []
+        buys = group[group["sign"] > 0]
+        for row, case, amount in zip(buys["row_id"], buys["case"], buys["amount"], strict=True):
+            first = None
+            for i in range(bisect_left(amounts, amount - tolerance), len(amounts)):
+                if amounts[i] - amount >= tolerance:
+                    break
+                queue = queues.get((case or None, amounts[i]), ())
+                while queue and queue[0][0] in gone:
+                    queue.popleft()
+                if queue and abs(amounts[i] - amount) < tolerance and (first is None or queue[0] < first[0]):
+                    first = queue[0], queue
+            if first:
+                gone.add(first[0][0])
+                out.append((row, first[0][1]))
+        return pd.DataFrame(out, columns=["row_id", "partner"])
+
+    return run
 
 
 def assess(df: DataFrame, paid: str, contract: str, unit: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions import pricing as P
+from ..operators import drift as R
 from ..operators import guardrails as G
 from ..operators import incremental as I
 from .registry import query
@@ -99,7 +100,40 @@ for _name, _sql in _MODES.items():
 query("INC-14", f"select item_id, price, case when item_id in (select item_id from ({_LATE})) then 'REVIEW_REQUIRED' else 'ACTIVE' end as record_status from before union all select item_id, price, case when item_id in (select item_id from before) then 'REVIEW_REQUIRED' else 'ACTIVE' end from ({_LATE})")(_mode(None))
 
 
-@query("INC-15", "with c as (select (select count(*) from before) as b, (select count(*) from after) as a) select b as before_rows, a as after_rows, case when abs(a - b) * 100e0 / b > 20 then 'HIGH' when abs(a - b) * 100e0 / b > 5 then 'MEDIUM' else 'LOW' end as volume_drift from c")
+_DRIFT = ["description", "price", "manufacturer"]
+_R = "round({0} + case when {0} >= 0 then 1e-9 else -1e-9 end, {1})"
+_N = ["item_id", *_DRIFT]
+_DRIFT_SQL = f"""with n as (select (select count(*) from before) as b, (select count(*) from after) as a),
+    j as (select b.item_id as bi, a.item_id as ai, {', '.join(f'b.{c} as b_{c}, a.{c} as a_{c}' for c in _DRIFT)} from before b full join after a on b.item_id = a.item_id),
+    u as (select count(*) filter (bi is null) as added, count(*) filter (ai is null) as dropped, count(*) filter (bi = ai) as common,
+        count(*) filter (bi = ai and ({' or '.join(f'b_{c} is distinct from a_{c}' for c in _DRIFT)})) as modified, {', '.join(f'count(*) filter (bi = ai and b_{c} is distinct from a_{c}) as f_{c}' for c in _DRIFT)} from j),
+    f as ({' union all '.join(f"select {i} as i, '{c}' as name, f_{c} as n, common from u" for i, c in enumerate(_DRIFT))}),
+    z as ({' union all '.join(f"select {i} as i, '{c}' as name, {_R.format(f'(select count(*) filter ({c} is null) * 100e0 / count(*) from before)', 2)} as p, {_R.format(f'(select count(*) filter ({c} is null) * 100e0 / count(*) from after)', 2)} as q" for i, c in enumerate(_N))}),
+    s as (select (select avg(price) from before) as m, (select avg(price) from after) as m2, (select max(price) from before) as x, (select max(price) from after) as x2, (select median(price) from before) as d, (select median(price) from after) as d2),
+    t as (select {', '.join(f"{_R.format(c, 2)} as {c}" for c in ('m', 'm2', 'x', 'x2', 'd', 'd2'))} from s),
+    v as (select b, a, {_R.format('((a - b) * 100e0 / b)', 2)} as c from n)
+    select 'volume' as section, 'rows' as name, cast(b as double) as before, cast(a as double) as after, c as change, case when abs(c) < 5 then 'LOW' when abs(c) < 20 then 'MEDIUM' else 'HIGH' end as severity from v
+    union all select 'churn', 'added', null, added, {_R.format('(added * 100e0 / a)', 1)}, null from u, n union all select 'churn', 'modified', null, modified, {_R.format('(modified * 100e0 / a)', 1)}, null from u, n
+    union all select 'churn', 'dropped', null, dropped, {_R.format('(dropped * 100e0 / b)', 1)}, null from u, n union all select 'churn', 'unchanged', null, common - modified, {_R.format('((common - modified) * 100e0 / a)', 1)}, null from u, n
+    union all select 'field', name, null, n, c, case when c > 20 then 'HIGH' when c > 5 then 'MEDIUM' else 'LOW' end from (select *, {_R.format('(n * 100e0 / common)', 1)} as c from f where n > 0 order by n desc, i limit 8)
+    union all select 'null_rate', name, p, q, c, case when c > 10 then 'SEVERE' when c > 3 then 'WARNING' else 'STABLE' end from (select *, {_R.format('(q - p)', 2)} as c from z where abs({_R.format('(q - p)', 2)}) >= 1 or q > 10 order by abs(q - p) desc, i limit 8)
+    union all select 'mean', 'price', m, m2, c, case when abs(c) > 50 or (x > 0 and x2 > 5 * x) then 'ALERT' else 'STABLE' end from (select *, {_R.format('((m2 - m) / abs(m) * 100)', 1)} as c from t)
+    union all select 'max', 'price', x, x2, {_R.format('((x2 - x) / greatest(1, x) * 100)', 1)}, null from t union all select 'median', 'price', d, d2, null, null from t"""
+
+
+@query("INC-15", _DRIFT_SQL)
+def drift(d):
+    return R.report(d.before, d.after, ["item_id"])[0]
+
+
+@query("INC-15-SAMPLES", f"""with c as (select b.item_id as key, {', '.join(f'b.{x} as b_{x}, a.{x} as a_{x}' for x in _DRIFT)} from before b join after a on b.item_id = a.item_id
+    where {' or '.join(f'b.{x} is distinct from a.{x}' for x in _DRIFT)} order by b.item_id limit 15)
+    {' union all '.join(f"select key, '{x}' as field, cast(b_{x} as varchar) as before, cast(a_{x} as varchar) as after from c where b_{x} is distinct from a_{x}" for x in _DRIFT)}""")
+def drift_samples(d):
+    return R.report(d.before, d.after, ["item_id"])[1]
+
+
+@query("INC-15-VOLUME", "with c as (select (select count(*) from before) as b, (select count(*) from after) as a) select b as before_rows, a as after_rows, case when abs(a - b) * 100e0 / b > 20 then 'HIGH' when abs(a - b) * 100e0 / b > 5 then 'MEDIUM' else 'LOW' end as volume_drift from c")
 def volume(d):
     n = lambda df, c: df.agg(F.count("*").alias(c))
     both = n(d.before, "before_rows").join(F.broadcast(n(d.after, "after_rows")))
@@ -161,7 +195,15 @@ def suffixes(d):
     select a.row_id, case when b.row_id is not null then 'NETTED' else 'ACTIVE' end as state from n a left join n b on a.case_id = b.case_id and a.item_type = b.item_type and a.amount = b.amount and a.n = b.n and a.s = -b.s""")
 def netted(d):
     rows = d.consumption.select("row_id", (F.col("log_id") % 50).alias("case_id"), "item_type", "quantity")
-    return G.net_returns(rows, "case_id", "item_type", "quantity", "row_id")
+    return G.net_returns(rows, "case_id", "item_type", "quantity", "row_id").drop("partner")
+
+
+@query("GRD-07-WILD")
+def netted_without_case(d):
+    """A seventh of the lines has no case, and amounts differ by less than the tolerance."""
+    case = F.when(F.col("log_id") % 7 == 0, "").otherwise((F.col("log_id") % 50).cast("string"))
+    amount = F.col("quantity") + F.when(F.col("log_id") % 3 == 0, 0.0004).otherwise(0.0)
+    return G.net_returns(d.consumption.select("row_id", case.alias("case_id"), "item_type", amount.alias("quantity")), "case_id", "item_type", "quantity", "row_id")
 
 
 @query("GRD-08", f"select row_id, case when {_RATIO} is null then 'OFF_CONTRACT' when {_RATIO} > 25e-1 then 'SEVERE_OVERCHARGE' when {_RATIO} < 2e-1 then 'DEEP_DISCOUNT' else 'WITHIN_BAND' end as sanity from consumption")
