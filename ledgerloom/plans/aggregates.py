@@ -159,13 +159,13 @@ def kpi_row(d):
 _PROFILE = {"rows": "count(*)", "contracts": "count(distinct contract_number)", "items": "count(distinct item_id)", "vendors": "count(distinct vendor)", "no_price": "count(case when price is null then 1 end)", "open_ended": "count(case when ends is null then 1 end)", "backwards": "count(case when ends < starts then 1 end)", "boxes": "count(case when uom = 'BX' then 1 end)"}
 
 
-@query("AGG-24", f"select unnest([{', '.join(f'''{{'metric': '{k}', 'value': {v}}}''' for k, v in _PROFILE.items())}], recursive := true) from contracts")
+@query("AGG-24-BASIC", f"select unnest([{', '.join(f'''{{'metric': '{k}', 'value': {v}}}''' for k, v in _PROFILE.items())}], recursive := true) from contracts")
 def contract_profile(d):
     one = d.contracts.agg(*(F.expr(v).alias(k) for k, v in _PROFILE.items()))
     return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in _PROFILE))).alias("x")).select("x.*")
 
 
-@query("AGG-25", "select count(*) as rows, count(*) filter (item_id = '') as no_item, count(*) filter (trim(vendor) = '') as no_vendor, count(*) filter (service_date is null) as no_date, count(*) filter (client_contract_price is null) as no_client_price, count(distinct uom) as units from consumption")
+@query("AGG-25-BASIC", "select count(*) as rows, count(*) filter (item_id = '') as no_item, count(*) filter (trim(vendor) = '') as no_vendor, count(*) filter (service_date is null) as no_date, count(*) filter (client_contract_price is null) as no_client_price, count(distinct uom) as units from consumption")
 def consumption_profile(d):
     n = lambda x: F.count_if(F.expr(x))
     return d.consumption.agg(F.count("*").alias("rows"), n("item_id = ''").alias("no_item"), n("trim(vendor) = ''").alias("no_vendor"), n("service_date is null").alias("no_date"), n("client_contract_price is null").alias("no_client_price"), F.count_distinct("uom").alias("units"))
@@ -174,7 +174,7 @@ def consumption_profile(d):
 _SCENARIO = "case when n = 1 then 'A_SINGLE' when numbers > 1 and prices > 1 then 'B_CONTRACTS_AND_PRICES' when numbers > 1 then 'C_CONTRACTS' when prices > 1 then 'D_PRICES' when starts > 1 then 'E_STARTS' else 'F_COPIES' end"
 
 
-@query("AGG-26", f"with g as (select vendor, item_id, count(*) as n, count(distinct contract_number) as numbers, count(distinct price) as prices, count(distinct starts) as starts from contracts group by 1, 2) select {_SCENARIO} as scenario, count(*) as combos from g group by 1")
+@query("AGG-26-SHAPES", f"with g as (select vendor, item_id, count(*) as n, count(distinct contract_number) as numbers, count(distinct price) as prices, count(distinct starts) as starts from contracts group by 1, 2) select {_SCENARIO} as scenario, count(*) as combos from g group by 1")
 def scenarios(d):
     g = d.contracts.groupBy("vendor", "item_id").agg(F.count("*").alias("n"), F.count_distinct("contract_number").alias("numbers"), F.count_distinct("price").alias("prices"), F.count_distinct("starts").alias("starts"))
     return g.groupBy(F.expr(_SCENARIO).alias("scenario")).agg(F.count("*").alias("combos"))

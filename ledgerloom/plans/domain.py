@@ -83,6 +83,14 @@ VIEWS = {
         select cast(p_partkey as string) as item_id, case f % 7 when 3 then 'Depot ' || cast(f as string) when 5 then null else {_vendor_word('f')} || ' Medical' end as vendor,
             case when f % 3 = 0 then 'VC' || cast(f as string) when p_partkey % 11 = 0 then 'VC' || cast((f + 1) % 40 as string) end as vendor_code
         from (select *, p_partkey % 40 as f from {{part}}) as k""",
+    # contract records as delivered: dates as text, some bad or blank, spellings, tiers, codes and copies
+    "raw_contracts": """
+        select contract_number, case when m % 23 = 0 then ' ' when m % 3 = 0 then lower(vendor) || '  inc' else vendor end as vendor, case when m % 29 = 0 then '' else item_id end as item_id, uom, price, each_price,
+            case when m % 19 = 0 then null when m % 31 = 0 then 'soon' when m % 37 = 0 then '1899-12-30' else cast(starts as string) end as start_text,
+            case when m % 17 = 0 then 'open' when m % 41 = 0 then '1994-01-01' else cast(ends as string) end as end_text,
+            case when m % 4 = 0 then '' when m % 4 = 1 then 'TIER 1' when m % 4 = 2 then 'tier 2 ' else 'LOCAL' end as tier, case when m % 13 = 0 then '' when copy = 3 then category || ' B' else category end as category,
+            case when m % 5 = 0 then null when m % 3 = 0 then 'C' || vendor else 'C' || cast(m % 4 as string) end as vendor_code
+        from (select *, cast(item_id as int) as m from contracts) as c join (select 1 as copy union all select 2 as copy union all select 3 as copy) as copies on copy = 1 or (copy = 2 and m % 12 = 5) or (copy = 3 and m % 14 = 6)""",
     "logs": """select event_id, user_id, cast(ts as timestamp) as ts, event_type as action, case when event_id % 7 = 0 then 'FAILED' else 'OK' end as status, value, props from {events}""",
 }
 #: Rows of the same feed before and after a delivery: some go, some change, some come.
@@ -104,7 +112,8 @@ class Domain:
         if name in TABLES:
             out = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         elif name in VIEWS:
-            out = self.spark.sql(VIEWS[name], **{t: getattr(self, t) for t in TABLES if f"{{{t}}}" in VIEWS[name]})
+            text = VIEWS[name].replace("from contracts)", "from {contracts})")
+            out = self.spark.sql(text, **{t: getattr(self, t) for t in (*TABLES, "contracts") if f"{{{t}}}" in text})
         elif name in VERSIONS:
             out = self.spark.sql(VERSIONS[name].replace("item_master", "{item_master}"), item_master=self.item_master)
         else:
