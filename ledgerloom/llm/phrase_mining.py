@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -240,8 +241,7 @@ def _blocks(level: int, shards: int, entries: Iterable[tuple[str, str, tuple[np.
         for (kind, lang), parts in kept.items():
             h, c, *more = _merged(parts)
             shard = _shard(h, shards)
-            cuts = np.flatnonzero(np.diff(shard, prepend=-1)) if h.size else np.zeros(0, int)
-            for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
+            for a, b in pairwise([*np.flatnonzero(np.diff(shard, prepend=-1)), len(h)]):
                 columns = [x[a:b].tobytes() for x in more]
                 yield kind, level, lang, int(shard[a]), h[a:b].tobytes(), _short(c[a:b]), *columns, *[None] * (2 - len(columns))
 
@@ -433,8 +433,7 @@ def _ask(shards: int) -> Callable:
                     most = np.zeros(len(keys), np.int64)
                     np.maximum.at(most, np.searchsorted(keys, asked), np.tile(_i(row["c"]), sum(n == to for n, _ in parts)))
                     shard = _shard(keys, shards)
-                    cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-                    for i, j in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                    for i, j in pairwise([*np.flatnonzero(np.diff(shard, prepend=-1)), len(keys)]):
                         yield to, row["lang"], int(shard[i]), "ask", row["level"], row["shard"], keys[i:j].tobytes(), None
                         if to == 2:
                             yield to, row["lang"], int(shard[i]), "inside", row["level"], row["shard"], keys[i:j].tobytes(), most[i:j].tobytes()
