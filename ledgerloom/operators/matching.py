@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cleaning import strip_suffix
+from ..sources.shared import written
 from .joins import valid_on
 from .windows import pick
 
@@ -199,3 +200,22 @@ def fuzzy_vendors(names: DataFrame, standards: DataFrame, least: float = 0.8) ->
     scored = fuzzy_pairs(names.select("name"), standards.select("standard"), least)
     best = names.select("name").distinct().withColumn("a", F.upper("name")).join(scored, "a").join(standards.select("standard", F.upper("standard").alias("b")).distinct(), "b")
     return pick(best, ["name"], [F.desc("ratio"), F.col("standard")]).select("name", "standard", "ratio")
+
+
+def similar_sets(sets: DataFrame, key: str, group: str, tokens: str, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """((key, other), candidates) of rows of one group whose sets of tokens have a Jaccard similarity of at least ``least``, key < other.
+
+    By prefixes: sets that are so alike share one of their rarest tokens, of n tokens the first n - ceil(least * n) + 1. Only rows with
+    such a token in common, and sizes that allow it, are compared; candidates are those pairs.
+    """
+    rows = sets.select(F.col(key).alias("key"), F.col(group).alias("grp"), F.array_distinct(tokens).alias("set")).where("grp is not null and size(set) > 0")
+    each = rows.select("key", "grp", F.size("set").alias("n"), F.explode("set").alias("token"))
+    often = each.groupBy("grp", "token").agg(F.count("*").alias("often"))
+    ranked = each.join(often, ["grp", "token"]).withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("often", "token")))
+    heads = written(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("key", "grp", "n", "token"), "heads")
+    other = heads.select(F.col("key").alias("other"), "grp", F.col("n").alias("m"), "token")
+    fits = (F.col("key") < F.col("other")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)
+    candidates = heads.join(other, ["grp", "token"]).where(fits).select("key", "other").distinct()
+    found = candidates.join(rows.select("key", F.col("set").alias("a")), "key").join(rows.select(F.col("key").alias("other"), F.col("set").alias("b")), "other")
+    both = F.size(F.array_intersect("a", "b"))
+    return found.where(both / (F.size("a") + F.size("b") - both) >= least).select("key", "other"), candidates

@@ -38,3 +38,15 @@ def number_drift(before: DataFrame, after: DataFrame, column: str, percent: floa
     both = one(before, "b").join(F.broadcast(one(after, "a")))
     moved = F.abs(F.col("am") - F.col("bm")) / F.nullif(F.abs("bm"), F.lit(0.0)) * 100 > percent
     return both.select(cents(F.col("bm")).alias("before_mean"), cents(F.col("am")).alias("after_mean"), cents(F.col("bq")).alias("before_median"), cents(F.col("aq")).alias("after_median"), moved.alias("alert"))
+
+
+def parity(left: DataFrame, right: DataFrame, metrics: dict[str, tuple[Column, float]]) -> DataFrame:
+    """(metric, left_value, right_value, difference, tolerance, equal) of two stores of one table: each metric is an aggregate with the
+    share of the left value by which the right one may differ. One pass over each side."""
+    names = list(metrics)
+    l, r = (df.agg(*(metrics[n][0].cast("double").alias(n) for n in names)).first() for df in (left, right))
+    rows = []
+    for n in names:
+        a, b = (float(x[n] or 0.0) for x in (l, r))
+        rows.append((n, a, b, abs(a - b), metrics[n][1], abs(a - b) <= metrics[n][1] * abs(a)))
+    return left.sparkSession.createDataFrame(rows, "metric string, left_value double, right_value double, difference double, tolerance double, equal boolean")

@@ -242,7 +242,7 @@ def log_metrics(d):
     return d.logs.groupBy("action", "status").agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"))
 
 
-@query("AGG-34", f"with x as (select count(*) as n, sum(total_value) as v from purchase_orders), y as (select count(*) as n, sum(unit_price * quantity) as v from purchase_orders) select {r('x.v')} as left_value, {r('y.v')} as right_value, x.n = y.n and abs(x.v - y.v) <= abs(x.v) * 1e-6 as equal from x, y")
+@query("AGG-34-TOTALS", f"with x as (select count(*) as n, sum(total_value) as v from purchase_orders), y as (select count(*) as n, sum(unit_price * quantity) as v from purchase_orders) select {r('x.v')} as left_value, {r('y.v')} as right_value, x.n = y.n and abs(x.v - y.v) <= abs(x.v) * 1e-6 as equal from x, y")
 def parity(d):
     p = d.purchase_orders
     both = p.agg(F.count("*").alias("n"), F.sum("total_value").alias("v"), F.sum(F.col("unit_price") * F.col("quantity")).alias("w"))

@@ -98,7 +98,7 @@ def once_per_value(d):
     return d.consumption.select("row_id", "description").join(known, "description").select("row_id", "label")
 
 
-@query("UDF-04", "select description, case when description like '%plate%' or description like '%bolt%' then 'ORTHO' else 'GENERAL' end as procedure_group from (select distinct description from consumption)")
+@query("UDF-04-RULES", "select description, case when description like '%plate%' or description like '%bolt%' then 'ORTHO' else 'GENERAL' end as procedure_group from (select distinct description from consumption)")
 def grouped(d):
     from ..functions.grouping import group_values, rules
 

@@ -244,10 +244,10 @@ def bare_ids(d):
 
 @query("DOC-03", "with a as (select item_id, list_distinct(string_split(upper(description), ' ')) as t, manufacturer from item_master where manufacturer is not null) select a.item_id, b.item_id as other from a join a b on a.manufacturer = b.manufacturer and a.item_id < b.item_id where len(list_intersect(a.t, b.t)) * 1e0 / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 8e-1")
 def alike(d):
-    t = d.item_master.where("manufacturer is not null").select("item_id", "manufacturer", F.array_distinct(F.split(F.upper("description"), " ")).alias("t"))
-    u = t.select(F.col("item_id").alias("other"), "manufacturer", F.col("t").alias("u"))
-    both = F.size(F.array_intersect("t", "u"))
-    return t.join(u, "manufacturer").where((F.col("item_id") < F.col("other")) & (both / (F.size("t") + F.size("u") - both) >= 0.8)).select("item_id", "other")
+    from ..operators.matching import similar_sets
+
+    items = d.item_master.select("item_id", "manufacturer", F.split(F.upper("description"), " ").alias("t"))
+    return similar_sets(items, "item_id", "manufacturer", "t", 0.8)[0].withColumnRenamed("key", "item_id")
 
 
 @query("DOC-04", "select item_id, price from before union all select item_id, price from after where item_id not in (select item_id from before)")

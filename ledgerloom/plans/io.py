@@ -34,7 +34,7 @@ def items_as_text(d, sep: str = "|", **options):
 _COLUMNS = ["item_id", "description", "manufacturer", "manufacturer_part"]
 
 
-@query("SRC-01", _TEXT.replace("coalesce(manufacturer, '') as manufacturer", "manufacturer"))
+@query("SRC-01-PIPES", _TEXT.replace("coalesce(manufacturer, '') as manufacturer", "manufacturer"))
 def pipes(d):
     return readers.delimited(d.spark, items_as_text(d), _COLUMNS).withColumn("manufacturer", F.nullif("manufacturer", F.lit("")))
 
@@ -113,7 +113,7 @@ def sheets(d):
     return n(d.item_master, "items").unionAll(n(d.contracts, "contracts"))
 
 
-@query("SNK-05", 'select item_id as "ITEM_ID", description as "DESCRIPTION", price as "PRICE" from item_master')
+@query("SNK-05-NAMES", 'select item_id as "ITEM_ID", description as "DESCRIPTION", price as "PRICE" from item_master')
 def published(d):
     return sinks.published(d.item_master.select("item_id", "description", "price"))
 
@@ -158,21 +158,7 @@ def rebuild(d):
     return d.spark.createDataFrame([(N.must_rebuild(was, {**a, "percent": 5}, True), N.must_rebuild(was, b, True), N.must_rebuild(was, a, False))], "changed boolean, same boolean, missing boolean")
 
 
-_DELIVERIES = "select action as entity, cast(event_id as string) as name, ts as arrived from logs where event_id % 50 = 0"
-
-
-@query("INC-11", f"with x as ({_DELIVERIES}) select entity, name, cast(row_number() over (partition by entity order by arrived, name) as int) as version, case when entity = 'error' then 'MERGED_CONSOLIDATED' when row_number() over (partition by entity order by arrived desc, name desc) = 1 then 'ACTIVE' else 'SUPERSEDED' end as status from x")
-def catalogued(d):
-    x = d.logs.where("event_id % 50 = 0").select(F.col("action").alias("entity"), F.col("event_id").cast("string").alias("name"), F.col("ts").alias("arrived"))
-    return N.catalog(x, x.where("entity = 'error'").select("entity")).drop("arrived")
-
-
-query("API-10", f"with x as ({_DELIVERIES}) select entity, count(*) as versions from x group by 1")(
-    lambda d: N.catalog(d.logs.where("event_id % 50 = 0").select(F.col("action").alias("entity"), F.col("event_id").cast("string").alias("name"), F.col("ts").alias("arrived"))).groupBy("entity").agg(F.count("*").alias("versions"))
-)
-
-
-_ALL = _DELIVERIES[: _DELIVERIES.index(" where")]
+_ALL = "select action as entity, cast(event_id as string) as name, ts as arrived from logs"
 
 
 def deliveries(d):
@@ -181,14 +167,13 @@ def deliveries(d):
 
 @query("INC-11-ALL", f"with x as ({_ALL}) select entity, name, cast(row_number() over (partition by entity order by arrived, name) as int) as version, case when entity = 'error' then 'MERGED_CONSOLIDATED' when row_number() over (partition by entity order by arrived desc, name desc) = 1 then 'ACTIVE' else 'SUPERSEDED' end as status from x")
 def catalogued_all(d):
-    """INC-11 over every delivery."""
+    """Versions and states in one pass, without a persisted catalog."""
     x = deliveries(d)
     return N.catalog(x, x.where("entity = 'error'").select("entity")).drop("arrived")
 
 
 @query("API-10-ALL", f"with x as ({_ALL}) select entity, count(*) as versions from x group by 1")
 def versions_all(d):
-    """API-10 over every delivery."""
     return N.catalog(deliveries(d)).groupBy("entity").agg(F.count("*").alias("versions"))
 
 
@@ -270,7 +255,7 @@ def one_shot(d):
     return rows.where("status <> 'MAPPED'").select("status").unionAll(mapped).groupBy("status").agg(F.count("*").alias("rows"))
 
 
-@query("INC-17", "select item_id, price from before")
+@query("INC-17-STATE", "select item_id, price from before")
 def resumed(d):
     """A run's state is a committed version: reading it back resumes where it was."""
     store = sinks.Versions(d.spark, place(d, "run"))

@@ -220,5 +220,5 @@ def star_on_item(d):
 
 @query("JN-28")
 def fuzzy(d):
-    names = d.aliases.select(F.regexp_replace("alias", "0", "O").alias("name"))
+    names = d.aliases.select(C.strip_suffix(F.regexp_replace("alias", "#0", "#O")).alias("name"))  # a letter for a digit in each
     return M.fuzzy_vendors(names, d.supplier.select(F.upper("s_name").alias("standard")).distinct())

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import written
+
 #: Columns that name each kind of feed, the most telling first.
 FEEDS = {"consumption": {"log_id", "total_quantity"}, "invoices": {"invoice_number"}, "purchase_orders": {"po_number"}, "contracts": {"contract_number", "contract_price"}, "item_master": {"item_id", "unspsc"}}
 
@@ -27,6 +29,18 @@ def delimited(spark: SparkSession, path: str, columns: list[str] | None = None,
     return df.na.fill("") if keep_blanks else df
 
 
+def quarantined(spark: SparkSession, path: str, columns: list[str], sep: str = "|") -> tuple[DataFrame, DataFrame]:
+    """(rows, bad) of a feed with a header line: short rows are filled with nulls, and rows that hold more fields than there are columns,
+    or a quote that isn't closed, go to bad (_bad, _source_file) as they were."""
+    schema = strings([*columns, "_bad"])
+    reader = spark.read.option("sep", sep).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+    df = written(reader.schema(schema).csv(path).withColumn("_source_file", F.col("_metadata.file_name")), "parsed")  # for both results
+    fields = F.size(F.split(F.col("_bad"), re.escape(sep), -1))
+    open_quote = F.length(F.regexp_replace("_bad", '[^"]', "")) % 2 == 1
+    wrong = F.col("_bad").isNotNull() & ((fields > len(columns)) | open_quote)
+    return df.where(~wrong).select(*columns), df.where(wrong).select("_bad", "_source_file")
+
+
 def inferred(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return spark.read.option("sep", sep).option("header", True).option("inferSchema", True).csv(path)
 

@@ -67,8 +67,8 @@ class Versions:
 
     def discard(self, keep: int = 1) -> None:
         """Delete all but the last versions, first their pointers."""
-        old = list(zip(self._numbers(), self.versions(), strict=True))[:-keep]
-        for number, version in old:
+        every = list(zip(self._numbers(), self.versions(), strict=True))
+        for number, version in every[: max(0, len(every) - keep)]:
             self._fs.delete(self._at(f"pointers/{number:012d}"), False)
             self._fs.delete(self._at(version), True)
 
