@@ -25,13 +25,11 @@ def item_cascade(rows: DataFrame, items: DataFrame, key: str) -> DataFrame:
     rows: key, item_id, catalog_number, vendor_part; items: item_id, manufacturer_part, vendor_part.
     """
     tiers = [("item_id", "item_id", 1, 1.0), ("catalog_number", "manufacturer_part", 2, 0.90), ("vendor_part", "vendor_part", 3, 0.80)]
-    sought = reduce(
-        DataFrame.unionAll,
-        (rows.select(key, F.lit(t).alias("tier"), F.lit(c).alias("confidence"), F.upper(F.trim(left)).alias("k")) for left, _, t, c in tiers),
-    ).where(~F.col("k").isin(*BLANK))
-    known = reduce(
-        DataFrame.unionAll, (items.groupBy(F.upper(F.trim(right)).alias("k")).agg(F.min("item_id").alias("matched_item")).withColumn("tier", F.lit(t)) for _, right, t, _ in tiers)
-    )
+    up = lambda c: F.upper(F.trim(c))
+    asks = F.explode(F.array(*(F.struct(F.lit(t).alias("tier"), F.lit(c).alias("confidence"), up(left).alias("k")) for left, _, t, c in tiers)))
+    sought = rows.select(key, asks.alias("x")).select(key, "x.*").where(~F.col("k").isin(*BLANK))
+    haves = F.explode(F.array(*(F.struct(F.lit(t).alias("tier"), up(right).alias("k")) for _, right, t, _ in tiers)))
+    known = items.select("item_id", haves.alias("x")).groupBy("x.k", "x.tier").agg(F.min("item_id").alias("matched_item"))
     best = sought.join(known, ["k", "tier"]).groupBy(key).agg(F.min_by(F.struct("matched_item", "tier", "confidence"), "tier").alias("b"))
     out = rows.select(key).join(best, key, "left")
     return out.select(key, "b.matched_item", F.coalesce("b.tier", F.lit(99)).alias("tier"), F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"))
@@ -69,25 +67,42 @@ def first_by_end(rows: DataFrame, keys: list[str], before: list[str]) -> DataFra
     return rows.groupBy(*keys).agg(least).select(*keys, "best.row.*")
 
 
-def contract_in_force(rows: DataFrame, contracts: DataFrame) -> DataFrame:
-    """rows with tier, contract_number, price, each_price, contract_uom, category, starts and ends of the contract in force on day.
+def contract_in_force(rows: DataFrame, contracts: DataFrame, items: DataFrame, aliases: DataFrame) -> DataFrame:
+    """rows with effective_item, item_known, standard_vendor, and tier, contract_number, price, each_price, contract_uom, category, starts
+    and ends of the contract in force on day.
+
+    The effective item is the row's item if the item master has it, else the one with its maker's part, else the row's; the standard
+    vendor is its alias'. Tiers: item, vendor, maker's part and unit (1); item, vendor and unit (2); item and vendor (3); vendor and
+    maker's part (4). rows: item_id, vendor, catalog_number, unit, day and more; aliases: alias_name, standard_vendor.
 
-    Tiers: item, vendor, maker's part and unit (1); item, vendor and unit (2); item and vendor (3); vendor and maker's part (4).
-    rows: item_id, vendor, catalog_number, unit, day and more. Each combination of these is decided once, and only combinations
-    without a contract by item are looked up by part.
+    Each combination is decided once: combinations, written once, look contracts up by item and by part in one join, of which a grouped
+    minimum takes the best.
     """
     asks = ["item_id", "vendor", "catalog_number", "unit", "day"]
-    asked = rows.select(*asks).where("day is not null and trim(vendor) <> ''").distinct()
-    c = contracts.select("contract_number", "item_id", "vendor", "manufacturer_part", "price", "each_price", F.col("uom").alias("contract_uom"), "category", "starts", "ends")
-    valid = valid_on(F.col("day"), F.col("starts"), F.col("ends"))
+    plain = lambda c: F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    known = aliases.select(plain("alias_name").alias("k"), plain("standard_vendor").alias("by_alias"))
+    by_part = items.groupBy(plain("manufacturer_part").alias("part")).agg(F.min("item_id").alias("item_of_part"))
+    asked = rows.select(*asks).distinct().withColumns({"part": plain("catalog_number"), "k": plain("vendor")}).join(known, "k", "left")
+    asked = asked.join(items.select("item_id", F.lit(True).alias("in_master")), "item_id", "left").join(by_part.where(~F.col("part").isin(*BLANK)), "part", "left")
+    effective = F.when(F.col("in_master"), F.col("item_id")).otherwise(F.coalesce("item_of_part", "item_id"))
+    asked = asked.select(
+        *asks, "part", effective.alias("effective_item"), (F.col("in_master").isNotNull() | F.col("item_of_part").isNotNull()).alias("item_known"),
+        F.coalesce("by_alias", "k").alias("standard_vendor"), F.monotonically_increasing_id().alias("ask"),
+    )
+    asked = written(asked, "asked")
+    keys = lambda item, part: F.explode(F.array(F.struct(F.lit(0).alias("by"), F.col(item).alias("key")), F.struct(F.lit(1).alias("by"), F.col(part).alias("key"))))
+    sought = asked.where("day is not null and standard_vendor <> ''").select("ask", "part", "unit", "day", "standard_vendor", keys("effective_item", "part").alias("x")).select("*", "x.by", "x.key").drop("x")
+    sought = sought.where((F.col("key") != "") & ~((F.col("by") == 1) & F.col("key").isin(*BLANK)))
+    c = contracts.select("contract_number", "item_id", plain("vendor").alias("standard_vendor"), plain("manufacturer_part").alias("c_part"), "price", "each_price", F.col("uom").alias("contract_uom"), "category", "starts", "ends")
+    c = c.select("*", keys("item_id", "c_part").alias("x")).select("*", "x.by", "x.key").drop("x", "item_id")
     same = F.col("unit") == F.col("contract_uom")
-    tier = F.when(same & (F.col("catalog_number") == F.col("manufacturer_part")), 1).when(same, 2).otherwise(3)
-    by_item = asked.where("item_id <> ''").join(c, ["item_id", "vendor"]).where(valid).withColumn("tier", tier).drop("manufacturer_part")
-    by_item = first_by_end(by_item, asks, ["tier"])
-    rest = asked.join(by_item.select(*asks), asks, "left_anti").where(~F.upper(F.trim("catalog_number")).isin(*BLANK))
-    by_part = rest.join(c.drop("item_id").withColumnRenamed("manufacturer_part", "catalog_number"), ["vendor", "catalog_number"]).where(valid).withColumn("tier", F.lit(4))
-    best = by_item.unionByName(first_by_end(by_part, asks, []))
-    return rows.join(best, asks, "left")
+    tier = F.when(F.col("by") == 1, 4).when(same & (F.col("part") == F.col("c_part")), 1).when(same, 2).otherwise(3)
+    both = sought.join(c, ["standard_vendor", "by", "key"]).where(valid_on(F.col("day"), F.col("starts"), F.col("ends")))
+    order = [tier.alias("tier"), F.col("ends").isNull().alias("open"), (-F.unix_date("ends")).alias("last"), "contract_number", "starts", F.col("price").isNull().alias("no_price"), "price", "contract_uom", "ends", "each_price", "category"]
+    best = both.groupBy("ask").agg(F.min(F.struct(*order)).alias("best"))
+    decided = asked.join(best, "ask", "left").select(*(F.col(x).alias(f"asked_{x}") for x in asks), "effective_item", "item_known", "standard_vendor", *(f"best.{x}" for x in ("tier", "contract_number", "price", "each_price", "contract_uom", "category", "starts", "ends")))
+    on = reduce(lambda a, b: a & b, (rows[x].eqNullSafe(decided[f"asked_{x}"]) for x in asks))
+    return rows.join(decided, on, "left").drop(*(f"asked_{x}" for x in asks))
 
 
 def historical(rows: DataFrame, contracts: DataFrame, key: str, lookback_months: int = 6) -> DataFrame:

@@ -83,6 +83,10 @@ VIEWS = {
         select cast(p_partkey as string) as item_id, case f % 7 when 3 then 'Depot ' || cast(f as string) when 5 then null else {_vendor_word('f')} || ' Medical' end as vendor,
             case when f % 3 = 0 then 'VC' || cast(f as string) when p_partkey % 11 = 0 then 'VC' || cast((f + 1) % 40 as string) end as vendor_code
         from (select *, p_partkey % 40 as f from {{part}}) as k""",
+    "vendor_aliases": "select 'v7 ' as alias_name, 'V6' as standard_vendor union all select 'V8', 'v3' union all select 'V9', 'V9'",
+    "product_classes": """
+        select distinct cast(40000000 + p_partkey % 97 as string) as unspsc_code, 'Class ' || cast(p_partkey % 97 % 7 as string) as final_class, 'Group ' || cast(p_partkey % 97 % 11 as string) as final_subclass,
+            'Text ' || cast(p_partkey % 97 as string) as unspsc_text from {part} where p_partkey % 97 % 3 = 0""",
     # contract records as delivered: dates as text, some bad or blank, spellings, tiers, codes and copies
     "raw_contracts": """
         select contract_number, case when m % 23 = 0 then ' ' when m % 3 = 0 then lower(vendor) || '  inc' else vendor end as vendor, case when m % 29 = 0 then '' else item_id end as item_id, uom, price, each_price,

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as C
 from ..functions import pricing as P
 from ..operators import matching as M
+from ..sources.shared import written
 from .aggregates import cents, r
-from .projections import _UNIT
+from .projections import _CLASS, _UNIT
 from .registry import query
 
 AS_OF = "1998-12-01"
 # Gap codes, eligibility classes and error codes, units in a pack, the tolerance of a compliant price.
-RULES = ("item_vendor_part_uom", "item_vendor_uom", "item_vendor_any_uom", "vendor_part")
+RULES = ("item_vendor_part_uom", "item_vendor_uom", "item_vendor_any_uom", "part_vendor_match")
 ERRORS = {"NO_PRICE": "is_price_above_zero", "ZERO_QTY": "is_quantity_above_zero", "INVALID_DATE": "is_valid_date", "NO_ITEM_MASTER": "is_item_master_matched", "NO_CONTRACT": "is_contract_matched"}
 PACKS = {"BX": 10.0, "CA": 50.0}
 TOLERANCE = 0.005
@@ -24,24 +25,29 @@ TOLERANCE = 0.005
 _FACTOR = "case unit when 'BX' then 10e0 when 'CA' then 50e0 else 1e0 end"
 _OPEN = "date '2099-12-31'"
 _ORDER = "tier, ends is null, ends desc, contract_number, starts, price nulls last, contract_uom"
-_CHOSEN = f"""f as (select c.*, {_UNIT} as unit, unit_price * quantity as line_spend from consumption c),
+_CHOSEN = f"""ip as (select upper(trim(manufacturer_part)) as part, min(item_id) as item from item_master group by 1),
+    f as (select c.*, {_UNIT} as unit, unit_price * quantity as line_spend, case when m.item_id is not null then c.item_id else coalesce(ip.item, c.item_id) end as effective_item, m.item_id is not null or ip.item is not null as item_known,
+        coalesce(upper(trim(a.standard_vendor)), upper(trim(c.vendor))) as standard_vendor
+        from consumption c left join item_master m on m.item_id = c.item_id left join ip on ip.part = upper(trim(c.catalog_number)) and ip.part not in ('', 'N/A', 'NA', 'NULL', 'NONE')
+        left join vendor_aliases a on upper(trim(a.alias_name)) = upper(trim(c.vendor))),
     b as (
         select f.row_id, k.contract_number, k.price, k.each_price, k.uom as contract_uom, k.category, k.starts, k.ends,
-            case when f.item_id <> k.item_id then 4 when f.catalog_number = k.manufacturer_part and f.unit = k.uom then 1 when f.unit = k.uom then 2 else 3 end as tier
-        from f join contracts k on f.vendor = k.vendor and (f.item_id = k.item_id or f.catalog_number = k.manufacturer_part)
+            case when f.effective_item <> k.item_id or f.effective_item = '' then 4 when f.catalog_number = k.manufacturer_part and f.unit = k.uom then 1 when f.unit = k.uom then 2 else 3 end as tier
+        from f join contracts k on f.standard_vendor = k.vendor and f.standard_vendor <> '' and ((f.effective_item = k.item_id and f.effective_item <> '') or f.catalog_number = k.manufacturer_part)
         where f.service_date between k.starts and coalesce(k.ends, {_OPEN})),
     p as (select * from b qualify row_number() over (partition by row_id order by {_ORDER}) = 1)"""
 _FLAGS = f"""g as (
         select f.*, p.* exclude (row_id), coalesce(p.tier, 99) as contract_match_tier, p.contract_number is not null as is_contract_matched,
             case coalesce(p.tier, 99) {' '.join(f"when {i} then '{x}'" for i, x in enumerate(RULES, 1))} else 'no_match' end as contract_match_rule,
-            case when p.contract_number is not null then 'ON_CONTRACT' when f.item_id = '' then 'NO_ITEM_IDENTIFIER' else 'NO_CONTRACT' end as contract_gap_code,
+            case when p.contract_number is not null then 'ON_CONTRACT' when f.effective_item = '' then 'NO_ITEM_IDENTIFIER' else 'NO_CONTRACT' end as contract_gap_code,
+            case when p.contract_number is not null then 'Matched on tier ' || cast(p.tier as varchar) when f.effective_item = '' then 'Missing item on the row' else 'No active contract of vendor and item or part on the day' end as contract_gap_detail,
             coalesce(f.unit_price > 0, false) as is_price_above_zero, coalesce(f.quantity > 0, false) as is_quantity_above_zero, f.service_date is not null as is_valid_date,
-            m.item_id is not null as is_item_master_matched, trim(split_part(f.drg_code, '|', 1)) as primary_drg_code,
+            f.item_known as is_item_master_matched, trim(split_part(f.drg_code, '|', 1)) as primary_drg_code,
             case when f.description like '%plate%' or f.description like '%bolt%' then 'ORTHO' when f.description like 'small%' then 'MINOR' else 'GENERAL' end as primary_procedure_group
-        from f left join p on f.row_id = p.row_id left join item_master m on f.item_id = m.item_id),
+        from f left join p on f.row_id = p.row_id),
     h as (select *, case when price > 0 then (unit_price - case when unit = contract_uom then price else coalesce(each_price * {_FACTOR}, 0e0) end) * quantity else 0e0 end as price_variance2 from g),
     fact as (
-        select row_id, facility, service_line, patient_type, primary_drg_code, primary_procedure_group, line_spend, contract_match_tier, contract_match_rule, is_contract_matched, contract_gap_code,
+        select row_id, facility, service_line, patient_type, primary_drg_code, primary_procedure_group, line_spend, contract_match_tier, contract_match_rule, is_contract_matched, contract_gap_code, contract_gap_detail, effective_item, standard_vendor,
             {' + '.join(f"case when {x} then 0 else 1 end" for x in ERRORS.values())} as validation_error_count,
             concat({', '.join(f"case when {x} then '' else ';{code}' end" for code, x in ERRORS.items())}) as validation_error_flags,
             case when not is_price_above_zero or not is_quantity_above_zero or not is_valid_date then 'INELIGIBLE' when is_contract_matched then 'ELIGIBLE' else 'REVIEW_REQUIRED' end as row_eligibility,
@@ -79,23 +85,26 @@ def savings(variance: Column, matched: Column, spend: Column) -> dict[str, Colum
 
 def consumption_fact(d) -> DataFrame:
     rows = d.consumption.withColumn("unit", C.standard_unit(F.col("uom"))).withColumn("line_spend", F.col("unit_price") * F.col("quantity"))
-    rows = M.contract_in_force(rows.withColumnRenamed("service_date", "day"), d.contracts)
-    items = d.item_master.select("item_id", F.lit(True).alias("known"))
-    rows = rows.join(items, "item_id", "left")
+    rows = rows.withColumnRenamed("service_date", "day").select(
+        "row_id", "facility", "service_line", "patient_type", "item_id", "vendor", "catalog_number", "description", "drg_code", "unit", "day", "unit_price", "quantity", "line_spend"
+    )
+    rows = M.contract_in_force(written(rows, "lines"), d.contracts, d.item_master, d.vendor_aliases)
     matched = F.col("contract_number").isNotNull()
     ok = {
         "is_price_above_zero": F.coalesce(F.col("unit_price") > 0, F.lit(False)), "is_quantity_above_zero": F.coalesce(F.col("quantity") > 0, F.lit(False)),
-        "is_valid_date": F.col("day").isNotNull(), "is_item_master_matched": F.col("known").isNotNull(), "is_contract_matched": matched,
+        "is_valid_date": F.col("day").isNotNull(), "is_item_master_matched": F.col("item_known"), "is_contract_matched": matched,
     }
     usable = ok["is_price_above_zero"] & ok["is_quantity_above_zero"] & ok["is_valid_date"]
-    gap = F.when(matched, "ON_CONTRACT").when(F.col("item_id") == "", "NO_ITEM_IDENTIFIER").otherwise("NO_CONTRACT")
+    no_item = F.col("effective_item") == ""
+    gap = F.when(matched, "ON_CONTRACT").when(no_item, "NO_ITEM_IDENTIFIER").otherwise("NO_CONTRACT")
+    detail = F.when(matched, F.concat(F.lit("Matched on tier "), F.col("tier").cast("string"))).when(no_item, "Missing item on the row").otherwise("No active contract of vendor and item or part on the day")
     rule = F.coalesce(F.try_element_at(F.array(*map(F.lit, RULES)), F.col("tier")), F.lit("no_match"))
     text = F.col("description")
     group = F.when(text.like("%plate%") | text.like("%bolt%"), "ORTHO").when(text.like("small%"), "MINOR").otherwise("GENERAL")
     variance = P.variance(F.col("unit_price"), F.col("quantity"), F.col("price"), F.col("each_price"), factor(F.col("unit")), F.col("unit") == F.col("contract_uom"))
     columns = {
         "primary_drg_code": C.primary_drg(F.col("drg_code")), "primary_procedure_group": group, "line_spend": F.col("line_spend"), "contract_match_tier": F.coalesce("tier", F.lit(99)),
-        "contract_match_rule": rule, "is_contract_matched": matched, "contract_gap_code": gap,
+        "contract_match_rule": rule, "is_contract_matched": matched, "contract_gap_code": gap, "contract_gap_detail": detail, "effective_item": F.col("effective_item"), "standard_vendor": F.col("standard_vendor"),
         "validation_error_count": reduce(lambda a, b: a + b, (F.when(ok[x], 0).otherwise(1) for x in ERRORS.values())),
         "validation_error_flags": F.concat(*(F.when(ok[x], "").otherwise(f";{code}") for code, x in ERRORS.items())),
         "row_eligibility": F.when(~usable, "INELIGIBLE").when(matched, "ELIGIBLE").otherwise("REVIEW_REQUIRED"),
@@ -136,20 +145,34 @@ def gaps(d):
     )
 
 
+def classified_items(items: DataFrame, classes: DataFrame) -> DataFrame:
+    """(item_id, unspsc, unspsc_description, product_class, product_subclass, data_quality_score): the seed's class of the UNSPSC, else by
+    keywords."""
+    seed = classes.select(F.col("unspsc_code").alias("unspsc"), "final_class", "final_subclass", F.col("unspsc_text").alias("seed_text"))
+    rows = items.join(seed, "unspsc", "left").withColumn("product_class", C.keyword_class(F.col("description"), F.col("unspsc_text"), F.col("final_class")))
+    maker = F.coalesce(~F.trim("manufacturer").isin("", "N/A", "NA", "NULL"), F.lit(False))
+    score = C.quality_score(F.col("vendor_part") != "VP0", maker, F.col("product_class") != C.UNCLASSIFIED)
+    return rows.select("item_id", "unspsc", F.coalesce("seed_text", "unspsc_text").alias("unspsc_description"), "product_class", F.coalesce("final_subclass", F.lit("Unclassified")).alias("product_subclass"), score.alias("data_quality_score"))
+
+
 _PO = f"""o as (select *, {_UNIT} as unit from purchase_orders),
     b as (select distinct o.item_id, o.po_date, k.contract_number, k.price, k.each_price, k.uom as contract_uom, k.category, k.starts, k.ends
         from (select distinct item_id, po_date from o) o join contracts k on o.item_id = k.item_id and o.po_date between k.starts and coalesce(k.ends, {_OPEN})),
     p as (select * from b qualify row_number() over (partition by item_id, po_date order by ends is null, ends desc, contract_number, starts, price nulls last, contract_uom) = 1),
     i as (select po_number, po_line, count(distinct invoice_number) as invoice_count, sum(quantity) as total_invoiced_qty, sum(quantity * unit_price) as total_invoiced_amount, min(paid) as first_invoice_paid_date,
         max(paid) as last_invoice_paid_date from invoices group by 1, 2),
-    h as (select o.*, p.* exclude (item_id, po_date), m.unspsc, m.unspsc_text, i.* exclude (po_number, po_line), p.contract_number is not null as on_contract,
+    m as (select m.item_id, m.unspsc, coalesce(s.unspsc_text, m.unspsc_text) as unspsc_text, coalesce(s.final_class, {_CLASS.format('m.description', 'm.unspsc_text')}) as product_class, coalesce(s.final_subclass, 'Unclassified') as product_subclass,
+        100 - case when m.vendor_part = 'VP0' then 20 else 0 end - case when m.manufacturer is null or trim(m.manufacturer) in ('', 'N/A', 'NA', 'NULL') then 20 else 0 end
+            - case when coalesce(s.final_class, {_CLASS.format('m.description', 'm.unspsc_text')}) = '{C.UNCLASSIFIED}' then 10 else 0 end as data_quality_score
+        from item_master m left join product_classes s on s.unspsc_code = m.unspsc),
+    h as (select o.*, p.* exclude (item_id, po_date), m.* exclude (item_id), i.* exclude (po_number, po_line), p.contract_number is not null as on_contract,
         case when p.price > 0 then (o.unit_price - case when o.unit = p.contract_uom then p.price else coalesce(p.each_price * o.factor, 0e0) end) * o.quantity else 0e0 end as price_variance2
-        from o left join p on o.item_id = p.item_id and o.po_date = p.po_date left join item_master m on o.item_id = m.item_id left join i on o.po_number = i.po_number and o.po_line = i.po_line)"""
+        from o left join p on o.item_id = p.item_id and o.po_date = p.po_date left join m on o.item_id = m.item_id left join i on o.po_number = i.po_number and o.po_line = i.po_line)"""
 
 
 @query(
     "FCT-PO",
-    f"""with {_PO} select po_number, po_line, po_date, facility, vendor, total_value, unspsc, unspsc_text as unspsc_description, category as contract_category, coalesce(invoice_count, 0) as invoice_count,
+    f"""with {_PO} select po_number, po_line, po_date, facility, vendor, total_value, unspsc, unspsc_text as unspsc_description, product_class, product_subclass, cast(data_quality_score as int) as data_quality_score, category as contract_category, coalesce(invoice_count, 0) as invoice_count,
     {r('total_invoiced_qty')} as total_invoiced_qty, {r('total_invoiced_amount')} as total_invoiced_amount, first_invoice_paid_date, last_invoice_paid_date, on_contract as is_contract_matched, price_variance2,
     greatest(price_variance2, 0e0) as overpayment_amount, case when on_contract then greatest(price_variance2, 0e0) else total_value * 15e-2 end as savings_opportunity,
     on_contract and abs(price_variance2) <= 5e-3 * coalesce(total_value, 1e0) as is_contract_compliant, price as contract_price, starts as contract_start, ends as contract_end, contract_uom,
@@ -164,16 +187,18 @@ def purchase_fact(d):
     valid = M.valid_on(F.col("po_date"), F.col("starts"), F.col("ends"))
     chosen = o.select("item_id", "po_date").where("item_id <> ''").distinct().join(k, "item_id").where(valid)
     chosen = M.first_by_end(chosen, ["item_id", "po_date"], [])
-    i = d.invoices.groupBy("po_number", "po_line").agg(
-        F.count_distinct("invoice_number").alias("invoice_count"), cents(F.sum("quantity")).alias("total_invoiced_qty"), cents(F.sum(F.col("quantity") * F.col("unit_price"))).alias("total_invoiced_amount"),
-        F.min("paid").alias("first_invoice_paid_date"), F.max("paid").alias("last_invoice_paid_date"),
+    of_line = ["po_number", "po_line"]
+    i = d.invoices.groupBy(*of_line, "invoice_number").agg(F.sum("quantity").alias("q"), F.sum(F.col("quantity") * F.col("unit_price")).alias("v"), F.min("paid").alias("a"), F.max("paid").alias("b"))
+    i = i.groupBy(*of_line).agg(
+        F.count("*").alias("invoice_count"), cents(F.sum("q")).alias("total_invoiced_qty"), cents(F.sum("v")).alias("total_invoiced_amount"),
+        F.min("a").alias("first_invoice_paid_date"), F.max("b").alias("last_invoice_paid_date"),
     )
-    m = d.item_master.select("item_id", "unspsc", F.col("unspsc_text").alias("unspsc_description"))
+    m = classified_items(d.item_master, d.product_classes)
     rows = o.join(chosen, ["item_id", "po_date"], "left").join(m, "item_id", "left").join(i, ["po_number", "po_line"], "left")
     matched = F.col("contract_number").isNotNull()
     variance = P.variance(F.col("unit_price"), F.col("quantity"), F.col("price"), F.col("each_price"), F.col("factor"), F.col("unit") == F.col("contract_uom"))
     columns = savings(variance, matched, F.col("total_value")) | parity(matched, "contract_number", "price", F.col("unit"))
     return rows.select(
-        "po_number", "po_line", "po_date", "facility", "vendor", "total_value", "unspsc", "unspsc_description", F.col("category").alias("contract_category"), F.coalesce("invoice_count", F.lit(0)).alias("invoice_count"),
+        "po_number", "po_line", "po_date", "facility", "vendor", "total_value", "unspsc", "unspsc_description", "product_class", "product_subclass", "data_quality_score", F.col("category").alias("contract_category"), F.coalesce("invoice_count", F.lit(0)).alias("invoice_count"),
         "total_invoiced_qty", "total_invoiced_amount", "first_invoice_paid_date", "last_invoice_paid_date", matched.alias("is_contract_matched"), *(c.alias(name) for name, c in columns.items()),
     )
