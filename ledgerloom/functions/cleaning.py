@@ -24,6 +24,73 @@ UNCLASSIFIED = "General Medical (Unclassified)"
 #: Legal forms at the end of a vendor's name.
 LEGAL_FORMS = ("INC", "INCORPORATED", "LLC", r"L\.L\.C\.", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LIMITED", r"SC\s+INC")
 
+#: Groups of procedures and the group that they are part of, and the group of what has none.
+PROCEDURE_GROUPS = {
+    "Amputation": "Amputation Surgery",
+    "Cardiac Device": "Cardiac Device Surgery",
+    "Cardiac Device Implant": "Cardiac Device Surgery",
+    "Cardiac Device Implantation": "Cardiac Device Surgery",
+    "Cardiac Device Procedure": "Cardiac Device Surgery",
+    "Cardiac Intervention": "Cardiovascular Intervention",
+    "Cardiac Procedure": "Cardiovascular Intervention",
+    "Cardiac Surgery": "Cardiovascular Surgery",
+    "Cardiovascular Support Procedure": "Cardiovascular Support",
+    "Cardiovascular Procedure": "Cardiovascular Intervention",
+    "Cardiothoracic Surgery": "Cardiovascular Surgery",
+    "Cardiovascular Device": "Cardiac Device Surgery",
+    "Emergency Abdominal Surgery": "Abdominal Surgery",
+    "Gynecologic Oncology": "Gynecologic Oncology Surgery",
+    "Gynecologic Procedure": "Gynecologic Surgery",
+    "Obstetric and Gynecologic Surgery": "Obstetric & Gynecologic Surgery",
+    "Head and Neck Oncology": "Head and Neck Surgery",
+    "Head and Neck Procedure": "Head and Neck Surgery",
+    "Maxillofacial Trauma": "Maxillofacial Trauma Surgery",
+    "Maxillofacial Fracture Fixation": "Maxillofacial Trauma Surgery",
+    "Neurologic Surgery": "Neurosurgery",
+    "Orthopedic Trauma": "Orthopedic Trauma Surgery",
+    "Orthopedic Fracture Care": "Orthopedic Fracture Repair",
+    "Orthopedic Fracture Fixation": "Orthopedic Fracture Repair",
+    "Orthopedic Fracture Surgery": "Orthopedic Fracture Repair",
+    "Orthopedic Hardware Surgery": "Orthopedic Hardware Removal",
+    "Orthopedic Joint Replacement": "Orthopedic Implant",
+    "Orthopedic Infection Surgery": "Orthopedic Surgery",
+    "Orthopedic Tendon Repair": "Orthopedic Soft Tissue Surgery",
+    "Orthopedic Wound Surgery": "Orthopedic Soft Tissue Surgery",
+    "Otolaryngology Procedure": "ENT Surgery",
+    "Otolaryngology Surgery": "ENT Surgery",
+    "ENT Procedure": "ENT Surgery",
+    "Plastic and Reconstructive Surgery": "Plastic & Reconstructive Surgery",
+    "Reconstructive Plastic Surgery": "Plastic & Reconstructive Surgery",
+    "Reconstructive Surgery": "Plastic & Reconstructive Surgery",
+    "Spine Surgery": "Spinal Surgery",
+    "Spinal Fusion": "Spinal Surgery",
+    "Thoracic Procedure": "Thoracic Surgery",
+    "Thoracic Trauma Surgery": "Thoracic Surgery",
+    "Vascular Access": "Vascular Access Surgery",
+    "Vascular Procedure": "Vascular Surgery",
+    "Wound Surgery": "Wound Debridement",
+    "Wound and Soft Tissue Surgery": "Wound Debridement",
+    "Unclassified Surgical Procedure": "Unclassified Procedure",
+    "Uncompleted Procedure": "Aborted Procedure",
+    "Organ Transplant": "Organ Transplantation",
+    "Transplant Surgery": "Organ Transplantation",
+    "Biopsy and Excision": "Biopsy",
+    "Diagnostic Biopsy": "Biopsy",
+    "Diagnostic Laparoscopy": "Diagnostic Procedure",
+    "Diagnostic Examination": "Diagnostic Procedure",
+    "Surgical Examination": "Diagnostic Procedure",
+    "Upper GI Endoscopy": "Gastrointestinal Endoscopy",
+    "Lower GI Endoscopy": "Gastrointestinal Endoscopy",
+    "Advanced GI Endoscopy": "Gastrointestinal Endoscopy",
+    "Gastrointestinal Procedure": "Gastrointestinal Surgery",
+    "Gastric Surgery": "Gastrointestinal Surgery",
+    "Foregut Surgery": "Gastrointestinal Surgery",
+    "Hepatobiliary Procedure": "Hepatobiliary Surgery",
+    "Biliary Surgery": "Hepatobiliary Surgery",
+    "Biliary Endoscopy": "Endoscopic Biliary Procedure",
+}
+UNGROUPED = "General Clinical Procedure"
+
 
 def clean_string(c: Column) -> Column:
     """Sentinels become null; ends are trimmed and white space is collapsed."""
@@ -108,6 +175,13 @@ def procedure_name(c: Column) -> Column:
     return text
 
 
+def procedure_group(c: Column) -> Column:
+    """The group that a procedure's group is part of, else itself; a blank one has no group."""
+    known = F.create_map(*(F.lit(x) for pair in PROCEDURE_GROUPS.items() for x in pair))
+    g = F.trim(c)
+    return F.when(F.coalesce(g, F.lit("")) == "", UNGROUPED).otherwise(F.coalesce(F.try_element_at(known, g), g))
+
+
 def category_code(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"^(\d{6,8})", 1), F.lit(""))
 

@@ -200,6 +200,57 @@ def contract_windows(before: DataFrame, after: DataFrame, lookback_months: int)
     return w.select(*key, F.when(F.col("flip"), _date(FAR_PAST)).otherwise(F.col("since")).alias("since"), F.when(F.col("flip"), _date(FAR_FUTURE)).otherwise(F.col("until")).alias("until"))
 
 
+_OWN = ["row_id", "row_hash", "spelling", "vendor", "item_id", "day", "supply_price", "client_price", "eligibility"]
+
+
+def _assembled(rows: DataFrame, contracts: DataFrame, classes: DataFrame, s: Settings, full: bool) -> DataFrame:
+    """rows mapped: those with by_contract or by_item anew, of the others what they had (old)."""
+    decided = decide_contracts(rows.where("by_contract and eligibility = 'ELIGIBLE'").select("vendor", "item_id", "day").distinct(), contracts, s)
+    decided = decided.select("vendor", "item_id", "day", F.struct(*CONTRACT).alias("decided"))
+    classed = decide_items(rows.where("by_item").select("item_id").distinct(), classes).select("item_id", F.struct(*ITEM).alias("classed"))
+    out = rows.join(decided, ["vendor", "item_id", "day"], "left").join(classed, "item_id", "left")
+    kept = lambda c: F.lit(None) if full else F.col(f"old.{c}")
+    contract = {c: F.when(~F.col("by_contract"), kept(c)).when(F.col("eligibility") != "ELIGIBLE", ineligible(c)).otherwise(F.col(f"decided.{c}")) for c in CONTRACT}
+    item = {c: F.when(F.col("by_item"), F.col(f"classed.{c}")).otherwise(kept(c)) for c in ITEM}
+    return with_prices(out.select(*_OWN, *(v.alias(k) for k, v in {**contract, **item}.items())), s)
+
+
+def _all_fresh(base: DataFrame) -> DataFrame:
+    return base.withColumns({x: F.lit(True) for x in ("fresh", "by_contract", "by_item")}).withColumn("state", F.lit("NEW"))
+
+
+def map_all(usage: DataFrame, contracts: DataFrame, items: DataFrame, aliases: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """All rows mapped at once, without a state."""
+    rows = written(_all_fresh(base_rows(usage, aliases)), "usage")
+    return _assembled(rows, written(usable_contracts(contracts, aliases), "contracts"), item_classes(items), settings, full=True)
+
+
+def summary(mapped: DataFrame, key: Column) -> DataFrame:
+    """The 16 measures of mapped rows by a key: rows by state, match rate of eligible rows, prices above the threshold."""
+    n = lambda c, name: F.count_if(F.expr(c)).alias(name)
+    states = {"contract_not_found": "NOT_FOUND", "contract_not_active": "NOT_ACTIVE", "ambiguous_contracts": "AMBIGUOUS_MULTIPLE_CONTRACTS", "ambiguous_prices": "AMBIGUOUS_MULTIPLE_PRICES",
+              "active_contract_without_price": "PRICE_MISSING", "missing_mapping_key": "MISSING_MAPPING_KEY", "invalid_consumption_date": "INVALID_CONSUMPTION_DATE"}
+    g = mapped.groupBy(key.alias("key")).agg(
+        F.count("*").alias("consumption_rows"), n("eligibility = 'ELIGIBLE'", "eligible_rows"), n("status = 'MATCHED'", "matched_rows"), *(n(f"status = '{v}'", k) for k, v in states.items()),
+        n("client_flag like 'ABOVE%'", "client_price_above_threshold_rows"), n("supply_flag like 'ABOVE%'", "supply_price_above_threshold_rows"), n("item_status <> 'MATCHED'", "item_master_unmatched"),
+    )
+    rate = F.when(F.col("eligible_rows") > 0, F.floor(F.col("matched_rows") * 1000000 / F.col("eligible_rows") + 0.501) / 10000.0)
+    return g.withColumns({"match_rate_pct": rate, "unmatched_eligible": F.col("eligible_rows") - F.col("matched_rows"), "ambiguous_total": F.col("ambiguous_contracts") + F.col("ambiguous_prices")})
+
+
+def kpis(mapped: DataFrame, usage: DataFrame) -> DataFrame:
+    """(metric, value) of mapped rows. What must agree is summed apart: states against the rows of the feed itself, unmatched rows against
+    the states that leave an eligible row without contract; a difference is an error."""
+    s = summary(mapped, F.lit(1)).drop("key", "match_rate_pct").first()
+    s = s.asDict() if s else {}
+    if s.get("consumption_rows", 0) != usage.count():
+        raise AssertionError("mapped rows differ from the feed's")
+    why = [s.get(k, 0) for k in ("contract_not_found", "contract_not_active", "ambiguous_total", "active_contract_without_price")]
+    if s.get("unmatched_eligible", 0) != sum(why):
+        raise AssertionError("unmatched rows differ from the sum of their states")
+    return mapped.sparkSession.createDataFrame(sorted(s.items()), "metric string, value long")
+
+
 class Mapper:
     """A mapped table that is maintained over deliveries, with its state, as versions under a path."""
 
@@ -211,20 +262,8 @@ class Mapper:
         s = self.settings
         contracts, classes = written(usable_contracts(contracts, aliases), "contracts"), written(item_classes(items), "classes")
         base = base_rows(usage, aliases)
-        if full := self.store.notes().get("fingerprint") != fingerprint(asdict(s)):
-            rows = base.withColumns({x: F.lit(True) for x in ("fresh", "by_contract", "by_item")}).withColumn("state", F.lit("NEW"))
-        else:
-            rows = self._affected(base, contracts, classes)
-        rows = written(rows, "affected")
-        decided = decide_contracts(rows.where("by_contract and eligibility = 'ELIGIBLE'").select("vendor", "item_id", "day").distinct(), contracts, s)
-        decided = decided.select("vendor", "item_id", "day", F.struct(*CONTRACT).alias("decided"))
-        classed = decide_items(rows.where("by_item").select("item_id").distinct(), classes).select("item_id", F.struct(*ITEM).alias("classed"))
-        out = rows.join(decided, ["vendor", "item_id", "day"], "left").join(classed, "item_id", "left")
-        kept = lambda c: F.lit(None) if full else F.col(f"old.{c}")
-        contract = {c: F.when(~F.col("by_contract"), kept(c)).when(F.col("eligibility") != "ELIGIBLE", ineligible(c)).otherwise(F.col(f"decided.{c}")) for c in CONTRACT}
-        item = {c: F.when(F.col("by_item"), F.col(f"classed.{c}")).otherwise(kept(c)) for c in ITEM}
-        own = ["row_id", "row_hash", "spelling", "vendor", "item_id", "day", "supply_price", "client_price", "eligibility"]
-        out = with_prices(out.select(*own, *(v.alias(k) for k, v in {**contract, **item}.items())), s)
+        full = self.store.notes().get("fingerprint") != fingerprint(asdict(s))
+        rows = written(_all_fresh(base) if full else self._affected(base, contracts, classes), "affected")
         n = lambda condition, name: F.count_if(F.expr(condition)).alias(name)
         counts = rows.agg(
             n("state = 'NEW'", "new"), n("state = 'CHANGED'", "changed"), n("by_contract and not fresh", "remapped_contract"), n("by_item and not fresh", "remapped_item"),
@@ -232,6 +271,7 @@ class Mapper:
         ).first().asDict()
         before = 0 if full else self.store.read("mapped").count()
         counts["deleted"] = 0 if full else before - counts["changed"] - counts["same"]
+        out = _assembled(rows, contracts, classes, s, full)
         self.store.commit({"mapped": out, "contracts": contracts, "classes": classes}, notes={"fingerprint": fingerprint(asdict(s)), "counts": counts})
         return counts
 

@@ -141,7 +141,7 @@ def detailed(d):
     return lines(d, "service_date", "facility", "manufacturer", "patient_type", "description")
 
 
-@query("AGG-22", f"with {_LINES}, {_V} select vendor, strftime(service_date, '%Y-%m') as month, count(*) as lines, count(*) filter (item_id <> '') as eligible, count(contract_number) as matched, {r('sum(spend)')} as spend, {r('sum(variance)')} as variance, count(contract_number) filter (item_id <> '') * 1e0 / nullif(count(*) filter (item_id <> ''), 0) as match_rate from v group by 1, 2")
+@query("AGG-22-LINES", f"with {_LINES}, {_V} select vendor, strftime(service_date, '%Y-%m') as month, count(*) as lines, count(*) filter (item_id <> '') as eligible, count(contract_number) as matched, {r('sum(spend)')} as spend, {r('sum(variance)')} as variance, count(contract_number) filter (item_id <> '') * 1e0 / nullif(count(*) filter (item_id <> ''), 0) as match_rate from v group by 1, 2")
 def summary(d):
     ok = F.col("item_id") != ""
     return detailed(d).groupBy("vendor", F.date_format("service_date", "yyyy-MM").alias("month")).agg(
@@ -150,7 +150,7 @@ def summary(d):
     )
 
 
-@query("AGG-23", f"with {_LINES} select count(*) as lines, count(contract_number) as matched, count(*) - count(contract_number) as unmatched, {r('sum(spend)')} as spend, count(*) = count(contract_number) + count(*) filter (contract_number is null) as reconciles from lines")
+@query("AGG-23-LINES", f"with {_LINES} select count(*) as lines, count(contract_number) as matched, count(*) - count(contract_number) as unmatched, {r('sum(spend)')} as spend, count(*) = count(contract_number) + count(*) filter (contract_number is null) as reconciles from lines")
 def kpi_row(d):
     n, m = F.count("*"), F.count("contract_number")
     return lines(d).agg(n.alias("lines"), m.alias("matched"), (n - m).alias("unmatched"), cents(F.sum("spend")).alias("spend"), (n == m + F.count_if(F.col("contract_number").isNull())).alias("reconciles"))
@@ -185,15 +185,18 @@ _RULES = {"latest_start": "starts desc", "earliest_start": "starts", "latest_end
 
 @query("AGG-27", " union all ".join(f"select '{k}' as rule, {r('avg(case when abs(price - p) <= p * 3e-1 then 1e0 else 0e0 end)')} as hit_rate from (select c.price, m.price as p from contracts c join item_master m on c.item_id = m.item_id where c.price is not null qualify row_number() over (partition by c.item_id order by {'c.' + v}, c.contract_number, c.vendor, c.starts, c.price) = 1)" for k, v in _RULES.items()))
 def rules(d):
+    """One pass: the row that each rule takes of an item's contracts, by grouped minima, then an average for each rule."""
     both = d.contracts.where("price is not null").join(d.item_master.select("item_id", F.col("price").alias("p")), "item_id")
-    out = []
+    first = {}
     for name, order in _RULES.items():
-        one = O.pick(both, ["item_id"], [F.expr(order.split()[0]).desc_nulls_last() if "desc" in order else F.expr(order), *(F.col(c) for c in ("contract_number", "vendor", "starts", "price"))])
-        out.append(one.agg(F.lit(name).alias("rule"), cents(F.avg(F.when(F.abs(F.col("price") - F.col("p")) <= F.col("p") * 0.3, 1.0).otherwise(0.0))).alias("hit_rate")))
-    first, *rest = out
-    for x in rest:
-        first = first.unionAll(x)
-    return first
+        column = order.split()[0]
+        c = F.unix_date(column) if column in ("starts", "ends") else F.col(column)
+        lead = [c.isNull().alias("none"), (-c if "desc" in order else c).alias("lead")]
+        first[name] = F.min_by("price", F.struct(*lead, "contract_number", "vendor", "starts", F.col("price").alias("own"))).alias(name)
+    chosen = both.groupBy("item_id").agg(F.first("p").alias("p"), *first.values())  # an item has one p
+    near = lambda c: F.avg(F.when(F.abs(F.col(c) - F.col("p")) <= F.col("p") * 0.3, 1.0).otherwise(0.0))
+    one = chosen.agg(*(cents(near(n)).alias(n) for n in _RULES))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("hit_rate")) for n in _RULES))).alias("x")).select("x.*")
 
 
 def _columns(sql: str, names: list[str]) -> str:

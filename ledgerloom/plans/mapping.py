@@ -61,7 +61,7 @@ _AFTER = """with al as (select * from (values ('V7', 'V6'), ('V8', 'V6')) as t(n
     r as (select *, case when item_id = '' then 'MISSING_ITEM_ID' when codes is null and bare_known and ltrim(item_id, '0') <> item_id then 'ITEM_NOT_IN_ITEM_MASTER_LEADING_ZEROS' when codes is null and not regexp_full_match(item_id, '\\d+') then 'ITEM_NOT_IN_ITEM_MASTER_NONNUMERIC_ID'
             when codes is null then 'ITEM_NOT_IN_ITEM_MASTER' when codes = 0 then 'UNSPSC_MISSING_IN_ITEM_MASTER' when codes > 1 then 'AMBIGUOUS_UNSPSC' end as item_gap_code,
         case when eligibility = 'ELIGIBLE' then gap_code when item_id = '' and vendor = '' then 'MISSING_ITEM_AND_VENDOR' when item_id = '' then 'MISSING_ITEM_ID' when vendor = '' then 'MISSING_VENDOR' else 'INVALID_CONSUMPTION_DATE' end as gap from f)
-    select row_id, vendor, eligibility, coalesce(c_status, eligibility) as status, coalesce(reason, 'ROW_NOT_ELIGIBLE_FOR_CONTRACT_MAPPING') as reason, cast(candidates as int) as candidates, cast(active as int) as active, cast(tied as int) as tied, cast(prices as int) as prices,
+    select row_id, vendor, strftime(day, '%Y-%m') as month, eligibility, coalesce(c_status, eligibility) as status, coalesce(reason, 'ROW_NOT_ELIGIBLE_FOR_CONTRACT_MAPPING') as reason, cast(candidates as int) as candidates, cast(active as int) as active, cast(tied as int) as tied, cast(prices as int) as prices,
         case when c_status = 'MATCHED' then first_number end as contract_number, mapped as mapped_price, gap as gap_code, case when codes = 1 then code end as unspsc,
         case when item_id = '' then 'MISSING_ITEM_ID' when codes is null then 'NOT_FOUND' when codes = 0 then 'UNSPSC_MISSING' when codes > 1 then 'AMBIGUOUS_UNSPSC' else 'MATCHED' end as item_status, item_gap_code,
         case when mapped is null or mapped = 0 or client_price is null then 'NOT_COMPARABLE' when abs((client_price - mapped) / abs(mapped)) > 0.2e0 then 'ABOVE_20_PERCENT' else 'WITHIN_THRESHOLD' end as client_flag,
@@ -79,7 +79,7 @@ def mapped(d):
     none = F.col("eligibility") != "ELIGIBLE"
     counts = [F.when(~none, F.col(c)).alias(c) for c in ("candidates", "active", "tied", "prices")]
     found = out.withColumns({c: F.when(F.col("status") == "NOT_FOUND", None).otherwise(F.col(c)) for c in ("candidates", "active", "tied", "prices")})
-    return found.select("row_id", "vendor", "eligibility", "status", "reason", *counts, "contract_number", "mapped_price", "gap_code", "unspsc", "item_status", "item_gap_code", "client_flag", "supply_flag", "unmapped_code")
+    return found.select("row_id", "vendor", F.date_format("day", "yyyy-MM").alias("month"), "eligibility", "status", "reason", *counts, "contract_number", "mapped_price", "gap_code", "unspsc", "item_status", "item_gap_code", "client_flag", "supply_flag", "unmapped_code")
 
 
 @query("API-11-RUN")
@@ -108,3 +108,30 @@ def current(d):
     none = d.spark.createDataFrame([], "name string, standard string")
     keys = d.consumption.select(M.vendor_key(F.col("vendor")).alias("vendor"), M.item_key(F.col("item_id")).alias("item_id")).distinct()
     return M.current_contracts(keys, M.usable_contracts(d.contracts, none), "1998-06-01")
+
+
+_STATES = {"contract_not_found": "NOT_FOUND", "contract_not_active": "NOT_ACTIVE", "ambiguous_contracts": "AMBIGUOUS_MULTIPLE_CONTRACTS", "ambiguous_prices": "AMBIGUOUS_MULTIPLE_PRICES", "active_contract_without_price": "PRICE_MISSING",
+           "missing_mapping_key": "MISSING_MAPPING_KEY", "invalid_consumption_date": "INVALID_CONSUMPTION_DATE"}
+_COUNTS = {
+    "consumption_rows": "count(*)", "eligible_rows": "count(*) filter (eligibility = 'ELIGIBLE')", "matched_rows": "count(*) filter (status = 'MATCHED')", **{k: f"count(*) filter (status = '{v}')" for k, v in _STATES.items()},
+    "client_price_above_threshold_rows": "count(*) filter (client_flag like 'ABOVE%')", "supply_price_above_threshold_rows": "count(*) filter (supply_flag like 'ABOVE%')", "item_master_unmatched": "count(*) filter (item_status <> 'MATCHED')",
+    "unmatched_eligible": "count(*) filter (eligibility = 'ELIGIBLE' and status <> 'MATCHED')", "ambiguous_total": "count(*) filter (status like 'AMBIGUOUS%')",
+}
+_SUMMARY = f"""with x as ({_AFTER}) select {{0}}, {', '.join(f'{v} as {k}' for k, v in _COUNTS.items())},
+    case when count(*) filter (eligibility = 'ELIGIBLE') > 0 then floor(count(*) filter (status = 'MATCHED') * 1000000e0 / count(*) filter (eligibility = 'ELIGIBLE') + 0.501) / 10000 end as match_rate_pct from x group by 1"""
+
+
+@query("AGG-22", _SUMMARY.format("vendor as standard_vendor"))
+def by_vendor(d):
+    return M.summary(M.map_all(*deliveries(d, after=True)), F.col("vendor")).withColumnRenamed("key", "standard_vendor")
+
+
+@query("AGG-22-MONTH", _SUMMARY.format("month"))
+def by_month(d):
+    return M.summary(M.map_all(*deliveries(d, after=True)), F.date_format("day", "yyyy-MM")).withColumnRenamed("key", "month")
+
+
+@query("AGG-23", f"with x as ({_AFTER}), s as (select {', '.join(f'{v} as {k}' for k, v in _COUNTS.items())} from x) unpivot s on columns(*) into name metric value value")
+def kpis(d):
+    feeds = deliveries(d, after=True)
+    return M.kpis(M.map_all(*feeds), feeds[0])

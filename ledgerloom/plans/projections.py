@@ -76,7 +76,7 @@ def eligibility(d):
 
 
 _LINES = """lines as (select c.row_id, c.unit_price, c.quantity, c.unit_price * c.quantity as spend, c.uom, k.contract_number, k.price, k.each_price, k.uom as contract_uom, k.qoe
-    from consumption c left join (select * from contracts where right(contract_number, 1) <> 'B' qualify row_number() over (partition by item_id, vendor order by price nulls last, contract_number, starts) = 1) k
+    from consumption c left join (select * from contracts qualify row_number() over (partition by item_id, vendor order by price nulls last, contract_number, starts) = 1) k
     on c.item_id = k.item_id and c.vendor = k.vendor)"""
 _VARIANCE = f"case when price > 0 then (unit_price - case when {_UNIT} = contract_uom then price else coalesce(each_price * qoe, 0) end) * quantity else 0 end"
 
@@ -85,8 +85,7 @@ def lines(d, *more):
     """Lines with the cheapest contract of their item and vendor, and more columns of consumption."""
     from ..operators.windows import pick
 
-    k = d.contracts.where("right(contract_number, 1) <> 'B'")
-    k = pick(k, ["item_id", "vendor"], [F.col("price").asc_nulls_last(), F.col("contract_number"), F.col("starts")])
+    k = pick(d.contracts, ["item_id", "vendor"], [F.col("price").asc_nulls_last(), F.col("contract_number"), F.col("starts")])
     k = k.select("item_id", "vendor", "contract_number", "price", "each_price", F.col("uom").alias("contract_uom"), "qoe")
     c = d.consumption.select("row_id", "item_id", "vendor", "unit_price", "quantity", (F.col("unit_price") * F.col("quantity")).alias("spend"), C.standard_unit(F.col("uom")).alias("unit"), *more)
     same = F.col("unit") == F.col("contract_uom")
@@ -168,7 +167,7 @@ def procedures(d):
 _GROUPS = {"ECONOMY": "Standard Surgery", "STANDARD": "Standard Surgery", "PROMO": "Minor Surgery", "SMALL": "Minor Surgery"}
 
 
-@query("PRJ-24", "select row_id, case item_type when 'ECONOMY' then 'Standard Surgery' when 'STANDARD' then 'Standard Surgery' when 'PROMO' then 'Minor Surgery' when 'SMALL' then 'Minor Surgery' else item_type || ' Surgery' end as procedure_group from consumption")
+@query("PRJ-24-TYPES", "select row_id, case item_type when 'ECONOMY' then 'Standard Surgery' when 'STANDARD' then 'Standard Surgery' when 'PROMO' then 'Minor Surgery' when 'SMALL' then 'Minor Surgery' else item_type || ' Surgery' end as procedure_group from consumption")
 def consolidated(d):
     known = F.create_map(*(F.lit(x) for pair in _GROUPS.items() for x in pair))
     text = F.regexp_replace(F.concat("item_type", F.lit(" Surgery Surgery")), " Surgery Surgery$", " Surgery")
@@ -198,12 +197,61 @@ def invoice_factor(d):
     return invoice_lines(d).select("invoice_number", "po_line", "each_factor", "rule")
 
 
-@query("PRJ-27", f"select i.invoice_number, i.po_line, i.quantity * {_FACTOR} as each_quantity, i.unit_price / nullif({_FACTOR}, 0) as each_price, coalesce(i.unit_price, p.unit_price) as price_used, i.quantity / nullif(p.quantity, 0) as filled from invoices i left join purchase_orders p on i.po_number = p.po_number and i.po_line = p.po_line")
+@query("PRJ-27-LINES", f"select i.invoice_number, i.po_line, i.quantity * {_FACTOR} as each_quantity, i.unit_price / nullif({_FACTOR}, 0) as each_price, coalesce(i.unit_price, p.unit_price) as price_used, i.quantity / nullif(p.quantity, 0) as filled from invoices i left join purchase_orders p on i.po_number = p.po_number and i.po_line = p.po_line")
 def each_level(d):
     f = F.col("each_factor")
     return invoice_lines(d).select("invoice_number", "po_line", (F.col("quantity") * f).alias("each_quantity"), (F.col("unit_price") / F.nullif(f, F.lit(0.0))).alias("each_price"), F.coalesce("unit_price", "po_price").alias("price_used"), (F.col("quantity") / F.nullif(F.col("po_quantity"), F.lit(0.0))).alias("filled"))
 
 
+_NAMES_OF_GROUPS = sorted(C.PROCEDURE_GROUPS)
+_RAW_GROUP = f"case when log_id % 70 < {len(_NAMES_OF_GROUPS)} then ' ' || list_extract({_NAMES_OF_GROUPS}, cast(log_id % 70 + 1 as int)) when log_id % 70 = 69 then ' ' when log_id % 70 = 68 then null else item_type end"
+
+
+@query("PRJ-24", f"""with x as (select row_id, trim({_RAW_GROUP}) as g from consumption) select row_id, case when g is null or g = '' then '{C.UNGROUPED}'
+    {' '.join(f"when g = '{k}' then '{v}'" for k, v in C.PROCEDURE_GROUPS.items())} else g end as procedure_group from x""")
+def procedure_groups(d):
+    n = F.col("log_id") % 70
+    names = F.array(*map(F.lit, _NAMES_OF_GROUPS))
+    raw = F.when(n < len(_NAMES_OF_GROUPS), F.concat(F.lit(" "), F.try_element_at(names, (n + 1).cast("int")))).when(n == 69, " ").when(n != 68, F.col("item_type"))
+    return d.consumption.select("row_id", C.procedure_group(raw).alias("procedure_group"))
+
+
+_ROUND = "floor({} * 100 + 0.501) / 100"
+_EACH_SQL = f"""with r as (select i.po_number, i.po_line, nullif(i.uom, '') as uom, i.quantity, i.unit_price,
+        case when i.factor > 0 then i.factor when upper(trim(i.uom)) = 'EA' then 1e0 when i.uom = p.uom and abs(i.unit_price - p.factor) <= 0.1e0 * p.factor and p.factor > 0 then p.factor else 1e0 end as f,
+        case when i.factor > 0 then 'invoice_factor' else 'ea_factor_1' end as rule from invoices i left join purchase_orders p on i.po_number = p.po_number and i.po_line = p.po_line),
+    a as (select po_number, po_line, max(uom) as uom, max(f) as f, max(rule) as rule, sum(quantity * f) as q, avg(unit_price / f) as mean, max(unit_price / f) filter (top) as last
+        from (select *, unit_price = max(unit_price) over (partition by po_number, po_line) as top from r) group by 1, 2)
+    select p.po_number, p.po_line, coalesce(a.uom, nullif(p.uom, ''), 'EA') as invoice_uom, coalesce(a.f, p.factor) as invoice_ea_factor, coalesce(a.rule, 'ea_factor_1') as invoice_ea_factor_rule,
+        {_ROUND.format('coalesce(a.q, p.quantity * p.factor)')} as invoice_qty_total_ea, {_ROUND.format('coalesce(a.mean, p.unit_price / p.factor)')} as invoice_avg_unit_price_ea,
+        {_ROUND.format('coalesce(a.last, p.unit_price / p.factor)')} as invoice_last_unit_price_ea, p.factor as po_ea_factor, 'ea_factor_1' as po_ea_factor_rule, {_ROUND.format('(p.unit_price / p.factor)')} as po_unit_price_ea,
+        {_ROUND.format('(p.quantity * p.factor)')} as po_quantity_ea, {_ROUND.format('(k.price / p.factor)')} as contract_price_ea, {_ROUND.format('(k.price / p.factor)')} as current_contract_price_ea
+    from purchase_orders p left join a on a.po_number = p.po_number and a.po_line = p.po_line left join (select item_id, vendor, min(price) as price from contracts group by 1, 2) k on k.item_id = p.item_id and k.vendor = p.vendor"""
+
+
+@query("PRJ-27", _EACH_SQL)
+def each_level_orders(d):
+    """The twelve each-level columns of order lines; invoices are reduced to their line first."""
+    line = ["po_number", "po_line"]
+    p = d.purchase_orders.select(*line, F.col("uom").alias("po_uom"), F.coalesce("factor", F.lit(1.0)).alias("po_factor"))
+    own, near = F.col("factor") > 0, (F.col("uom") == F.col("po_uom")) & (F.abs(F.col("unit_price") - F.col("po_factor")) <= 0.1 * F.col("po_factor")) & (F.col("po_factor") > 0)
+    f = F.when(own, F.col("factor")).when(F.upper(F.trim("uom")) == "EA", 1.0).when(near, F.col("po_factor")).otherwise(1.0)
+    i = d.invoices.join(p, line, "left").select(*line, F.nullif("uom", F.lit("")).alias("uom"), "quantity", "unit_price", f.alias("f"), F.when(own, "invoice_factor").otherwise("ea_factor_1").alias("rule"))
+    each = F.col("unit_price") / F.col("f")
+    i = i.groupBy(*line).agg(
+        F.max("uom").alias("i_uom"), F.max("f").alias("i_f"), F.max("rule").alias("i_rule"), F.sum(F.col("quantity") * F.col("f")).alias("i_q"), F.avg(each).alias("i_mean"), F.max(F.struct("unit_price", each.alias("each"))).alias("i_last")
+    )
+    k = d.contracts.groupBy("item_id", "vendor").agg(F.min("price").alias("k_price"))
+    rows = d.purchase_orders.withColumn("factor", F.coalesce("factor", F.lit(1.0))).join(i, line, "left").join(k, ["item_id", "vendor"], "left")
+    two = lambda c, name: (F.floor(c * 100 + 0.501) / 100.0).alias(name)
+    price, quantity, contract = F.col("unit_price") / F.col("factor"), F.col("quantity") * F.col("factor"), F.col("k_price") / F.col("factor")
+    return rows.select(
+        *line, F.coalesce("i_uom", F.nullif("uom", F.lit("")), F.lit("EA")).alias("invoice_uom"), F.coalesce("i_f", "factor").alias("invoice_ea_factor"), F.coalesce("i_rule", F.lit("ea_factor_1")).alias("invoice_ea_factor_rule"),
+        two(F.coalesce("i_q", quantity), "invoice_qty_total_ea"), two(F.coalesce("i_mean", price), "invoice_avg_unit_price_ea"), two(F.coalesce("i_last.each", price), "invoice_last_unit_price_ea"),
+        F.col("factor").alias("po_ea_factor"), F.lit("ea_factor_1").alias("po_ea_factor_rule"), two(price, "po_unit_price_ea"), two(quantity, "po_quantity_ea"), two(contract, "contract_price_ea"), two(contract, "current_contract_price_ea"),
+    )
+
+
 @query("PRJ-28", "select alias, regexp_replace(trim(upper(alias)), '\\s+', ' ', 'g') as vendor_key from aliases")
 def keys(d):
     return d.aliases.select("alias", C.vendor_key(F.col("alias")).alias("vendor_key"))
