@@ -4,8 +4,8 @@ r"""WARC transaction assembly (operator 1).
 metadata record; request and metadata name the response's record in WARC-Concurrent-To. ``read_records`` parses archives, a
 row per record; ``assemble`` joins the records of a transaction through these identifiers to one nested row per capture.
 
-Archives are gzip files of WARC/1.1 records, of at most ``PER_FILE`` transactions and about ``FILE`` bytes (a larger transaction is
-alone), written by Spark's text sink: a record ends in two line ends, which is also the separator between rows. Records are read
+Archives are gzip files of WARC/1.1 records, of at most ``PER_FILE`` transactions and about ``FILE`` bytes, those of pages of
+like sizes together (the largest are alone), written by Spark's text sink: a record ends in two line ends, which is also the separator between rows. Records are read
 by their Content-Length, never by a separator, so payloads may hold anything. Archives are read through Spark as well, so any
 store that it reaches will do.
 
@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -37,6 +38,8 @@ from .common import Scratch
 
 #: Transactions in a file; bytes in a file; pages over so many bytes are alone in one.
 PER_FILE, FILE, ALONE = 2000, 64 << 20, 1 << 20
+#: Bounds of the classes of smaller pages, in bytes.
+CLASSES = (1 << 16, 1 << 18)
 LEAST = 100
 EOL = "\r\n"
 _RECORD = "type string, id string, concurrent_to string, refers_to string, uri string, date string, http string, fields map<string,string>, payload_bytes long, payload_digest string, payload binary"
@@ -69,7 +72,10 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", scrat
     rows = pages.select("page_id", url.alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     seen = Observation()
     narrow = pages.select("page_id", url.alias("url"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("bytes"))
-    narrow = narrow.observe(seen, F.max(F.when(F.col("bytes") <= ALONE, F.col("bytes"))).alias("most"), F.count_if(F.col("bytes") > ALONE).alias("alone"))
+    bounds = [-1, *(x for x in CLASSES if x < ALONE), ALONE, None]
+    classes = list(pairwise(bounds))
+    of = lambda size, low, high: (size > low) if high is None else (size > low) & (size <= high)
+    narrow = narrow.observe(seen, *(F.max(F.when(of(F.col("bytes"), *c), F.col("bytes"))).alias(f"most{i}") for i, c in enumerate(classes)))
     first = F.min(F.struct(F.col("page_id").isNull(), "page_id", "url")).alias("first")
     repeats = narrow.groupBy("digest").agg(first, F.max("bytes").alias("bytes"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("bytes") >= LEAST))
     repeats = scratch.cut(repeats.select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")), "repeats")
@@ -95,10 +101,11 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", scrat
     metadata = _record("metadata", _uuid(F.lit("metadata"), page, F.col("digest"), "url"), about, _field("WARC-Concurrent-To", ident), when, uri, _field("Content-Type", "application/warc-fields"))
     gap = F.lit(EOL + EOL)
     value = F.concat(request, gap, response, gap, metadata)
-    long = F.octet_length("html") > ALONE
-    for part, n in ((~long, min(PER_FILE, max(1, FILE // (seen.get["most"] or 1)))), (long, 1)):
-        if n > 1 or seen.get["alone"]:
-            out = rows.where(part).select(value.alias("value")).write.mode("append")
+    for i, c in enumerate(classes):  # files of pages of like sizes, so that a few long pages don't make short files of all
+        most = seen.get[f"most{i}"]
+        if most is not None or i == 0:  # without pages there is an archive without records
+            n = 1 if c[1] is None else min(PER_FILE, max(1, FILE // max(1, most or 1)))
+            out = rows.where(of(F.octet_length("html"), *c)).select(value.alias("value")).write.mode("append")
             out.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", n).text(path)
 
 

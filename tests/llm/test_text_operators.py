@@ -550,3 +550,15 @@ def test_top_k_leaves_out_what_overflows(spark):
     rows = [(0, [1.0, 2.0]), (1, [1e308, 1.0]), (2, [0.5, 0.5]), (3, [float("inf"), 1.0]), (4, [-1e307, 0.0])]
     got = K.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 0, k=3).collect()
     assert {r.query_id for r in got} == {0, 2} and all(r.vec_id in (0, 2) for r in got)
+
+
+def test_warc_files_by_size(spark):
+    """A few long pages don't make short files of all others."""
+    rows = [(i, "u", f"{i:>1000}") for i in range(300)] + [(1000 + i, "u", f"{i:>300000}") for i in range(3)] + [(2000, "u", "z" * (W.ALONE + 1)), (2001, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    scratch = Scratch(spark)
+    W.write(pages, path := scratch.place("warc"), scratch=scratch)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path").collect()
+    assert len(files) == 3
+    got = W.assemble(W.read_records(spark, path)).collect()
+    assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows) and {r.page_id: r.response.payload_bytes for r in got}[2000] == W.ALONE + 1
