@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,8 +75,8 @@ def contract_in_force(rows: DataFrame, contracts: DataFrame, items: DataFrame, a
     vendor is its alias'. Tiers: item, vendor, maker's part and unit (1); item, vendor and unit (2); item and vendor (3); vendor and
     maker's part (4). rows: item_id, vendor, catalog_number, unit, day and more; aliases: alias_name, standard_vendor.
 
-    Each combination is decided once: combinations, written once, look contracts up by item and by part in one join, of which a grouped
-    minimum takes the best.
+    Each combination is decided once: combinations, written once, look contracts up by item, and those that find none by part; of each
+    lookup a grouped minimum takes the best.
     """
     asks = ["item_id", "vendor", "catalog_number", "unit", "day"]
     plain = lambda c: F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
@@ -90,17 +90,24 @@ def contract_in_force(rows: DataFrame, contracts: DataFrame, items: DataFrame, a
         F.coalesce("by_alias", "k").alias("standard_vendor"), F.monotonically_increasing_id().alias("ask"),
     )
     asked = written(asked, "asked")
-    keys = lambda item, part: F.explode(F.array(F.struct(F.lit(0).alias("by"), F.col(item).alias("key")), F.struct(F.lit(1).alias("by"), F.col(part).alias("key"))))
-    sought = asked.where("day is not null and standard_vendor <> ''").select("ask", "part", "unit", "day", "standard_vendor", keys("effective_item", "part").alias("x")).select("*", "x.by", "x.key").drop("x")
-    sought = sought.where((F.col("key") != "") & ~((F.col("by") == 1) & F.col("key").isin(*BLANK)))
-    c = contracts.select("contract_number", "item_id", plain("vendor").alias("standard_vendor"), plain("manufacturer_part").alias("c_part"), "price", "each_price", F.col("uom").alias("contract_uom"), "category", "starts", "ends")
-    c = c.select("*", keys("item_id", "c_part").alias("x")).select("*", "x.by", "x.key").drop("x", "item_id")
-    same = F.col("unit") == F.col("contract_uom")
-    tier = F.when(F.col("by") == 1, 4).when(same & (F.col("part") == F.col("c_part")), 1).when(same, 2).otherwise(3)
-    both = sought.join(c, ["standard_vendor", "by", "key"]).where(valid_on(F.col("day"), F.col("starts"), F.col("ends")))
-    order = [tier.alias("tier"), F.col("ends").isNull().alias("open"), (-F.unix_date("ends")).alias("last"), "contract_number", "starts", F.col("price").isNull().alias("no_price"), "price", "contract_uom", "ends", "each_price", "category"]
-    best = both.groupBy("ask").agg(F.min(F.struct(*order)).alias("best"))
-    decided = asked.join(best, "ask", "left").select(*(F.col(x).alias(f"asked_{x}") for x in asks), "effective_item", "item_known", "standard_vendor", *(f"best.{x}" for x in ("tier", "contract_number", "price", "each_price", "contract_uom", "category", "starts", "ends")))
+    c = contracts.select(
+        "contract_number", "item_id", plain("vendor").alias("standard_vendor"), plain("manufacturer_part").alias("c_part"), "price", "each_price", F.col("uom").alias("contract_uom"), "category", "starts", "ends"
+    )
+    c = written(c, "contract_keys")
+    live = asked.where("day is not null and standard_vendor <> ''").select("ask", "part", "unit", "day", "standard_vendor", "effective_item")
+    valid, same = valid_on(F.col("day"), F.col("starts"), F.col("ends")), F.col("unit") == F.col("contract_uom")
+
+    def best(both: DataFrame, tier: Column) -> DataFrame:
+        order = [tier.alias("tier"), F.col("ends").isNull().alias("open"), (-F.unix_date("ends")).alias("last"), "contract_number", "starts", F.col("price").isNull().alias("no_price"), "price", "contract_uom", "ends", "each_price", "category"]
+        return both.where(valid).groupBy("ask").agg(F.min(F.struct(*order)).alias("best"))
+
+    tier = F.when(same & (F.col("part") == F.col("c_part")), 1).when(same, 2).otherwise(3)
+    by_item = live.where("effective_item <> ''").withColumnRenamed("effective_item", "item_id").join(c, ["standard_vendor", "item_id"])
+    by_item = written(best(by_item, tier), "by_item")
+    rest = live.where(~F.col("part").isin(*BLANK)).join(by_item.select("ask"), "ask", "left_anti")  # what items don't decide, parts may
+    by_part = best(rest.join(c.withColumnRenamed("c_part", "part").drop("item_id"), ["standard_vendor", "part"]), F.lit(4))
+    chosen = by_item.unionByName(by_part)
+    decided = asked.join(chosen, "ask", "left").select(*(F.col(x).alias(f"asked_{x}") for x in asks), "effective_item", "item_known", "standard_vendor", *(f"best.{x}" for x in ("tier", "contract_number", "price", "each_price", "contract_uom", "category", "starts", "ends")))
     on = reduce(lambda a, b: a & b, (rows[x].eqNullSafe(decided[f"asked_{x}"]) for x in asks))
     return rows.join(decided, on, "left").drop(*(f"asked_{x}" for x in asks))
 
