@@ -1,5 +1,10 @@
 """The corpus pipeline: documents that the quality classifier rejects go, one document of each group of near duplicates stays,
-documents that hold benchmark items go, secrets are redacted, and what is left is packed into sequences."""
+documents that hold benchmark items go, secrets are redacted, and what is left is packed into sequences.
+
+In all stages a null text is the empty text and stays null where the row stays, null doc_ids are kept apart from all others, rows that
+repeat a doc_id stay or go together, extra columns come through unchanged whatever their names, and no rows give no rows. All stages
+but the last return the columns of their documents.
+"""
 
 from __future__ import annotations
 
@@ -15,23 +20,29 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling towards good labels draws. Ties of the noisy scores go by doc_id; an empty text has the
+    importance of no words; without labels of both kinds all documents stay."""
     return importance_quality.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity of 0.8 or more."""
+    """Five-word shingles, similarity of 0.8 or more: of each group that such links connect, the document with the smallest doc_id stays.
+    Texts of under five words are one shingle; texts without words link with nothing and stay."""
     return ngram_jaccard_join.representatives(docs, k=5, num=8, den=10)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items go. Items of under five words, null or empty ones aren't searched; texts without words stay."""
     return spaced_seeds.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark and n_chars counted anew where a text has changed."""
     return secret_ledger.redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their sequences and offsets. An empty text is its end mark alone; repeated rows are pieces each."""
     return best_fit_packing.pack(best_fit_packing.pieces(docs, tokenizer_path()))
 
 

@@ -71,3 +71,46 @@ def test_stages(spark):
     whole = P.run(spark, SF).collect()
     key = lambda rows: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows)
     assert key(whole) == key(packed)
+
+
+def odd(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, names that operators use inside."""
+    good = "the committee considered several proposals before it settled on a plan that members could support in the coming year"
+    rows = [(1, good, "en", "a", 9, 1, "k"), (1, good, "en", "a", 9, 1, "k"), (2, good, None, None, None, None, None), (3, None, "en", "a", 0, 1, "k"), (4, "", "de", "b", 0, 1, "k"), (None, None, None, None, None, None, None),
+            (5, " \t\n", "en", "a", 3, 1, "k"), (6, "word " * 60_000, "en", "a", 1, 1, "k"), (7, "w" * 300_000, "en", "a", 1, 1, "k"), (8, f"{good} password: hunter2hunter2 end", "fr", "c", 1, 1, "k"), (9, "few words", "en", "a", 1, 1, "k")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, blob int, hash string")
+
+
+def test_stages_on_odd_rows(spark):
+    docs = odd(spark)
+    scratch = Scratch(spark)
+    ids = lambda df: sorted((r.doc_id is None, r.doc_id or 0) for r in df.select("doc_id").collect())
+    stages = dict(P.STAGES)
+    kept = {name: scratch.cut(stages[name](spark, docs, SF), name) for name, _ in P.STAGES[:-1]}
+    for name, df in kept.items():
+        assert df.dtypes == docs.dtypes, name
+        assert stages[name](spark, docs.limit(0), SF).count() == 0, name
+    near = [i for null, i in ids(kept["near_duplicates"]) if not null]
+    assert 2 not in near and near.count(1) in (1, 2) and {3, 4, 5, 6, 7, 9} <= set(near)
+    assert set(ids(kept["decontamination"])) == set(ids(docs))
+    assert ids(kept["secrets"]) == ids(docs)
+    secret = {r.doc_id: r for r in kept["secrets"].collect()}
+    assert "hunter2" not in secret[8].text and secret[8].n_chars == len(secret[8].text) and secret[3].text is None and secret[2].n_chars is None
+    for name in ("quality", "near_duplicates", "decontamination"):  # rows of one doc_id stay or go together
+        assert ids(kept[name]).count((False, 1)) in (0, 1, 2)
+    assert ids(kept["quality"]).count((False, 1)) in (0, 2) and ids(kept["decontamination"]).count((False, 1)) == 2
+    packed = stages["packing"](spark, docs, SF).collect()
+    by = {}
+    for r in packed:
+        by.setdefault(r.doc_id, []).append(r)
+    assert set(by) == {r.doc_id for r in docs.collect()} and len(by[1]) == 2 and [r.length for r in by[3]] == [1] and [r.length for r in by[4]] == [1]
+    spans = {}
+    for r in packed:
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for at in spans.values():
+        end = 0
+        for offset, length in sorted(at):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert stages["packing"](spark, docs.limit(0), SF).count() == 0
