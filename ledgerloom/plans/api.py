@@ -43,7 +43,7 @@ def empty(d):
     return d.spark.createDataFrame([], "item_id string, price double")
 
 
-@query("API-01", "select row_id, vendor, description from consumption where vendor ilike '%v3%' or description ilike '%v3%' order by row_id limit 50 offset 50")
+@query("API-01-SEARCH", "select row_id, vendor, description from consumption where vendor ilike '%v3%' or description ilike '%v3%' order by row_id limit 50 offset 50")
 def page(d):
     c = d.consumption.select("row_id", "vendor", "description")
     hit = reduce(lambda a, b: a | b, (F.coalesce(F.col(x).ilike("%v3%"), F.lit(False)) for x in ("vendor", "description")))
@@ -76,7 +76,7 @@ def unmapped(d):
     return d.consumption.where("item_id = ''").select("row_id", "description")
 
 
-@query("API-06", f"with {_LINES}, {_X} select vendor, {r('sum(spend)')} as spend, count(contract_number) * 1e0 / count(*) as match_rate, {r('sum(greatest(variance, 0e0))')} as overpayment from x group by 1")
+@query("API-06-VENDORS", f"with {_LINES}, {_X} select vendor, {r('sum(spend)')} as spend, count(contract_number) * 1e0 / count(*) as match_rate, {r('sum(greatest(variance, 0e0))')} as overpayment from x group by 1")
 def drill(d):
     return detailed(d).groupBy("vendor").agg(cents(F.sum("spend")).alias("spend"), (F.count("contract_number") * F.lit(1.0) / F.count("*")).alias("match_rate"), cents(F.sum(F.greatest("variance", F.lit(0.0)))).alias("overpayment"))
 

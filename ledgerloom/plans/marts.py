@@ -47,7 +47,7 @@ _FLAGS = f"""g as (
         from f left join p on f.row_id = p.row_id),
     h as (select *, case when price > 0 then (unit_price - case when unit = contract_uom then price else coalesce(each_price * {_FACTOR}, 0e0) end) * quantity else 0e0 end as price_variance2 from g),
     fact as (
-        select row_id, facility, service_line, patient_type, primary_drg_code, primary_procedure_group, line_spend, contract_match_tier, contract_match_rule, is_contract_matched, contract_gap_code, contract_gap_detail, effective_item, standard_vendor,
+        select row_id, facility, service_line, patient_type, primary_drg_code, primary_procedure_group, line_spend, contract_match_tier, contract_match_rule, is_contract_matched, contract_gap_code, contract_gap_detail, effective_item, standard_vendor, is_item_master_matched,
             {' + '.join(f"case when {x} then 0 else 1 end" for x in ERRORS.values())} as validation_error_count,
             concat({', '.join(f"case when {x} then '' else ';{code}' end" for code, x in ERRORS.items())}) as validation_error_flags,
             case when not is_price_above_zero or not is_quantity_above_zero or not is_valid_date then 'INELIGIBLE' when is_contract_matched then 'ELIGIBLE' else 'REVIEW_REQUIRED' end as row_eligibility,
@@ -104,7 +104,7 @@ def consumption_fact(d) -> DataFrame:
     variance = P.variance(F.col("unit_price"), F.col("quantity"), F.col("price"), F.col("each_price"), factor(F.col("unit")), F.col("unit") == F.col("contract_uom"))
     columns = {
         "primary_drg_code": C.primary_drg(F.col("drg_code")), "primary_procedure_group": group, "line_spend": F.col("line_spend"), "contract_match_tier": F.coalesce("tier", F.lit(99)),
-        "contract_match_rule": rule, "is_contract_matched": matched, "contract_gap_code": gap, "contract_gap_detail": detail, "effective_item": F.col("effective_item"), "standard_vendor": F.col("standard_vendor"),
+        "contract_match_rule": rule, "is_contract_matched": matched, "contract_gap_code": gap, "contract_gap_detail": detail, "effective_item": F.col("effective_item"), "standard_vendor": F.col("standard_vendor"), "is_item_master_matched": F.col("item_known"),
         "validation_error_count": reduce(lambda a, b: a + b, (F.when(ok[x], 0).otherwise(1) for x in ERRORS.values())),
         "validation_error_flags": F.concat(*(F.when(ok[x], "").otherwise(f";{code}") for code, x in ERRORS.items())),
         "row_eligibility": F.when(~usable, "INELIGIBLE").when(matched, "ELIGIBLE").otherwise("REVIEW_REQUIRED"),

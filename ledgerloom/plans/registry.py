@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Domain], Dat
     return add
 
 
-from . import aggregates, api, changes, io, joins, mapping, marts, projections, quality, runs, vendors, windows  # noqa: E402, F401  (they register their queries)
+from . import aggregates, api, changes, console, io, joins, mapping, marts, projections, quality, runs, vendors, windows  # noqa: E402, F401  (they register their queries)
