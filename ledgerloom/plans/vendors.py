@@ -64,15 +64,15 @@ _RULED = f"""with k as (select {_key('vendor')} as v, trim(item_id) as i, coales
         case when method not in ('ITEM_OVERLAP', 'FUZZY_NAME', 'NO_MATCH', 'VENDOR_CODE') then '' when code_vendor is null then 'NO_CODE_DATA' when share < 0.5 then 'INCONCLUSIVE' when code_vendor = standard then 'CONFIRMED' else 'CONFLICT' end as code_check from z"""
 
 
-@query("JN-19")
+@query("JN-19-FUZZY")
 def cascade(d):
-    """All five stages; SQL has no difflib ratio for the last one."""
+    """All stages, with alike names as the last one, whose ratio SQL hasn't."""
     return V.resolve(d.vendor_usage, d.vendor_contracts, d.vendor_items).select(*_COLUMNS, "evidence")
 
 
-@query("JN-19-RULED", _RULED)
+@query("JN-19", _RULED)
 def ruled(d):
-    """The stages by rule, without alike names."""
+    """All stages but alike names."""
     return V.resolve(d.vendor_usage, d.vendor_contracts, d.vendor_items, fuzzy=False).select(*_COLUMNS)
 
 
