@@ -28,19 +28,36 @@ def lookup(d):
     return d.part.select("p_type", "p_brand").distinct()
 
 
-@query("SRC-12", "select * from (values ('EACH', 'EA', 1e0), ('BOX', 'BX', 10e0), ('CASE', 'CA', 50e0)) t(code, standard, factor)")
-def seed(d):
-    return d.spark.createDataFrame([("EACH", "EA", 1.0), ("BOX", "BX", 10.0), ("CASE", "CA", 50.0)], "code string, standard string, factor double")
+#: Units of measure, their standard unit and the eaches in it.
+UNIT_SEED = [("EA", "EA", 1.0), ("EACH", "EA", 1.0), ("BX", "BX", 10.0), ("BOX", "BX", 10.0), ("CA", "CA", 50.0), ("CASE", "CA", 50.0), ("CS", "CA", 50.0), ("DZ", "DZ", 12.0), ("PK", "PK", 5.0)]
 
 
-@query("SRC-13", "select unnest(generate_series(1, 1000)) as n")
-def series(d):
-    return d.spark.range(1, 1001).withColumnRenamed("id", "n")
+@query("SRC-12", f"""with seed(code, standard, factor) as (values {', '.join(f"('{a}', '{b}', {c}e0)" for a, b, c in UNIT_SEED)})
+    select standard, count(*) as lines, cast(sum(quantity * factor) as bigint) as eaches from consumption join seed on upper(trim(uom)) = code group by 1""")
+def seeds(d):
+    """An inline seed joined to the lines."""
+    seed = d.spark.createDataFrame(UNIT_SEED, "code string, standard string, factor double")
+    rows = d.consumption.select(F.upper(F.trim("uom")).alias("code"), "quantity").join(F.broadcast(seed), "code")
+    return rows.groupBy("standard").agg(F.count("*").alias("lines"), F.sum(F.col("quantity") * F.col("factor")).cast("long").alias("eaches"))
 
 
-@query("SRC-16", "select item_id, price from item_master where 1 = 0")
+@query("SRC-13", """with m as (select date_trunc('month', service_date) as m, count(*) as n from consumption where service_date is not null and month(service_date) <> 2 group by 1),
+    s as (select unnest(generate_series(min(m), max(m), interval 1 month)) as m from m) select strftime(s.m, '%Y-%m') as month, coalesce(n, 0) as lines from s left join m on s.m = m.m""")
+def months(d):
+    """A series of all months between the first and the last one, with the lines of each; months without lines have 0."""
+    n = d.consumption.where("service_date is not null and month(service_date) <> 2").groupBy(F.trunc("service_date", "month").alias("m")).agg(F.count("*").alias("n"))
+    series = n.agg(F.min("m").alias("a"), F.max("m").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("m"))
+    return series.join(n, "m", "left").select(F.date_format("m", "yyyy-MM").alias("month"), F.coalesce("n", F.lit(0)).alias("lines"))
+
+
+@query("SRC-16", "select item_id, price from item_master")
 def empty(d):
-    return d.spark.createDataFrame([], "item_id string, price double")
+    """A feed beside one whose file is missing, which counts as no rows of its columns."""
+    from ..sources import readers
+    from ..sources.shared import place
+
+    more = readers.or_empty(d.spark, place(d.spark, "no_such_feed"), ["item_id", "price"])
+    return d.item_master.select("item_id", "price").unionByName(more.withColumn("price", F.col("price").cast("double")))
 
 
 @query("API-01-SEARCH", "select row_id, vendor, description from consumption where vendor ilike '%v3%' or description ilike '%v3%' order by row_id limit 50 offset 50")

@@ -143,19 +143,33 @@ def paged(d):
     return d.spark.createDataFrame([(got["total"], r["item_id"]) for r in got["rows"]], "total long, item_id string")
 
 
-@query("INC-01", "select * from (values ('a.txt', 'UNCHANGED'), ('b.txt', 'CHANGED'), ('c.txt', 'GONE'), ('d.txt', 'NEW')) t(name, state)")
+_FILES = "select cast(event_id as varchar) as name, user_id as bytes, event_id % 3 as modified, md5(props) as hash from logs"
+
+
+@query("INC-01", f"""with b as ({_FILES} where event_id % 7 <> 1), a as (select name, bytes + case when cast(name as int) % 11 = 2 then 1 else 0 end as bytes, modified + case when cast(name as int) % 5 = 0 then 1 else 0 end as modified,
+    case when cast(name as int) % 10 = 5 then 'x' else hash end as hash from ({_FILES} where event_id % 9 <> 1))
+    select coalesce(b.name, a.name) as name, case when b.name is null then 'NEW' when a.name is null then 'GONE' when a.bytes = b.bytes and (a.modified = b.modified or a.hash = b.hash) then 'UNCHANGED' else 'CHANGED' end as state
+    from b full join a on b.name = a.name""")
 def files(d):
-    f = "name string, bytes long, modified int, sha256 string"
-    before = d.spark.createDataFrame([("a.txt", 3, 1, "x"), ("b.txt", 3, 1, "x"), ("c.txt", 1, 1, "y")], f)
-    after = d.spark.createDataFrame([("a.txt", 3, 2, "x"), ("b.txt", 3, 2, "z"), ("d.txt", 1, 1, "y")], f)
+    """Deliveries as files of two manifests: some come, some go, some have another size, time or content."""
+    n = F.col("event_id")
+    f = lambda keep, bytes_, time, text: d.logs.where(keep).select(n.cast("string").alias("name"), bytes_.alias("bytes"), time.alias("modified"), text.alias("sha256"))
+    size, time, text = F.col("user_id"), n % 3, F.md5("props")
+    before = f(n % 7 != 1, size, time, text)
+    after = f(n % 9 != 1, size + F.when(n % 11 == 2, 1).otherwise(0), time + F.when(n % 5 == 0, 1).otherwise(0), F.when(n % 10 == 5, "x").otherwise(text))
     return N.file_states(before, after)
 
 
-@query("INC-02", "select true as changed, false as same, true as missing")
+@query("INC-02", """with b as (select vendor, count(*) as n, sum(cast(item_id as bigint)) as s, count(price) as p from contracts where vendor <> 'V3' group by 1), a as (select vendor, count(*) as n, sum(cast(item_id as bigint)) as s, count(price) as p from contracts where cast(item_id as int) % 500 <> 7 group by 1)
+    select a.vendor, b.vendor is null as missing, b.vendor is null or b.n <> a.n or b.s <> a.s or b.p <> a.p as rebuild from a left join b on a.vendor = b.vendor""")
 def rebuild(d):
-    a, b = {"lookback": 6, "percent": 10}, {"percent": 10, "lookback": 6}
-    was = N.fingerprint(a)
-    return d.spark.createDataFrame([(N.must_rebuild(was, {**a, "percent": 5}, True), N.must_rebuild(was, b, True), N.must_rebuild(was, a, False))], "changed boolean, same boolean, missing boolean")
+    """Vendors whose contracts have another fingerprint than when they were mapped, or none, must be mapped in full."""
+    def prints(k):
+        return k.groupBy("vendor").agg(F.md5(F.concat_ws("|", F.count("*"), F.sum(F.col("item_id").cast("long")), F.count("price"))).alias("print"))
+
+    was = prints(d.contracts.where("vendor <> 'V3'")).withColumnRenamed("print", "was")
+    now = prints(d.contracts.where(F.col("item_id").cast("int") % 500 != 7))
+    return now.join(was, "vendor", "left").select("vendor", F.col("was").isNull().alias("missing"), (~F.col("was").eqNullSafe(F.col("print"))).alias("rebuild"))
 
 
 _ALL = "select action as entity, cast(event_id as string) as name, ts as arrived from logs"
@@ -177,15 +191,22 @@ def versions_all(d):
     return N.catalog(deliveries(d)).groupBy("entity").agg(F.count("*").alias("versions"))
 
 
-@query("GRD-13", "select * from (values ('consumption'), ('contracts'), ('purchase_orders')) t(kind)")
+_FEED_NAMES = ["UHC_PO_", "Invoice-", "contracts ", "Item_Master_", "consumption", "readme"]
+_FEED_NAME = f"list_extract({_FEED_NAMES}, cast(event_id % 6 + 1 as int)) || cast(event_id as varchar) || '.csv'"
+
+
+@query("GRD-13", f"""with x as (select lower({_FEED_NAME}) as f from logs) select case {' '.join(f"when regexp_matches(f, '{p}') then '{k}'" for k, p in readers.FILE_NAMES.items())} else 'unknown' end as kind, count(*) as files from x group by 1""")
 def kinds(d):
-    got = [readers.kind(c) for c in (["LOG_ID", "total_quantity", "x"], ["contract_number", "contract_price", "item_id"], ["po_number", "po_line_no"])]
-    return d.spark.createDataFrame([(k,) for k in got], "kind string")
+    """Deliveries by the kind that their file name tells."""
+    name = F.concat(F.try_element_at(F.array(*map(F.lit, _FEED_NAMES)), (F.col("event_id") % 6 + 1).cast("int")), F.col("event_id").cast("string"), F.lit(".csv"))
+    return d.logs.groupBy(readers.kind_of_file(name).alias("kind")).agg(F.count("*").alias("files"))
 
 
-@query("GRD-14", "select '' as item_id, '' as description where 1 = 0")
+@query("GRD-14", "select item_id, description, cast(null as varchar) as list_price from item_master")
 def stub(d):
-    return readers.or_empty(d.spark, place(d, "nowhere"), ["item_id", "description"])
+    """Items with the prices of a feed that is missing: a stub without rows stands for it."""
+    prices = readers.or_empty(d.spark, place(d, "nowhere"), ["item_id", "list_price"])
+    return d.item_master.select("item_id", "description").join(prices, "item_id", "left")
 
 
 @query("UDF-01", "select item_id, upper(description) as label from item_master")
@@ -202,12 +223,17 @@ def similarity(d):
     return fuzzy_vendors(names, d.supplier.select(F.upper("s_name").alias("standard")).distinct())
 
 
-@query("UDF-09", "select * from (values ('unit_cost', 'price'), ('descr', 'description')) t(name, nearest)")
+_GOOD = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+@query("UDF-09", f"""with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings where {_GOOD}),
+    p as (select a.vec_id, k.vec_id as near, 1 - list_cosine_similarity(a.e, k.e) as dist from v a, v k where k.vec_id < 64 and a.vec_id >= 64)
+    select cast(vec_id as varchar) as name, cast(near as varchar) as nearest from p where dist < 15e-1 qualify row_number() over (partition by vec_id order by dist, cast(near as varchar)) = 1""")
 def signature(d):
-    f = "name string, vector array<double>"
-    known = d.spark.createDataFrame([("price", [1.0, 0.1, 0.0]), ("description", [0.0, 0.2, 1.0])], f)
-    seen = d.spark.createDataFrame([("unit_cost", [0.9, 0.2, 0.1]), ("descr", [0.1, 0.0, 0.8]), ("odd", [0.1, 5.0, 0.1])], f)
-    return N.nearest_signature(seen, known).select("name", "nearest")
+    """Vectors as signatures, the first 64 as known ones."""
+    good = d.embeddings.where(F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    named = good.select("vec_id", F.col("vec_id").cast("string").alias("name"), F.col("embedding").alias("vector"))
+    return N.nearest_signature(named.where("vec_id >= 64"), named.where("vec_id < 64"), most=1.5).select("name", "nearest")
 
 
 @query("DOC-02", "select c.row_id, min(m.item_id) as item_id from consumption c join item_master m on regexp_replace(upper(c.catalog_number), '[^A-Z0-9]', '', 'g') = regexp_replace(upper(m.manufacturer_part), '[^A-Z0-9]', '', 'g') group by 1")

@@ -6,7 +6,7 @@ import re
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,6 +106,18 @@ def kind(columns: list[str]) -> str:
     return max(FEEDS, key=lambda k: (len(FEEDS[k] & have) / len(FEEDS[k]), -list(FEEDS).index(k)))
 
 
+#: What in a file's name, in lower case, tells its kind, the first that fits.
+FILE_NAMES = {"purchase_orders": "po[_-]|purchase", "invoices": "inv", "contracts": "con_|contract", "item_master": "item|im_", "consumption": "consum|usage"}
+
+
+def kind_of_file(name: Column) -> Column:
+    """The kind of feed that a file's name speaks for, else unknown."""
+    out = F.lit("unknown")
+    for kind_, pattern in reversed(FILE_NAMES.items()):
+        out = F.when(F.lower(name).rlike(pattern), kind_).otherwise(out)
+    return out
+
+
 def with_audit(df: DataFrame) -> DataFrame:
     """With the file that each row comes from and the time of reading."""
     return df.withColumns({"_source_file": F.col("_metadata.file_name"), "_ingested_at": F.current_timestamp()})
