@@ -533,7 +533,7 @@ def test_rules_take_long_runs(spark, start):
 
     docs = spark.createDataFrame([(1, start * ((1 << 20) // len(start)))], "doc_id long, text string")
     began = time.perf_counter()
-    S.redact(docs).collect()
+    S.scan(docs).collect()
     assert time.perf_counter() - began < 25
 
 
