@@ -191,7 +191,7 @@ def versions_all(d):
     return N.catalog(deliveries(d)).groupBy("entity").agg(F.count("*").alias("versions"))
 
 
-_FEED_NAMES = ["UHC_PO_", "Invoice-", "contracts ", "Item_Master_", "consumption", "readme"]
+_FEED_NAMES = ["site_PO_", "Invoice-", "contracts ", "Item_Master_", "consumption", "readme"]
 _FEED_NAME = f"list_extract({_FEED_NAMES}, cast(event_id % 6 + 1 as int)) || cast(event_id as varchar) || '.csv'"
 
 
