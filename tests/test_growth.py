@@ -48,6 +48,26 @@ def test_a_row_meets_its_items_contracts_by_one_join(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1 and out.first().contract_number == "C"
 
 
+def test_numbered_names_are_matched_soon(spark):
+    names, standards = [f"Supplier#O{n:08d}" for n in range(0, 3000, 3)], [f"SUPPLIER#{n:09d}" for n in range(3000)]
+    began = time.time()
+    got = {r.name: r for r in M.fuzzy_vendors(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(s,) for s in standards], "standard string"), block=700).collect()}
+    assert time.time() - began < 60 and set(got) == set(names)
+    for name in names[::97]:
+        best = min((-SequenceMatcher(None, name.upper(), s, autojunk=False).ratio(), s) for s in standards)
+        assert (-got[name].ratio, got[name].standard) == best
+
+
+def test_long_and_short_names(spark):
+    rng = random.Random(5)
+    standards = ["".join(rng.choice("AB C\u00c9\U0001f600") for _ in range(n)).strip() or "X" for n in (1, 2, 3, 5, 9, 63, 64, 65, 129, 200)]
+    names = [s[: len(s) // 2] + "Z" + s[len(s) // 2 :] for s in standards]
+    got = {r.name: (r.standard, r.ratio) for r in M.fuzzy_vendors(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(s,) for s in standards], "standard string")).collect()}
+    for name in set(names):
+        ratio, best = min((-SequenceMatcher(None, name, s, autojunk=False).ratio(), s) for s in set(standards))
+        assert got.get(name) == ((best, -ratio) if -ratio >= 0.8 else None)
+
+
 def test_lines_meet_orders_with_their_customers(spark):
     """Lines are shuffled for orders and parts, not once more for customers."""
     d = domain.Domain(spark, "/root/testdata/sf0.001")
