@@ -68,6 +68,14 @@ def test_long_and_short_names(spark):
         assert got.get(name) == ((best, -ratio) if -ratio >= 0.8 else None)
 
 
+def test_copies_of_an_item_are_no_pairs(spark):
+    class D:
+        item_master = spark.createDataFrame([(f"{i:04d}", "a  b" if i % 2 else "b  a", "m") for i in range(400)] + [("x", "a b c d e", "m"), ("y", "a b c d", "m")], "item_id string, description string, manufacturer string")
+
+    got = sorted(map(tuple, changes.alike(D).collect()))
+    assert got == sorted([(f"{i:04d}", "0000", "COPY") for i in range(1, 400)] + [("x", "y", "ALIKE")])
+
+
 def test_lines_meet_orders_with_their_customers(spark):
     """Lines are shuffled for orders and parts, not once more for customers."""
     d = domain.Domain(spark, "/root/testdata/sf0.001")
