@@ -76,6 +76,14 @@ def test_copies_of_an_item_are_no_pairs(spark):
     assert got == sorted([(f"{i:04d}", "0000", "COPY") for i in range(1, 400)] + [("x", "y", "ALIKE")])
 
 
+def test_reconciled_sums_are_exact(spark):
+    class D:
+        lineitem = spark.createDataFrame([(1e15,), (0.3,), (-1e15,)] , "l_extendedprice double").coalesce(1)
+        purchase_orders = spark.createDataFrame([(1e15,), (-1e15,), (0.3,)], "total_value double").coalesce(1)
+
+    assert tuple(changes.reconciled(D).first()) == (0.0, False)
+
+
 def test_lines_meet_orders_with_their_customers(spark):
     """Lines are shuffled for orders and parts, not once more for customers."""
     d = domain.Domain(spark, "/root/testdata/sf0.001")
