@@ -191,7 +191,7 @@ def with_prices(rows: DataFrame, settings: Settings) -> DataFrame:
 def contract_windows(before: DataFrame, after: DataFrame, lookback_months: int) -> DataFrame:
     """(vendor, item_id, since, until) of changed contracts; a key that comes or goes has all days."""
     moved = anti_null_safe(before, after, after.columns).unionByName(anti_null_safe(after, before, after.columns))
-    end = F.coalesce(F.add_months("ends", lookback_months), _date(FAR_FUTURE))
+    end = F.coalesce(F.date_add(F.add_months("ends", lookback_months), 3), _date(FAR_FUTURE))  # months differ by up to 3 days: 31 August less 6 months is 28 February
     w = moved.groupBy("vendor", "item_id").agg(F.min(F.coalesce("starts", _date(FAR_PAST))).alias("since"), F.max(end).alias("until"))
     key = ["vendor", "item_id"]
     both = before.select(*key).distinct().withColumn("b", F.lit(True)).join(after.select(*key).distinct().withColumn("a", F.lit(True)), key, "full_outer")

@@ -84,6 +84,15 @@ def test_reconciled_sums_are_exact(spark):
     assert tuple(changes.reconciled(D).first()) == (0.0, False)
 
 
+def test_windows_reach_days_that_months_clip(spark):
+    """31 August less six months is 28 February, so a contract that ends then is near on that day."""
+    schema = "contract_number string, vendor string, item_id string, uom string, price double, each_price double, starts date, ends date"
+    end = datetime.date(1997, 2, 28)
+    before, after = (spark.createDataFrame([("C", "V", "i", "EA", p, p, day(0), end), ("D", "V", "i", "EA", 1.0, 1.0, day(900), None)], schema) for p in (1.0, 2.0))
+    (w,) = mapper.contract_windows(before, after, 6).collect()
+    assert w.since <= datetime.date(1997, 8, 31) <= w.until
+
+
 def test_lines_meet_orders_with_their_customers(spark):
     """Lines are shuffled for orders and parts, not once more for customers."""
     d = domain.Domain(spark, "/root/testdata/sf0.001")
