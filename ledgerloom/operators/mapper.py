@@ -88,22 +88,36 @@ def decide_items(wanted: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.select("item_id", F.when(n == 1, F.col("codes")[0]).alias("unspsc"), status.alias("item_status"), gap.alias("item_gap_code"), detail.alias("item_gap_detail"))
 
 
+def contracts_by_item(contracts: DataFrame) -> DataFrame:
+    """(item_id, of_item, under): an item's distinct contract records as one array, and up to four of its vendors."""
+    record = F.struct("vendor", "ends", "starts", "contract_number", "price", "each_price", "uom")
+    return contracts.groupBy("item_id").agg(F.collect_set(record).alias("of_item")).withColumn("under", F.slice(F.array_sort(F.array_distinct(F.col("of_item.vendor"))), 1, 4))
+
+
 def decide_contracts(wanted: DataFrame, contracts: DataFrame, settings: Settings) -> DataFrame:
-    """(vendor, item_id, day, CONTRACT columns) of distinct (vendor, item_id, day), none of them null or blank.
+    """(vendor, item_id, day, CONTRACT columns) of distinct (vendor, item_id, day), none of them null or blank."""
+    rows = wanted.select("vendor", "item_id", "day").join(contracts_by_item(contracts), "item_id", "left")
+    return with_decisions(rows, contracts, settings).select("vendor", "item_id", "day", "decided.*")
+
+
+def with_decisions(wanted: DataFrame, contracts: DataFrame, settings: Settings) -> DataFrame:
+    """wanted with the CONTRACT columns as ``decided``; it has vendor, item_id, day, and of_item and under as ``contracts_by_item`` has them
+    of its item (null if the item has none). Each row decides by itself, so rows aren't joined with single contracts.
 
     Of the contracts active on the day those with the latest start count; they match if they agree on one price. Otherwise a code and
     a text say why not: which key contracts lack, or how far the nearest contract is.
     """
-    key = ["vendor", "item_id", "day"]
-    pairs = wanted.select(*key).join(contracts, ["vendor", "item_id"])
     day, since = F.col("day"), F.add_months("day", -settings.lookback_months)
-    started = F.coalesce(F.col("starts") <= day, F.lit(False))
-    until = lambda d: F.col("ends").isNull() | (F.col("ends") >= d)
-    pairs = pairs.withColumn("near", started & until(since)).withColumn("live", started & until(day))
-    mine = F.struct("ends", "starts", "contract_number", "price", "each_price", "uom", "near", "live")
-    grouped = pairs.groupBy(*key).agg(
-        F.count("*").alias("n"), F.count_if("near").alias("candidates"), F.count_if("live").alias("active"), F.max(F.when(F.col("live"), F.col("starts"))).alias("latest"), F.collect_list(mine).alias("all")
-    )  # the contracts of one vendor and item
+    until = lambda x, d: x["ends"].isNull() | (x["ends"] >= d)
+
+    def seen(x: Column) -> Column:
+        started = F.coalesce(x["starts"] <= day, F.lit(False))
+        return F.struct(*(x[c].alias(c) for c in ("ends", "starts", "contract_number", "price", "each_price", "uom")), (started & until(x, since)).alias("near"), (started & until(x, day)).alias("live"))
+
+    mine = F.transform(F.filter(F.coalesce("of_item", F.array().cast(wanted.schema["of_item"].dataType)), lambda x: x["vendor"] == F.col("vendor")), seen)
+    grouped = wanted.withColumn("all", mine)  # the contracts of one vendor and item
+    held = lambda flag: F.size(F.filter("all", lambda x: x[flag]))
+    grouped = grouped.withColumns({"n": F.size("all"), "candidates": held("near"), "active": held("live"), "latest": F.array_max(F.transform(F.filter("all", lambda x: x["live"]), lambda x: x["starts"]))})
     tie = F.filter("all", lambda x: x["live"] & (x["starts"] == F.col("latest")))
     grouped = grouped.withColumn("tie", tie).withColumn("priced", F.filter("tie", lambda x: x["price"].isNotNull()))
     by = (lambda x: F.coalesce(F.round(x["each_price"], 6), -F.round(x["price"], 6)).cast("string")) if settings.by_each_price else (lambda x: F.concat_ws("|", F.round(x["price"], 6).cast("string"), x["uom"]))
@@ -112,7 +126,7 @@ def decide_contracts(wanted: DataFrame, contracts: DataFrame, settings: Settings
     packs = distinct(lambda x: F.struct(F.round(x["price"], 6), F.coalesce(F.round(x["each_price"], 6), F.lit(-1.0)), x["uom"]))
     grouped = grouped.withColumns({"tied": F.size("tie"), "prices": prices, "numbers": numbers, "packs": packs})
     status = (
-        F.when(F.col("active") == 0, "NOT_ACTIVE").when(F.col("prices") == 0, "PRICE_MISSING").when((F.col("prices") > 1) & (F.col("numbers") > 1), "AMBIGUOUS_MULTIPLE_CONTRACTS")
+        F.when(F.col("n") == 0, "NOT_FOUND").when(F.col("active") == 0, "NOT_ACTIVE").when(F.col("prices") == 0, "PRICE_MISSING").when((F.col("prices") > 1) & (F.col("numbers") > 1), "AMBIGUOUS_MULTIPLE_CONTRACTS")
         .when(F.col("prices") > 1, "AMBIGUOUS_MULTIPLE_PRICES").otherwise("MATCHED")
     )
     first = F.array_min(F.transform("priced", lambda x: F.struct((x["uom"] != "EA").alias("a"), x["contract_number"].alias("b"), x["uom"].alias("c"), x["price"].alias("d"), x.alias("x"))))["x"]
@@ -126,10 +140,7 @@ def decide_contracts(wanted: DataFrame, contracts: DataFrame, settings: Settings
 
     nearest = F.array_min(F.transform("all", lambda x: F.struct(gap(x).isNull().alias("o"), gap(x).alias("days"), x["contract_number"].alias("c"), x["starts"].alias("s"), x["ends"].alias("e"))))
     grouped = grouped.withColumns({"status": status, "first": first, "closest": closest, "nearest": nearest})
-    found = wanted.select(*key).join(grouped, key, "left")
-    found = found.join(contracts.select("vendor").distinct().withColumn("v_known", F.lit(True)), "vendor", "left")
-    under = contracts.groupBy("item_id").agg(F.slice(F.sort_array(F.collect_set("vendor")), 1, 4).alias("under"))
-    found = found.join(under, "item_id", "left").withColumn("status", F.coalesce("status", F.lit("NOT_FOUND")))
+    found = grouped.join(contracts.select("vendor").distinct().withColumn("v_known", F.lit(True)), "vendor", "left")
     is_ = lambda s: F.col("status") == s
     late = F.col("nearest.e") < day
     v, i = F.col("v_known").isNotNull(), F.col("under").isNotNull()
@@ -161,7 +172,7 @@ def decide_contracts(wanted: DataFrame, contracts: DataFrame, settings: Settings
     of_first = [F.when(hit, F.col(f"first.{c}")).alias(c) for c in ("contract_number", "starts", "ends", "price", "each_price", "uom")]
     counts = [F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in ("candidates", "active", "tied", "prices")]
     near_ones = [F.when(is_("NOT_ACTIVE"), F.col(f"closest.{c}")).alias(f"closest_{a}") for c, a in (("contract_number", "number"), ("ends", "ends"))]
-    return found.select(*key, "status", reason.alias("reason"), *counts, *of_first, *near_ones, code.alias("gap_code"), detail.alias("gap_detail"))
+    return found.select(*(c for c in wanted.columns if c not in ("of_item", "under")), F.struct("status", reason.alias("reason"), *counts, *of_first, *near_ones, code.alias("gap_code"), detail.alias("gap_detail")).alias("decided"))
 
 
 def ineligible(column: str) -> Column:
@@ -205,10 +216,9 @@ _OWN = ["row_id", "row_hash", "spelling", "vendor", "item_id", "day", "supply_pr
 
 def _assembled(rows: DataFrame, contracts: DataFrame, classes: DataFrame, s: Settings, full: bool) -> DataFrame:
     """rows mapped: those with by_contract or by_item anew, of the others what they had (old)."""
-    decided = decide_contracts(rows.where("by_contract and eligibility = 'ELIGIBLE'").select("vendor", "item_id", "day").distinct(), contracts, s)
-    decided = decided.select("vendor", "item_id", "day", F.struct(*CONTRACT).alias("decided"))
     classed = decide_items(rows.where("by_item").select("item_id").distinct(), classes).select("item_id", F.struct(*ITEM).alias("classed"))
-    out = rows.join(decided, ["vendor", "item_id", "day"], "left").join(classed, "item_id", "left")
+    of_item = classed.join(contracts_by_item(contracts), "item_id", "full_outer")  # all that rows need of their item, by one join
+    out = with_decisions(rows.join(of_item, "item_id", "left"), contracts, s)
     kept = lambda c: F.lit(None) if full else F.col(f"old.{c}")
     contract = {c: F.when(~F.col("by_contract"), kept(c)).when(F.col("eligibility") != "ELIGIBLE", ineligible(c)).otherwise(F.col(f"decided.{c}")) for c in CONTRACT}
     item = {c: F.when(F.col("by_item"), F.col(f"classed.{c}")).otherwise(kept(c)) for c in ITEM}
