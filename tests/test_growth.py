@@ -11,6 +11,7 @@ from ledgerloom.operators import joins as J
 from ledgerloom.operators import mapper
 from ledgerloom.operators import matching as M
 from ledgerloom.plans import changes, domain
+from ledgerloom.plans.registry import aggregates
 
 
 def day(n):
@@ -112,3 +113,15 @@ def test_blank_keys_are_dealt_out(spark):
         assert sorted(map(str, spread.select("id", "k", "v").collect())) == sorted(map(str, plain.select("id", "k", "v").collect()))
     tasks = left.where("k = ''").withColumn("p", F.pmod(F.xxhash64("id"), F.lit(8))).select("p").distinct().count()
     assert tasks == 8
+
+
+def test_shapes_of_ambiguity_copy_no_rows(spark):
+    class D:
+        contracts = spark.createDataFrame(
+            [("V", "a", "C", 1.0, day(0)), ("V", "b", "C", 1.0, day(0)), ("V", "b", "D", 2.0, day(0)), ("V", "c", "C", None, day(0)), ("V", "c", "D", 2.0, day(1)), ("V", "d", "C", 1.0, None), ("V", "d", "C", 2.0, day(0)), ("V", "e", "C", None, day(0)), ("V", "e", "C", None, day(1)), ("V", "f", "C", 0.0, None), ("V", "f", "C", -0.0, None)],
+            "vendor string, item_id string, contract_number string, price double, starts date",
+        )
+
+    out = aggregates.scenarios(D)
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [("A_SINGLE", 1), ("B_CONTRACTS_AND_PRICES", 1), ("C_CONTRACTS", 1), ("D_PRICES", 1), ("E_STARTS", 1), ("F_COPIES", 1)]
