@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import pricing as P
+from ..sources.shared import written
 
 
 def price_bounds(df: DataFrame, keys: list[str], price: str) -> DataFrame:
@@ -32,11 +33,13 @@ def net_returns(rows: DataFrame, case: str, item: str, quantity: str, row_id: st
     Where no purchase without case and no two different amounts meet, the n-th purchase of a case goes with its n-th return, by row
     numbers of (case, item, amount), so a popular item is split by case. Only items and amounts where they do meet are gone
     through in order, by rows that can find a partner: of each case and amount, purchases up to the number of the case's returns.
+
+    The rows are written once; each is shuffled once to its case and gets its state there, those without returns not at all.
     """
     amount = F.abs(F.coalesce(F.col(quantity).cast("double"), F.lit(0.0)))
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     sign = F.when(F.col(quantity) < 0, -1).otherwise(1)
-    x = rows.select(F.col(row_id).alias("row_id"), blank(case).alias("case"), blank(item).alias("item"), amount.alias("amount"), sign.alias("sign"))
+    x = written(rows.select(F.col(row_id).alias("row_id"), blank(case).alias("case"), blank(item).alias("item"), amount.alias("amount"), sign.alias("sign")), "netting")
     near = x.groupBy("item", "amount").agg(F.count_if(F.col("sign") < 0).alias("back"), F.count_if((F.col("sign") > 0) & (F.col("case") == "")).alias("wild"))
     by_amount = W.partitionBy("item").orderBy("amount")
     start = F.when(F.col("amount") - F.lag("amount").over(by_amount) < tolerance, 0).otherwise(1)
@@ -44,26 +47,31 @@ def net_returns(rows: DataFrame, case: str, item: str, quantity: str, row_id: st
     facts = near.groupBy("item", "cluster").agg(F.sum("back").alias("back"), F.sum("wild").alias("wild"), F.count("*").alias("amounts"))
     facts = near.select(F.col("item").alias("i"), F.col("amount").alias("a"), F.col("cluster").alias("c")).join(facts.where("back > 0"), (F.col("i") == F.col("item")) & (F.col("c") == F.col("cluster")))
     facts = facts.select("i", "a", "cluster", ((F.col("wild") > 0) | (F.col("amounts") > 1)).alias("meet"))
-    x = x.join(facts, (F.col("item") == F.col("i")) & (F.col("amount") == F.col("a"))).drop("i", "a")
+    facts = written(facts, "amounts")
+    at = (F.col("item") == F.col("i")) & (F.col("amount") == F.col("a"))
     key = ["item", "cluster", "case"]
-    x = x.withColumn("n", F.row_number().over(W.partitionBy(*key, "amount", "sign").orderBy("row_id")))
-    plain = x.where("not meet").select("row_id", *key, "sign", "n")
-    other = plain.select(F.col("row_id").alias("partner"), *key, (-F.col("sign")).alias("sign"), "n")
-    pairs = plain.join(other, [*key, "sign", "n"]).select("row_id", "partner")
-    returns = x.where("meet and sign < 0")
+    none = F.lit(None).cast(dict(x.dtypes)["row_id"])
+    alone = x.join(facts, at, "left_anti").select("row_id", none.alias("partner"))
+    x = x.join(facts, at).drop("i", "a")
+    plain = x.where("not meet").repartition(*key)  # one amount in a cluster
+    plain = plain.withColumn("n", F.row_number().over(W.partitionBy(*key, "sign").orderBy("row_id")))
+    of_sign = lambda s: F.max(F.when(F.col("sign") == s, F.col("row_id"))).over(W.partitionBy(*key, "n"))
+    plain = plain.select("row_id", F.when(F.col("sign") > 0, of_sign(-1)).otherwise(of_sign(1)).alias("partner"))
+    met = x.where("meet").repartition(*key).withColumn("n", F.row_number().over(W.partitionBy(*key, "amount", "sign").orderBy("row_id")))
     # of a case with k returns the first k purchases of an amount can find one; of those without case, as many as there are returns
+    returns = x.where("meet and sign < 0")
     most = returns.groupBy(*key).agg(F.count("*").alias("k")).unionByName(returns.groupBy("item", "cluster").agg(F.count("*").alias("k")).withColumn("case", F.lit("")))
-    most = most.groupBy(*key).agg(F.max("k").alias("k"))
-    able = x.where("meet and sign > 0").join(most, key).where("n <= k").drop("k").unionByName(returns)
-    met = able.groupBy("item", "cluster").applyInPandas(_in_order(tolerance), f"row_id {dict(x.dtypes)['row_id']}, partner {dict(x.dtypes)['row_id']}")
-    found = pairs.unionByName(met).unionByName(met.select(F.col("partner").alias("row_id"), F.col("row_id").alias("partner")))
-    out = rows.select(F.col(row_id).alias("row_id")).join(found, "row_id", "left")
+    met = met.join(most.groupBy(*key).agg(F.max("k").alias("k")), key, "left")
+    able = (F.col("sign") < 0) | F.coalesce(F.col("n") <= F.col("k"), F.lit(False))
+    idle = met.where(~able).select("row_id", none.alias("partner"))
+    found = met.where(able).drop("n", "k").groupBy("item", "cluster").applyInPandas(_in_order(tolerance), f"row_id {dict(x.dtypes)['row_id']}, partner {dict(x.dtypes)['row_id']}")
+    out = alone.unionByName(plain).unionByName(idle).unionByName(found)
     return out.select(F.col("row_id").alias(row_id), F.when(F.col("partner").isNotNull(), "NETTED").otherwise("ACTIVE").alias("state"), "partner")
 
 
 def _in_order(tolerance: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """(row_id, partner) of the purchases of one item and cluster of amounts that find a return."""
+        """(row_id, partner) of the rows of one item and cluster of amounts, both ways; partner is null where none is left."""
         group = group.sort_values("row_id")
         queues: dict[tuple, deque] = {}  # of returns by case and amount, and by amount alone
         back = group[group["sign"] < 0]
@@ -71,6 +79,7 @@ def _in_order(tolerance: float):
             queues.setdefault((case, amount), deque()).append((place, row))
             queues.setdefault((None, amount), deque()).append((place, row))
         amounts, gone, out = sorted(set(back["amount"])), set(), []
+        taken = [None] * len(back)
         buys = group[group["sign"] > 0]
         for row, case, amount in zip(buys["row_id"], buys["case"], buys["amount"], strict=True):
             first = None
@@ -84,8 +93,10 @@ def _in_order(tolerance: float):
                     first = queue[0], queue
             if first:
                 gone.add(first[0][0])
-                out.append((row, first[0][1]))
-        return pd.DataFrame(out, columns=["row_id", "partner"])
+                taken[first[0][0]] = row
+            out.append((row, first[0][1] if first else None))
+        out.extend(zip(back["row_id"], taken, strict=True))
+        return pd.DataFrame(out, columns=["row_id", "partner"], dtype=object)
 
     return run
 

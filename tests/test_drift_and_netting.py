@@ -82,3 +82,13 @@ def test_median(spark):
         values = [rng.choice([1.0, 2.0, 2.5, rng.random()]) for _ in range(n)]
         df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
         assert R.median(df, "v") == (statistics.median(values) if values else None)
+
+
+@pytest.mark.parametrize("wild", [False, True])
+def test_netting_shuffles_rows_once(spark, wild):
+    """Rows get their state where they are matched: no join brings it back to them by row_id."""
+    df = spark.range(300).selectExpr("id", f"if({str(wild).lower()} and id % 7 = 0, '', string(id % 5)) as case_id", "'x' as item", "if(id % 4 = 0, -1.0, 1.0) * (id % 3) as quantity")
+    out = G.net_returns(df, "case_id", "item", "quantity", "id")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "row_id" in line]
+    assert {r.id for r in out.collect()} == set(range(300)) and out.count() == 300
