@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import joins as J
 from ledgerloom.operators import mapper
 from ledgerloom.operators import matching as M
+from ledgerloom.operators import quality as Q
 from ledgerloom.plans import changes, domain
-from ledgerloom.plans.registry import aggregates
+from ledgerloom.plans.registry import aggregates, projections
 
 
 def day(n):
@@ -125,3 +126,19 @@ def test_shapes_of_ambiguity_copy_no_rows(spark):
     out = aggregates.scenarios(D)
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [("A_SINGLE", 1), ("B_CONTRACTS_AND_PRICES", 1), ("C_CONTRACTS", 1), ("D_PRICES", 1), ("E_STARTS", 1), ("F_COPIES", 1)]
+
+
+def test_orders_meet_their_invoices_by_one_join(spark):
+    """Also where a line has two orders, which then share their invoices, each at its own factor."""
+    po = [("P", "1", "i", "V", "BX", 10.0, 4.0, 30.0), ("P", "1", "i", "V", "EA", 2.0, 3.0, 8.0), ("P", "2", "", "V", "", 1.0, 5.0, 6.0)]
+
+    class D:
+        purchase_orders = spark.createDataFrame(po, "po_number string, po_line string, item_id string, vendor string, uom string, factor double, quantity double, unit_price double")
+        invoices = spark.createDataFrame([("P", "1", "BX", 2.0, 10.5, None), ("P", "1", "EA", 1.0, 4.0, 2.0), ("Q", "1", "EA", 1.0, 1.0, 1.0)], "po_number string, po_line string, uom string, quantity double, unit_price double, factor double")
+        contracts = spark.createDataFrame([("i", "V", 7.0), ("i", "V", 9.0)], "item_id string, vendor string, price double")
+
+    out = projections.each_level_orders(D)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    got = {(r.po_line, r.po_ea_factor): (r.invoice_uom, r.invoice_ea_factor, r.invoice_ea_factor_rule, r.invoice_qty_total_ea, r.invoice_avg_unit_price_ea, r.invoice_last_unit_price_ea, r.contract_price_ea) for r in out.collect()}
+    # pairs: (BX, 10) at 10, (BX, 2) at 1, (EA) at 2 twice
+    assert got == {("1", 10.0): ("EA", 10.0, "invoice_factor", 26.0, 3.89, 10.5, 0.7), ("1", 2.0): ("EA", 10.0, "invoice_factor", 26.0, 3.89, 10.5, 3.5), ("2", 1.0): ("EA", 1.0, "ea_factor_1", 5.0, 6.0, 6.0, None)}
