@@ -116,16 +116,24 @@ def ambiguity(usage: DataFrame, contracts: DataFrame) -> tuple[DataFrame, DataFr
     several tiers of one each price each. E: not B, one tier has several each prices. F: all but B; these by driver.
     contracts: vendor, item_id, contract_number, starts, ends, uom, price, each_price, tier.
     """
-    key = ["vendor", "item_id", "day"]
-    asked = usage.groupBy(*key).agg(F.count("*").alias("lines"), F.min("unit").alias("unit"))
+    own, key = ["vendor", "item_id"], ["vendor", "item_id", "day"]
     day = F.col("day")
-    live = asked.join(contracts.distinct(), ["vendor", "item_id"]).where((F.col("starts") <= day) & (F.col("ends").isNull() | (F.col("ends") >= day)))
-    latest = live.groupBy(*key).agg(F.max("starts").alias("latest"))
-    tied = live.join(latest, key).where((F.col("starts") == F.col("latest")) & F.col("price").isNotNull())
     each = F.round("each_price", 6)
     pack = F.concat_ws("|", F.round("price", 6).cast("string"), F.coalesce(each.cast("string"), F.lit("")), "uom")
+    last = F.coalesce("ends", F.lit("2999-12-31").cast("date"))
+    record = F.struct("starts", "ends", "tier", "contract_number", "uom", F.col("price").isNotNull().alias("priced"), each.alias("each"), pack.alias("pack"), last.alias("last"))
+    records = contracts.groupBy(*own).agg(F.collect_set(record).alias("records"))
+    live = F.filter("records", lambda c: (c["starts"] <= day) & (c["ends"].isNull() | (c["ends"] >= day)))
+    latest = F.array_max(F.transform("live", lambda c: c["starts"]))
+    priced = F.filter("live", lambda c: (c["starts"] == F.col("latest")) & c["priced"])
+    # a line meets its contracts once; only lines whose latest ones have several packs go on, and all lines of a day do or don't
+    lines = usage.join(records, own).withColumn("live", live).withColumn("latest", latest).select(*key, "unit", priced.alias("tied"))
+    packs = F.transform("tied", lambda c: c["pack"])
+    lines = lines.where((F.size("tied") > 1) & (F.array_min(packs) != F.array_max(packs)))
+    asked = lines.groupBy(*key).agg(F.count("*").alias("lines"), F.min("unit").alias("unit"), F.first("tied").alias("tied"))
     names = F.create_map(*(F.lit(x) for p in UNIT_NAMES.items() for x in p))
-    tied = tied.withColumns({"each": each, "pack": pack, "fits": F.coalesce(F.try_element_at(names, F.upper(F.trim("unit"))), F.lit("?")) == F.col("uom"), "last": F.coalesce("ends", F.lit("2999-12-31").cast("date"))})
+    unit = F.coalesce(F.try_element_at(names, F.upper(F.trim("unit"))), F.lit("?"))
+    tied = asked.select(*key, "lines", unit.alias("unit"), F.explode("tied").alias("c")).select(*key, "lines", "unit", "c.*").withColumn("fits", F.col("unit") == F.col("uom"))
     per_tier = tied.groupBy(*key, "tier").agg(
         F.max("lines").alias("lines"), *several("each"), *several("pack"), *several("contract_number"), *several("last"), F.max("fits").alias("fits"),
         F.min(F.when(F.col("fits"), F.col("pack"))).alias("fit_least"), F.max(F.when(F.col("fits"), F.col("pack"))).alias("fit_most"), F.count("each").alias("eaches"),

@@ -142,3 +142,13 @@ def test_orders_meet_their_invoices_by_one_join(spark):
     got = {(r.po_line, r.po_ea_factor): (r.invoice_uom, r.invoice_ea_factor, r.invoice_ea_factor_rule, r.invoice_qty_total_ea, r.invoice_avg_unit_price_ea, r.invoice_last_unit_price_ea, r.contract_price_ea) for r in out.collect()}
     # pairs: (BX, 10) at 10, (BX, 2) at 1, (EA) at 2 twice
     assert got == {("1", 10.0): ("EA", 10.0, "invoice_factor", 26.0, 3.89, 10.5, 0.7), ("1", 2.0): ("EA", 10.0, "invoice_factor", 26.0, 3.89, 10.5, 3.5), ("2", 1.0): ("EA", 1.0, "ea_factor_1", 5.0, 6.0, 6.0, None)}
+
+
+def test_contracts_of_a_line_are_met_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q, "written", lambda df, name: seen.append(df) or df)
+    usage = spark.createDataFrame([("V", "i", day(5), "EACH"), ("V", "i", day(5), "BOX"), ("V", "i", day(-1), "EA"), ("V", "j", day(5), "EA"), ("W", "i", day(5), "EA")], "vendor string, item_id string, day date, unit string")
+    k = [("V", "i", "C", day(0), None, "EA", 1.0, 1.0, ""), ("V", "i", "C", day(0), None, "EA", 1.0, 1.0, ""), ("V", "i", "D", day(0), day(5), "BX", 10.0, 1.0, "T"), ("V", "i", "E", day(0), day(4), "BX", 3.0, 3.0, "T"), ("V", "j", "C", day(0), None, "EA", 1.0, 1.0, ""), ("V", "j", "D", day(0), None, "EA", None, 1.0, "")]
+    scenarios, drivers = Q.ambiguity(usage, spark.createDataFrame(k, "vendor string, item_id string, contract_number string, starts date, ends date, uom string, price double, each_price double, tier string"))
+    assert seen[0]._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert {r.scenario: (r.lines, r.combos) for r in scenarios.collect()} == {"A": (2, 1), "B": (2, 1), "C": (0, 0), "D": (0, 0), "E": (0, 0), "F": (0, 0)} and drivers.count() == 0
