@@ -177,3 +177,14 @@ def test_nearest_day_shuffles_each_side_once(spark):
                 one = (abs((o - d).days), -o.toordinal(), t, u)
                 want[i] = min(want.get(i, one), one)
     assert {i: (g, -o.toordinal(), t, u) for i, (_, g, o, t, u) in got.items()} == want and out.columns == ["id", "k", "d", "other", "t", "u", "day_gap"]
+
+
+def test_a_row_meets_alike_ids_by_one_join(spark):
+    items = spark.createDataFrame([("1", "a"), ("1", "a"), ("01", "b"), ("2", "a"), ("2", "b"), ("003", "c"), ("4", None), ("0", "z"), (None, "n")], "item_id string, unspsc string")
+    rows = spark.createDataFrame(list(enumerate(["1", "01", "001", "2", "3", "003", "4", "04", "", "00", "0", "9", None])), "row_id long, item_id string")
+    out = M.unspsc(rows, items, "row_id")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    found = {"1": ("FOUND", "a"), "01": ("FOUND", "b"), "001": ("LEADING_ZERO", None), "2": ("AMBIGUOUS", None), "3": ("LEADING_ZERO", None), "003": ("FOUND", "c"), "4": ("MISSING", None), "04": ("LEADING_ZERO", None)}
+    found |= {"": ("LEADING_ZERO", None), "00": ("LEADING_ZERO", None), "0": ("FOUND", "z"), "9": ("MISSING", None), None: ("MISSING", None)}
+    ids = {r.row_id: r.item_id for r in rows.collect()}
+    assert {ids[r.row_id]: (r.state, r.unspsc) for r in out.collect()} == found
