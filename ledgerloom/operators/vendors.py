@@ -67,8 +67,8 @@ def _most(df: DataFrame, key: str, value: str, weight: Column, alias: str) -> Da
 
 
 def contract_vendors(contracts: DataFrame) -> DataFrame:
-    """(name, standard, core, method, records) of every spelling in contracts: those with one core take the most frequent one's."""
-    spelt = contracts.groupBy(F.col("vendor").alias("name")).agg(F.count("*").alias("records")).withColumn("core", vendor_core(F.col("name")))
+    """(name, standard, core, method, records) of every spelling in contracts (vendor, rows): those with one core take the most frequent one's."""
+    spelt = contracts.groupBy(F.col("vendor").alias("name")).agg(F.sum("rows").alias("records")).withColumn("core", vendor_core(F.col("name")))
     top = spelt.groupBy("core").agg(F.min_by("name", F.struct(-F.col("records"), "name")).alias("standard"), F.count("*").alias("members"))
     method = F.when(F.col("name") != F.col("standard"), "CORE_KEY").when(F.col("members") == 1, "EXACT").otherwise("CONTRACT_VENDOR_ANCHOR")
     return spelt.join(top, "core").select("name", "standard", "core", method.alias("method"), "records")
@@ -127,10 +127,14 @@ def resolve(usage: DataFrame, contracts: DataFrame, items: DataFrame, limits: Li
     """
     keys = [vendor_key(F.col("vendor")).alias("vendor"), item_key(F.col("item_id")).alias("item_id")]
     coded = [*keys, F.trim(F.coalesce("vendor_code", F.lit(""))).alias("vendor_code")]
-    pairs = written(usage.select(*keys).where("vendor <> ''").groupBy(F.col("vendor").alias("name"), "item_id").agg(F.count("*").alias("rows")), "vendor_items")
-    contracts, items = contracts.select(*coded), written(items.select(*coded), "item_vendors")
-    known = written(contracts.where("vendor <> ''").groupBy("vendor", "item_id", "vendor_code").agg(F.count("*").alias("rows")), "contract_vendors")
-    spelt = contract_vendors(contracts.where("vendor <> ''"))
+    # spellings as delivered are counted first, so that cleaning is done once for each and not for each row
+    counted = lambda df, by, n=F.count("*"): df.groupBy(*by).agg(n.alias("rows"))
+    raw = lambda df, by: counted(df, [x for x in ("vendor", "item_id", "vendor_code") if x in df.columns]).select(*by, "rows")
+    pairs = written(counted(raw(usage.select("vendor", "item_id"), keys).where("vendor <> ''").withColumnRenamed("vendor", "name"), ["name", "item_id"], F.sum("rows")), "vendor_items")
+    items = written(items.select(*coded), "item_vendors")
+    contracts = written(counted(raw(contracts.select("vendor", "item_id", "vendor_code"), coded), ["vendor", "item_id", "vendor_code"], F.sum("rows")), "contract_vendors")
+    known = contracts.where("vendor <> ''")
+    spelt = contract_vendors(known)
     spelt = written(spelt, "spellings")
     cores = spelt.select("core", "standard").distinct()
     standard_of = spelt.select(F.col("name").alias("vendor"), "standard")

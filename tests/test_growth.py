@@ -11,8 +11,10 @@ from ledgerloom.operators import joins as J
 from ledgerloom.operators import mapper
 from ledgerloom.operators import matching as M
 from ledgerloom.operators import quality as Q
+from ledgerloom.operators import vendors
 from ledgerloom.plans import changes, domain
 from ledgerloom.plans.registry import aggregates, projections
+from ledgerloom.sources import shared
 
 
 def day(n):
@@ -188,3 +190,24 @@ def test_a_row_meets_alike_ids_by_one_join(spark):
     found |= {"": ("LEADING_ZERO", None), "00": ("LEADING_ZERO", None), "0": ("FOUND", "z"), "9": ("MISSING", None), None: ("MISSING", None)}
     ids = {r.row_id: r.item_id for r in rows.collect()}
     assert {ids[r.row_id]: (r.state, r.unspsc) for r in out.collect()} == found
+
+
+def test_names_of_vendors_are_compiled(spark):
+    """The JVM compiles no method of over 8000 bytes."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else there is no code before the run
+    try:
+        pairs = domain.Domain(spark, "/root/testdata/sf0.001").vendor_usage.groupBy("vendor", "item_id").count()
+        parts = pairs._jdf.queryExecution().debug().codegenToSeq()
+        assert 0 < max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_vendors_read_each_feed_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(vendors, "written", lambda df, name: seen.append((name, df)) or shared.written(df, name))
+    d = domain.Domain(spark, "/root/testdata/sf0.001")
+    vendors.resolve(d.vendor_usage, d.vendor_contracts, d.vendor_items)
+    reading = [name for name, df in seen if any("lineitem.parquet" in f for f in df.inputFiles())]
+    assert reading == ["vendor_items", "contract_vendors"]
