@@ -3,8 +3,11 @@ maintenance over deliveries.
 
 A run commits the mapped rows together with the contracts, items and aliases they were mapped with. The next run compares these with
 the new ones: which rows are new or changed (by a hash of their fields), which have another standard vendor now, which days of which
-(vendor, item) a changed contract can reach, which items changed. Only those rows are mapped anew; each distinct (vendor, item, day)
-among them is decided once. Where settings changed, or there is no earlier run, all rows are mapped.
+(vendor, item) a changed contract can reach, which items changed. Only those rows are mapped anew, each where it meets its item.
+Where settings changed, or there is no earlier run, all rows are mapped.
+
+Rows are shuffled once, as fed, to the items that differ from theirs by leading zeros, and what was mapped before goes the same way; what
+can be derived is derived there. So a changed row whose item is another one doesn't meet its old self, which only matters for counting.
 
 Feeds: usage (row_id, item_id, vendor, day, supply_price, client_price), contracts (contract_number, vendor, item_id, uom, price,
 each_price, starts, ends), items (item_id, unspsc), aliases (name, standard). row_id is unique.
@@ -13,19 +16,23 @@ each_price, starts, ends), items (item_id, unspsc), aliases (name, standard). ro
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import item_key, vendor_key
 from ..sources.shared import written
 from ..sources.sinks import Versions
-from .joins import anti_null_safe
 from .manifest import fingerprint
 
 FAR_PAST, FAR_FUTURE = "1900-01-01", "2999-12-31"
 CONTRACT = "status reason candidates active tied prices contract_number starts ends price each_price uom closest_number closest_ends gap_code gap_detail".split()
 ITEM = "unspsc item_status item_gap_code item_gap_detail".split()
+RECORD = "vendor ends starts contract_number price each_price uom".split()
+#: Rows with a blank item are dealt out over so many keys.
+DEAL = 64
 
 
 @dataclass(frozen=True)
@@ -47,14 +54,26 @@ def _standard(df: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def base_rows(usage: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(row_id, row_hash, spelling, vendor, item_id, day, supply_price, client_price, eligibility)."""
-    fields = ["item_id", "vendor", "day", "supply_price", "client_price"]
-    digest = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in fields)))
-    rows = _standard(usage.select("row_id", *fields).withColumn("row_hash", digest).withColumn("item_id", item_key(F.col("item_id"))), aliases)
+    """(row_id, fed_item, fed_vendor, day, supply_price, client_price, vendor): the feed and the standard name of the vendor."""
+    rows = usage.select("row_id", F.col("item_id").alias("fed_item"), "vendor", F.col("vendor").alias("fed_vendor"), "day", "supply_price", "client_price")
+    return _standard(rows, aliases).drop("spelling")
+
+
+def derived(rows: DataFrame) -> DataFrame:
+    """base_rows with row_hash (of all fields as fed), spelling, item_id and eligibility."""
+    fields = ["fed_item", "fed_vendor", "day", "supply_price", "client_price"]
+    digest = F.unhex(F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in fields))))
+    rows = rows.withColumns({"row_hash": digest, "spelling": vendor_key(F.col("fed_vendor")), "item_id": item_key(F.col("fed_item"))})
     missing = (F.col("item_id") == "") | (F.col("vendor") == "")
     return rows.withColumn("eligibility", F.when(missing, "MISSING_MAPPING_KEY").when(F.col("day").isNull(), "INVALID_CONSUMPTION_DATE").otherwise("ELIGIBLE"))
 
 
+def dealt(item_id: Column) -> list[Column]:
+    """(bare, deal): what a row is shuffled by, the item without leading zeros; a blank one is dealt out by the row."""
+    bare = F.ltrim(item_id, F.lit("0"))
+    return [bare.alias("bare"), F.when(bare == "", F.pmod(F.xxhash64("row_id"), F.lit(DEAL)).cast("int")).otherwise(0).alias("deal")]
+
+
 def usable_contracts(contracts: DataFrame, aliases: DataFrame) -> DataFrame:
     """Distinct contract records with vendor and item, the vendor by its standard name."""
     rows = _standard(contracts.withColumn("item_id", item_key(F.col("item_id"))).withColumn("uom", F.upper(F.trim(F.coalesce("uom", F.lit(""))))), aliases)
@@ -67,14 +86,27 @@ def item_classes(items: DataFrame) -> DataFrame:
     return items.select(item_key(F.col("item_id")).alias("item_id"), code.alias("code")).where("item_id <> ''").groupBy("item_id").agg(F.sort_array(F.collect_set("code")).alias("codes"))
 
 
-def decide_items(wanted: DataFrame, classes: DataFrame) -> DataFrame:
-    """(item_id, ITEM columns) of distinct items."""
-    bare = classes.select(F.col("item_id").alias("bare")).withColumn("bare_known", F.lit(True))
-    rows = wanted.join(classes, "item_id", "left").withColumn("bare", F.ltrim("item_id", F.lit("0"))).join(bare, "bare", "left")
+def item_facts(contracts: DataFrame, classes: DataFrame, windows: DataFrame | None = None, classes_before: DataFrame | None = None) -> DataFrame:
+    """(bare, deal, contracts, classes and, if given, windows, classes_before): what rows need of their item, as arrays of the records of all
+    items that differ by leading zeros, by one shuffle; those of blank items for each key that blank rows are dealt to."""
+    feeds = {"contracts": contracts.select("item_id", F.struct("item_id", *RECORD).alias("contracts")), "classes": classes.select("item_id", F.struct("item_id", "codes").alias("classes"))}
+    if windows is not None:
+        feeds["windows"] = windows.select("item_id", F.struct("item_id", "vendor", "since", "until").alias("windows"))
+        feeds["classes_before"] = classes_before.select("item_id", F.struct("item_id", "codes").alias("classes_before"))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), feeds.values()).withColumn("bare", F.ltrim("item_id", F.lit("0")))
+    every = F.explode(F.when(F.col("bare") == "", F.sequence(F.lit(0), F.lit(DEAL - 1))).otherwise(F.array(F.lit(0))))
+    return rows.withColumn("deal", every).groupBy("bare", "deal").agg(*(F.collect_list(n).alias(n) for n in feeds))
+
+
+def with_item(rows: DataFrame) -> DataFrame:
+    """rows with what concerns their own item: of_item as ``contracts_by_item`` has it, the ITEM columns as ``classed``."""
+    own = lambda c: F.filter(c, lambda x: x["item_id"] == F.col("item_id"))
+    rows = rows.withColumns({"of_item": own("contracts"), "codes": F.get(own("classes"), F.lit(0))["codes"]})
+    bare_known = F.coalesce(F.exists("classes", lambda x: x["item_id"] == F.col("bare")), F.lit(False))
     n, absent = F.size("codes"), F.col("codes").isNull()
     status = F.when(F.col("item_id") == "", "MISSING_ITEM_ID").when(absent, "NOT_FOUND").when(n == 0, "UNSPSC_MISSING").when(n > 1, "AMBIGUOUS_UNSPSC").otherwise("MATCHED")
     gap = (
-        F.when(F.col("item_id") == "", "MISSING_ITEM_ID").when(absent & F.col("bare_known") & (F.col("bare") != F.col("item_id")), "ITEM_NOT_IN_ITEM_MASTER_LEADING_ZEROS")
+        F.when(F.col("item_id") == "", "MISSING_ITEM_ID").when(absent & bare_known & (F.col("bare") != F.col("item_id")), "ITEM_NOT_IN_ITEM_MASTER_LEADING_ZEROS")
         .when(absent & ~F.col("item_id").rlike(r"^\d+$"), "ITEM_NOT_IN_ITEM_MASTER_NONNUMERIC_ID").when(absent, "ITEM_NOT_IN_ITEM_MASTER")
         .when(n == 0, "UNSPSC_MISSING_IN_ITEM_MASTER").when(n > 1, "AMBIGUOUS_UNSPSC")
     )
@@ -84,25 +116,27 @@ def decide_items(wanted: DataFrame, classes: DataFrame) -> DataFrame:
         "ITEM_NOT_IN_ITEM_MASTER_NONNUMERIC_ID": F.concat(q, F.lit(" is no number and unknown")), "ITEM_NOT_IN_ITEM_MASTER": F.concat(q, F.lit(" is unknown")),
         "UNSPSC_MISSING_IN_ITEM_MASTER": F.concat(q, F.lit(" has no UNSPSC")), "AMBIGUOUS_UNSPSC": F.concat(q, F.lit(" has several UNSPSC: "), F.array_join("codes", "|")),
     }
-    detail = F.coalesce(*(F.when(gap == k, v) for k, v in text.items()))
-    return rows.select("item_id", F.when(n == 1, F.col("codes")[0]).alias("unspsc"), status.alias("item_status"), gap.alias("item_gap_code"), detail.alias("item_gap_detail"))
+    rows = rows.withColumn("item_gap_code", gap)
+    detail = F.coalesce(*(F.when(F.col("item_gap_code") == k, v) for k, v in text.items()))
+    return rows.withColumn("classed", F.struct(F.when(n == 1, F.col("codes")[0]).alias("unspsc"), status.alias("item_status"), F.col("item_gap_code"), detail.alias("item_gap_detail"))).drop("codes", "item_gap_code")
 
 
 def contracts_by_item(contracts: DataFrame) -> DataFrame:
-    """(item_id, of_item, under): an item's distinct contract records as one array, and up to four of its vendors."""
-    record = F.struct("vendor", "ends", "starts", "contract_number", "price", "each_price", "uom")
-    return contracts.groupBy("item_id").agg(F.collect_set(record).alias("of_item")).withColumn("under", F.slice(F.array_sort(F.array_distinct(F.col("of_item.vendor"))), 1, 4))
+    """(item_id, of_item): an item's distinct contract records as one array."""
+    return contracts.groupBy("item_id").agg(F.collect_set(F.struct(*RECORD)).alias("of_item"))
 
 
 def decide_contracts(wanted: DataFrame, contracts: DataFrame, settings: Settings) -> DataFrame:
     """(vendor, item_id, day, CONTRACT columns) of distinct (vendor, item_id, day), none of them null or blank."""
     rows = wanted.select("vendor", "item_id", "day").join(contracts_by_item(contracts), "item_id", "left")
-    return with_decisions(rows, contracts, settings).select("vendor", "item_id", "day", "decided.*")
+    rows = rows.join(contracts.select("vendor").distinct().withColumn("v_known", F.lit(True)), "vendor", "left")
+    return with_decisions(rows, settings).select("vendor", "item_id", "day", "decided.*")
 
 
-def with_decisions(wanted: DataFrame, contracts: DataFrame, settings: Settings) -> DataFrame:
-    """wanted with the CONTRACT columns as ``decided``; it has vendor, item_id, day, and of_item and under as ``contracts_by_item`` has them
-    of its item (null if the item has none). Each row decides by itself, so rows aren't joined with single contracts.
+def with_decisions(wanted: DataFrame, settings: Settings) -> DataFrame:
+    """wanted with the CONTRACT columns as ``decided``; it has vendor, item_id, day, of_item (the contract records of its item as an
+    array, null or empty if there are none), and v_known where contracts know the vendor. Each row decides by itself, so rows aren't joined
+    with single contracts.
 
     Of the contracts active on the day those with the latest start count; they match if they agree on one price. Otherwise a code and
     a text say why not: which key contracts lack, or how far the nearest contract is.
@@ -139,11 +173,10 @@ def with_decisions(wanted: DataFrame, contracts: DataFrame, settings: Settings)
         return F.when(x["starts"] > day, F.datediff(x["starts"], day)).when((x["starts"] <= day) & (x["ends"] < day), F.datediff(day, x["ends"]))
 
     nearest = F.array_min(F.transform("all", lambda x: F.struct(gap(x).isNull().alias("o"), gap(x).alias("days"), x["contract_number"].alias("c"), x["starts"].alias("s"), x["ends"].alias("e"))))
-    grouped = grouped.withColumns({"status": status, "first": first, "closest": closest, "nearest": nearest})
-    found = grouped.join(contracts.select("vendor").distinct().withColumn("v_known", F.lit(True)), "vendor", "left")
+    found = grouped.withColumns({"status": status, "first": first, "closest": closest, "nearest": nearest})
     is_ = lambda s: F.col("status") == s
     late = F.col("nearest.e") < day
-    v, i = F.col("v_known").isNotNull(), F.col("under").isNotNull()
+    v, i = F.col("v_known").isNotNull(), F.coalesce(F.size("of_item") > 0, F.lit(False))
     code = (
         F.when(is_("NOT_FOUND"), F.when(~v & ~i, "VENDOR_AND_ITEM_NOT_IN_CONTRACTS").when(~v, "VENDOR_NOT_IN_CONTRACTS").when(~i, "ITEM_NOT_IN_CONTRACTS").otherwise("VENDOR_ITEM_PAIR_NOT_IN_CONTRACTS"))
         .when(is_("NOT_ACTIVE"), F.when(F.col("nearest.s").isNull(), "NOT_ACTIVE_INVALID_START_DATE").when(F.col("nearest.s") > day, "NOT_ACTIVE_NOT_YET_STARTED")
@@ -151,8 +184,8 @@ def with_decisions(wanted: DataFrame, contracts: DataFrame, settings: Settings)
         .when(is_("PRICE_MISSING"), "CONTRACT_PRICE_MISSING").when(~is_("MATCHED"), F.col("status"))
     )
     text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
-    more = F.when(F.size("under") > 3, " ...").otherwise("")
-    vendors = text(F.array_join(F.slice("under", 1, 3), "; "), more)
+    under = F.array_sort(F.array_distinct(F.col("of_item.vendor")))
+    vendors = text(F.array_join(F.slice(under, 1, 3), "; "), F.when(F.size(under) > 3, " ...").otherwise(""))
     near = text("none active on ", day, ": nearest is ", F.col("nearest.c"), " (", F.coalesce(F.col("nearest.s").cast("string"), F.lit("invalid")), " to ", F.coalesce(F.col("nearest.e").cast("string"), F.lit("OPEN")), ")")
     listed = F.array_join(F.array_sort(F.transform("priced", lambda x: text(x["contract_number"], "|price=", x["price"], "|each=", F.coalesce(x["each_price"].cast("string"), F.lit("")), "|uom=", x["uom"]))), "; ")
     detail = (
@@ -172,7 +205,7 @@ def with_decisions(wanted: DataFrame, contracts: DataFrame, settings: Settings)
     of_first = [F.when(hit, F.col(f"first.{c}")).alias(c) for c in ("contract_number", "starts", "ends", "price", "each_price", "uom")]
     counts = [F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in ("candidates", "active", "tied", "prices")]
     near_ones = [F.when(is_("NOT_ACTIVE"), F.col(f"closest.{c}")).alias(f"closest_{a}") for c, a in (("contract_number", "number"), ("ends", "ends"))]
-    return found.select(*(c for c in wanted.columns if c not in ("of_item", "under")), F.struct("status", reason.alias("reason"), *counts, *of_first, *near_ones, code.alias("gap_code"), detail.alias("gap_detail")).alias("decided"))
+    return found.select(*(c for c in wanted.columns if c not in ("of_item", "v_known")), F.struct("status", reason.alias("reason"), *counts, *of_first, *near_ones, code.alias("gap_code"), detail.alias("gap_detail")).alias("decided"))
 
 
 def ineligible(column: str) -> Column:
@@ -200,39 +233,45 @@ def with_prices(rows: DataFrame, settings: Settings) -> DataFrame:
 
 
 def contract_windows(before: DataFrame, after: DataFrame, lookback_months: int) -> DataFrame:
-    """(vendor, item_id, since, until) of changed contracts; a key that comes or goes has all days."""
-    moved = anti_null_safe(before, after, after.columns).unionByName(anti_null_safe(after, before, after.columns))
+    """(vendor, item_id, since, until) of changed contracts; a key that comes or goes has all days. One shuffle, by item."""
+    there = lambda df, b, a: df.select(*after.columns, F.lit(b).alias("b"), F.lit(a).alias("a"))
+    both = there(before, 1, 0).unionByName(there(after, 0, 1)).repartition("item_id")
+    records = both.groupBy(*after.columns).agg(F.max("b").alias("b"), F.max("a").alias("a"))  # null equals null
     end = F.coalesce(F.date_add(F.add_months("ends", lookback_months), 3), _date(FAR_FUTURE))  # months differ by up to 3 days: 31 August less 6 months is 28 February
-    w = moved.groupBy("vendor", "item_id").agg(F.min(F.coalesce("starts", _date(FAR_PAST))).alias("since"), F.max(end).alias("until"))
-    key = ["vendor", "item_id"]
-    both = before.select(*key).distinct().withColumn("b", F.lit(True)).join(after.select(*key).distinct().withColumn("a", F.lit(True)), key, "full_outer")
-    flips = both.where("a is null or b is null").select(*key, F.lit(True).alias("flip"))
-    w = w.join(flips, key, "left")
-    return w.select(*key, F.when(F.col("flip"), _date(FAR_PAST)).otherwise(F.col("since")).alias("since"), F.when(F.col("flip"), _date(FAR_FUTURE)).otherwise(F.col("until")).alias("until"))
+    differ = F.col("b") != F.col("a")  # of a record, then of a key
+    w = records.groupBy("vendor", "item_id").agg(
+        F.max("b").alias("b"), F.max("a").alias("a"), F.min(F.when(differ, F.coalesce("starts", _date(FAR_PAST)))).alias("since"), F.max(F.when(differ, end)).alias("until")
+    ).where("since is not null")
+    return w.select("vendor", "item_id", F.when(differ, _date(FAR_PAST)).otherwise(F.col("since")).alias("since"), F.when(differ, _date(FAR_FUTURE)).otherwise(F.col("until")).alias("until"))
 
 
 _OWN = ["row_id", "row_hash", "spelling", "vendor", "item_id", "day", "supply_price", "client_price", "eligibility"]
 
 
-def _assembled(rows: DataFrame, contracts: DataFrame, classes: DataFrame, s: Settings, full: bool) -> DataFrame:
+def _assembled(rows: DataFrame, s: Settings, full: bool) -> DataFrame:
     """rows mapped: those with by_contract or by_item anew, of the others what they had (old)."""
-    classed = decide_items(rows.where("by_item").select("item_id").distinct(), classes).select("item_id", F.struct(*ITEM).alias("classed"))
-    of_item = classed.join(contracts_by_item(contracts), "item_id", "full_outer")  # all that rows need of their item, by one join
-    out = with_decisions(rows.join(of_item, "item_id", "left"), contracts, s)
+    out = with_decisions(rows, s)
     kept = lambda c: F.lit(None) if full else F.col(f"old.{c}")
     contract = {c: F.when(~F.col("by_contract"), kept(c)).when(F.col("eligibility") != "ELIGIBLE", ineligible(c)).otherwise(F.col(f"decided.{c}")) for c in CONTRACT}
     item = {c: F.when(F.col("by_item"), F.col(f"classed.{c}")).otherwise(kept(c)) for c in ITEM}
-    return with_prices(out.select(*_OWN, *(v.alias(k) for k, v in {**contract, **item}.items())), s)
+    return with_prices(out.select(*_OWN, *_FLAGS, *(v.alias(k) for k, v in {**contract, **item}.items())), s)
+
+
+_FLAGS = ["fresh", "by_contract", "by_item", "state"]
 
 
-def _all_fresh(base: DataFrame) -> DataFrame:
-    return base.withColumns({x: F.lit(True) for x in ("fresh", "by_contract", "by_item")}).withColumn("state", F.lit("NEW"))
+def _all_fresh(usage: DataFrame, contracts: DataFrame, classes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """All rows with what they need to be mapped anew."""
+    known = contracts.select("vendor").distinct().withColumn("v_known", F.lit(True))
+    base = base_rows(usage, aliases).join(written(known, "vendors"), "vendor", "left")
+    rows = base.select("*", *dealt(item_key(F.col("fed_item")))).join(item_facts(contracts, classes), ["bare", "deal"], "left")
+    return with_item(derived(rows)).withColumns({x: F.lit(True) for x in ("fresh", "by_contract", "by_item")}).withColumn("state", F.lit("NEW"))
 
 
 def map_all(usage: DataFrame, contracts: DataFrame, items: DataFrame, aliases: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """All rows mapped at once, without a state."""
-    rows = written(_all_fresh(base_rows(usage, aliases)), "usage")
-    return _assembled(rows, written(usable_contracts(contracts, aliases), "contracts"), item_classes(items), settings, full=True)
+    contracts = written(usable_contracts(contracts, aliases), "contracts")
+    return _assembled(_all_fresh(usage, contracts, item_classes(items), aliases), settings, full=True).drop(*_FLAGS)
 
 
 def summary(mapped: DataFrame, key: Column) -> DataFrame:
@@ -271,39 +310,50 @@ class Mapper:
         """Map a delivery of all feeds and commit the result. Returns how many rows were new, changed, deleted, mapped anew or reused."""
         s = self.settings
         contracts, classes = written(usable_contracts(contracts, aliases), "contracts"), written(item_classes(items), "classes")
-        base = base_rows(usage, aliases)
         full = self.store.notes().get("fingerprint") != fingerprint(asdict(s))
-        rows = written(_all_fresh(base) if full else self._affected(base, contracts, classes), "affected")
+        rows = _all_fresh(usage, contracts, classes, aliases) if full else self._affected(base_rows(usage, aliases), contracts, classes)
         n = lambda condition, name: F.count_if(F.expr(condition)).alias(name)
-        counts = rows.agg(
-            n("state = 'NEW'", "new"), n("state = 'CHANGED'", "changed"), n("by_contract and not fresh", "remapped_contract"), n("by_item and not fresh", "remapped_item"),
-            n("not by_contract and not by_item", "reused"), n("state = 'SAME'", "same"),
-        ).first().asDict()
-        before = 0 if full else self.store.read("mapped").count()
-        counts["deleted"] = 0 if full else before - counts["changed"] - counts["same"]
-        out = _assembled(rows, contracts, classes, s, full)
-        self.store.commit({"mapped": out, "contracts": contracts, "classes": classes}, notes={"fingerprint": fingerprint(asdict(s)), "counts": counts})
-        return counts
+        seen, before = Observation(), None if full else self.store.read("mapped")
+        out = _assembled(rows, s, full).observe(
+            seen, F.count("*").alias("rows"), n("state = 'NEW'", "new"), n("state = 'CHANGED'", "changed"), n("by_contract and not fresh", "remapped_contract"),
+            n("by_item and not fresh", "remapped_item"), n("not by_contract and not by_item", "reused"), n("state = 'SAME'", "same"),
+        ).drop(*_FLAGS)
+
+        def notes(read) -> dict:
+            """As counted while the rows were written."""
+            counts = {k: int(seen.get.get(k, 0)) for k in ("rows", "new", "changed", "remapped_contract", "remapped_item", "reused", "same")}
+            total, there = counts.pop("rows"), 0 if full else before.count()
+            both = counts["changed"] + counts["same"]
+            if both < min(total, there):  # changed rows with another item haven't met
+                both = read("mapped").select("row_id").join(before.select("row_id"), "row_id", "left_semi").count()
+            return {"fingerprint": fingerprint(asdict(s)), "counts": counts | {"new": total - both, "changed": both - counts["same"], "deleted": there - both}}
+
+        self.store.commit({"mapped": out, "contracts": contracts, "classes": classes}, notes=notes)
+        return self.store.notes()["counts"]
 
     def _affected(self, base: DataFrame, contracts: DataFrame, classes: DataFrame) -> DataFrame:
-        """base with state, what was mapped before (old), and whether its contract and its item must be mapped anew."""
-        old = self.store.read("mapped")
-        windows = written(contract_windows(self.store.read("contracts"), contracts, self.settings.lookback_months), "windows")
-        of_item = self.store.read("classes").withColumnRenamed("codes", "codes_before").join(classes, "item_id", "full_outer")
-        moved = written(of_item.where("not (codes_before <=> codes)").select("item_id"), "moved_items")
+        """base with state, what was mapped before (old), whether its contract and its item must be mapped anew, and what that needs."""
         yes = F.lit(True)
-        old = old.select("row_id", F.struct("row_hash", "vendor", *CONTRACT, *ITEM).alias("old"))
-        rows = base.join(old, "row_id", "left").join(windows, ["vendor", "item_id"], "left")
-        rows = rows.join(windows.select("vendor").distinct().withColumn("v", yes), "vendor", "left").join(windows.select("item_id").distinct().withColumn("i", yes), "item_id", "left")
-        rows = rows.join(moved.withColumn("m", yes), "item_id", "left").withColumn("bare", F.ltrim("item_id", F.lit("0")))
-        rows = rows.join(moved.select(F.col("item_id").alias("bare"), yes.alias("mb")), "bare", "left").drop("bare")
+        windows = written(contract_windows(self.store.read("contracts"), contracts, self.settings.lookback_months), "windows")
+        vendors = contracts.select("vendor", yes.alias("v_known")).unionByName(windows.select("vendor", yes.alias("v")), allowMissingColumns=True).groupBy("vendor").agg(F.max("v_known").alias("v_known"), F.max("v").alias("v"))
+        base = base.join(written(vendors, "vendors"), "vendor", "left")
+        fed = [c for c in base.columns if c != "row_id"]
+        base = base.select("row_id", *dealt(item_key(F.col("fed_item"))), F.struct(*fed).alias("now"))
+        old = self.store.read("mapped").select("row_id", *dealt(F.col("item_id")), F.struct("row_hash", "vendor", *CONTRACT, *ITEM).alias("old"))
+        both = base.unionByName(old, allowMissingColumns=True).repartition("bare", "deal")
+        both = both.withColumn("old", F.first("old", ignorenulls=True).over(W.partitionBy("bare", "deal", "row_id"))).where("now is not null")
+        facts = item_facts(contracts, classes, windows, self.store.read("classes"))
+        rows = derived(both.select("row_id", "bare", "deal", "now.*", "old").join(facts, ["bare", "deal"], "left"))
+        window = F.get(F.filter("windows", lambda x: (x["item_id"] == F.col("item_id")) & (x["vendor"] == F.col("vendor"))), F.lit(0))
+        i = F.coalesce(F.exists("windows", lambda x: x["item_id"] == F.col("item_id")), F.lit(False))
+        codes = lambda c, item: F.get(F.filter(c, lambda x: x["item_id"] == F.col(item)), F.lit(0))["codes"]
+        moved = lambda item: ~codes("classes", item).eqNullSafe(codes("classes_before", item))
         state = F.when(F.col("old").isNull(), "NEW").when(F.col("old.row_hash") != F.col("row_hash"), "CHANGED").otherwise("SAME")
-        fresh = F.col("state") != "SAME"
-        inside = F.coalesce(F.col("day").between(F.col("since"), F.col("until")), F.lit(False))
-        explained = (F.col("since").isNotNull() & (F.col("old.status") == "NOT_ACTIVE")) | ((F.col("old.status") == "NOT_FOUND") & (F.col("v").isNotNull() | F.col("i").isNotNull()))
+        rows = rows.withColumns({"state": state, "window": window, "i": i}).withColumn("fresh", F.col("state") != "SAME")
+        inside = F.coalesce(F.col("day").between(F.col("window.since"), F.col("window.until")), F.lit(False))
+        explained = (F.col("window").isNotNull() & (F.col("old.status") == "NOT_ACTIVE")) | ((F.col("old.status") == "NOT_FOUND") & (F.col("v").isNotNull() | F.col("i")))
         by_contract = F.col("fresh") | inside | F.coalesce(explained, F.lit(False)) | (F.col("old.vendor") != F.col("vendor"))
-        rows = rows.withColumn("state", state).withColumn("fresh", fresh).withColumn("by_contract", by_contract).withColumn("by_item", F.col("fresh") | F.col("m").isNotNull() | F.col("mb").isNotNull())
-        return rows.select(*base.columns, "fresh", "by_contract", "by_item", "state", "old")
+        return with_item(rows.withColumns({"by_contract": by_contract, "by_item": F.col("fresh") | moved("item_id") | moved("bare")}))
 
 
 def current_contracts(keys: DataFrame, contracts: DataFrame, day: str, settings: Settings = Settings()) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,14 +45,17 @@ class Versions:
     def _current(self) -> dict:
         return json.loads(self.spark.read.text(f"{self.path}/pointers/{self._numbers()[-1]:012d}").first()[0])
 
-    def commit(self, tables: dict[str, DataFrame], check=lambda name, df: True, notes: dict | None = None) -> str:
-        """Write all tables as a new version, check them as written, then rename its pointer. notes: JSON to keep with it."""
+    def commit(self, tables: dict[str, DataFrame], check=lambda name, df: True, notes: dict | Callable[[Callable[[str], DataFrame]], dict] | None = None) -> str:
+        """Write all tables as a new version, check them as written, then rename its pointer. notes: JSON to keep with it, or a function
+        that gives it once the tables are written, and that can read them by name."""
         version, before = f"v-{uuid.uuid4().hex}", self._numbers()
         for name, df in tables.items():
-            df.write.parquet(f"{self.path}/{version}/{name}")
+            df.write.option("compression", "zstd").parquet(f"{self.path}/{version}/{name}")
         if not all(check(n, self.spark.read.parquet(f"{self.path}/{version}/{n}")) for n in tables):
             self._fs.delete(self._at(version), True)
             raise ValueError("a table failed its check; the version before stays")
+        if callable(notes):
+            notes = notes(lambda name: self.spark.read.parquet(f"{self.path}/{version}/{name}"))
         out = self._fs.create(self._at(f"{version}/pointer"), True)
         out.write(bytearray(json.dumps({"version": version, "tables": sorted(tables), "notes": notes or {}}).encode()))
         out.close()

@@ -14,7 +14,7 @@ from ledgerloom.operators import quality as Q
 from ledgerloom.operators import vendors
 from ledgerloom.plans import changes, domain
 from ledgerloom.plans.registry import aggregates, projections
-from ledgerloom.sources import shared
+from ledgerloom.sources import shared, sinks
 
 
 def day(n):
@@ -211,3 +211,24 @@ def test_vendors_read_each_feed_once(spark, monkeypatch):
     vendors.resolve(d.vendor_usage, d.vendor_contracts, d.vendor_items)
     reading = [name for name, df in seen if any("lineitem.parquet" in f for f in df.inputFiles())]
     assert reading == ["vendor_items", "contract_vendors"]
+
+
+def test_a_delivery_shuffles_rows_once(spark, tmp_path, monkeypatch):
+    """Usage and what was mapped before meet, and meet all they need of their items, by one shuffle, and no copy of them is written."""
+    usage = "row_id string, item_id string, vendor string, day date, supply_price double, client_price double"
+    contract = "contract_number string, vendor string, item_id string, uom string, price double, each_price double, starts date, ends date"
+    before = [("a", "1", "V", day(5), 1.0, 1.0), ("b", "2", "V", day(5), 1.0, 1.0), ("c", "", "V", day(5), 1.0, 1.0), ("d", "01", "V", day(5), 1.0, 1.0)]
+    after = [before[0], ("b", "1", "V", day(5), 1.0, 1.0), before[2], ("e", "01", "V", day(5), 1.0, 1.0)]
+    feeds = (spark.createDataFrame([("C", "V", "1", "EA", 1.0, 1.0, day(0), None)], contract), spark.createDataFrame([("1", "x")], "item_id string, unspsc string"), spark.createDataFrame([("W", "V")], "name string, standard string"))
+    names, plans = [], []
+    monkeypatch.setattr(mapper, "written", lambda df, name: names.append(name) or shared.written(df, name))
+    assembled = mapper._assembled
+    monkeypatch.setattr(mapper, "_assembled", lambda rows, *x, **more: plans.append(rows) or assembled(rows, *x, **more))
+    m = mapper.Mapper(sinks.Versions(spark, f"file://{tmp_path}/m"))
+    assert m.run(spark.createDataFrame(before, usage), *feeds) == {"new": 4, "changed": 0, "deleted": 0, "remapped_contract": 0, "remapped_item": 0, "reused": 0, "same": 0}
+    assert m.run(spark.createDataFrame(after, usage), *feeds) == {"new": 1, "changed": 1, "deleted": 1, "remapped_contract": 0, "remapped_item": 0, "reused": 2, "same": 2}
+    assert not {"usage", "affected"} & set(names)
+    joined = plans[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count("RepartitionByExpression") == 1 and joined.count("Join") == 3  # aliases, vendors, facts of items
+    got = {r.row_id: (r.status, r.item_gap_code) for r in m.store.read("mapped").collect()}
+    assert got == {"a": ("MATCHED", None), "b": ("MATCHED", None), "c": ("MISSING_MAPPING_KEY", "MISSING_ITEM_ID"), "e": ("NOT_FOUND", "ITEM_NOT_IN_ITEM_MASTER_LEADING_ZEROS")}
