@@ -12,7 +12,7 @@ from ledgerloom.operators import mapper
 from ledgerloom.operators import matching as M
 from ledgerloom.operators import quality as Q
 from ledgerloom.operators import vendors
-from ledgerloom.plans import changes, domain
+from ledgerloom.plans import changes, domain, marts
 from ledgerloom.plans.registry import aggregates, projections
 from ledgerloom.sources import shared, sinks
 
@@ -232,3 +232,20 @@ def test_a_delivery_shuffles_rows_once(spark, tmp_path, monkeypatch):
     assert joined.count("RepartitionByExpression") == 1 and joined.count("Join") == 3  # aliases, vendors, facts of items
     got = {r.row_id: (r.status, r.item_gap_code) for r in m.store.read("mapped").collect()}
     assert got == {"a": ("MATCHED", None), "b": ("MATCHED", None), "c": ("MISSING_MAPPING_KEY", "MISSING_ITEM_ID"), "e": ("NOT_FOUND", "ITEM_NOT_IN_ITEM_MASTER_LEADING_ZEROS")}
+
+
+def test_columns_of_a_feed_are_derived_where_needed(spark):
+    d = domain.Domain(spark, "/root/testdata/sf0.001")
+    lines = d.raw_lines.join(d.part, F.col("l_partkey") == F.col("p_partkey"))
+    late = lines.select(*(F.expr(sql).alias(name) for name, sql in domain.fields("consumption").items()))
+    assert late.columns == d.consumption.columns and late.exceptAll(d.consumption).isEmpty() and d.consumption.exceptAll(late).isEmpty()
+
+
+def test_lines_of_the_marts_are_read_once_and_travel_bare(spark, monkeypatch):
+    """No copy of the lines is written, and texts are made of them behind the joins."""
+    names = []
+    monkeypatch.setattr(M, "written", lambda df, name: names.append(name) or shared.written(df, name))
+    plan = marts.consumption_fact(domain.Domain(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert names == ["steps"] and sum("Relation" in line and "l_extendedprice" in line for line in plan) == 2  # lines, and the keys of contracts
+    first = next(i for i, line in enumerate(plan) if "Join" in line)
+    assert any("row_id" in line for line in plan[:first]) and not any("row_id" in line for line in plan[first:])
