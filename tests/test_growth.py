@@ -249,3 +249,19 @@ def test_lines_of_the_marts_are_read_once_and_travel_bare(spark, monkeypatch):
     assert names == ["steps"] and sum("Relation" in line and "l_extendedprice" in line for line in plan) == 2  # lines, and the keys of contracts
     first = next(i for i, line in enumerate(plan) if "Join" in line)
     assert any("row_id" in line for line in plan[:first]) and not any("row_id" in line for line in plan[first:])
+
+
+def test_order_lines_meet_invoices_where_they_met_their_order(spark):
+    """No shuffle by texts: the numbers of orders and lines are made behind the joins, and lines are shuffled for orders and for items."""
+    d = domain.Domain(spark, "/root/testdata/sf0.001")
+    off = {c: spark.conf.get(c, None) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for c in off:
+            spark.conf.set(c, "-1")
+        plan = marts.purchase_fact(d)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c, v in off.items():
+            spark.conf.set(c, v) if v is not None else spark.conf.unset(c)
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert not any("po_number" in line or "po_line" in line for line in shuffles)
+    assert sum("l_orderkey" in line for line in shuffles) == 3  # lines, orders, invoices
