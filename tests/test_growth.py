@@ -265,3 +265,17 @@ def test_order_lines_meet_invoices_where_they_met_their_order(spark):
     shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert not any("po_number" in line or "po_line" in line for line in shuffles)
     assert sum("l_orderkey" in line for line in shuffles) == 3  # lines, orders, invoices
+
+
+def test_all_pairs_of_alike_items(spark):
+    """Within classes and between alike ones, and an item that is there twice counts twice."""
+    rng = random.Random(5)
+    words = [("a", "b", "c", "d", "e"), ("a", "b", "c", "d"), ("b", "c", "d", "a", "a"), ("f",), ("a", "b", "c", "d", "f")]
+    rows = [(f"{rng.randrange(60)}", None if i % 20 == 7 else " ".join(rng.choice(words)), rng.choice(["m", "n", None])) for i in range(90)]
+
+    class D:
+        item_master = spark.createDataFrame(rows, "item_id string, description string, manufacturer string")
+
+    alike = lambda x, y: len(x & y) / len(x | y) >= 0.8
+    want = [(a[0], b[0]) for a in rows for b in rows if a[2] and a[2] == b[2] and a[1] and b[1] and a[0] < b[0] and alike(set(a[1].upper().split(" ")), set(b[1].upper().split(" ")))]
+    assert len(want) > 200 and sorted(map(tuple, changes.alike_pairs(D).collect())) == sorted(want)
