@@ -42,3 +42,17 @@ def test_assertions_fail_where_they_should(spark):
     bad = tenants.unionAll(spark.createDataFrame([(None, "b", " ")], tenants.schema))
     worse = usage.unionAll(spark.createDataFrame([(1.0, -1.0)], usage.schema))
     assert set(state(worse, orders, fact.withColumn("contract_match_tier", F.lit(7)), orders.unionAll(orders), orders.limit(0), bad).values()) == {"FAIL"}
+
+
+def test_figures_count_every_row_of_the_fact(spark):
+    """API-06 leaves no row and no figure out: its counts and sums are those of all that FCT-CONSUMPTION gives."""
+    from ledgerloom.plans import registry
+
+    fact = registry.QUERIES["FCT-CONSUMPTION"](spark, "/root/testdata/sf0.001").collect()
+    got = {r.figure: (r.rows, r.total) for r in registry.QUERIES["API-06"](spark, "/root/testdata/sf0.001").collect()}
+    hit = {
+        "spend": [r.line_spend for r in fact if r.line_spend > 0], "match_rate": [r.line_spend for r in fact if r.is_contract_matched],
+        "savings": [r.savings_opportunity for r in fact if r.savings_opportunity > 0], "overpayment": [r.overpayment_amount for r in fact if r.overpayment_amount > 0],
+    }
+    assert len(fact) > 5000 and {k: v[0] for k, v in got.items()} == {k: len(v) for k, v in hit.items()}
+    assert all(v[1] == pytest.approx(sum(hit[k]), abs=0.01) for k, v in got.items())
